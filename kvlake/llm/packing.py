@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from . import pretokens
+from . import pretokens, words
 from .common import texts
 
 #: Tokens that one group of documents is packed from; groups follow the input, so that no text is shuffled.
@@ -68,12 +68,10 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, gr
     sequence_id is the task's partition and the sequence's number in it. Null ids and repeated rows are
     documents like others; an empty table gives no pieces; other columns are ignored.
     """
-    whole = docs.sparkSession.sparkContext.broadcast({w: i.to_bytes(4, "little") for w, i in pretokens.whole_tokens(path).items()})
+    whole = docs.sparkSession.sparkContext.broadcast(pretokens.whole_tokens(path))
 
     def run(batches):
-        tok = pretokens.tokenizer(path)
-        encode = lambda x: np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        ids_of = pretokens.Memo(whole.value, encode).__getitem__
+        known = pretokens.ids_for(path, whole.value)
         end = end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         names, bodies, held = [], [], 0
@@ -95,14 +93,15 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, gr
             return pa.record_batch({k: pa.array(v, pa.int64()) for k, v in kinds})
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                found = pretokens.split(text := text.as_py())
-                bodies.append((encode(text) if found is None else b"".join(map(ids_of, found))) + end)
-                names.append(name)
-                held += len(bodies[-1]) // 4
-                if held >= group:
-                    yield flush()
-                    held = 0
+            for a, z in words.pieces(batch.column("text")):
+                part = batch.slice(a, z - a)
+                for name, ids in zip(part.column("doc_id").to_pylist(), known.flat(part.column("text"))):
+                    bodies.append(ids.astype("<u4").tobytes() + end)
+                    names.append(name)
+                    held += len(ids) + 1
+                    if held >= group:
+                        yield flush()
+                        held = 0
         if names:
             yield flush()
 

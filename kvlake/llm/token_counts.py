@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import pretokens
+from . import pretokens, words
 from .common import texts
 
 
@@ -19,18 +19,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     may hold special tokens, are encoded by the library whole. A null text counts as empty (0 bytes,
     0 tokens); null ids and repeated rows are kept; other columns are ignored.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(dict.fromkeys(pretokens.whole_tokens(path), 1))
+    whole = docs.sparkSession.sparkContext.broadcast(pretokens.whole_tokens(path))
 
     def run(batches):
-        tok = pretokens.tokenizer(path)
-        encode = lambda x: len(tok.encode(x, add_special_tokens=False).ids)
-        count = pretokens.Memo(whole.value, encode).__getitem__
+        ids = pretokens.ids_for(path, whole.value)
         for batch in batches:
-            n = []
-            for text in batch.column("text"):
-                found = pretokens.split(text := text.as_py())
-                n.append(encode(text) if found is None else sum(map(count, found)))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())})
+            for a, z in words.pieces(batch.column("text")):
+                part = batch.slice(a, z - a)
+                n = ids.counts(part.column("text"))
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes"), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
 
     own = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
     return own.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -96,16 +96,21 @@ def split(data: np.ndarray, offsets: np.ndarray, how: tuple[np.ndarray, np.ndarr
     heads = offsets[:-1][offsets[:-1] < len(data)]
     begins[heads] |= inside[heads]
     starts = np.flatnonzero(begins)
+    return span_hashes(values[data], starts), np.searchsorted(offsets, starts, side="right") - 1
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the values from each start to the next; zeros at a span's end don't count."""
     hashes, k = np.empty(len(starts), np.uint64), 0
     while k < len(starts):
         first = starts[k]
         to = max(int(np.searchsorted(starts, first + WINDOW)), k + 1)
-        part = values[data[first : starts[to] if to < len(starts) else len(data)]]
+        part = values[first : starts[to] if to < len(starts) else len(values)]
         power, inverse = _powers(1 << max(20, int(len(part)).bit_length()))
         at = starts[k:to] - first
         hashes[k:to] = np.add.reduceat(part * power[: len(part)], at) * inverse[at]
         k = to
-    return mixed(hashes), np.searchsorted(offsets, starts, side="right") - 1
+    return mixed(hashes)
 
 
 def pieces(column: pa.Array, most: int = 4 << 20):

@@ -28,13 +28,25 @@ from .common import stored, texts
 #: Document frequency from which a shingle counts as frequent, and how many such shingles at most, the most frequent, are told to all tasks (8 MB).
 FREQUENT, TOLD = 12, 1 << 20
 #: Shingles that a task counts at once, and about so many that one block of the hash space gets.
-RUN, PER_BLOCK = 1 << 22, 1 << 20
+RUN, PER_BLOCK = 1 << 21, 1 << 20
 NO_ID = -(1 << 63)
 
 
-def _needed(n):
-    """Common prefix shingles that a link needs when the smaller set has n shingles; works on numbers and columns."""
-    return 1 + n / 100
+def _extra(n):
+    """Shingles by which a prefix is longer than one common shingle asks for, plus 1; works on numbers and columns."""
+    return 1 + (F.floor(n / 100).cast("long") if isinstance(n, Column) else n // 100)
+
+
+def _enough(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether two sets with so many common prefix shingles can be similar.
+
+    Prefixes of n - ceil(s * n) + e shingles have at least the smaller e in common. And of the set whose
+    prefix ends first in the order, only its other ceil(s * n) - e shingles can be common besides.
+    """
+    need = F.ceil(percent * (n_a + n_b) / (100 + percent) - 1e-9).cast("long")
+    rest = lambda n: F.floor((percent * n + 99) / 100).cast("long") - _extra(n)
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & (common >= _extra(F.least(n_a, n_b))) & (common >= need - F.greatest(rest(n_a), rest(n_b)))
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -139,7 +151,7 @@ def _prefixes(docs: DataFrame, told, width: int, percent: int) -> DataFrame:
                     short = s >> np.uint64(16)
                     at = np.minimum(np.searchsorted(known, short), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == short, place[at] + 1, 0), kind="stable")]
-                part = np.sort(s[: m - (percent * m + 99) // 100 + int(_needed(m))]) if m else s
+                part = np.sort(s[: m - (percent * m + 99) // 100 + _extra(m)]) if m else s
                 g = (_signature(part) * 31 + m) & (1 << 62) - 1 if m else -1
                 gid.append(g)
                 prefix.append(None if g in seen or not m else part.astype(np.int64))
@@ -194,15 +206,11 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
-def _close(n_a: str, n_b: str, percent: int) -> Column:
-    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-
-
 def _star(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes to verify first: a group's first class with the group's others, and with the first class of the first group of a shingle."""
     heads = classes.groupBy("gid").agg(F.min("sig").alias("head"))
     met = index.where("gid != leader").groupBy("leader", "gid").agg(F.count("*").alias("common"), F.first("leader_n").alias("leader_n"), F.first("n").alias("n"))
-    met = met.where(_close("leader_n", "n", percent) & (F.col("common") >= F.floor(_needed(F.least("leader_n", "n")))))
+    met = met.where(_enough(F.col("common"), F.col("leader_n"), F.col("n"), percent))
     met = met.join(heads.select("gid", F.col("head").alias("b")), "gid").join(heads.select(F.col("gid").alias("leader"), F.col("head").alias("a")), "leader")
     inner = classes.join(heads, "gid").where("sig != head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
     return met.select("a", "b").union(inner).distinct()
@@ -216,8 +224,8 @@ def _crossing(index: DataFrame, classes: DataFrame, comp: DataFrame, percent: in
     mixed = index.join(pure, "gid").withColumns({"from": F.min("low").over(per_token), "to": F.max("high").over(per_token)}).where("from < to")
     mixed = stored(mixed.select("token", "gid", "n", "low", "high"))
     other = mixed.select("token", *(F.col(c).alias(f"{c}_2") for c in ("gid", "n", "low", "high")))
-    pairs = mixed.join(other, "token").where(F.expr("gid < gid_2 AND least(low, low_2) < greatest(high, high_2)") & _close("n", "n_2", percent))
-    pairs = pairs.groupBy("gid", "gid_2").agg(F.count("*").alias("common"), F.first(F.least("n", "n_2")).alias("n")).where(F.col("common") >= F.floor(_needed(F.col("n")))).select("gid", "gid_2")
+    pairs = mixed.join(other, "token").where(F.expr("gid < gid_2 AND least(low, low_2) < greatest(high, high_2)") & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")))
+    pairs = pairs.groupBy("gid", "gid_2").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("n_2").alias("n_2")).where(_enough(F.col("common"), F.col("n"), F.col("n_2"), percent)).select("gid", "gid_2")
     pairs = pairs.union(pure.where("low < high").select("gid", F.col("gid").alias("gid_2")))
     a = of.select("gid", F.col("sig").alias("a"), F.col("comp").alias("comp_a"))
     b = of.select(F.col("gid").alias("gid_2"), F.col("sig").alias("b"), F.col("comp").alias("comp_b"))

@@ -11,7 +11,9 @@ from . import words
 from .common import crc_of_id, texts
 
 #: Word buckets, dimensions and non-zero entries of an index vector, words on each side of a context.
-BUCKETS, DIM, ENTRIES, REACH = 8192, 32, 4, 2
+BUCKETS, DIM, ENTRIES, REACH = 8192, 16, 4, 2
+#: Bytes of text, and words of one text, that are worked on at once.
+PART, STRETCH = 1 << 19, 1 << 17
 #: Labelled rows that the network is fitted on at most, those with the least hash of their id.
 SAMPLE = 20_000
 
@@ -28,7 +30,7 @@ def index_vectors() -> np.ndarray:
 def _words(batches):
     """(rows of the batch, word buckets, row of each word) by parts of a batch; words keep their case, marks are words."""
     for batch in batches:
-        for a, z in words.pieces(batch.column("text")):
+        for a, z in words.pieces(batch.column("text"), PART):
             part = batch.slice(a, z - a)
             h, doc = words.split(*words.utf8(part.column("text")), words.letter_words(False, True))
             yield part, (h >> np.uint64(20)).astype(np.int64) % BUCKETS, doc
@@ -38,18 +40,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """A unit vector for each bucket: the sum of the index vectors around all its occurrences in all documents. The table's size is fixed."""
 
     def run(batches):
-        index = index_vectors().astype(np.float64)
+        index = np.ascontiguousarray(index_vectors().T).astype(np.float32)
         total = np.zeros((DIM, BUCKETS))
-        for _, w, doc in _words(batches):
-            if not len(w):
-                continue
-            around = np.zeros((len(w), DIM))
-            for step in range(1, REACH + 1):
-                same = np.flatnonzero(doc[step:] == doc[:-step])
-                around[same] += index[w[same + step]]
-                around[same + step] += index[w[same]]
-            for d in range(DIM):
-                total[d] += np.bincount(w, around[:, d], BUCKETS)
+        for _, all_w, all_doc in _words(batches):
+            for a in range(0, len(all_w), STRETCH):  # with REACH words more on either side, whose own contexts don't count here
+                b, z = max(0, a - REACH), min(len(all_w), a + STRETCH + REACH)
+                w, doc, own = all_w[b:z], all_doc[b:z], slice(a - b, min(len(all_w), a + STRETCH) - b)
+                same = [(doc[step:] == doc[:-step]).astype(np.float32) for step in range(1, REACH + 1)]
+                for d in range(DIM):
+                    x = index[d][w]
+                    around = np.zeros(len(w), np.float32)
+                    for step, both in enumerate(same, 1):
+                        around[:-step] += x[step:] * both
+                        around[step:] += x[:-step] * both
+                    total[d] += np.bincount(w[own], around[own], BUCKETS)
         used = np.flatnonzero(total.any(0))
         yield pa.record_batch({"bucket": pa.array(used, pa.int64())} | {f"d{d}": pa.array(total[d, used].astype(np.int64)) for d in range(DIM)})
 
@@ -68,10 +72,14 @@ def pooled(vectors: np.ndarray, w: np.ndarray, doc: np.ndarray, rows: int) -> np
     n = np.bincount(doc, minlength=rows)
     full = np.flatnonzero(n)
     first = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-    v = vectors[w]
-    mean = np.add.reduceat(v, first) / n[full, None]
+    if rows == 1 and len(w) > STRETCH:  # a very long text, by its count of each bucket
+        many = np.bincount(w, minlength=BUCKETS).astype(np.float64)
+        mean, square = ((many @ x)[None] / n[full, None] for x in (vectors, vectors * vectors))
+    else:
+        v = vectors[w]
+        mean, square = (np.add.reduceat(x, first) / n[full, None] for x in (v, v * v))
     out[full, :DIM] = mean
-    out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, first) / n[full, None] - mean**2, 0))
+    out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(square - mean**2, 0))
     repeat = np.zeros(len(w))
     repeat[1:] = (w[1:] == w[:-1]) & (doc[1:] == doc[:-1])
     key = np.unique(doc * BUCKETS + w) // BUCKETS

@@ -113,7 +113,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mixed(hashes)
 
 
-def pieces(column: pa.Array, most: int = 4 << 20):
+def pieces(column: pa.Array, most: int = 1 << 21):
     """(from, to) row ranges of a batch with about `most` bytes each, so that temporary arrays stay small."""
     _, at = utf8(column)
     k = 0

@@ -28,7 +28,7 @@ from .common import stored, texts
 #: Document frequency from which a shingle counts as frequent, and how many such shingles at most, the most frequent, are told to all tasks (8 MB).
 FREQUENT, TOLD = 12, 1 << 20
 #: Shingles that a task counts at once, and about so many that one block of the hash space gets.
-RUN, PER_BLOCK = 1 << 21, 1 << 20
+RUN, PER_BLOCK = 1 << 20, 1 << 20
 NO_ID = -(1 << 63)
 
 
@@ -182,8 +182,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(rows):
         for batch in rows:
             keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))  # no copy
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -23,7 +23,7 @@ from .common import texts
 BLANK = "▁"
 _find = regex.compile(f"{BLANK}+[^{BLANK}]*").findall
 #: Characters of the longest word that is segmented here; longer ones go to the library. Distinct words that a task remembers.
-LONGEST, REMEMBERED = 128, 1 << 20
+LONGEST, REMEMBERED = 128, 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,8 +129,8 @@ class Vocabulary:
                 for k in which:
                     out[k] = self.whole(words[k][1:])
                 continue
-            for a in range(0, len(which), 1 + (1 << 20) // (size * min(size, self.widest))):
-                some = which[a : a + 1 + (1 << 20) // (size * min(size, self.widest))]
+            for a in range(0, len(which), 1 + (1 << 18) // (size * min(size, self.widest))):
+                some = which[a : a + 1 + (1 << 18) // (size * min(size, self.widest))]
                 starts, count, place = self.merged([words[k] for k in some])
                 path, length = starts[:, :-1], starts[:, 1:] - starts[:, :-1]
                 used = np.arange(size) < count[:, None]
@@ -190,7 +190,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _some(batch, most: int = 1 << 20):
+def _some(batch, most: int = 1 << 19):
     """The batch's texts, a few at a time."""
     held, size = [], 0
     for t in batch.column("text"):

@@ -23,7 +23,7 @@ from . import words
 WORD_END = "</w>"
 ONE, TWO = (b"s", b"t", b"m", b"d"), (b"re", b"ve", b"ll")
 #: Bytes of the longest pre-token that is merged here; longer ones go to the library. Pre-tokens that a task remembers.
-LONGEST, REMEMBERED = 64, 1 << 20
+LONGEST, REMEMBERED = 64, 1 << 18
 LETTER, NUMBER, OTHER, BLANK, FOREIGN = range(5)
 NEVER = np.int32(2**31 - 1)
 

@@ -12,8 +12,8 @@ from .common import crc_of_id, texts
 
 #: Word buckets, dimensions and non-zero entries of an index vector, words on each side of a context.
 BUCKETS, DIM, ENTRIES, REACH = 8192, 16, 4, 2
-#: Bytes of text, and words of one text, that are worked on at once.
-PART, STRETCH = 1 << 19, 1 << 17
+#: Words of one text that are worked on at once.
+STRETCH = 1 << 17
 #: Labelled rows that the network is fitted on at most, those with the least hash of their id.
 SAMPLE = 20_000
 
@@ -30,7 +30,7 @@ def index_vectors() -> np.ndarray:
 def _words(batches):
     """(rows of the batch, word buckets, row of each word) by parts of a batch; words keep their case, marks are words."""
     for batch in batches:
-        for a, z in words.pieces(batch.column("text"), PART):
+        for a, z in words.pieces(batch.column("text")):
             part = batch.slice(a, z - a)
             h, doc = words.split(*words.utf8(part.column("text")), words.letter_words(False, True))
             yield part, (h >> np.uint64(20)).astype(np.int64) % BUCKETS, doc

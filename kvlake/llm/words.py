@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 M1, M2, M3, M4 = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25))
 
 #: Kinds of byte in the tables below.
@@ -106,14 +106,14 @@ def span_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         first = starts[k]
         to = max(int(np.searchsorted(starts, first + WINDOW)), k + 1)
         part = values[first : starts[to] if to < len(starts) else len(values)]
-        power, inverse = _powers(1 << max(20, int(len(part)).bit_length()))
+        power, inverse = _powers(1 << max(18, int(len(part)).bit_length()))
         at = starts[k:to] - first
         hashes[k:to] = np.add.reduceat(part * power[: len(part)], at) * inverse[at]
         k = to
     return mixed(hashes)
 
 
-def pieces(column: pa.Array, most: int = 1 << 21):
+def pieces(column: pa.Array, most: int = 1 << 19):
     """(from, to) row ranges of a batch with about `most` bytes each, so that temporary arrays stay small."""
     _, at = utf8(column)
     k = 0

@@ -5,9 +5,10 @@ shingles, two sets of Jaccard similarity s or more share a shingle among the fir
 n - ceil(s * n) + 1 of each, the prefix; the order used here puts shingles that occur often last.
 Documents with the same prefix and set size form one group, documents with the same set one class.
 Groups meet over their prefix shingles. In each meeting only the pairs with the shingle's first group
-are formed and verified first; what these links join needs no further pair. All other pairs of
-groups that still lie in different components are then formed, filtered by size and by their
-number of common prefix shingles, expanded to their members, and verified exactly on the full sets.
+are formed and verified first, in large meetings those with some more groups too; what these links
+join needs no further pair. All other pairs of groups that still lie in different components are then
+formed, filtered by size and by their number of common prefix shingles, expanded to their members,
+and verified exactly on the full sets.
 
 The result is exact (up to collisions of 64-bit hashes): every link of two different sets is either
 verified or inside a component that verified links already join.
@@ -30,6 +31,8 @@ FREQUENT, TOLD = 12, 1 << 20
 #: Shingles that a task counts at once, and about so many that one block of the hash space gets.
 RUN, PER_BLOCK = 1 << 20, 1 << 20
 NO_ID = -(1 << 63)
+#: Groups at a shingle's meeting from which on it is large, the groups that each of a large one is first verified with, and rounds of that.
+LARGE, CENTRES, ROUNDS = 16, 8, 1
 
 
 def _extra(n):
@@ -151,8 +154,8 @@ def _prefixes(docs: DataFrame, told, width: int, percent: int) -> DataFrame:
                     short = s >> np.uint64(16)
                     at = np.minimum(np.searchsorted(known, short), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == short, place[at] + 1, 0), kind="stable")]
-                part = np.sort(s[: m - (percent * m + 99) // 100 + _extra(m)]) if m else s
-                g = (_signature(part) * 31 + m) & (1 << 62) - 1 if m else -1
+                part = s[: m - (percent * m + 99) // 100 + _extra(m)] if m else s  # in the order
+                g = (_signature(np.sort(part)) * 31 + m) & (1 << 62) - 1 if m else -1
                 gid.append(g)
                 prefix.append(None if g in seen or not m else part.astype(np.int64))
                 seen.add(g)
@@ -216,16 +219,38 @@ def _star(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b").union(inner).distinct()
 
 
-def _crossing(index: DataFrame, classes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components whose groups have enough prefix shingles in common, or are one group."""
+def _mixed(index: DataFrame, classes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes with their components, groups with their least and greatest component, index rows of shingles whose groups lie in different components)."""
     of = stored(classes.select("sig", "gid").join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "gid", F.coalesce("comp", "sig").alias("comp")))
     pure = of.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     per_token = Window.partitionBy("token")
-    mixed = index.join(pure, "gid").withColumns({"from": F.min("low").over(per_token), "to": F.max("high").over(per_token)}).where("from < to")
-    mixed = stored(mixed.select("token", "gid", "n", "low", "high"))
-    other = mixed.select("token", *(F.col(c).alias(f"{c}_2") for c in ("gid", "n", "low", "high")))
-    pairs = mixed.join(other, "token").where(F.expr("gid < gid_2 AND least(low, low_2) < greatest(high, high_2)") & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")))
-    pairs = pairs.groupBy("gid", "gid_2").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("n_2").alias("n_2")).where(_enough(F.col("common"), F.col("n"), F.col("n_2"), percent)).select("gid", "gid_2")
+    mixed = index.join(pure, "gid").withColumns({"from": F.min("low").over(per_token), "to": F.max("high").over(per_token), "groups": F.count("*").over(per_token)}).where("from < to")
+    return of, pure, stored(mixed.select("token", "gid", "n", "pos", "low", "high", "groups"))
+
+
+def _more_stars(mixed: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of classes to verify before all pairs of a large meeting are formed: its groups with a few of them, the same ones in all meetings as far as they are in them."""
+    per_token = Window.partitionBy("token")
+    centre = lambda k: F.min(F.struct(F.xxhash64("gid", F.lit(turn * CENTRES + k)).alias("h"), "gid", "n", "low")).over(per_token)
+    large = stored(mixed.where(F.col("groups") >= LARGE).withColumns({f"c{k}": centre(k) for k in range(CENTRES)}))
+    pairs = None
+    for k in range(CENTRES):
+        c = large.where(f"gid != c{k}.gid AND low != c{k}.low AND 100 * least(n, c{k}.n) >= {percent} * greatest(n, c{k}.n)").select("gid", F.col(f"c{k}.gid").alias("gid_2"))
+        pairs = c if pairs is None else pairs.union(c)
+    heads = classes.groupBy("gid").agg(F.min("sig").alias("head"))
+    pairs = stored(pairs.distinct()).join(heads.select("gid", F.col("head").alias("a")), "gid").join(heads.select(F.col("gid").alias("gid_2"), F.col("head").alias("b")), "gid_2")
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _crossing(of: DataFrame, pure: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components whose groups have enough prefix shingles in common, or are one group."""
+    other = mixed.select("token", *(F.col(c).alias(f"{c}_2") for c in ("gid", "n", "pos", "low", "high")))
+    # for a pair's own sizes the first n - need + e shingles of each have e in common, so others of their prefixes form no pair
+    need = F.ceil(percent * (F.col("n") + F.col("n_2")) / (100 + percent) - 1e-9).cast("long")
+    extra = _extra(F.least("n", "n_2"))
+    early = (F.col("pos") < F.col("n") - need + extra) & (F.col("pos_2") < F.col("n_2") - need + extra)
+    pairs = mixed.join(other, "token").where(F.expr("gid < gid_2 AND least(low, low_2) < greatest(high, high_2)") & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")) & early)
+    pairs = pairs.groupBy("gid", "gid_2").agg(F.count("*").alias("common"), F.first(extra).alias("extra")).where("common >= extra").select("gid", "gid_2")
     pairs = pairs.union(pure.where("low < high").select("gid", F.col("gid").alias("gid_2")))
     a = of.select("gid", F.col("sig").alias("a"), F.col("comp").alias("comp_a"))
     b = of.select(F.col("gid").alias("gid_2"), F.col("sig").alias("b"), F.col("comp").alias("comp_b"))
@@ -248,15 +273,23 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     rows = stored(_prefixes(docs, told, width, percent))
     classes = stored(rows.where("n > 0").groupBy("sig", "gid", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("member")))
     # a task tells of a group once, so a token's list has a row for each task at most before repeats go
-    index = rows.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "gid", "n").repartition("token").dropDuplicates(["token", "gid"])
+    index = rows.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "gid", "n").repartition("token").dropDuplicates(["token", "gid"])
     per_token = Window.partitionBy("token")
     lead = F.min(F.struct("gid", "n")).over(per_token)
-    index = stored(index.withColumns({"lead": lead, "last": F.max("gid").over(per_token)}).where("lead.gid < last").select("token", "gid", "n", F.col("lead.gid").alias("leader"), F.col("lead.n").alias("leader_n")))
+    index = stored(index.withColumns({"lead": lead, "last": F.max("gid").over(per_token)}).where("lead.gid < last").select("token", "gid", "n", "pos", F.col("lead.gid").alias("leader"), F.col("lead.n").alias("leader_n")))
     first = stored(_star(index, classes, percent))
     linked = stored(_verified(first, _full_sets(docs, classes, first, width), percent))
     comp = components(linked)
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(_crossing(index, classes, comp, percent).join(tried, ["a", "b"], "left_anti"))
+    of, pure, mixed = _mixed(index, classes, comp)
+    for turn in range(ROUNDS):
+        more = stored(_more_stars(mixed, classes, percent, turn).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        linked, tried = linked.union(stored(_verified(more, _full_sets(docs, classes, more, width), percent))), tried.union(more)
+        comp = components(linked)
+        of, pure, mixed = _mixed(index, classes, comp)
+    rest = stored(_crossing(of, pure, mixed, percent).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         comp = components(linked.union(_verified(rest, _full_sets(docs, classes, rest, width), percent)))
     of = stored(classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least_id", F.coalesce("comp", "sig").alias("comp")))

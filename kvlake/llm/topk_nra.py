@@ -21,52 +21,43 @@ def whole_numbers(v: np.ndarray) -> np.ndarray:
     return np.array([[int(SCALE * y) if abs(y) > 2**52 else int(np.floor(SCALE * y)) for y in row] for row in v.tolist()], object).reshape(v.shape)
 
 
-def nra(lists: np.ndarray, values: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """Rows of x that hold the k best inner products with q, ties included; others may be among them.
-
-    lists[d]: rows by ascending component d, values[d] those components. A list is read from its end that
-    gives the larger products. Having read a stretch of each list, a row's score is at least what it has
-    shown plus the least, and at most that plus the most, that its unread lists can still give. Reading
-    stops when no row outside the k with the best lower bounds can qualify but those that are kept.
+def nra(x: np.ndarray, values: np.ndarray, place: np.ndarray, q: np.ndarray, k: int):
+    """For each row of q, rows of x that hold its k best inner products, ties included; others may be among them.
+
+    values[d]: the components d of x in ascending order, the sorted list; place[:, d]: each row's position
+    there. All lists are read in stretches from both ends, once for all of q; a query uses of each list
+    the end that gives the larger products. A row's score is at least what the lists have shown of it plus
+    the least that the others can still give, and at most that plus their frontiers. A query stops when no
+    row outside the k with the best lower bounds can qualify but a few, which are kept.
     """
     n = len(x)
-    used = np.flatnonzero(q != 0)
-    if n <= k or not len(used):
-        return np.arange(n)
-    w = q[used].astype(np.float64)
-    up = np.where(w > 0, values[used, -1], values[used, 0]) * w
-    down = np.where(w > 0, values[used, 0], values[used, -1]) * w
-    at_least = np.full(n, down.sum())
-    at_most = np.full(n, up.sum())
-    depth, step = 0, max(16, n // 32)
-    while depth < n:
-        to = min(n, depth + step)
-        for j, d in enumerate(used):
-            part = slice(n - to, n - depth) if w[j] > 0 else slice(depth, to)
-            rows, product = lists[d, part], values[d, part] * w[j]
-            at_least[rows] += product - down[j]
-            at_most[rows] += product - up[j]
-        edge = np.where(w > 0, values[used, n - to], values[used, to - 1]) * w
-        # rows that a list has not shown yet can get its frontier at most: what all rows' bounds share moves as one number, and is undone for rows that had been shown
-        for j, d in enumerate(used):
-            fall = up[j] - edge[j]
-            if fall:
-                rest = lists[d, : n - to] if w[j] > 0 else lists[d, to:]
-                at_most[rest] -= fall
-        up = edge
-        depth, step = to, step * 2
-        kth = np.partition(at_least, n - k)[n - k]
-        if (at_most >= kth).sum() <= max(4 * k, n // 16):
-            break
-    return np.flatnonzero(at_most >= kth)
+    if n <= k:
+        return [np.arange(n)] * len(q)
+    low, high = values[:, 0], values[:, -1]
+    found: list = [None] * len(q)
+    open_, depth, step = np.arange(len(q)), 0, max(16, n // 8)
+    while len(open_):
+        depth, step = min(n, depth + step), step * 2
+        top, bottom = place >= n - depth, place < depth
+        above, below = values[:, n - depth], values[:, depth - 1]  # frontiers
+        up, down = np.maximum(q[open_], 0), np.minimum(q[open_], 0)
+        at_least = (up @ low + down @ high)[:, None] + up @ np.where(top, x - low, 0).T + down @ np.where(bottom, x - high, 0).T
+        kth = np.partition(at_least, n - k, axis=1)[:, n - k]
+        at_most = (up @ above + down @ below)[:, None] + up @ np.where(top, x - above, 0).T + down @ np.where(bottom, x - below, 0).T
+        can = at_most >= kth[:, None]
+        done = can.sum(1) <= max(4 * k, n // 16) if depth < n else np.full(len(open_), True)
+        for i in np.flatnonzero(done):
+            found[open_[i]] = np.flatnonzero(can[i])
+        open_ = open_[~done]
+    return found
 
 
 def top_products(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products of floor(1024 * component), exact.
 
     Queries are the rows whose vec_id `every` divides, candidates all rows but the query's own. Rows are
-    dealt to shards of about SHARD; a task sorts its shard's lists once, reads them for each query of a
-    block, and resolves the final scores of the rows left; the shards' best are merged. Ties go to the
+    dealt to shards of about SHARD; a task sorts its shard's lists, reads them once for a block of
+    queries, and resolves the final scores of the rows left; the shards' best are merged. Ties go to the
     smaller vec_id. Null or non-finite vectors and null ids take no part; rows of another length than the
     query's are no candidates; repeated rows are candidates each; sums beyond 64 bits become the nearest
     64-bit number; other columns are ignored.
@@ -86,13 +77,15 @@ def top_products(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame
                 x = whole_numbers(np.frombuffer(batch.column("rows")[r].as_py(), "<f8").reshape(len(own), -1))
                 names, q = block_of(batch, r)
                 q = whole_numbers(q)
-                plain = x.dtype != object and q.dtype != object and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**53
+                plain = x.dtype != object and q.dtype != object and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**51
                 if plain:
-                    lists = np.ascontiguousarray(np.argsort(x, 0, kind="stable").T)
-                    values = np.take_along_axis(x.T, lists, 1).astype(np.float64)
+                    repeats = dict(zip(*np.unique(own, return_counts=True)))
+                    place = np.argsort(np.argsort(x, 0, kind="stable"), 0, kind="stable")
+                    rows_left = nra(x.astype(np.float64), np.sort(x, 0).T.astype(np.float64), place, q.astype(np.float64), k + max((int(repeats.get(i, 0)) for i in names.tolist()), default=0))
+                else:
+                    rows_left = [np.arange(len(own))] * len(names)
                 out = []
-                for name, y in zip(names.tolist(), q):
-                    left = nra(lists, values, x, y, k + int((own == name).sum())) if plain else np.arange(len(own))
+                for name, y, left in zip(names.tolist(), q, rows_left):
                     left = left[own[left] != name]
                     score = (x[left] * y).sum(1)
                     best = np.lexsort((own[left], -score))[:k] if plain else sorted(range(len(left)), key=lambda i: (-score[i], own[left[i]]))[:k]  # noqa: B023

@@ -209,6 +209,15 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
+def _extended(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """comp (node, comp) after further edges (a, b): only what these join is labelled anew, over one edge between two components."""
+    own = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    between = edges.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    top = components(stored(between.where("a != b").distinct()))
+    old = comp.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    return stored(old.union(top.join(comp, "node", "left_anti")))
+
+
 def _star(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes to verify first: a group's first class with the group's others, and with the first class of the first group of a shingle."""
     heads = classes.groupBy("gid").agg(F.min("sig").alias("head"))
@@ -278,20 +287,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     lead = F.min(F.struct("gid", "n")).over(per_token)
     index = stored(index.withColumns({"lead": lead, "last": F.max("gid").over(per_token)}).where("lead.gid < last").select("token", "gid", "n", "pos", F.col("lead.gid").alias("leader"), F.col("lead.n").alias("leader_n")))
     first = stored(_star(index, classes, percent))
-    linked = stored(_verified(first, _full_sets(docs, classes, first, width), percent))
-    comp = components(linked)
+    comp = components(stored(_verified(first, _full_sets(docs, classes, first, width), percent)))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     of, pure, mixed = _mixed(index, classes, comp)
     for turn in range(ROUNDS):
         more = stored(_more_stars(mixed, classes, percent, turn).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
-        linked, tried = linked.union(stored(_verified(more, _full_sets(docs, classes, more, width), percent))), tried.union(more)
-        comp = components(linked)
+        comp, tried = _extended(comp, _verified(more, _full_sets(docs, classes, more, width), percent)), tried.union(more)
         of, pure, mixed = _mixed(index, classes, comp)
     rest = stored(_crossing(of, pure, mixed, percent).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        comp = components(linked.union(_verified(rest, _full_sets(docs, classes, rest, width), percent)))
+        comp = _extended(comp, _verified(rest, _full_sets(docs, classes, rest, width), percent))
     of = stored(classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least_id", F.coalesce("comp", "sig").alias("comp")))
     of = of.join(of.groupBy("comp").agg(F.min("least_id").alias("component_id")), "comp").select("sig", "component_id")
     return rows.select("doc_id", "n", "sig").join(of, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -1,36 +1,29 @@
 """A training-data pipeline over `documents`: quality, toxicity, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-back as the next stage's docs. All but the last return the columns of documents.
+back as the next stage's docs. All but the last return the columns of documents. Rows are judged by their own text, so null and reused doc_ids are filtered like others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from kvlake.llm import common, jaccard_join, packing, quality, queries, toxicity
 
 
-def _without(docs: DataFrame, scores: DataFrame, rejected: Column) -> DataFrame:
-    """The rows of docs whose doc_id is not among those rejected. Few are, so only their ids are joined; rows with a null id are never rejected."""
-    gone = common.stored(scores.where(rejected & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier predicts to be labelled 0."""
-    return _without(docs, quality.quality_scores(docs, common.table(spark, sf_dir, "labels")), F.col("predicted") == 0)
+    return quality.without_low(docs, common.table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted to be toxic."""
-    return _without(docs, toxicity.toxicity_scores(docs, common.table(spark, sf_dir, "labels")), F.col("predicted") == 1)
+    return toxicity.without_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, on shingles of five words and a similarity of 0.8."""
-    return jaccard_join.one_per_component(docs, width=5, percent=80)
+    return jaccard_join.one_row_per_component(docs, width=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,22 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
+def kept(docs: DataFrame, words: Callable, judge: Callable) -> DataFrame:
+    """The rows of docs, unchanged, that judge(words, text numbers, rows) keeps, each by its own text (null as the empty one); ids play no part.
+
+    words splits an iterator of batches with a column text into (part, words, text numbers), in order.
+    """
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for part, w, doc in words([pa.record_batch({"text": pc.fill_null(batch.column("text"), "")})]):
+                yield batch.slice(at, part.num_rows).filter(pa.array(judge(w, doc, part.num_rows)))
+                at += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with other columns dropped and a null text as the empty one."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

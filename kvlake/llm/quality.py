@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import crc_of_id, texts
+from .common import crc_of_id, kept, texts
 
 #: Word buckets, dimensions and non-zero entries of an index vector, words on each side of a context.
 BUCKETS, DIM, ENTRIES, REACH = 8192, 16, 4, 2
@@ -157,6 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE):
     return vectors, Network(x.astype(np.float64), y, held)
 
 
+def without_low(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, unchanged, that quality_scores doesn't predict to be labelled 0."""
+    vectors, network = fit(docs, labels, F.pmod(crc_of_id(), F.lit(3)) != 1, sample)
+    return kept(docs, _words, lambda w, doc, rows: network(pooled(vectors, w, doc, rows).astype(np.float64)) >= 0.5)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text).
 

@@ -269,3 +269,26 @@ def test_pipeline_stages(spark):
         docs, ids = out.cache(), left
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels, _, _ = labelled(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    good, junk, vile = " ".join(f"w{k}" for k in range(40)), " ".join(f"W{k}!!" for k in range(40)), " ".join(["vile", "w1", "nasty", "w2", "vile", "w5"] * 4)
+    new = [(None, junk), (None, vile), (9000, junk), (9000, good), (9001, vile), (9001, good + " w50")]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "new") for i, t in new], docs.schema))
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.where("label = 'new'").collect()), key=str)
+    by = lambda *gone: sorted((x for x in new if x[1] not in gone), key=str)
+    assert left(corpus_pipeline.quality_stage(spark, docs, str(tmp_path))) == by(junk)
+    assert left(corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path))) == by(vile)
+
+
+def test_one_row_per_component(spark):
+    docs = documents(spark, ["a b c d e", "A b c d e", None, None, "other words in here now", "other words in here now", "two texts of one id", "quite another text of it"], [5, 3, 9, 9, None, None, 7, 7])
+    kept = jaccard_join.one_row_per_component(docs)
+    rows = sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert rows == [(-1, "other words in here now"), (3, "A b c d e"), (7, "quite another text of it"), (7, "two texts of one id"), (9, ""), (9, "")]
+    assert jaccard_join.one_row_per_component(docs.limit(0)).count() == 0

@@ -140,6 +140,12 @@ def sampled(labels: DataFrame, target: str, train, most: int) -> DataFrame:
     return own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, train, most: int) -> DataFrame:
+    """(doc_id, label, text) of the sampled ids, one row of each, so at most `most`: of an id with several texts the largest in byte order."""
+    rows = texts(docs).join(F.broadcast(sampled(labels, target, train, most)), "doc_id")  # at most `most` rows
+    return rows.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE):
     """(word vectors, network) fitted on labelled rows that `train` holds for."""
     vectors = word_vectors(docs)
@@ -149,8 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE):
             x = pooled(vectors, w, doc, part.num_rows)
             yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "x": pa.array(list(x), pa.list_(pa.float32()))})
 
-    rows = texts(docs).join(F.broadcast(sampled(labels, "quality", train, sample)), "doc_id")  # at most `sample` rows
-    got = rows.mapInArrow(run, "doc_id long, label int, x array<float>").orderBy("doc_id").limit(2 * sample).toArrow()
+    got = labelled_texts(docs, labels, "quality", train, sample).mapInArrow(run, "doc_id long, label int, x array<float>").toArrow().sort_by("doc_id")  # at most `sample` rows
     x = np.stack(got["x"].to_numpy(zero_copy_only=False)) if got.num_rows else np.zeros((0, 2 * DIM + 3), np.float32)
     y = got["label"].to_numpy()
     held = got["doc_id"].to_numpy() // 3 % 5 == 0 if got.num_rows else np.zeros(0, bool)

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kvlake.llm import graph_ann, jaccard_join, link_trust, packing, pieces, pretokens, quality, sharding, token_counts, topk_nra, toxicity
 
@@ -292,3 +293,20 @@ def test_one_row_per_component(spark):
     assert kept.columns == docs.columns
     assert rows == [(-1, "other words in here now"), (3, "A b c d e"), (7, "quite another text of it"), (7, "two texts of one id"), (9, ""), (9, "")]
     assert jaccard_join.one_row_per_component(docs.limit(0)).count() == 0
+
+
+def test_fits_take_one_row_of_a_labelled_id(spark, monkeypatch):
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice(["w1", "w2", "w3", "w4"]) for _ in range(20))
+    rows = [(1, text()) for _ in range(300)] + [(i, text()) for i in range(2, 101) for _ in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 101)], "doc_id long, quality int, toxic int")
+    assert quality.fit(docs, labels, F.lit(True), 100)[1].constant is None
+    seen, calibrate = [], toxicity.Models.calibrate
+    monkeypatch.setattr(toxicity.Models, "calibrate", lambda self, x, y: (seen.append(len(x)), calibrate(self, x, y)))
+    toxicity.fit(docs, labels, F.lit(True), 100)
+    held = spark.range(1, 101).where("pmod(xxhash64(id), 4) = 0").count()
+    assert seen == [held]
+    for target in ("quality", "toxic"):
+        got = {r["doc_id"]: r["text"] for r in quality.labelled_texts(docs, labels, target, F.lit(True), 100).collect()}
+        assert got == {i: max(t for k, t in rows if k == i) for i in range(1, 101)}

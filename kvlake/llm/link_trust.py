@@ -9,8 +9,8 @@ from .common import stored
 
 #: Fixed values: (host, start of the path, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Share of its weight that a host passes on, and steps of spreading.
-DAMPING, STEPS = 0.85, 6
+#: Share of its weight that a host passes on, steps of spreading between looks at the scores, and the share of a host's score by which it may still grow over these steps at the end.
+DAMPING, STEPS, TOLERANCE = 0.85, 3, 1e-6
 
 
 def _after_scheme(url: Column) -> Column:
@@ -41,15 +41,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(kind, host, score): personalised PageRank of each kind from its seeds (kind, host, weight), over edges (kind, src, dst, weight) with weights of a source summing to 1. Weight without out-links is lost, which lowers all scores of a kind alike."""
+    """(kind, host, score): personalised PageRank of each kind from its seeds (kind, host, weight), over edges (kind, src, dst, weight) with weights of a source summing to 1. Weight without out-links is lost, which lowers all scores of a kind alike.
+
+    Scores only grow from step to step. Steps go on until over STEPS of them no host is newly reached and
+    no score grows by more than TOLERANCE of itself.
+    """
     start = seeds.select("kind", "host", ((1 - DAMPING) * F.col("weight")).alias("score"))
     score = start
-    for step in range(STEPS):
-        moved = score.join(edges, (score["kind"] == edges["kind"]) & (score["host"] == edges["src"])).select(score["kind"], F.col("dst").alias("host"), (DAMPING * F.col("score") * F.col("weight")).alias("score"))
-        score = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if step % 3 == 2:
-            score = stored(score)
-    return score
+    while True:
+        before = score.select(F.col("kind").alias("b_kind"), F.col("host").alias("b_host"), F.col("score").alias("b_score"))
+        for _ in range(STEPS):
+            moved = score.join(edges, (score["kind"] == edges["kind"]) & (score["host"] == edges["src"])).select(score["kind"], F.col("dst").alias("host"), (DAMPING * F.col("score") * F.col("weight")).alias("score"))
+            score = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        score = stored(score)
+        met = score.join(before, (score["kind"] == before["b_kind"]) & (score["host"] == before["b_host"]), "left")
+        if met.where(F.col("b_score").isNull() | (F.col("score") - F.col("b_score") > TOLERANCE * F.col("score"))).isEmpty():
+            return score
 
 
 def judged(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:

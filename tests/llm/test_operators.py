@@ -310,3 +310,24 @@ def test_fits_take_one_row_of_a_labelled_id(spark, monkeypatch):
     for target in ("quality", "toxic"):
         got = {r["doc_id"]: r["text"] for r in quality.labelled_texts(docs, labels, target, F.lit(True), 100).collect()}
         assert got == {i: max(t for k, t in rows if k == i) for i in range(1, 101)}
+
+
+def test_distrust_over_a_long_chain(spark):
+    link = '<a href="http://{}/x">x</a>'
+    hosts = [f"h{k}.zz" for k in range(10)] + ["bad.org"]
+    pages = [(k, f"http://{h}/", link.format(hosts[k + 1])) for k, h in enumerate(hosts[:-1])] + [(10, "http://bad.org/es/1", None), (11, "http://alone.zz/", None)]
+    got = {r["page_id"]: r["verdict"] for r in link_trust.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: "block" for k in range(11)} | {11: "allow"}
+
+
+def test_trust_scores_converge(spark):
+    # a cycle of nine hosts with some chords, against the exact solution
+    links = [(a, (a + 1) % 9) for a in range(9)] + [(0, 4), (2, 7), (7, 3)]
+    m = np.zeros((9, 9))
+    for a, b in links:
+        m[b, a] = 1 / sum(x == a for x, _ in links)
+    edges = spark.createDataFrame([("allow", f"h{a}", f"h{b}", float(m[b, a])) for a, b in links], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("allow", "h0", 1.0)], "kind string, host string, weight double")
+    want = np.linalg.solve(np.eye(9) - link_trust.DAMPING * m, (1 - link_trust.DAMPING) * np.eye(9)[0])
+    got = {r["host"]: r["score"] for r in link_trust._spread(edges, seeds).collect()}
+    assert len(got) == 9 and all(abs(got[f"h{k}"] / want[k] - 1) < 1e-5 for k in range(9))

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,3 +332,17 @@ def test_trust_scores_converge(spark):
     want = np.linalg.solve(np.eye(9) - link_trust.DAMPING * m, (1 - link_trust.DAMPING) * np.eye(9)[0])
     got = {r["host"]: r["score"] for r in link_trust._spread(edges, seeds).collect()}
     assert len(got) == 9 and all(abs(got[f"h{k}"] / want[k] - 1) < 1e-5 for k in range(9))
+
+
+def test_no_telling_word_is_cut_by_rank(spark):
+    # 70,000 words in seven ordinary contexts each, and a toxic one in five
+    rng = random.Random(11)
+    many = [f"o{k}" for k in range(70_000)]
+    fitted = [r["id"] for r in spark.range(1, 200).where("pmod(xxhash64(id), 4) != 0").limit(12).collect()]
+    rows = [(i, " ".join(rng.sample(many, len(many)))) for i in fitted[:7]] + [(i, f"o{k} vile") for k, i in enumerate(fitted[7:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(k >= 7)) for k, i in enumerate(fitted)], "doc_id long, toxic int")
+    models = toxicity.fit(docs, labels, F.lit(True))
+    assert len(models.word) > 69_900
+    (_, w, _), = toxicity._words([pa.record_batch({"text": pa.array(["vile"])})])
+    assert w[0] in models.word

@@ -346,3 +346,9 @@ def test_no_telling_word_is_cut_by_rank(spark):
     assert len(models.word) > 69_900
     (_, w, _), = toxicity._words([pa.record_batch({"text": pa.array(["vile"])})])
     assert w[0] in models.word
+
+
+def test_quality_features():
+    vectors = np.ones((quality.BUCKETS, quality.DIM), np.float32)
+    assert (quality.index_vectors() != 0).sum(1).tolist() == [quality.ENTRIES] * quality.BUCKETS
+    assert quality.pooled(vectors, np.array([1, 2]), np.array([0, 0]), 1).shape == (1, 2 * 32 + 3)

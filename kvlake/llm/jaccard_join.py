@@ -4,11 +4,17 @@ Every document becomes the set of hashes of its word shingles. Under any one tot
 shingles, two sets of Jaccard similarity s or more share a shingle among the first
 n - ceil(s * n) + 1 of each, the prefix; the order used here puts shingles that occur often last.
 Documents with the same prefix and set size form one group, documents with the same set one class.
-Groups meet over their prefix shingles. In each meeting only the pairs with the shingle's first group
-are formed and verified first, in large meetings those with some more groups too; what these links
-join needs no further pair. All other pairs of groups that still lie in different components are then
-formed, filtered by size and by their number of common prefix shingles, expanded to their members,
-and verified exactly on the full sets.
+Groups meet over their prefix shingles.
+
+Each class has a bitmap: the parity of its shingles in each of 512 buckets. Two bitmaps differ in at
+most as many bits as the sets differ in shingles, so most pairs that cannot link are refused by bit
+counts, inside the join that would form them. A group keeps one member's bitmap and the greatest
+distance of the others from it, which bounds all pairs of members of two groups.
+
+First each group is verified with the least group of each of its shingles, then groups in large
+meetings with a few others; what these links join needs no further pair. All pairs of groups that
+still lie in different components and pass the bounds of size, position and bitmap are then expanded
+to their members and verified exactly on the full sets.
 
 The result is exact (up to collisions of 64-bit hashes): every link of two different sets is either
 verified or inside a component that verified links already join.
@@ -20,7 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -31,25 +37,23 @@ FREQUENT, TOLD = 12, 1 << 20
 #: Shingles that a task counts at once, and about so many that one block of the hash space gets.
 RUN, PER_BLOCK = 1 << 20, 1 << 20
 NO_ID = -(1 << 63)
-#: Groups at a shingle's meeting from which on it is large, the groups that each of a large one is first verified with, and rounds of that.
-LARGE, CENTRES, ROUNDS = 16, 8, 1
-
+#: Groups at a shingle's meeting from which on it is large, the groups that each of a large one is first verified with, and rounds of that at most.
+LARGE, CENTRES, ROUNDS = 16, 8, 2
+#: A bitmap's columns, 64 bits each.
+BITS = [f"b{k}" for k in range(8)]
 
-def _extra(n):
-    """Shingles by which a prefix is longer than one common shingle asks for, plus 1; works on numbers and columns."""
-    return 1 + (F.floor(n / 100).cast("long") if isinstance(n, Column) else n // 100)
 
+def _need(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Shingles that two similar sets of these sizes have in common at least."""
+    both = F.lit(percent) * (n_a + n_b) + F.lit(99 + percent)
+    return ((both - both % (100 + percent)) / (100 + percent)).cast("long")
 
-def _enough(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
-    """Whether two sets with so many common prefix shingles can be similar.
 
-    Prefixes of n - ceil(s * n) + e shingles have at least the smaller e in common. And of the set whose
-    prefix ends first in the order, only its other ceil(s * n) - e shingles can be common besides.
-    """
-    need = F.ceil(percent * (n_a + n_b) / (100 + percent) - 1e-9).cast("long")
-    rest = lambda n: F.floor((percent * n + 99) / 100).cast("long") - _extra(n)
-    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return sizes & (common >= _extra(F.least(n_a, n_b))) & (common >= need - F.greatest(rest(n_a), rest(n_b)))
+def _near(a: str, b: str, percent: int, slack: Column | int = 0) -> Column:
+    """Whether sets with sizes a_n, b_n and bitmaps a_b0..., b_b0..., each known up to some bits (slack in all), can be similar."""
+    n_a, n_b = F.col(f"{a}_n"), F.col(f"{b}_n")
+    apart = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in BITS), F.lit(0))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart - slack <= n_a + n_b - 2 * _need(n_a, n_b, percent))
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -83,27 +87,47 @@ def _signature(s: np.ndarray) -> int:
     return int(words.mixed(np.array([np.bitwise_xor.reduce(words.mixed(s + k * words.M4)) + np.uint64(len(s))], np.uint64))[0] >> np.uint64(1))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's number of shingles in each bucket, as 64-bit numbers."""
+    odd = np.bincount((s & np.uint64(64 * len(BITS) - 1)).astype(np.int64), minlength=64 * len(BITS)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches, width: int):
     for batch in batches:
         for a, z in words.pieces(batch.column("text")):
             yield batch.column("doc_id").slice(a, z - a), shingle_sets(batch.column("text").slice(a, z - a), width)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Frequent shingles (their upper 48 bits), by document frequency. All documents count; equal sets that meet in one task count once. Only the order of shingles depends on it, never a result."""
+    """Frequent shingles (their upper 48 bits), by document frequency. All documents count; equal sets that meet in one run of a task count once. Only the order of shingles depends on it, never a result.
+
+    A run of a task counts its shingles first, so that one that is in all documents costs an entry a run.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, (size // 6 // PER_BLOCK).bit_length())
 
     def blocks(rows):
         kept, seen = [], set()
 
-        def packed():
-            x = np.sort(np.concatenate(kept)) >> np.uint64(16)
+        def counted():
+            x, n = np.unique(np.concatenate(kept) >> np.uint64(16), return_counts=True)
             block = x >> np.uint64(48 - bits)
             edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            out = [(int(block[a]), zlib.compress(np.diff(part, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)) for a, part in zip(edge, np.split(x, edge[1:]))]
+            parts = list(zip(block[edge].tolist(), np.split(x, edge[1:]), np.split(n, edge[1:])))
             kept.clear()
-            return pa.record_batch({"block": pa.array([k for k, _ in out], pa.int64()), "shingles": pa.array([b for _, b in out], pa.binary())})
+            return pa.record_batch({
+                "block": pa.array([k for k, _, _ in parts], pa.int64()), "shingles": pa.array([_packed(np.diff(part, prepend=np.uint64(0))) for _, part, _ in parts], pa.binary()),
+                "counts": pa.array([_packed(many) for _, _, many in parts], pa.binary()),
+            })
 
         size = 0
         for _, sets in _sets(rows, width):
@@ -113,21 +137,22 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
                     kept.append(s)
                     size += len(s)
             if size > RUN:
-                yield packed()
+                yield counted()
                 size = 0
                 seen.clear()
         if kept:
-            yield packed()
-
-    def count(group: pa.Table) -> pa.Table:
-        runs = [np.cumsum(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64) for b in group.column("shingles").to_pylist()]
-        x = np.sort(np.concatenate(runs))
-        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        n = np.diff(first, append=len(x))
+            yield counted()
+
+    def merged(group: pa.Table) -> pa.Table:
+        x = np.concatenate([np.cumsum(_unpacked(b), dtype=np.uint64) for b in group.column("shingles").to_pylist()])
+        n = np.concatenate([_unpacked(b) for b in group.column("counts").to_pylist()]).astype(np.int64)
+        by = np.argsort(x, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], x[by][1:] != x[by][:-1])))
+        x, n = x[by][first], np.add.reduceat(n[by], first)
         often = n >= FREQUENT
-        return pa.table({"shingle": pa.array(x[first[often]].astype(np.int64)), "n": pa.array(n[often].astype(np.int64))})
+        return pa.table({"shingle": pa.array(x[often].astype(np.int64)), "n": pa.array(n[often])})
 
-    counted = stored(docs.mapInArrow(blocks, "block long, shingles binary").groupBy("block").applyInArrow(count, "shingle long, n long"))
+    counted = stored(docs.mapInArrow(blocks, "block long, shingles binary, counts binary").groupBy("block").applyInArrow(merged, "shingle long, n long"))
     least, told = 1 << 62, 0
     for n, many in sorted(((r["n"], r["count"]) for r in counted.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()), reverse=True):
         if (told := told + many) > TOLD:
@@ -138,7 +163,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, told, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig, gid, prefix): the prefix only where a task meets the group for the first time."""
+    """(doc_id, n, sig, gid, prefix, bitmap columns): the prefix only where a task meets the group for the first time."""
 
     def run(rows):
         place = np.argsort(told.value)
@@ -153,17 +178,21 @@ def _prefixes(docs: DataFrame, told, width: int, percent: int) -> DataFrame:
                 if m and len(known):
                     short = s >> np.uint64(16)
                     at = np.minimum(np.searchsorted(known, short), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == short, place[at] + 1, 0), kind="stable")]
-                part = s[: m - (percent * m + 99) // 100 + _extra(m)] if m else s  # in the order
+                    ordered = s[np.argsort(np.where(known[at] == short, place[at] + 1, 0), kind="stable")]
+                else:
+                    ordered = s
+                part = ordered[: m - (percent * m + 99) // 100 + 1]
                 g = (_signature(np.sort(part)) * 31 + m) & (1 << 62) - 1 if m else -1
                 gid.append(g)
                 prefix.append(None if g in seen or not m else part.astype(np.int64))
                 seen.add(g)
                 if len(seen) > 1 << 20:
                     seen.clear()
-            yield pa.record_batch({"doc_id": ids, "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "gid": pa.array(gid, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
+            maps = np.stack([bitmap(s) for s in sets]) if sets else np.zeros((0, len(BITS)), np.int64)
+            columns = {"n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.int64()), "gid": pa.array(gid, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))}
+            yield pa.record_batch({"doc_id": ids} | columns | {b: pa.array(np.ascontiguousarray(maps[:, k])) for k, b in enumerate(BITS)})
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, gid long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig long, gid long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -218,53 +247,74 @@ def _extended(comp: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(old.union(top.join(comp, "node", "left_anti")))
 
 
-def _star(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes to verify first: a group's first class with the group's others, and with the first class of the first group of a shingle."""
-    heads = classes.groupBy("gid").agg(F.min("sig").alias("head"))
-    met = index.where("gid != leader").groupBy("leader", "gid").agg(F.count("*").alias("common"), F.first("leader_n").alias("leader_n"), F.first("n").alias("n"))
-    met = met.where(_enough(F.col("common"), F.col("leader_n"), F.col("n"), percent))
-    met = met.join(heads.select("gid", F.col("head").alias("b")), "gid").join(heads.select(F.col("gid").alias("leader"), F.col("head").alias("a")), "leader")
-    inner = classes.join(heads, "gid").where("sig != head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
-    return met.select("a", "b").union(inner).distinct()
+def _named(df: DataFrame, name: str, *rest: str) -> DataFrame:
+    """Size, bitmap and other columns of df as name_column."""
+    return df.select(*(F.col(c).alias(f"{name}_{c}") for c in ("n", *BITS, *rest)))
+
+
+def _grouped(classes: DataFrame) -> DataFrame:
+    """(gid, n, head, bitmap columns, reach) of each group: its first class, that one's bitmap, and how many bits those of its other classes are away at most."""
+    heads = classes.join(classes.groupBy("gid").agg(F.min("sig").alias("sig")), ["gid", "sig"], "left_semi").select("gid", "n", F.col("sig").alias("head"), *BITS)
+    away = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(b))) for b in BITS), F.lit(0))
+    reach = _named(classes, "x", "gid").join(heads, F.col("x_gid") == F.col("gid")).groupBy("gid").agg(F.max(away).alias("reach"))
+    return stored(heads.join(reach, "gid"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(token, gid, n, pos, lead): the places of prefix shingles that more than one group has, and the least group of each."""
+    index = rows.where("prefix IS NOT NULL").select("gid", "n", "prefix").dropDuplicates(["gid"]).select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = index.groupBy("token").agg(F.min("gid").alias("lead"), F.max("gid").alias("last")).where("lead < last").select("token", "lead")
+    return stored(index.join(tokens, "token").select("token", "gid", "n", "pos", "lead"))
+
 
+def _heads(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of first classes of the pairs (gid, gid_2) of groups, less those that cannot be similar."""
+    both = pairs.join(_named(groups, "x", "gid", "head"), F.col("gid") == F.col("x_gid")).join(_named(groups, "y", "gid", "head"), (F.col("gid_2") == F.col("y_gid")) & _near("x", "y", percent))
+    return both.select(F.least("x_head", "y_head").alias("a"), F.greatest("x_head", "y_head").alias("b"))
 
-def _mixed(index: DataFrame, classes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes with their components, groups with their least and greatest component, index rows of shingles whose groups lie in different components)."""
-    of = stored(classes.select("sig", "gid").join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "gid", F.coalesce("comp", "sig").alias("comp")))
-    pure = of.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    per_token = Window.partitionBy("token")
-    mixed = index.join(pure, "gid").withColumns({"from": F.min("low").over(per_token), "to": F.max("high").over(per_token), "groups": F.count("*").over(per_token)}).where("from < to")
-    return of, pure, stored(mixed.select("token", "gid", "n", "pos", "low", "high", "groups"))
 
+def _star(shared: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes to verify first: a group's first class with the group's others, and with the first class of the least group of each shingle."""
+    met = shared.where("gid != lead").select("gid", F.col("lead").alias("gid_2")).distinct()
+    inner = _named(classes, "x", "gid", "sig").join(_named(groups, "y", "gid", "head"), (F.col("x_gid") == F.col("y_gid")) & (F.col("x_sig") != F.col("y_head")) & _near("x", "y", percent))
+    return _heads(met, groups, percent).union(inner.select(F.least("x_sig", "y_head").alias("a"), F.greatest("x_sig", "y_head").alias("b"))).distinct()
 
-def _more_stars(mixed: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
+
+def _mixed(shared: DataFrame, groups: DataFrame, classes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes with their components, groups with their least and greatest component, the places of shingles whose groups lie in different components, with the number of those groups)."""
+    of = stored(classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")))
+    spread = stored(groups.join(of.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "gid"))
+    placed = shared.join(spread.select("gid", "low", "high"), "gid")
+    tokens = placed.groupBy("token").agg(F.min("low").alias("from"), F.max("high").alias("to"), F.count("*").alias("groups")).where("from < to").select("token", "groups")
+    return of, spread, stored(placed.join(tokens, "token").select("token", "gid", "n", "pos", "low", "high", "groups"))
+
+
+def _more_stars(mixed: DataFrame, spread: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of classes to verify before all pairs of a large meeting are formed: its groups with a few of them, the same ones in all meetings as far as they are in them."""
-    per_token = Window.partitionBy("token")
-    centre = lambda k: F.min(F.struct(F.xxhash64("gid", F.lit(turn * CENTRES + k)).alias("h"), "gid", "n", "low")).over(per_token)
-    large = stored(mixed.where(F.col("groups") >= LARGE).withColumns({f"c{k}": centre(k) for k in range(CENTRES)}))
+    large = mixed.where(F.col("groups") >= LARGE).select("token", "gid", "low")
+    turns = np.random.default_rng(turn).integers(1, 1 << 61, CENTRES).tolist()
+    centres = large.groupBy("token").agg(*(F.min(F.col("gid").bitwiseXOR(F.lit(x))).alias(f"c{k}") for k, x in enumerate(turns)))
+    met = stored(large.join(centres, "token"))
     pairs = None
-    for k in range(CENTRES):
-        c = large.where(f"gid != c{k}.gid AND low != c{k}.low AND 100 * least(n, c{k}.n) >= {percent} * greatest(n, c{k}.n)").select("gid", F.col(f"c{k}.gid").alias("gid_2"))
-        pairs = c if pairs is None else pairs.union(c)
-    heads = classes.groupBy("gid").agg(F.min("sig").alias("head"))
-    pairs = stored(pairs.distinct()).join(heads.select("gid", F.col("head").alias("a")), "gid").join(heads.select(F.col("gid").alias("gid_2"), F.col("head").alias("b")), "gid_2")
-    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _crossing(of: DataFrame, pure: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components whose groups have enough prefix shingles in common, or are one group."""
-    other = mixed.select("token", *(F.col(c).alias(f"{c}_2") for c in ("gid", "n", "pos", "low", "high")))
-    # for a pair's own sizes the first n - need + e shingles of each have e in common, so others of their prefixes form no pair
-    need = F.ceil(percent * (F.col("n") + F.col("n_2")) / (100 + percent) - 1e-9).cast("long")
-    extra = _extra(F.least("n", "n_2"))
-    early = (F.col("pos") < F.col("n") - need + extra) & (F.col("pos_2") < F.col("n_2") - need + extra)
-    pairs = mixed.join(other, "token").where(F.expr("gid < gid_2 AND least(low, low_2) < greatest(high, high_2)") & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")) & early)
-    pairs = pairs.groupBy("gid", "gid_2").agg(F.count("*").alias("common"), F.first(extra).alias("extra")).where("common >= extra").select("gid", "gid_2")
-    pairs = pairs.union(pure.where("low < high").select("gid", F.col("gid").alias("gid_2")))
-    a = of.select("gid", F.col("sig").alias("a"), F.col("comp").alias("comp_a"))
-    b = of.select(F.col("gid").alias("gid_2"), F.col("sig").alias("b"), F.col("comp").alias("comp_b"))
-    found = pairs.join(a, "gid").join(b, "gid_2").where("comp_a != comp_b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for k, x in enumerate(turns):
+        own = met.select("gid", F.col(f"c{k}").bitwiseXOR(F.lit(x)).alias("gid_2")).where("gid != gid_2")
+        pairs = own if pairs is None else pairs.union(own)
+    return _heads(pairs.distinct(), spread, percent).distinct()
+
+
+def _crossing(of: DataFrame, spread: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that the bounds of size, position and bitmap leave, of groups that share a prefix shingle or are one group."""
+    a = _named(mixed.join(spread.select("gid", "reach", *BITS), "gid"), "x", "token", "gid", "pos", "low", "high", "reach")
+    b = a.select(*(F.col(c).alias("y" + c[1:]) for c in a.columns))
+    # the first shingle that a pair has in common lies among the first n - need + 1 of both
+    need = _need(F.col("x_n"), F.col("y_n"), percent)
+    early = (F.col("x_pos") <= F.col("x_n") - need) & (F.col("y_pos") <= F.col("y_n") - need)
+    apart = F.expr("x_gid < y_gid AND least(x_low, y_low) < greatest(x_high, y_high)")
+    pairs = a.join(b, (F.col("x_token") == F.col("y_token")) & apart & early & _near("x", "y", percent, F.col("x_reach") + F.col("y_reach")))
+    pairs = pairs.select(F.col("x_gid").alias("gid"), F.col("y_gid").alias("gid_2")).distinct().union(spread.where("low < high").select("gid", F.col("gid").alias("gid_2")))
+    found = pairs.join(_named(of, "x", "gid", "sig", "comp"), F.col("gid") == F.col("x_gid"))
+    found = found.join(_named(of, "y", "gid", "sig", "comp"), (F.col("gid_2") == F.col("y_gid")) & (F.col("x_comp") != F.col("y_comp")) & _near("x", "y", percent))
+    return found.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -280,23 +330,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     docs = texts(docs)
     told = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
     rows = stored(_prefixes(docs, told, width, percent))
-    classes = stored(rows.where("n > 0").groupBy("sig", "gid", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("member")))
-    # a task tells of a group once, so a token's list has a row for each task at most before repeats go
-    index = rows.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "gid", "n").repartition("token").dropDuplicates(["token", "gid"])
-    per_token = Window.partitionBy("token")
-    lead = F.min(F.struct("gid", "n")).over(per_token)
-    index = stored(index.withColumns({"lead": lead, "last": F.max("gid").over(per_token)}).where("lead.gid < last").select("token", "gid", "n", "pos", F.col("lead.gid").alias("leader"), F.col("lead.n").alias("leader_n")))
-    first = stored(_star(index, classes, percent))
-    comp = components(stored(_verified(first, _full_sets(docs, classes, first, width), percent)))
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    of, pure, mixed = _mixed(index, classes, comp)
+    classes = stored(rows.where("n > 0").groupBy("sig", "gid", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("member"), *(F.max(b).alias(b) for b in BITS)))
+    groups, shared = _grouped(classes), _shared(rows)
+    tried = stored(_star(shared, groups, classes, percent))
+    comp = components(stored(_verified(tried, _full_sets(docs, classes, tried, width), percent)))
+    of, spread, mixed = _mixed(shared, groups, classes, comp)
     for turn in range(ROUNDS):
-        more = stored(_more_stars(mixed, classes, percent, turn).join(tried, ["a", "b"], "left_anti"))
+        more = stored(_more_stars(mixed, spread, percent, turn).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
         comp, tried = _extended(comp, _verified(more, _full_sets(docs, classes, more, width), percent)), tried.union(more)
-        of, pure, mixed = _mixed(index, classes, comp)
-    rest = stored(_crossing(of, pure, mixed, percent).join(tried, ["a", "b"], "left_anti"))
+        of, spread, mixed = _mixed(mixed.select("token", "gid", "n", "pos"), groups, classes, comp)
+    rest = stored(_crossing(of, spread, mixed, percent).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         comp = _extended(comp, _verified(rest, _full_sets(docs, classes, rest, width), percent))
     of = stored(classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least_id", F.coalesce("comp", "sig").alias("comp")))
@@ -304,14 +349,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     return rows.select("doc_id", "n", "sig").join(of, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_per_component(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of docs, unchanged, that no earlier row stands for: one of each component, that with the least doc_id, and once where that row is repeated. Rows with a null doc_id stay."""
-    kept = jaccard_components(docs, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.where("doc_id IS NOT NULL")
-    own = own.join(kept, own["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where("doc_id IS NULL"))
-
-
 def one_row_per_component(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """The rows of docs, unchanged, less those that another row stands for, by their texts alone: of each component one row stays, that with the least doc_id (a null is the largest).
 

@@ -1,15 +1,18 @@
-"""Encoding and decoding with a sentencepiece vocabulary, words of equal length together in numpy.
-
-All substrings of a batch of equal-length words are hashed at once and probed in the sorted keys of
-the vocabulary's pieces. Over these tables, `viterbi` finds each word's best-scoring path with
-vectorised maxima and stored backpointers, which is what a unigram vocabulary asks for. A BPE
-vocabulary's scores are merge ranks, for which the best sum is another segmentation than the
-library's; `merged` joins, in all words at once, the neighbours whose piece has the highest score,
-the leftmost of equals, until none is left, and so gives the library's ids.
+"""Encoding and decoding with a sentencepiece vocabulary by batched Viterbi in numpy.
+
+Distinct words of equal length advance together. All their substrings are hashed at once and probed in
+the sorted keys of the pieces; for each end, a vectorised maximum over the starts picks the last piece
+of the best path so far and stores it with its backpointer.
+
+The vocabularies served are BPE ones, whose scores are merge ranks: their best sum is another
+segmentation than the library's. So a step is worth nothing if merging would leave its piece and the
+one before as they are, and is refused if a merge would cross the border between them. Of a prefix
+exactly one path is left then, the library's. Models of other kinds are left to the library.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -18,31 +21,76 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from . import words
 from .common import texts
 
 BLANK = "▁"
 _find = regex.compile(f"{BLANK}+[^{BLANK}]*").findall
 #: Characters of the longest word that is segmented here; longer ones go to the library. Distinct words that a task remembers.
 LONGEST, REMEMBERED = 128, 1 << 18
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Table entries of a batch of words.
+CELLS = 1 << 18
+BASE = 0x9E3779B97F4A7C15
+#: Fixed value: how a model says that it is a BPE one.
+BPE = 2
+NEVER = np.int64(1 << 40)
+
+
+def _fields(message: bytes):
+    """(number, value) of a protocol buffer's fields: numbers as int, others as bytes."""
+
+    def number():
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = message[at]
+            at, out, shift = at + 1, out | (b & 127) << shift, shift + 7
+            if b < 128:
+                return out
+
+    at = 0
+    while at < len(message):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = number() if tag & 7 == 2 else 8 if tag & 7 == 1 else 4
+            yield tag >> 3, message[at : at + size]
+            at += size
 
 
 class Vocabulary:
     def __init__(self, path: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = dict(_fields(self.library.serialized_model_proto()))  # 2: trainer, 3: normaliser
+        trainer, normaliser = dict(_fields(model.get(2, b""))), dict(_fields(model.get(3, b"")))
+        self.kind = trainer.get(3)
         n = self.library.get_piece_size()
         names = [self.library.id_to_piece(k) for k in range(n)]
         self.bytes_at = {int(x[3:5], 16): k for k, x in enumerate(names) if self.library.is_byte(k)}
         plain = [k for k in range(n) if not (self.library.is_byte(k) or self.library.is_control(k) or self.library.is_unknown(k) or self.library.is_unused(k))]
-        self.widest = max(len(names[k]) for k in plain)
-        keys = np.array([self._hash(names[k]) for k in plain], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(plain, np.int32)[order]
-        self.scores = np.array([self.library.get_score(k) for k in plain], np.float32)[order]
-        #: No piece goes on beyond a word, so words can be encoded by themselves.
-        self.by_words = not any(BLANK in names[k].lstrip(BLANK) for k in plain)
         self.unknown = self.library.unk_id()
-        self.shown = [b"" if self.library.is_control(k) else bytes([int(x[3:5], 16)]) if self.library.is_byte(k) else " ⁇ ".encode() if k == self.unknown else x.replace(BLANK, " ").encode() for k, x in enumerate(names)]
+        #: Texts are taken as they are, blanks become the mark and one stands first, and no piece goes on beyond a word: words can be encoded by themselves. Else the library encodes whole texts.
+        own = {piece: dict(_fields(x)).get(3, 1) for piece, x in enumerate(v for f, v in _fields(self.library.serialized_model_proto()) if f == 1)}
+        plain_text = not normaliser.get(2, b"") and normaliser.get(3, 1) == 1 and normaliser.get(4, 1) == 0 and normaliser.get(5, 1) == 1
+        self.by_words = self.kind == BPE and plain_text and 4 not in own.values() and not any(BLANK in names[k].lstrip(BLANK) for k in plain)
+        shown = [b"" if self.library.is_control(k) else bytes([int(x[3:5], 16)]) if self.library.is_byte(k) else " ⁇ ".encode() if k == self.unknown else x.replace(BLANK, " ").encode() for k, x in enumerate(names)]
+        self.shown_size = np.array([len(x) for x in shown])
+        self.shown_at, self.shown = np.cumsum(self.shown_size) - self.shown_size, np.frombuffer(b"".join(shown), np.uint8)
+        # handles: pieces in the order of their keys, then characters that are no pieces, then any other character
+        chars = sorted({c for k in plain for c in names[k]} - {names[k] for k in plain})
+        all_names, self.widest = [names[k] for k in plain] + chars, max((len(names[k]) for k in plain), default=1)
+        hashes, order = np.array([self._hash(x) for x in all_names], np.uint64), np.arange(len(all_names))
+        order[: len(plain)] = np.argsort(hashes[: len(plain)])
+        self.key, self.pieces = np.append(hashes[order], np.uint64(1)), len(plain)
+        self.size = np.array([len(all_names[k]) for k in order] + [1])
+        self.power = np.array([pow(BASE, k, 1 << 64) for k in range(self.widest + 1)], np.uint64)
+        self.ids = np.array([plain[k] if k < len(plain) else -1 for k in order] + [-1], np.int64)
+        self.score = np.array([self.library.get_score(plain[k]) if k < len(plain) else 0.0 for k in order] + [0.0])
+        self.other = len(order)
+        if self.by_words:
+            self.rank = np.where(self.size > 1, np.argsort(np.argsort(-self.score, kind="stable"), kind="stable"), -1)
+            self.left, self.right = self._parts([all_names[k] for k in order])
 
     @staticmethod
     def _letters(points: np.ndarray) -> np.ndarray:
@@ -52,108 +100,159 @@ class Vocabulary:
     def _hash(self, text: str) -> int:
         h = 0
         for x in self._letters(np.frombuffer(text.encode("utf-32-le"), "<u4")).tolist():
-            h = (h * int(BASE) + x) % (1 << 64)
+            h = (h * BASE + x) % (1 << 64)
         return h
 
-    def _tables(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(score, place among the pieces) of each word's substrings by start and length - 1; -inf and -1 where it is no piece."""
-        n, size = len(words), len(words[0])
-        letters = self._letters(np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(n, size))
+    def _probe(self, hashes: np.ndarray) -> np.ndarray:
+        """Handles of the pieces with these hashes, -1 for none."""
+        if not self.pieces:
+            return np.full(hashes.shape, -1)
+        at = np.minimum(np.searchsorted(self.key[: self.pieces], hashes), self.pieces - 1)
+        return np.where(self.key[at] == hashes, at, -1)
+
+    def _parts(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Handles of the two parts that merging joins last to get each piece; -1 where it has one character or merging does not end at it."""
+        left, right = np.full(self.other + 1, -1), np.full(self.other + 1, -1)
+        single = {x: k for k, x in enumerate(names) if len(x) == 1}
+        for size in range(2, self.widest + 1):
+            own = np.flatnonzero(self.size[: self.pieces] == size)
+            if not len(own):
+                continue
+            seq = np.array([[single[c] for c in names[k]] for k in own])
+            live = np.arange(len(own))
+            while len(live) and seq.shape[1] > 1:
+                if seq.shape[1] == 2:
+                    done = self._joined(seq[:, 0], seq[:, 1]) == own[live]
+                    left[own[live[done]]], right[own[live[done]]] = seq[done, 0], seq[done, 1]
+                    break
+                new = self._joined(seq[:, :-1], seq[:, 1:])
+                pick = np.argmin(np.where(new >= 0, self.rank[new], NEVER), 1)
+                ok = new[np.arange(len(live)), pick] >= 0
+                live, seq, new, pick = live[ok], seq[ok], new[ok], pick[ok]
+                seq[np.arange(len(live)), pick] = new[np.arange(len(live)), pick]
+                column = np.arange(seq.shape[1] - 1)
+                seq = np.take_along_axis(seq, column + (column > pick[:, None]), 1)
+        return left, right
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Handles of the pieces that a and b make together, -1 for none."""
+        size = self.size[a] + self.size[b]
+        found = self._probe(self.key[a] * self.power[self.size[b]] + self.key[b])
+        return np.where((size <= self.widest) & (a != self.other) & (b != self.other), found, -1)
+
+    def legal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging the characters of a piece a and a piece b after it ends with these two.
+
+        Merges come in the order of their ranks. From the last one back, each side is taken apart at its
+        border; a merge crosses the border if some pair that stood there makes a piece of a better rank
+        than those by which its two members went into larger pieces, the leftmost of equals first.
+        """
+        out = np.ones(len(a), bool)
+        out &= ((self.left[a] >= 0) | (self.size[a] == 1)) & ((self.left[b] >= 0) | (self.size[b] == 1))
+        live = np.flatnonzero(out)
+        x, y = a[live], b[live]
+        over_x, over_y = np.full(len(live), NEVER), np.full(len(live), NEVER)
+        while len(live):
+            new = self._joined(x, y)
+            rank = self.rank[new]
+            crossed = (new >= 0) & (rank < over_x) & (rank <= over_y) & ((rank < NEVER) | (over_y < NEVER))
+            out[live[crossed]] = False
+            on = ~crossed & ((self.rank[x] >= 0) | (self.rank[y] >= 0))
+            live, x, y, over_x, over_y = live[on], x[on], y[on], over_x[on], over_y[on]
+            first = self.rank[x] > self.rank[y]
+            over_x, over_y = np.where(first, self.rank[x], over_x), np.where(first, over_y, self.rank[y])
+            x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+        return out
+
+    def _tables(self, some: list[str]) -> np.ndarray:
+        """The handle of each word's substrings by start and length - 1; -1 where it is no piece. All words have one length."""
+        n, size = len(some), len(some[0])
+        letters = self._letters(np.frombuffer("".join(some).encode("utf-32-le"), "<u4").reshape(n, size))
         wide = min(self.widest, size)
-        score, place = np.full((n, size, wide), -np.inf, np.float32), np.full((n, size, wide), -1, np.int32)
-        run = np.zeros((n, size), np.uint64)
+        place, run = np.full((n, size, wide), -1), np.zeros((n, size), np.uint64)
         for k in range(wide):
-            run = run[:, : size - k] * BASE + letters[:, k:]
-            at = np.minimum(np.searchsorted(self.keys, run), len(self.keys) - 1)
-            hit = self.keys[at] == run
-            score[:, : size - k, k] = np.where(hit, self.scores[at], -np.inf)
-            place[:, : size - k, k] = np.where(hit, self.ids[at], -1)
-        return score, place
-
-    def viterbi(self, words: list[str], unknown: float = -1e6) -> list[list[int]]:
-        """Starts of the pieces of the best-scoring path of each word; all words have one length."""
-        score, _ = self._tables(words)
-        n, size, wide = score.shape
-        best, back = np.full((n, size + 1), -np.inf, np.float64), np.zeros((n, size + 1), np.int32)
+            run = run[:, : size - k] * np.uint64(BASE) + letters[:, k:]
+            place[:, : size - k, k] = self._probe(run)
+        return place
+
+    def viterbi(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, end, handle) of the pieces of the best path of each word, in order. All words have one length."""
+        place = self._tables(some)
+        n, size, wide = place.shape
+        best, back, last = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int64), np.full((n, size + 1), self.other)
         best[:, 0] = 0
         for end in range(1, size + 1):
             start = np.arange(max(0, end - wide), end)
-            step = score[:, start, end - start - 1].astype(np.float64)
-            step[:, -1] = np.where(np.isfinite(step[:, -1]), step[:, -1], unknown)
-            total = best[:, start] + step
+            step = place[:, start, end - start - 1]
+            known = step >= 0
+            known[:, -1] = True  # a character without a piece stands alone
+            row, col = np.nonzero(known)
+            piece = step[row, col]
+            piece = np.where(piece < 0, self.other, piece)
+            before = last[row, start[col]]
+            inner = np.flatnonzero(start[col] > 0)
+            fits = (self.left[piece] >= 0) | (self.size[piece] == 1)
+            pairs, inverse = np.unique(before[inner] * (self.other + 1) + piece[inner], return_inverse=True)
+            fits[inner] &= self.legal(pairs // (self.other + 1), pairs % (self.other + 1))[inverse]
+            total = np.full(step.shape, -np.inf)
+            total[row, col] = np.where(fits, best[row, start[col]], -np.inf)
             pick = np.argmax(total, 1)
-            best[:, end], back[:, end] = total[np.arange(n), pick], start[pick]
-        out = []
-        for row in back.tolist():
-            at, path = size, []
-            while at:
-                at = row[at]
-                path.append(at)
-            out.append(path[::-1])
-        return out
-
-    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, number of pieces, piece tables) of each word; all words have one length."""
-        score, place = self._tables(words)
-        n, size, wide = score.shape
-        starts, count = np.tile(np.arange(size + 1, dtype=np.int32), (n, 1)), np.full(n, size)
-        live, own = np.arange(n), starts
-        pair = score[:, : size - 1, 1] if wide > 1 else np.full((n, 0), -np.inf)
-        while pair.shape[1]:
-            pick = np.argmax(pair, 1)
-            ok = np.isfinite(pair[np.arange(len(live)), pick])
-            if not ok.all():
-                starts[live[~ok], : own.shape[1]], count[live[~ok]] = own[~ok], own.shape[1] - 1
-                live, own, pair, pick = live[ok], own[ok], pair[ok], pick[ok]
-            if not len(live):
-                return starts, count, place
-            column = np.arange(own.shape[1] - 1)
-            own = np.take_along_axis(own, column + (column > pick[:, None]), 1)
-            pair = np.take_along_axis(pair, column[:-2] + (column[:-2] >= pick[:, None]), 1)
-            for side in (-1, 0):
-                k = pick + side
-                some = np.flatnonzero((k >= 0) & (k < pair.shape[1]))
-                a, length = own[some, k[some]], own[some, k[some] + 2] - own[some, k[some]]
-                pair[some, k[some]] = np.where(length <= wide, score[live[some], a, np.minimum(length, wide) - 1], -np.inf)
-        starts[live, : own.shape[1]], count[live] = own, own.shape[1] - 1
-        return starts, count, place
-
-    def encoded(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian 32-bit numbers."""
-        out: list[bytes] = [b""] * len(words)
+            own = np.arange(n)
+            best[:, end], back[:, end] = total[own, pick], start[pick]
+            last[:, end] = np.where(step[own, pick] < 0, self.other, step[own, pick])
+        used, at, live = np.zeros((n, size + 1), bool), np.full(n, size), np.arange(n)
+        while len(live):
+            used[live, at] = True
+            at = back[live, at]
+            live, at = live[at > 0], at[at > 0]
+        word, end = np.nonzero(used)
+        return word, end, last[word, end]
+
+    def encoded(self, some: list[str]) -> list[np.ndarray]:
+        """The ids of each word."""
+        out: list[np.ndarray] = [None] * len(some)  # type: ignore[list-item]
         by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
+        for k, w in enumerate(some):
             by_length.setdefault(len(w), []).append(k)
         for size, which in by_length.items():
             if size > LONGEST:
                 for k in which:
-                    out[k] = self.whole(words[k][1:])
+                    out[k] = self.whole(some[k][1:])
                 continue
-            for a in range(0, len(which), 1 + (1 << 18) // (size * min(size, self.widest))):
-                some = which[a : a + 1 + (1 << 18) // (size * min(size, self.widest))]
-                starts, count, place = self.merged([words[k] for k in some])
-                path, length = starts[:, :-1], starts[:, 1:] - starts[:, :-1]
-                used = np.arange(size) < count[:, None]
-                row = np.nonzero(used)[0]
-                ids = place[row, path[used], length[used] - 1]
-                raw, cut = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
-                for k, x, z in zip(some, [0, *cut], cut):
-                    out[k] = raw[x:z]
-                for r in np.unique(row[ids < 0]).tolist():  # a character without a piece is written as its bytes
-                    own = ids[row == r].tolist()
-                    own = [y for x, at in zip(own, starts[r].tolist()) for y in ([x] if x >= 0 else self._fallback(words[some[r]][at]))]
-                    out[some[r]] = np.array(own, "<u4").tobytes()
+            most = 1 + CELLS // (size * min(size, self.widest))
+            for a in range(0, len(which), most):
+                part = which[a : a + most]
+                word, end, handle = self.viterbi([some[k] for k in part])
+                ids = self.ids[handle]
+                cut = np.cumsum(np.bincount(word, minlength=len(part)))
+                for k, x in zip(part, np.split(ids.astype(np.uint32), cut[:-1])):
+                    out[k] = x
+                for r in np.unique(word[ids < 0]).tolist():  # a character without a piece is written as its bytes, or a run of such ones as unknown
+                    own: list[int] = []
+                    for x, z in zip(ids[word == r].tolist(), end[word == r].tolist()):
+                        more = [x] if x >= 0 else self._fallback(some[part[r]][z - 1])
+                        own += more if more != [self.unknown] or own[-1:] != more else []
+                    out[part[r]] = np.array(own, np.uint32)
         return out
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes_at[b] for b in char.encode()] if self.bytes_at else [self.unknown]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text), "<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text), np.uint32)
 
-    def decoded(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+    def decoded(self, ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(UTF-8 bytes of all texts, offsets): ids of texts of so many ids each, as bytes without the blank that stands first."""
+        size = self.shown_size[ids]
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        data = self.shown[np.repeat(self.shown_at[ids] - offsets[:-1], size) + np.arange(offsets[-1])]
+        offsets = offsets[np.concatenate(([0], np.cumsum(many)))]
+        full = offsets[:-1] < offsets[1:]
+        first = offsets[:-1][full]
+        drop = first[data[first] == ord(" ")]
+        gone = np.zeros(len(offsets), np.int64)
+        gone[1:] = np.cumsum(np.isin(offsets[:-1], drop) & full)
+        return np.delete(data, drop), offsets - gone
 
 
 @lru_cache(maxsize=2)
@@ -162,26 +261,75 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts, remembering words up to a bound."""
+    """Encodes texts, remembering words by their hashes up to a bound."""
 
     def __init__(self, path: str):
-        self.v, self.known = vocabulary(path), {}
-
-    def __call__(self, some: list[str]) -> list[bytes]:
+        self.v = vocabulary(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _known(self, distinct: np.ndarray, spell) -> np.ndarray:
+        """Places of words, by hash, in the tables; spell(which) gives the words of those not yet met."""
+        if len(self.keys) + len(distinct) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero((at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != distinct)) if len(self.keys) else np.arange(len(distinct))
+        if len(new):
+            ids = self.v.encoded(spell(new))
+            many = np.array([len(x) for x in ids])
+            at = np.searchsorted(self.keys, distinct[new])
+            self.keys, self.first, self.count = np.insert(self.keys, at, distinct[new]), np.insert(self.first, at, len(self.pool) + np.cumsum(many) - many), np.insert(self.count, at, many)
+            self.pool = np.concatenate([self.pool, *ids])
+        return np.searchsorted(self.keys, distinct)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        data, offsets = words.utf8(column)
+        size = np.diff(offsets)
+        apart = np.zeros(len(column), bool)  # texts that are not words with one blank between them
+        row_of = lambda at: np.searchsorted(offsets, at, side="right") - 1
+        if len(data) > 2:
+            apart[row_of(np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)))] = True
+        blank = data == 0x20
+        apart[row_of(np.flatnonzero(blank[:-1] & blank[1:]))] = True
+        full = np.flatnonzero(size)
+        apart[full] |= blank[offsets[full]] | blank[offsets[full + 1] - 1]
         if not self.v.by_words:
-            return [self.v.whole(t) for t in some]
-        split = [self._words(t) for t in some]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        self.known.update(zip(new, self.v.encoded(new)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if "  " in text or BLANK in text or text[:1] in ("", " "):
-            return _find(BLANK + text.replace(" ", BLANK)) if text else []
-        return (BLANK + text.replace(" ", " " + BLANK)).split(" ")
+            apart[:] = True
+        begins = np.zeros(len(data), bool)
+        begins[offsets[full]] = True
+        begins[1:] |= blank[:-1]
+        starts = np.flatnonzero(begins)
+        doc = row_of(starts)
+        starts, doc = starts[~apart[doc]], doc[~apart[doc]]
+        stops = np.flatnonzero(np.concatenate([blank, [True]]))
+        ends = np.minimum(stops[np.searchsorted(stops, starts)], offsets[doc + 1])
+        hashes = words.span_hashes(np.where(blank, np.uint64(0), words._values(False)[data]), starts) if len(starts) else np.zeros(0, np.uint64)
+        if len(starts) and apart.any():  # a span must not run on into a text that is left out
+            hashes = words.span_hashes(np.where(blank | np.repeat(apart, size), np.uint64(0), words._values(False)[data]), starts)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        spell = lambda new: [BLANK + data[a:z].tobytes().decode() for a, z in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+        at = self._known(distinct, spell)[inverse] if len(distinct) else np.zeros(0, np.int64)
+        place, many = self.first[at], self.count[at]
+        ids = self.pool[np.repeat(place - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        count = np.bincount(doc, many, len(column)).astype(np.int64)
+        odd = np.flatnonzero(apart)
+        if len(odd):
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for k in odd.tolist():
+                parts[k] = self._odd(data[offsets[k] : offsets[k + 1]].tobytes().decode())
+                count[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, count
+
+    def _odd(self, text: str) -> np.ndarray:
+        if not self.v.by_words or not text:
+            return self.v.whole(text)
+        own = _find(BLANK + text.replace(" ", BLANK))
+        distinct = sorted(set(own))
+        return np.concatenate([x for w in [dict(zip(distinct, self.v.encoded(distinct)))] for x in map(w.__getitem__, own)])
 
 
 @lru_cache(maxsize=2)
@@ -190,36 +338,26 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _some(batch, most: int = 1 << 19):
-    """The batch's texts, a few at a time."""
-    held, size = [], 0
-    for t in batch.column("text"):
-        held.append(t.as_py())
-        size += len(held[-1])
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids): the piece ids of each whole text of docs (doc_id, text), without begin or end, as the library gives them. An empty or null text has none; null ids and repeated rows are kept; other columns are ignored."""
+    """(doc_id, ids): the piece ids of each whole text of docs (doc_id, text), without begin or end, as the library gives them.
+
+    An empty or null text has none; null ids and repeated rows are kept; an empty table gives an empty
+    result; other columns are ignored. Models that are not BPE ones, change texts before
+    encoding, or have pieces beyond a word or of the user's own are left to the library, text by text.
+    """
 
     def run(batches):
         coder = encoder(path)
         for batch in batches:
-            at = 0
-            for some in _some(batch):
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder(some)]
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(at, len(some)), "ids": pa.array(ids, pa.list_(pa.int32()))})
-                at += len(some)
+            for a, z in words.pieces(batch.column("text")):
+                ids, many = coder(batch.column("text").slice(a, z - a))
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, z - a), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(ids.astype(np.int32)))})
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids): the inverse of encode but for what the vocabulary cannot tell apart (U+2581 and blank). Null ids give a null text, ids outside the vocabulary count as unknown."""
+    """(doc_id, text) of rows (doc_id, ids): the inverse of encode but for what the vocabulary cannot tell apart (U+2581 and blank). Null ids give a null text, ids outside the vocabulary count as unknown; bytes that are no UTF-8 become U+FFFD; an empty table gives an empty result; null doc_ids and repeated rows are kept; other columns are ignored."""
 
     def run(batches):
         v = vocabulary(path)
@@ -230,27 +368,35 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
                     out.append(None)
                     continue
                 ids = np.array([v.unknown if k is None else k for k in x], np.int64)
-                out.append(v.decoded(np.where((ids < 0) | (ids >= len(v.shown)), v.unknown, ids)))
+                data, _ = v.decoded(np.where((ids < 0) | (ids >= len(v.shown_size)), v.unknown, ids), np.array([len(ids)]))
+                out.append(data.tobytes().decode("utf-8", "replace"))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array(out, pa.string())})
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, decoded_crc32, round_trip): encode and decode of each text in one pass, as numbers; crc32 over ids as little-endian 32-bit numbers and over the decoded text's UTF-8."""
-    import zlib
+    """(doc_id, n_pieces, ids_crc32, decoded_crc32, round_trip): encode and decode of each whole text in one pass, as numbers.
+
+    crc32 over ids as little-endian 32-bit numbers and over the decoded text's UTF-8; round_trip is whether
+    decoding gives the text. An empty or null text has no pieces, crc32 0 and a round trip; null ids and
+    repeated rows are kept; an empty table gives an empty result; other columns are ignored.
+    """
 
     def run(batches):
         coder = encoder(path)
         for batch in batches:
-            at = 0
-            for some in _some(batch):
-                ids = coder(some)
-                back = [coder.v.decoded(np.frombuffer(x, "<u4")) for x in ids]
+            for a, z in words.pieces(batch.column("text")):
+                part = batch.column("text").slice(a, z - a)
+                ids, many = coder(part)
+                back, at = coder.v.decoded(ids, many)
+                data, offsets = words.utf8(part)
+                raw, cut = memoryview(ids.astype("<u4").tobytes()), 4 * np.concatenate(([0], np.cumsum(many)))
+                texts_, backs, at, offsets, cut = memoryview(data.tobytes()), memoryview(back.tobytes()), at.tolist(), offsets.tolist(), cut.tolist()
+                rows = range(z - a)
                 yield pa.record_batch({
-                    "doc_id": batch.column("doc_id").slice(at, len(some)), "n_pieces": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    "decoded_crc32": pa.array([zlib.crc32(x.encode()) for x in back], pa.int64()), "round_trip": pa.array([x == t for x, t in zip(back, some)], pa.bool_()),
+                    "doc_id": batch.column("doc_id").slice(a, z - a), "n_pieces": pa.array(many, pa.int64()), "ids_crc32": pa.array([zlib.crc32(raw[cut[k] : cut[k + 1]]) for k in rows], pa.int64()),
+                    "decoded_crc32": pa.array([zlib.crc32(backs[at[k] : at[k + 1]]) for k in rows], pa.int64()), "round_trip": pa.array([backs[at[k] : at[k + 1]] == texts_[offsets[k] : offsets[k + 1]] for k in rows], pa.bool_()),
                 })
-                at += len(some)
 
     return texts(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import block_of, dealt, usable
+from .vectors import block_of, dealt, matrix, usable
 
-SHARD, BLOCK = 2048, 1024
+#: Components of the largest shard (16,384 rows of 64), queries of a block.
+COMPONENTS, BLOCK = 1 << 20, 512
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +95,17 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, beam: int = 64) -> D
     """(query_id, rank, vec_id, score): each query's k nearest rows found by largest cosine, in double precision.
 
     Queries are the rows whose vec_id `every` divides, candidates all rows but the query's own. Rows are
-    dealt to shards of about SHARD by hash; a task links one shard's distinct directions to a graph and
+    dealt to shards by hash; a task links one shard's distinct directions to a graph and
     searches it with blocks of queries; the shards' best are merged. Equal directions are one node of the
     graph and share its score; ties go to the smaller vec_id. Null, zero or non-finite vectors and null
     ids take no part; rows of another length than the query's are no candidates; repeated rows count as
-    rows with one id, of which a query leaves out all with its own; other columns are ignored.
+    rows with one id, of which a query leaves out all with its own, and of which the largest vector asks;
+    an empty table gives an empty result; other columns are ignored.
     """
-    rows, blocks = dealt(usable(vectors, zero=False), SHARD, every, BLOCK)
+    rows, blocks = dealt(usable(vectors, zero=False), every, BLOCK, COMPONENTS)
 
     def index(group: pa.Table) -> pa.Table:
-        v = np.array(group.column("v").to_pylist(), np.float64)
+        v = matrix(group.column("v"), len(group.column("v")[0]))
         ids = group.column("vec_id").to_numpy()
         unit = v / np.abs(v).max(1, keepdims=True)
         unit /= np.sqrt((unit * unit).sum(1, keepdims=True))

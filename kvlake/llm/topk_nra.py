@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import block_of, dealt, usable
+from .vectors import block_of, dealt, matrix, usable
 
-SHARD, BLOCK, SCALE = 4096, 256, 1024
+#: Components of the largest shard (32 MB of numbers), queries of a block, parts in which a list is read.
+COMPONENTS, BLOCK, SCALE, STRETCHES = 1 << 22, 256, 1024, 8
 
 
 def whole_numbers(v: np.ndarray) -> np.ndarray:
@@ -21,71 +22,98 @@ def whole_numbers(v: np.ndarray) -> np.ndarray:
     return np.array([[int(SCALE * y) if abs(y) > 2**52 else int(np.floor(SCALE * y)) for y in row] for row in v.tolist()], object).reshape(v.shape)
 
 
-def nra(x: np.ndarray, values: np.ndarray, place: np.ndarray, q: np.ndarray, k: int):
-    """For each row of q, rows of x that hold its k best inner products, ties included; others may be among them.
-
-    values[d]: the components d of x in ascending order, the sorted list; place[:, d]: each row's position
-    there. All lists are read in stretches from both ends, once for all of q; a query uses of each list
-    the end that gives the larger products. A row's score is at least what the lists have shown of it plus
-    the least that the others can still give, and at most that plus their frontiers. A query stops when no
-    row outside the k with the best lower bounds can qualify but a few, which are kept.
-    """
-    n = len(x)
-    if n <= k:
-        return [np.arange(n)] * len(q)
-    low, high = values[:, 0], values[:, -1]
-    found: list = [None] * len(q)
-    open_, depth, step = np.arange(len(q)), 0, max(16, n // 8)
-    while len(open_):
-        depth, step = min(n, depth + step), step * 2
-        top, bottom = place >= n - depth, place < depth
-        above, below = values[:, n - depth], values[:, depth - 1]  # frontiers
-        up, down = np.maximum(q[open_], 0), np.minimum(q[open_], 0)
-        at_least = (up @ low + down @ high)[:, None] + up @ np.where(top, x - low, 0).T + down @ np.where(bottom, x - high, 0).T
-        kth = np.partition(at_least, n - k, axis=1)[:, n - k]
-        at_most = (up @ above + down @ below)[:, None] + up @ np.where(top, x - above, 0).T + down @ np.where(bottom, x - below, 0).T
-        can = at_most >= kth[:, None]
-        done = can.sum(1) <= max(4 * k, n // 16) if depth < n else np.full(len(open_), True)
-        for i in np.flatnonzero(done):
-            found[open_[i]] = np.flatnonzero(can[i])
-        open_ = open_[~done]
-    return found
+class Lists:
+    """A shard's sorted lists: for each dimension the components in ascending order, and whose they are."""
+
+    def __init__(self, x: np.ndarray):
+        self.rows = np.ascontiguousarray(np.argsort(x, 0, kind="stable").T)
+        self.values = np.take_along_axis(x.T, self.rows, 1).astype(np.float64)
+        self.n = len(x)
+
+    def best(self, q: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+        """(rows among which the k largest inner products with q are, ties included; entries read).
+
+        Lists are read from the end that gives the larger products. A row's lower bound is the sum of
+        what has been read of it and of the least that its other components can give; every entry read
+        raises it. Its upper bound has the frontiers of the lists where it has not been read instead. The
+        list read on next is the one whose frontier is furthest from its end. At looks ever closer to the
+        end, rows whose upper bound is below the k-th lower bound are out; reading stops when no more than
+        2 * k rows can qualify, or at the ends of all lists.
+        """
+        n, dims = self.n, len(self.rows)
+        if n <= k:
+            return np.arange(n), 0
+        step = max(16, -(-n // STRETCHES))
+        up = q >= 0
+        worst = np.where(up, q * self.values[:, 0], q * self.values[:, -1])
+        frontier = np.where(up, q * self.values[:, -1], q * self.values[:, 0])
+        low, seen, depth = np.full(n, worst.sum()), np.zeros((dims, n), bool), np.zeros(dims, np.int64)
+        open_, alive, inside, next_look = frontier - worst, np.arange(n), None, (frontier - worst).sum() / 2
+        rest, read = open_.sum(), 0
+        while True:
+            d = int(np.argmax(open_))
+            if open_[d] <= 0:  # what is left of all lists gives each row the same
+                return alive[low[alive] >= np.partition(low[alive], len(alive) - k)[len(alive) - k]], read
+            a, b = int(depth[d]), min(n, int(depth[d]) + step)
+            part = slice(n - b, n - a) if up[d] else slice(a, b)
+            rows, values = self.rows[d, part], self.values[d, part]
+            end = 0.0 if b == n else q[d] * (values[0] if up[d] else values[-1]) - worst[d]
+            if inside is not None:  # the others can't qualify any more
+                some = inside[rows]
+                rows, values = rows[some], values[some]
+            low[rows] += q[d] * values - worst[d]
+            seen[d][rows] = True
+            rest += end - open_[d]
+            depth[d], read, open_[d] = b, read + b - a, end
+            if rest > next_look:
+                continue
+            next_look = 0.8 * rest
+            kth = np.partition(low[alive], len(alive) - k)[len(alive) - k]
+            alive = alive[low[alive] + rest >= kth]
+            if len(alive) <= n // 4:
+                alive = alive[low[alive] + open_ @ ~seen[:, alive] >= kth]
+                inside = np.zeros(n, bool)
+                inside[alive] = True
+            if len(alive) <= 2 * k:
+                return alive, read
 
 
 def top_products(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products of floor(1024 * component), exact.
 
     Queries are the rows whose vec_id `every` divides, candidates all rows but the query's own. Rows are
-    dealt to shards of about SHARD; a task sorts its shard's lists, reads them once for a block of
-    queries, and resolves the final scores of the rows left; the shards' best are merged. Ties go to the
+    dealt to shards; a task sorts its shard's lists once and reads them for each query as far as bounds
+    ask, then resolves the final scores of the rows left; the shards' best are merged. Ties go to the
     smaller vec_id. Null or non-finite vectors and null ids take no part; rows of another length than the
-    query's are no candidates; repeated rows are candidates each; sums beyond 64 bits become the nearest
-    64-bit number; other columns are ignored.
+    query's are no candidates; repeated rows are candidates each; of a repeated id the largest vector
+    asks; sums beyond 64 bits become the nearest 64-bit number; an empty table gives an empty result;
+    other columns are ignored.
     """
-    rows, blocks = dealt(usable(vectors, zero=True), SHARD, every, BLOCK)
+    rows, blocks = dealt(usable(vectors, zero=True), every, BLOCK, COMPONENTS)
 
     def pack(group: pa.Table) -> pa.Table:
-        v = np.array(group.column("v").to_pylist(), "<f8")
+        v = matrix(group.column("v"), len(group.column("v")[0])).astype("<f8")
         return pa.table({"shard": group.column("shard")[:1], "own": pa.array([group.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "rows": pa.array([v.tobytes()], pa.binary())})
 
     packed = stored(rows.groupBy("shard").applyInArrow(pack, "shard struct<dim:int,part:int>, own binary, rows binary"))
 
     def find(batches):
+        held = None, None  # the shard met last, with its lists
         for batch in batches:
             for r in range(batch.num_rows):
-                own = np.frombuffer(batch.column("own")[r].as_py(), "<i8")
-                x = whole_numbers(np.frombuffer(batch.column("rows")[r].as_py(), "<f8").reshape(len(own), -1))
+                shard = batch.column("shard")[r].as_py()
+                if held[0] != shard:
+                    own = np.frombuffer(batch.column("own")[r].as_py(), "<i8")
+                    x = whole_numbers(np.frombuffer(batch.column("rows")[r].as_py(), "<f8").reshape(len(own), -1))
+                    repeats = np.unique(own, return_counts=True)
+                    held = shard, (own, x, Lists(x) if x.dtype != object else None, dict(zip(*(c[repeats[1] > 1] for c in repeats))))
+                own, x, lists, many = held[1]
                 names, q = block_of(batch, r)
                 q = whole_numbers(q)
-                plain = x.dtype != object and q.dtype != object and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**51
-                if plain:
-                    repeats = dict(zip(*np.unique(own, return_counts=True)))
-                    place = np.argsort(np.argsort(x, 0, kind="stable"), 0, kind="stable")
-                    rows_left = nra(x.astype(np.float64), np.sort(x, 0).T.astype(np.float64), place, q.astype(np.float64), k + max((int(repeats.get(i, 0)) for i in names.tolist()), default=0))
-                else:
-                    rows_left = [np.arange(len(own))] * len(names)
+                plain = lists is not None and q.dtype != object and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**51
                 out = []
-                for name, y, left in zip(names.tolist(), q, rows_left):
+                for name, y in zip(names.tolist(), q):
+                    left = lists.best(y.astype(np.float64), k + max(1, int(many.get(name, 1))))[0] if plain else np.arange(len(own))
                     left = left[own[left] != name]
                     score = (x[left] * y).sum(1)
                     best = np.lexsort((own[left], -score))[:k] if plain else sorted(range(len(left)), key=lambda i: (-score[i], own[left[i]]))[:k]  # noqa: B023

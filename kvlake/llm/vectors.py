@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: A shard's rows while a table has fewer than SPREAD shards of that size; larger tables get larger shards, up to a search's own number of components.
+SMALL, SPREAD = 2048, 64
+
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     """(vec_id, v array<double>, dim) of the rows that take part: no null vector, no null or non-finite component, at least one component; with zero=False no zero vector. A null vec_id takes no part."""
@@ -21,34 +22,36 @@ def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     return rows if zero else rows.where(F.exists("v", lambda x: x != 0))
 
 
-def dealt(rows: DataFrame, per_shard: int, every: int, per_block: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with `shard`, query blocks (shard, ids, vectors)): each shard has about per_shard rows of one dimension, and every shard gets every block of up to about per_block queries of its dimension, the rows whose id `every` divides.
+def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors of one length in a column, without making Python numbers of them."""
+    return np.concatenate([np.asarray(c.flatten()) for c in column.chunks] or [np.zeros(0)]).reshape(-1, dim)
+
 
-    The queries' number grows with the rows, so what tasks do in sum grows with both; no task holds more than a shard and a block.
+def dealt(rows: DataFrame, every: int, per_block: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with `shard`, query blocks (shard, ids, vectors) for every shard).
+
+    Rows of one length are dealt to shards of SMALL rows or more, but at most about `most` components; the
+    larger the shards, the fewer copies of the queries are sent. Copies and repeated ids are dealt apart.
+    Queries are the rows whose id `every` divides, of a repeated id the largest vector; they are packed in
+    blocks of about per_block and written once. The join by shard sends each shard every block of its
+    length, which is what a query set against all rows asks for; a task holds one shard and one block.
     """
-    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    shards = {d: max(1, math.ceil(n / per_shard)) for d, n in counts.items()}
-    number = F.lit(1)
-    for d, n in shards.items():
-        number = F.when(F.col("dim") == d, n).otherwise(number)
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    spread = rows.withColumn("shard", F.struct("dim", deal(number).alias("part")))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    blocks = {d: max(1, math.ceil(n / every / per_block)) for d, n in counts.items()}
-    number = F.lit(1)
-    for d, n in blocks.items():
-        number = F.when(F.col("dim") == d, n).otherwise(number)
+    size = F.greatest(F.lit(SMALL), F.least(F.ceil(F.col("n") / SPREAD), F.floor(F.lit(most) / F.col("dim"))))
+    counts = rows.groupBy("dim").agg(F.count("*").alias("n"))
+    counts = stored(counts.select("dim", F.ceil(F.col("n") / size).cast("int").alias("shards"), F.ceil(F.col("n") / (every * per_block)).cast("int").alias("blocks")))
+    few = F.broadcast(counts)  # n different lengths take n * n / 2 components at least, so even 10**13 of these have under five million rows here
+    part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("shards")).cast("int")
+    spread = rows.join(few, "dim").select("vec_id", "v", F.struct("dim", part.alias("part")).alias("shard"))
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))
+    asked = asked.join(few, "dim").withColumn("block", F.struct("dim", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("part")))
 
     def pack(group: pa.Table) -> pa.Table:
-        v = np.array(group.column("v").to_pylist(), "<f8")
-        return pa.table({"dim": group.column("dim")[:1], "ids": pa.array([group.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
-
-    packed = asked.withColumn("block", F.struct("dim", deal(number).alias("part"))).groupBy("block").applyInArrow(pack, "dim int, ids binary, vectors binary")
-    number = F.lit(1)
-    for d, n in shards.items():
-        number = F.when(F.col("dim") == d, n).otherwise(number)
-    each = packed.withColumn("part", F.explode(F.sequence(F.lit(0), number - 1))).select(F.struct("dim", "part").alias("shard"), "ids", "vectors")
-    return spread, stored(each)
+        dim = group.column("dim")[0].as_py()
+        return pa.table({"dim": group.column("dim")[:1], "ids": pa.array([group.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([matrix(group.column("v"), dim).astype("<f8").tobytes()], pa.binary())})
+
+    packed = stored(asked.groupBy("block").applyInArrow(pack, "dim int, ids binary, vectors binary"))
+    each = packed.join(few, "dim").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(F.struct("dim", "part").alias("shard"), "ids", "vectors")
+    return spread, each
 
 
 def block_of(batch, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -41,7 +41,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(kind, host, score): personalised PageRank of each kind from its seeds (kind, host, weight), over edges (kind, src, dst, weight) with weights of a source summing to 1. Weight without out-links is lost, which lowers all scores of a kind alike.
+    """(kind, host, score): personalised PageRank of each kind from its seeds (kind, host, weight), over edges (kind, src, dst, weight) with weights of a source summing to 1. Weight that reaches a host without out-links returns to the seeds, as if the walk began anew: each kind's scores sum to 1, so kinds can be compared.
 
     Scores only grow from step to step. Steps go on until over STEPS of them no host is newly reached and
     no score grows by more than TOLERANCE of itself.
@@ -56,7 +56,10 @@ def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         score = stored(score)
         met = score.join(before, (score["kind"] == before["b_kind"]) & (score["host"] == before["b_host"]), "left")
         if met.where(F.col("b_score").isNull() | (F.col("score") - F.col("b_score") > TOLERANCE * F.col("score"))).isEmpty():
-            return score
+            break
+    # restarts for the lost weight are spread like the first start, so they only scale a kind's scores
+    whole = score.groupBy("kind").agg(F.sum("score").alias("whole"))
+    return score.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("score") / F.col("whole")).alias("score"))  # two rows
 
 
 def judged(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
@@ -67,7 +70,9 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     those with pages that rules block; trust follows the links of pages (absolute href or src) from host
     to host, distrust runs against them. Hosts that neither reaches, and urls without a host, are allowed.
     Null or odd urls have empty host and path; a null page has no links; repeated rows are judged alike
-    and weigh each; other columns are ignored. The graph is of hosts, and all of it stays in Spark.
+    and weigh each; null ids are kept; an empty table gives an empty result; other columns are ignored.
+    The graph is of hosts, and all of it stays in Spark; pages meet blocked hosts in a join whose hot
+    hosts Spark can split, as a host is there once on one side.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)

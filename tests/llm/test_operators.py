@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kvlake.llm import graph_ann, jaccard_join, link_trust, packing, pieces, pretokens, quality, sharding, token_counts, topk_nra, toxicity
+from kvlake.llm import graph_ann, jaccard_join, link_trust, packing, pieces, pretokens, quality, sharding, token_counts, topk_nra, toxicity, words
+from kvlake.llm import vectors as vectors_
 
 P = pytest.importorskip("public_tokenizers")
 BPE, MODEL = P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
@@ -86,6 +87,42 @@ def test_pieces(spark):
     assert all(digest[i]["n_pieces"] == len(ids[i]) and digest[i]["ids_crc32"] == zlib.crc32(np.array(ids[i], "<u4").tobytes()) for i in ids)
 
 
+def test_pieces_of_a_unigram_model(tmp_path):
+    # the same pieces and scores, declared to be a unigram vocabulary, which is left to the library
+    def number(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    def message(fields):
+        return b"".join(number(f << 3 | (0 if isinstance(v, int) else 2)) + (number(v) if isinstance(v, int) else number(len(v)) + v) for f, v in fields)
+
+    model = []
+    for field, value in pieces._fields(pieces.vocabulary(MODEL).library.serialized_model_proto()):
+        if field == 2:
+            value = b"\x18\x01" + value + b"\x18\x01"  # the last value of a field counts
+        model.append((field, value))
+    path = str(tmp_path / "unigram.model")
+    (tmp_path / "unigram.model").write_bytes(message(model))
+    coder = pieces.Encoder(path)
+    assert not coder.v.by_words and pieces.vocabulary(MODEL).by_words
+    texts = [t or "" for t in mixed_texts(20)] + ["Some plain English sentences, and a few odd 数字 words."]
+    ids, many = coder(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [coder.v.library.encode(t) for t in texts]
+
+
+def test_legal_pairs_are_those_merging_leaves_alone():
+    v, rng = pieces.vocabulary(MODEL), np.random.default_rng(6)
+    plain = np.flatnonzero((v.size[: v.pieces] < 4) & (v.rank[: v.pieces] < 4000))
+    a, b = rng.choice(plain, 3000), rng.choice(plain, 3000)
+    name = lambda k: v.library.id_to_piece(int(v.ids[k]))
+    some = [k for k in range(3000) if name(a[k]).startswith("▁") and "▁" not in name(b[k])]
+    legal = v.legal(a, b)
+    assert all(legal[k] == (v.library.encode((name(a[k]) + name(b[k]))[1:]) == [v.ids[a[k]], v.ids[b[k]]]) for k in some)
+    assert 10 < sum(legal[k] for k in some) < len(some)
+
+
 def shingles(text, width):
     w = (text or "").encode().lower().split()
     return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
@@ -125,11 +162,33 @@ def test_jaccard_chains_and_odd_rows(spark):
     docs = documents(spark, ["a b c d e", "A b c d e", None, "other words in here now", "other words in here now"], [5, 3, 9, None, None])
     rows = sorted((r["doc_id"] or -1, r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect())
     assert rows == [(-1, None), (-1, None), (3, 3), (5, 3), (9, 9)]
-    kept = jaccard_join.one_per_component(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 3, 9]
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_large_group(spark):
+    # hundreds of near copies of one text, near the threshold to each other, in one large meeting
+    rng = random.Random(9)
+    base, copies = [f"b{k}" for k in range(90)], []
+    for _ in range(400):
+        w = base[:]
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        copies.append(" ".join(w))
+    want = brute_components(copies, 4, 85)
+    assert 10 < len({c for _, c in want.values()}) < 390
+    got = jaccard_join.jaccard_components(documents(spark, copies)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 50, 2000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+        apart = int(np.bitwise_count(jaccard_join.bitmap(x) ^ jaccard_join.bitmap(y)).sum())
+        assert 0 < apart <= len(np.setxor1d(x, y)) or not len(np.setxor1d(x, y))
+
+
 def test_shards(spark):
     texts = ["copy of one text"] * 400 + mixed_texts(100)
     rows = sharding.shard_by_bytes(documents(spark, texts)).collect()
@@ -176,7 +235,7 @@ def usable(rows, zero):
 
 
 def test_exact_top_products(spark, monkeypatch):
-    monkeypatch.setattr(topk_nra, "SHARD", 200)
+    monkeypatch.setattr(vectors_, "SMALL", 200)
     df, rows = vectors(spark)
     x = {i: [int(np.floor(1024 * c)) for c in v] for i, v in usable(rows, True).items()}
     want = set()
@@ -188,7 +247,7 @@ def test_exact_top_products(spark, monkeypatch):
 
 
 def test_graph_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(graph_ann, "SHARD", 300)
+    monkeypatch.setattr(vectors_, "SMALL", 300)
     df, rows = vectors(spark)
     x = usable(rows, False)
     cosine = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
@@ -322,16 +381,27 @@ def test_distrust_over_a_long_chain(spark):
 
 
 def test_trust_scores_converge(spark):
-    # a cycle of nine hosts with some chords, against the exact solution
-    links = [(a, (a + 1) % 9) for a in range(9)] + [(0, 4), (2, 7), (7, 3)]
-    m = np.zeros((9, 9))
-    for a, b in links:
-        m[b, a] = 1 / sum(x == a for x, _ in links)
-    edges = spark.createDataFrame([("allow", f"h{a}", f"h{b}", float(m[b, a])) for a, b in links], "kind string, src string, dst string, weight double")
-    seeds = spark.createDataFrame([("allow", "h0", 1.0)], "kind string, host string, weight double")
-    want = np.linalg.solve(np.eye(9) - link_trust.DAMPING * m, (1 - link_trust.DAMPING) * np.eye(9)[0])
-    got = {r["host"]: r["score"] for r in link_trust._spread(edges, seeds).collect()}
-    assert len(got) == 9 and all(abs(got[f"h{k}"] / want[k] - 1) < 1e-5 for k in range(9))
+    # random links of 30 hosts, some without out-links and one that many link to, against power iteration on the whole matrix
+    rng = np.random.default_rng(4)
+    links = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 24, 90), rng.integers(0, 30, 90)) if a != b} | {(a, 29) for a in range(12)})
+    seeds = {"allow": {0: 0.75, 3: 0.25}, "block": {5: 0.5, 29: 0.5}}
+    edges, want = [], {}
+    for kind in seeds:
+        m = np.zeros((30, 30))
+        for a, b in links if kind == "allow" else [(b, a) for a, b in links]:
+            m[b, a] += 1
+        m /= np.maximum(m.sum(0), 1)
+        edges += [(kind, f"h{a}", f"h{b}", float(m[b, a])) for b, a in zip(*np.nonzero(m))]
+        start = np.array([seeds[kind].get(h, 0.0) for h in range(30)])
+        x = start
+        for _ in range(400):
+            moved = link_trust.DAMPING * m @ x
+            x = moved + (1 - moved.sum()) * start
+        want |= {(kind, f"h{h}"): x[h] for h in np.flatnonzero(x)}
+    edges = spark.createDataFrame(edges, "kind string, src string, dst string, weight double")
+    rows = spark.createDataFrame([(k, f"h{h}", w) for k, own in seeds.items() for h, w in own.items()], "kind string, host string, weight double")
+    got = {(r["kind"], r["host"]): r["score"] for r in link_trust._spread(edges, rows).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] / want[k] - 1) < 1e-4 for k in want)
 
 
 def test_no_telling_word_is_cut_by_rank(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFF
@@ -71,16 +71,77 @@ def internal_key_hex(key: Column, seq: Column, kind: Column) -> Column:
     return F.concat(F.hex(key.cast("binary")), F.lpad(F.hex(kind), 2, "0"), fixed_hex(seq, 7))
 
 
+def fixed_value(hexed: Column, size: int) -> Column:
+    """The number that fixed_hex wrote; of eight bytes as DECIMAL(20,0), as it may not fit a BIGINT."""
+    back = F.conv(F.concat(*(F.substring(hexed, 2 * k + 1, 2) for k in reversed(range(size)))), 16, 10)
+    return back.cast("decimal(20,0)" if size > 7 else "bigint")
+
+
+def varint_value(hexed: Column) -> Column:
+    """The number that varint_hex wrote; null where bytes are missing or more than five."""
+    value, so_far = None, F.lit(0).cast("bigint")
+    for k in range(5):
+        b = _byte(hexed, k)
+        so_far = so_far + b.bitwiseAND(127) * (1 << 7 * k)
+        value = F.when(b < 128, so_far) if value is None else value.when(b < 128, so_far)
+    return value
+
+
+def internal_key_parts(hexed: Column) -> list[Column]:
+    """user_key, seq and type of what internal_key_hex wrote; empty, 0 and 0 of fewer than eight bytes."""
+    n = F.length(hexed)
+    whole = n >= 16
+    part = lambda at, many: F.substring(hexed, at, F.lit(many) if isinstance(many, int) else many)
+    key = F.decode(F.unhex(part(F.lit(1), n - 16)), "utf-8")
+    return [F.when(whole, key).otherwise("").alias("user_key"), F.when(whole, fixed_value(part(n - 13, 14), 7)).otherwise(0).alias("seq"), F.when(whole, _byte(part(n - 15, 2), 0).cast("int")).otherwise(0).alias("type")]
+
+
+#: Names of compression codes from 0, and how a status of each code from 0 begins.
+COMPRESSIONS = ("none", "snappy", "zstd")
+STATUSES = ("OK", "NotFound: ", "Corruption: ", "NotSupported: ", "InvalidArgument: ", "IOError: ")
+
+
+def _named(code: Column, names: tuple[str, ...], other: str) -> Column:
+    out = F.lit(other)
+    for k, name in enumerate(names):
+        out = F.when(code == k, name).otherwise(out)
+    return out
+
+
+def compression_name(code: Column) -> Column:
+    return _named(code, COMPRESSIONS, "unknown")
+
+
+def status_text(code: Column, message: Column) -> Column:
+    """A status as text: its code's name, then the message if there is one."""
+    return F.concat(_named(code, STATUSES, ""), F.coalesce(message, F.lit("")))
+
+
+def bits_per_key(p: float) -> int:
+    """A bloom filter's bits for each key, each intermediate value truncated."""
+    from math import log
+
+    return max(1, int(int(-log(p) / log(2) / log(2)) / log(2)))
+
+
 def bloom_parameters(n: int, p: float) -> tuple[int, int]:
     """(number of hashes, bits) with each intermediate value truncated."""
     from math import log
 
     bits = int(-log(p) / log(2) / log(2))
-    return min(30, max(1, int(bits * log(2)))), (n * max(1, int(bits / log(2))) // 8 + 1) * 8
+    return min(30, max(1, int(bits * log(2)))), (n * bits_per_key(p) // 8 + 1) * 8
 
 
-def bloom_positions(key: Column, n: int, p: float) -> Column:
-    """The key's bit positions: double hashing modulo 2**32 and then the filter's size."""
-    k, bits = bloom_parameters(n, p)
+def bloom_positions(key: Column, bits: Column | int, p: float) -> Column:
+    """The key's bit positions in a filter of so many bits: double hashing modulo 2**32 and then the filter's size."""
+    k = bloom_parameters(1, p)[0]
     pair = F.array(F.struct(murmur2(key, SEEDS[0]).alias("a"), murmur2(key, SEEDS[1]).alias("b")))
     return F.flatten(F.transform(pair, lambda h: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: _masked(h["a"] + i * h["b"]) % bits)))
+
+
+def bloom_probed(keys: DataFrame, members: DataFrame, p: float) -> DataFrame:
+    """(key, maybe): whether a filter of members (key) sized from their number may hold each key. The filter is the relation of its set bits, so its size is no limit."""
+    size = members.agg(((F.floor(F.greatest(F.count("*"), F.lit(1)) * bits_per_key(p) / 8) + 1) * 8).alias("bits"))
+    spread = lambda df: df.select("key").distinct().crossJoin(F.broadcast(size)).select("key", F.explode(bloom_positions(F.col("key"), F.col("bits"), p)).alias("pos"))  # noqa: E731  one row
+    bits = spread(members).select("pos", F.lit(True).alias("set")).distinct()
+    return spread(keys).join(bits, "pos", "left").groupBy("key").agg(F.bool_and(F.col("set").isNotNull()).alias("maybe"))

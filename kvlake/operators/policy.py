@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +30,43 @@ def needed_permission(method: Column) -> Column:
 def bucketed(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
     """(uid, allowed, denied) of a token bucket for each uid over whole seconds, ties by id.
 
-    A fold in time order over one user's requests; the array holds two numbers a request. For users with
-    more requests than a task can hold, streaming.state keeps the bucket as state instead.
+    Each decision depends on the one before, so a uid's requests pass one task in time order; they are
+    sorted by Spark, which spills, and streamed through: a task holds one bucket and one batch of rows.
     """
-    state = F.struct(F.lit(capacity).cast("double").alias("tokens"), F.lit(None).cast("long").alias("sec"), F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("denied"))
 
-    def step(s: Column, r: Column) -> Column:
-        tokens = F.least(F.lit(float(capacity)), s["tokens"] + F.greatest(F.lit(0), r["sec"] - F.coalesce(s["sec"], r["sec"])) * F.lit(float(rate)))
-        ok = tokens >= 1
-        return F.struct(F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), r["sec"].alias("sec"), (s["allowed"] + ok.cast("long")).alias("allowed"), (s["denied"] + (~ok).cast("long")).alias("denied"))
+    def fold(batches):
+        own, tokens, last, allowed, denied, out = (), 0.0, 0, 0, 0, []
+        for batch in batches:
+            for uid, sec in zip(batch.column("uid").to_pylist(), batch.column("sec").to_pylist()):
+                if own != (uid,):
+                    if own:
+                        out.append((*own, allowed, denied))
+                    own, tokens, last, allowed, denied = (uid,), float(capacity), sec, 0, 0
+                tokens, last = min(float(capacity), tokens + max(0, sec - last) * float(rate)), sec
+                if tokens >= 1:
+                    tokens, allowed = tokens - 1, allowed + 1
+                else:
+                    denied += 1
+            yield _bucket_rows(out)
+            out = []
+        yield _bucket_rows([(*own, allowed, denied)] if own else [])
+
+    rows = requests.select("uid", "sec", "id").where("sec IS NOT NULL").repartition("uid").sortWithinPartitions("uid", "sec", "id")
+    return rows.mapInArrow(fold, "uid long, allowed long, denied long")
+
+
+def _bucket_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("uid", "allowed", "denied"))})
+
+
+def limit_key(uid: Column, ip: Column) -> Column:
+    """The bucket a request falls under: its user's if known, or else its address's."""
+    return F.coalesce(F.concat(F.lit("rl:uid:"), uid.cast("string")), F.concat(F.lit("rl:ip:"), ip.cast("string")))
 
-    rows = requests.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("sec", "id"))).alias("rows"))
-    return rows.select("uid", F.aggregate("rows", state, step).alias("s")).select("uid", "s.allowed", "s.denied")
+
+def limit_states(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
+    """(key, last, expires) of the buckets of requests (uid, ip, sec): when each was last used, and when its state may go, after twice the seconds that filling takes."""
+    return requests.groupBy(limit_key(F.col("uid"), F.col("ip")).alias("key")).agg(F.max("sec").alias("last")).withColumn("expires", F.col("last") + math.ceil(capacity / rate) * 2)
 
 
 def permitted(requests: DataFrame, roles: DataFrame) -> DataFrame:
@@ -47,28 +76,52 @@ def permitted(requests: DataFrame, roles: DataFrame) -> DataFrame:
     return rows.join(held, ["role", "perm"], "left").where(F.col("perm").isNull() | F.col("held")).drop("held")
 
 
-def not_revoked(tokens: DataFrame, revoked: DataFrame, now: int) -> DataFrame:
-    return tokens.join(revoked.where(F.col("expires") > now), "jti", "left_anti")
-
-
-def verified_keys(plain: DataFrame, keys: DataFrame, users: DataFrame, now: int) -> DataFrame:
-    """Presented keys that hash to a stored key, neither revoked nor expired (null: never), of a user that exists."""
-    ok = keys.where(~F.col("revoked") & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
-    return plain.withColumn("hash", F.sha2("plain", 256)).join(ok, "hash").join(users, "user_id", "left_semi")
+def routed(requests: DataFrame, routes: list[tuple[str, str]]) -> DataFrame:
+    """Each request (path) with the target of the first route (prefix, target) whose prefix its path has, else 404. Routes are part of the plan, so nothing is shuffled and repeated rows stay."""
+    found = F.lit("404")
+    for prefix, target in reversed(routes):
+        found = F.when(F.col("path").startswith(prefix), target).otherwise(found)
+    return requests.withColumn("target", found)
 
 
-def routed(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """The first route (idx, prefix, target) whose prefix the path has, else 404; routes are few."""
-    best = requests.join(F.broadcast(routes), F.col("path").startswith(F.col("prefix")), "left").groupBy("id", "path").agg(F.min_by("target", "idx").alias("target"))
-    return best.withColumn("target", F.coalesce("target", F.lit("404")))
+def _pattern(pattern: str) -> str:
+    return "^" + "/".join("([^/]+)" if s.startswith(":") else re.sub(r"([^A-Za-z0-9_])", r"\\\1", s) for s in pattern.split("/")) + "$"
 
 
 def matched(requests: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """The first pattern that the path has, with :name for a segment; null if none. Patterns are part of the plan."""
-    found = F.lit(None).cast("string")
+    """Each request with the target of the first pattern that its path has, with :name for a segment, and params, what stood for the names; nulls if none. Patterns are part of the plan."""
+    found, params = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
     for pattern, target in reversed(patterns):
-        found = F.when(F.col("path").rlike("^" + "/".join("[^/]+" if s.startswith(":") else s for s in pattern.split("/")) + "$"), target).otherwise(found)
-    return requests.withColumn("target", found)
+        fits, names = F.col("path").rlike(_pattern(pattern)), [s[1:] for s in pattern.split("/") if s.startswith(":")]
+        own = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.regexp_extract("path", _pattern(pattern), k + 1)))).cast("map<string,string>")
+        found, params = F.when(fits, target).otherwise(found), F.when(fits, own).otherwise(params)
+    return requests.withColumns({"target": found, "params": params})
+
+
+def parsed_requests(raw: DataFrame) -> DataFrame:
+    """(method, path, query, version, headers, body, state) added to raw HTTP requests (raw).
+
+    The request line is split at its blanks and the target at its first ?. Headers are lines up to the
+    empty one, `name: value`, of a repeated name the last; the body has Content-Length characters.
+    state is ok, more (not all is there yet) or error (a header line without a colon).
+    """
+    head_end = F.instr("raw", "\r\n\r\n")
+    head = F.when(head_end > 0, F.substring(F.col("raw"), F.lit(1), head_end - 1))
+    lines = F.split(head, "\r\n")
+    line = lines[0]
+    target = F.split(line, " ", 3)[1]
+    at = F.instr(target, "?")
+    fields = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    entries = F.transform(fields, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.substring(x, F.instr(x, ":") + 2, F.length(x)).alias("v")))
+    last = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, k + 2, F.greatest(F.size(entries) - k - 1, F.lit(0))), lambda o: o["k"] == e["k"]))
+    out = raw.withColumns({"__line": line, "__target": target, "headers": F.map_from_entries(last)})
+    size = F.coalesce(F.expr("try_cast(headers['Content-Length'] AS int)"), F.lit(0))
+    body = F.substring(F.col("raw"), head_end + 4, F.length("raw"))
+    state = F.when(F.exists(fields, lambda x: F.instr(x, ":") == 0), "error").when(head_end == 0, "more").when(F.length(body) < size, "more").otherwise("ok")
+    return out.withColumns({
+        "method": F.split("__line", " ", 3)[0], "path": F.when(at > 0, F.substring(target, F.lit(1), at - 1)).otherwise(target), "query": F.when(at > 0, F.substring(target, at + 1, F.length(target))).otherwise(F.when(target.isNotNull(), "")),
+        "version": F.split("__line", " ", 3)[2], "body": F.when(state == "ok", F.substring(body, F.lit(1), size)), "state": state,
+    }).drop("__line", "__target")
 
 
 def smooth_weighted(weights: dict[str, int], n: int) -> list[str]:
@@ -97,16 +150,35 @@ def ring(nodes: DataFrame, points: int) -> DataFrame:
 def on_ring(keys: DataFrame, ring: DataFrame) -> DataFrame:
     """(key, node): the node of the first point at or after the key's hash, or else of the first point of all.
 
-    Arcs between neighbouring points are made by one window over the ring; keys and arcs meet on the
-    hash's upper bits, an arc once for each value of these that it touches, so neither side is broadcast.
+    Hashes are cut into 2**18 cells by their upper bits. A key looks for its point in its own cell, and
+    where none follows there, takes the first point of the next cell that has any; only that table of
+    cells, whose size is fixed, goes through one ordered window.
     """
-    bits = 22
-    arcs = ring.withColumn("from", F.lag("hash").over(Window.orderBy("hash")))
-    least = ring.agg(F.min_by("node", "hash").alias("first"))
-    arcs = arcs.withColumn("from", F.coalesce("from", F.lit(-1))).withColumn("cell", F.explode(F.sequence(F.shiftright(F.col("from") + 1, bits), F.shiftright("hash", bits))))
+    bits = 14
+    points = ring.withColumn("cell", F.shiftright("hash", bits))
+    arcs = points.withColumn("from", F.coalesce(F.lag("hash").over(Window.partitionBy("cell").orderBy("hash")), F.lit(-1)))
+    firsts = points.groupBy("cell").agg(F.min_by("node", "hash").alias("first"))
+    all_cells = keys.sparkSession.range(1 << 32 - bits).select(F.col("id").alias("cell")).join(firsts, "cell", "left")
+    after = F.last("first", ignorenulls=True).over(Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1))
+    least = firsts.agg(F.min_by("first", "cell").alias("least"))
+    following = all_cells.withColumn("next", after).select("cell", "next").crossJoin(F.broadcast(least)).select("cell", F.coalesce("next", "least").alias("next"))  # one row
     own = keys.select("key", murmur2(F.col("key"), 0).alias("h")).withColumn("cell", F.shiftright("h", bits))
-    met = own.join(arcs, (own["cell"] == arcs["cell"]) & (own["h"] > arcs["from"]) & (own["h"] <= arcs["hash"]), "left")
-    return met.crossJoin(F.broadcast(least)).select("key", F.coalesce("node", "first").alias("node"))  # one row
+    met = own.join(arcs.select("cell", "from", "hash", "node"), (own["cell"] == arcs["cell"]) & (own["h"] > arcs["from"]) & (own["h"] <= arcs["hash"]), "left").select("key", own["cell"], "node")
+    return met.join(following, "cell").select("key", F.coalesce("node", "next").alias("node"))
+
+
+def marked(upstreams: DataFrame, marks: DataFrame) -> DataFrame:
+    """Upstreams (host, port, healthy and others) after marks (mark_no, host, port, up): the last mark of each decides, unknown ones have no effect."""
+    last = marks.groupBy("host", "port").agg(F.max_by("up", "mark_no").alias("__up"))
+    return upstreams.join(last, ["host", "port"], "left").withColumn("healthy", F.coalesce("__up", "healthy")).select(*upstreams.columns)
+
+
+def next_upstreams(requests: DataFrame, upstreams: DataFrame) -> DataFrame:
+    """Requests (pool, n from 0) with the healthy upstream (pool, idx, host, port) that is next in turn in their pool; nulls where none is healthy."""
+    order = Window.partitionBy("pool").orderBy("idx")
+    up = upstreams.where("healthy").select("pool", "host", "port", (F.row_number().over(order) - 1).alias("turn"))
+    many = up.groupBy("pool").agg(F.count("*").alias("many"))
+    return requests.join(many, "pool", "left").withColumn("turn", F.col("n") % F.col("many")).join(up, ["pool", "turn"], "left").drop("turn", "many")
 
 
 def health(probes: DataFrame, down: int = 3, up: int = 2) -> DataFrame:
@@ -127,3 +199,8 @@ def backoff_ms(attempt: Column) -> Column:
 
 def retried(status: Column, method: Column) -> Column:
     return (method == "GET") & ((status >= 500) | (status == 429))
+
+
+def last_headers(headers: DataFrame) -> DataFrame:
+    """(id, header, value): of headers (id, pos, name, value) that repeat, whatever their case, the last one with a value."""
+    return headers.where("value IS NOT NULL").groupBy("id", F.lower("name").alias("header")).agg(F.max_by("value", "pos").alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import PUT
@@ -26,6 +26,11 @@ def get(log: DataFrame, key: str, snapshot: int | None = None) -> DataFrame:
     return live(log.where(F.col("user_key") == key), snapshot)
 
 
+def exact(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The very versions (user_key, seq, type) asked for, whatever came after them."""
+    return log.join(keys.select("user_key", "seq", "type").distinct(), ["user_key", "seq", "type"], "left_semi")
+
+
 def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
     """(user_key, value) for each asked key; a null value is not found. The log is cut to asked keys before ranking."""
     asked = keys.select("user_key").distinct()
@@ -61,10 +66,15 @@ def merged(*layers: DataFrame) -> DataFrame:
 
 
 def frames(rows: DataFrame) -> DataFrame:
-    """Server-sent frames of key-value rows and the end frame with their count."""
-    data = rows.select(F.concat(F.lit("data: "), F.to_json(F.struct(F.col("user_key").alias("key"), "value"))).alias("frame"))
-    end = rows.agg(F.concat(F.lit('event: end\ndata: {"count":'), F.count("*").cast("string"), F.lit("}")).alias("frame"))
-    return data.unionAll(end)
+    """Server-sent frames of key-value rows in key order, and the end frame with their count; no rows are read twice but to count them."""
+    data = rows.select(F.lit(0).alias("part"), "user_key", F.concat(F.lit("data: "), F.to_json(F.struct(F.col("user_key").alias("key"), "value"))).alias("frame"))
+    end = rows.agg(F.lit(1).alias("part"), F.lit(None).cast("string").alias("user_key"), F.concat(F.lit('event: end\ndata: {"count":'), F.count("*").cast("string"), F.lit("}")).alias("frame"))
+    return data.unionAll(end).orderBy("part", "user_key").select("frame")
+
+
+def comparisons(a: Column, b: Column) -> dict[str, Column]:
+    """The six comparisons of two byte strings, in byte order."""
+    return {"eq": a == b, "ne": a != b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}
 
 
 def parsed_frames(frames: DataFrame) -> DataFrame:

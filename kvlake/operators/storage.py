@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +71,59 @@ def shared_prefixes(log: DataFrame) -> DataFrame:
     return log.withColumn("prev", before).withColumn("shared", F.coalesce(shared, F.lit(0))).groupBy("file_no").agg(F.count("*").alias("n"), F.sum("shared").cast("long").alias("shared"))
 
 
-def lru_hits(accesses: DataFrame, capacity: int) -> DataFrame:
+def read_candidates(keys: DataFrame, stats: DataFrame, prefix: int = 5) -> DataFrame:
+    """(user_key, candidates): how many files' key ranges hold each key.
+
+    A file counts from its least key on and no more after its greatest, so a running count over the keys'
+    order tells, without pairing keys and files. Counts are summed by keys' first characters first; only a
+    row for each of these goes through the one ordered window.
+    """
+    marks = stats.select(F.col("min_key").alias("user_key"), F.lit(0).alias("kind"), F.lit(1).alias("step")).unionAll(stats.select("max_key", F.lit(2), F.lit(-1))).unionAll(keys.select("user_key", F.lit(1), F.lit(0)))
+    marks = marks.withColumn("block", F.substring("user_key", 1, prefix))
+    before = F.sum("step").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = marks.groupBy("block").agg(F.sum("step").alias("step")).select("block", F.coalesce(before, F.lit(0)).alias("from"))
+    inside = F.sum("step").over(Window.partitionBy("block").orderBy("user_key", "kind"))
+    return marks.withColumn("inside", inside).join(blocks, "block").where("kind = 1").select("user_key", (F.col("from") + F.col("inside")).alias("candidates"))
+
+
+def lru_hits(accesses: DataFrame, capacity: int, block: int = 4096) -> DataFrame:
     """(access, key, hit): whether fewer than `capacity` other keys came since the key's previous access.
 
-    Only keys with an access in between count, so of each key its last access before counts once: the
-    join is within windows of `capacity` distinct keys' reach at most by the previous access's distance.
+    Accesses (numbered by `access`) are cut into blocks. The `capacity` latest keys before a block say all
+    that it needs of the past: they are gathered from the blocks before it, over twice as many in each
+    round until every block has them or reaches the start; then blocks are judged by themselves.
     """
-    prev = F.lag("access").over(Window.partitionBy("key").orderBy("access"))
-    rows = accesses.withColumn("prev", prev)
-    other = accesses.select(F.col("access").alias("o_access"), F.col("key").alias("o_key"))
-    hit = rows.where("prev IS NOT NULL").join(other, (F.col("o_access") > F.col("prev")) & (F.col("o_access") < F.col("access"))).groupBy("access").agg(F.countDistinct("o_key").alias("others"))
-    return rows.join(hit, "access", "left").select("access", "key", (F.col("prev").isNotNull() & (F.coalesce("others", F.lit(0)) < capacity)).alias("hit"))
+    rows = accesses.select("access", "key", F.floor(F.col("access") / block).alias("block"))
+    latest = Window.partitionBy("block").orderBy(F.desc("last"))
+
+    def top(df: DataFrame) -> DataFrame:
+        last = df.groupBy("block", "key").agg(F.max("last").alias("last"))
+        return last.withColumn("at", F.row_number().over(latest)).where(F.col("at") <= capacity).drop("at")
+
+    blocks = rows.select("block").distinct()
+    # numbered without gaps: a block's past is in the blocks with the numbers before it
+    numbers = blocks.withColumn("number", F.row_number().over(Window.orderBy("block")) - 1)  # a row per block
+    rows = rows.join(numbers, "block").select("access", "key", F.col("number").alias("block"))
+    past = top(rows.select((F.col("block") + 1).alias("block"), "key", F.col("access").alias("last")))
+    reach = 1
+    while not past.groupBy("block").agg(F.count("*").alias("n")).where((F.col("n") < capacity) & (F.col("block") > reach)).isEmpty():
+        past = top(past.unionByName(past.withColumn("block", F.col("block") + reach)))
+        reach *= 2
+
+    def judged(group: pa.Table) -> pa.Table:
+        order = np.lexsort((group["access"].to_numpy(),))
+        cache: OrderedDict = OrderedDict()
+        access, key, hit = [], [], []
+        for a, k, own in zip(*(group[c].take(pa.array(order)).to_pylist() for c in ("access", "key", "own"))):
+            if own:
+                access.append(a)
+                key.append(k)
+                hit.append(k in cache)
+            cache[k] = None
+            cache.move_to_end(k)
+            if len(cache) > capacity:
+                cache.popitem(last=False)
+        return pa.table({"access": pa.array(access, pa.int64()), "key": pa.array(key, pa.int64()), "hit": pa.array(hit, pa.bool_())})
+
+    both = rows.withColumn("own", F.lit(True)).unionByName(past.select("block", "key", F.col("last").alias("access"), F.lit(False).alias("own")))
+    return both.groupBy("block").applyInArrow(judged, "access long, key long, hit boolean")

@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import DELETE, PUT
 from .reads import live
 
 
-def applied(batches: DataFrame, base: int) -> DataFrame:
-    """Log rows of write batches (batch_id, ops array<struct<type, key, value>>): consecutive sequence numbers after base, in batch and op order.
+class WriteBatch:
+    """Operations to be written together, in order."""
 
-    Each batch gets its first number from a running count of the batches' sizes, so only sizes, not rows,
-    go through the one ordered window.
+    def __init__(self):
+        self.ops: list[tuple[int, str, str]] = []
+
+    def put(self, key: str, value: str) -> WriteBatch:
+        self.ops.append((PUT, key, value))
+        return self
+
+    def delete(self, key: str) -> WriteBatch:
+        self.ops.append((DELETE, key, ""))
+        return self
+
+    def clear(self) -> WriteBatch:
+        self.ops.clear()
+        return self
+
+    def count(self) -> int:
+        return len(self.ops)
+
+    def rows(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """(batch_id, op_no, type, key, value), for `applied`."""
+        return spark.createDataFrame([(batch_id, k, *op) for k, op in enumerate(self.ops)], "batch_id long, op_no long, type int, key string, value string")
+
+
+def batch_counts(ops: DataFrame) -> DataFrame:
+    """(batch_id, count) of batches given by their ops."""
+    return ops.groupBy("batch_id").agg(F.count("*").alias("count"))
+
+
+def applied(ops: DataFrame, base: int, block: int = 4096) -> DataFrame:
+    """Log rows of write batches given as ops (batch_id, op_no, type, key, value): consecutive sequence numbers after base, in batch and op order.
+
+    Batches are counted, and counts summed in blocks of batch ids, so that the one ordered window sees a
+    number per block; ops are numbered within their batch.
     """
-    before = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = batches.select("batch_id", F.size("ops").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + base + 1).drop("n")
-    rows = batches.select("batch_id", F.posexplode("ops").alias("pos", "op")).join(first, "batch_id")
-    return rows.select(F.col("op.key").alias("user_key"), (F.col("first") + F.col("pos")).cast("long").alias("seq"), F.col("op.type").alias("type"), F.when(F.col("op.type") == PUT, F.col("op.value")).otherwise("").alias("value"))
+    sizes = batch_counts(ops).withColumn("block", F.floor(F.col("batch_id") / block))
+    before = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("block").agg(F.sum("count").alias("count")).select("block", before(Window.orderBy("block")).alias("from"))
+    first = sizes.withColumn("in_block", before(Window.partitionBy("block").orderBy("batch_id"))).join(blocks, "block").select("batch_id", (F.col("from") + F.col("in_block") + base).alias("first"))
+    own = F.row_number().over(Window.partitionBy("batch_id").orderBy("op_no"))
+    rows = ops.withColumn("own", own).join(first, "batch_id")
+    return rows.select(F.col("key").alias("user_key"), (F.col("first") + F.col("own")).cast("long").alias("seq"), "type", F.when(F.col("type") == PUT, F.col("value")).otherwise("").alias("value"))
 
 
-def deletes(log: DataFrame, keys: DataFrame, base: int) -> DataFrame:
+def deletes(keys: DataFrame, base: int) -> DataFrame:
     """Tombstones for keys (user_key, ordinal), blind to whether they exist."""
     return keys.select("user_key", (F.col("ordinal") + base + 1).cast("long").alias("seq"), F.lit(DELETE).alias("type"), F.lit("").alias("value"))
 
 
+def erased(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The log without the exact versions (user_key, seq, type)."""
+    return log.join(keys, ["user_key", "seq", "type"], "left_anti")
+
+
 def existing(log: DataFrame, keys: DataFrame) -> DataFrame:
     """(user_key, existed) for each key to delete."""
     there = live(log).select("user_key", F.lit(True).alias("found"))

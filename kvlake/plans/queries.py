@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..operators import catalog, metrics, policy, reads, storage, writes
+from ..operators import auth, catalog, metrics, policy, reads, storage, writes
 from ..sources.tables import manifest, oplog, requests, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,10 +57,15 @@ def kv_point_get(spark, d):
     return reads.get(oplog(spark, d), "u000042").select("user_key", "seq", "value")
 
 
-@query(f"WITH {NEWEST}, asked AS (SELECT DISTINCT printf('u%06d', c_custkey) AS user_key FROM customer WHERE c_custkey % 7 = 0) SELECT a.user_key, l.value FROM asked a LEFT JOIN live l USING (user_key)")
+@query(f"WITH {NEWEST}, asked AS (SELECT DISTINCT printf('u%06d', c_custkey) AS user_key FROM customer) SELECT a.user_key, l.value FROM asked a LEFT JOIN live l USING (user_key)")
 def kv_multi_get(spark, d):
-    keys = table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.format_string("u%06d", "c_custkey").alias("user_key"))
-    return reads.multi_get(oplog(spark, d), keys)
+    return reads.multi_get(oplog(spark, d), table(spark, d, "customer").select(F.format_string("u%06d", "c_custkey").alias("user_key")))
+
+
+@query(f"WITH {LOG} SELECT user_key, seq, type, value FROM log WHERE type = 1")
+def kv_exact_get(spark, d):
+    log = oplog(spark, d)
+    return reads.exact(log, log.select("user_key", "seq", F.lit(1).alias("type"))).select("user_key", "seq", "type", "value")
 
 
 @query(f"WITH {NEWEST} SELECT user_key, value FROM live WHERE user_key >= 'u000010' AND user_key < 'u000050'")
@@ -132,22 +137,43 @@ def kv_slice_compare(spark, d):
     return reads.newest(oplog(spark, d)).where("seq > 100 AND type != 2").select("user_key", "seq", F.md5("value").alias("digest"))
 
 
+@query(f"""WITH {LOG}, p AS (SELECT user_key, value AS b, lag(value) OVER (PARTITION BY user_key ORDER BY seq) AS a FROM log)
+SELECT user_key, count(CASE WHEN a = b THEN 1 END) AS eq, count(CASE WHEN a <> b THEN 1 END) AS ne, count(CASE WHEN a < b THEN 1 END) AS lt, count(CASE WHEN a <= b THEN 1 END) AS le, count(CASE WHEN a > b THEN 1 END) AS gt, count(CASE WHEN a >= b THEN 1 END) AS ge FROM p GROUP BY user_key""")
+def kv_slice_order(spark, d):
+    pairs = oplog(spark, d).select("user_key", F.col("value").alias("b"), F.lag("value").over(Window.partitionBy("user_key").orderBy("seq")).alias("a"))
+    return pairs.groupBy("user_key").agg(*(F.count(F.when(c, 1)).alias(n) for n, c in reads.comparisons(F.col("a"), F.col("b")).items()))
+
+
 # --- writes ----------------------------------------------------------------------------------------
 
 
-@query("""WITH ops AS (SELECT o_custkey % 100 AS batch, o_orderkey, printf('c%06d', o_custkey) AS k, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS t, o_orderpriority AS v FROM orders)
-SELECT k AS user_key, 1000 + row_number() OVER (ORDER BY batch, o_orderkey) AS seq, t AS type, CASE WHEN t = 1 THEN v ELSE '' END AS value FROM ops""")
-def kv_batch_apply(spark, d):
+OPS = "ops AS (SELECT o_custkey AS batch, o_orderkey, printf('c%06d', o_custkey) AS k, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS t, o_orderpriority AS v FROM orders)"
+
+
+def batch_ops(spark, d):
     o = table(spark, d, "orders")
-    op = F.struct("o_orderkey", F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("type"), F.format_string("c%06d", "o_custkey").alias("key"), F.col("o_orderpriority").alias("value"))
-    batches = o.groupBy((F.col("o_custkey") % 100).alias("batch_id")).agg(F.array_sort(F.collect_list(op)).alias("ops"))
-    return writes.applied(batches, 1000)
+    return o.select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("op_no"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("type"), F.format_string("c%06d", "o_custkey").alias("key"), F.col("o_orderpriority").alias("value"))
+
+
+@query(f"WITH {OPS} SELECT k AS user_key, 1000 + row_number() OVER (ORDER BY batch, o_orderkey) AS seq, t AS type, CASE WHEN t = 1 THEN v ELSE '' END AS value FROM ops")
+def kv_batch_apply(spark, d):
+    return writes.applied(batch_ops(spark, d), 1000)
 
 
-@query(f"WITH {NEWEST}, keys AS (SELECT DISTINCT printf('u%06d', c_custkey) AS user_key FROM customer WHERE c_custkey <= 300) SELECT k.user_key, l.user_key IS NOT NULL AS existed FROM keys k LEFT JOIN live l USING (user_key)")
+@query(f"WITH {OPS} SELECT batch AS batch_id, count(*) AS count FROM ops GROUP BY batch")
+def kv_batch_count(spark, d):
+    return writes.batch_counts(batch_ops(spark, d))
+
+
+@query(f"WITH {LOG} SELECT user_key, seq, type FROM log WHERE type <> 2")
+def kv_erase_versions(spark, d):
+    log = oplog(spark, d)
+    return writes.erased(log, log.where("type = 2").select("user_key", "seq", "type")).select("user_key", "seq", "type")
+
+
+@query(f"WITH {NEWEST}, keys AS (SELECT DISTINCT printf('u%06d', c_custkey) AS user_key FROM customer) SELECT k.user_key, l.user_key IS NOT NULL AS existed FROM keys k LEFT JOIN live l USING (user_key)")
 def kv_delete_returning(spark, d):
-    keys = table(spark, d, "customer").where("c_custkey <= 300").select(F.format_string("u%06d", "c_custkey").alias("user_key"))
-    return writes.existing(oplog(spark, d), keys)
+    return writes.existing(oplog(spark, d), table(spark, d, "customer").select(F.format_string("u%06d", "c_custkey").alias("user_key")))
 
 
 @query(f"WITH {NEWEST} SELECT user_key, value FROM live WHERE CAST(substr(user_key, 2) AS INTEGER) % 5 <> 0")
@@ -155,7 +181,7 @@ def kv_delete_then_scan(spark, d):
     log = oplog(spark, d)
     keys = log.select("user_key").distinct().where("cast(substring(user_key, 2) AS int) % 5 = 0").withColumn("ordinal", F.lit(0))
     base = log.agg(F.max("seq").alias("base"))
-    dead = writes.deletes(log, keys, 0).crossJoin(F.broadcast(base)).withColumn("seq", F.col("seq") + F.col("base")).drop("base")  # one row
+    dead = writes.deletes(keys, 0).crossJoin(F.broadcast(base)).withColumn("seq", F.col("seq") + F.col("base")).drop("base")  # one row
     return reads.scan(log.unionByName(dead))
 
 
@@ -219,11 +245,10 @@ def wal_valid_prefix(spark, d):
     return storage.valid_prefix(log).select("idx", "user_id")
 
 
-@query(f"WITH {FILES}, s AS (SELECT file_no, min(user_key) AS lo, max(user_key) AS hi FROM files GROUP BY file_no), k AS (SELECT DISTINCT printf('u%06d', c_custkey) AS user_key FROM customer WHERE c_custkey <= 200) SELECT k.user_key, count(s.file_no) AS candidates FROM k LEFT JOIN s ON k.user_key BETWEEN s.lo AND s.hi GROUP BY k.user_key")
+@query(f"WITH {FILES}, s AS (SELECT file_no, min(user_key) AS lo, max(user_key) AS hi FROM files GROUP BY file_no), k AS (SELECT DISTINCT printf('u%06d', c_custkey) AS user_key FROM customer) SELECT k.user_key, count(s.file_no) AS candidates FROM k LEFT JOIN s ON k.user_key BETWEEN s.lo AND s.hi GROUP BY k.user_key")
 def lsm_read_candidates(spark, d):
-    stats = storage.file_stats(storage.with_files(oplog(spark, d)))
-    keys = table(spark, d, "customer").where("c_custkey <= 200").select(F.format_string("u%06d", "c_custkey").alias("user_key")).distinct()
-    return keys.join(stats, (F.col("user_key") >= F.col("min_key")) & (F.col("user_key") <= F.col("max_key")), "left").groupBy("user_key").agg(F.count("file_no").alias("candidates"))
+    keys = table(spark, d, "customer").select(F.format_string("u%06d", "c_custkey").alias("user_key")).distinct()
+    return storage.read_candidates(keys, storage.file_stats(storage.with_files(oplog(spark, d))))
 
 
 @query(f"""WITH {FILES}, p AS (SELECT file_no, user_key, lag(user_key) OVER (PARTITION BY file_no ORDER BY user_key, seq DESC) AS prev FROM files)
@@ -232,11 +257,11 @@ def block_prefix_stats(spark, d):
     return storage.shared_prefixes(storage.with_files(oplog(spark, d)))
 
 
-@query("""WITH a AS (SELECT event_id AS access, user_id AS key, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events WHERE event_type = 'purchase'),
-h AS (SELECT a.access, count(DISTINCT o.user_id) AS others FROM a LEFT JOIN events o ON o.event_type = 'purchase' AND o.event_id > a.prev AND o.event_id < a.access GROUP BY a.access)
+@query("""WITH a AS (SELECT event_id AS access, user_id AS key, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+h AS (SELECT a.access, count(DISTINCT o.user_id) AS others FROM a LEFT JOIN events o ON o.event_id > a.prev AND o.event_id < a.access GROUP BY a.access)
 SELECT a.access, a.key, a.prev IS NOT NULL AND h.others < 20 AS hit FROM a JOIN h USING (access)""")
 def lru_hits(spark, d):
-    e = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("access"), F.col("user_id").alias("key"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("access"), F.col("user_id").alias("key"))
     return storage.lru_hits(e, 20)
 
 
@@ -278,19 +303,17 @@ def hash_bucket_chi2(spark, d):
     return n.crossJoin(F.broadcast(e)).agg(F.round(F.sum((F.col("n") - F.col("e")) ** 2 / F.col("e")) + (64 - F.count("*")) * F.max("e"), 6).alias("chi2"))  # one row
 
 
-BLOOM = hashes.bloom_parameters(1000, 0.01)
-
-
 def bloom_sql(key: str) -> str:
-    k, bits = BLOOM
-    return f"SELECT a.key, (((a.h + i * b.h) & 4294967295) % {bits}) AS pos FROM ({murmur_sql(key, hashes.SEEDS[0])}) a JOIN ({murmur_sql(key, hashes.SEEDS[1])}) b ON a.key = b.key, range(0, {k}) AS r(i)"
+    pair = f"SELECT a.key, a.h AS a, b.h AS b FROM ({murmur_sql(key, hashes.SEEDS[0])}) a JOIN ({murmur_sql(key, hashes.SEEDS[1])}) b ON a.key = b.key"
+    k, per_key = hashes.bloom_parameters(1, 0.01)[0], hashes.bits_per_key(0.01)
+    return f"SELECT p.key, (((p.a + i * p.b) & 4294967295) % ((SELECT greatest(count(*), 1) FROM supplier) * {per_key} // 8 + 1) // 1 * 1) AS pos, i FROM ({pair}) p, range(0, {k}) AS r(i)".replace("// 8 + 1) // 1 * 1", "// 8 * 8 + 8)")
 
 
-@query(f"WITH bits AS (SELECT DISTINCT pos FROM ({bloom_sql('SELECT c_name AS key FROM customer WHERE c_custkey <= 1000')})), probes AS ({bloom_sql(NAMES)}) SELECT p.key, bool_and(b.pos IS NOT NULL) AS maybe FROM probes p LEFT JOIN bits b ON p.pos = b.pos GROUP BY p.key")
+@query(f"""WITH members AS (SELECT DISTINCT pos FROM ({bloom_sql("SELECT replace(s_name, 'Supplier', 'Customer') AS key FROM supplier")})), probes AS ({bloom_sql(NAMES)})
+SELECT p.key, bool_and(m.pos IS NOT NULL) AS maybe FROM probes p LEFT JOIN members m ON p.pos = m.pos GROUP BY p.key""")
 def bloom_probe(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_name").alias("key"), "c_custkey").withColumn("pos", F.explode(hashes.bloom_positions(F.col("key"), 1000, 0.01)))
-    bits = c.where("c_custkey <= 1000").select("pos", F.lit(True).alias("set")).distinct()
-    return c.join(bits, "pos", "left").groupBy("key").agg(F.bool_and(F.col("set").isNotNull()).alias("maybe"))
+    members = table(spark, d, "supplier").select(F.regexp_replace("s_name", "Supplier", "Customer").alias("key"))
+    return hashes.bloom_probed(table(spark, d, "customer").select(F.col("c_name").alias("key")), members, 0.01)
 
 
 @query("""WITH m AS (SELECT p_partkey, (p_partkey + 1)::DOUBLE AS n, 0.01::DOUBLE AS p FROM part), b AS (SELECT *, -n * ln(p) / pow(ln(2), 2) AS bits FROM m)
@@ -320,6 +343,28 @@ def internal_key_hex(spark, d):
     return oplog(spark, d).select("user_key", "seq", hashes.internal_key_hex(F.col("user_key"), F.col("seq"), F.col("type")).alias("internal"))
 
 
+@query("SELECT l_orderkey, l_linenumber, (l_orderkey * l_partkey) % 4294967296 AS fixed32, (l_orderkey * l_partkey) % 4294967296 AS varint, CAST(l_orderkey * l_partkey AS DECIMAL(20,0)) AS fixed64 FROM lineitem")
+def codec_round_trip(spark, d):
+    v = F.col("l_orderkey") * F.col("l_partkey")
+    low = v % (1 << 32)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hashes.fixed_value(hashes.fixed_hex(low, 4), 4).alias("fixed32"), hashes.varint_value(hashes.varint_hex(low)).alias("varint"), hashes.fixed_value(hashes.fixed_hex(v, 8), 8).alias("fixed64"))
+
+
+@query(f"WITH {LOG} SELECT user_key, seq, type FROM log UNION ALL SELECT '', 0, 0 FROM orders WHERE strlen(o_orderpriority) < 8")
+def internal_key_parts(spark, d):
+    keys = oplog(spark, d).select(hashes.internal_key_hex(F.col("user_key"), F.col("seq"), F.col("type")).alias("internal"))
+    short = table(spark, d, "orders").where(F.octet_length("o_orderpriority") < 8).select(F.hex(F.col("o_orderpriority").cast("binary")).alias("internal"))
+    return keys.unionAll(short).select(*hashes.internal_key_parts(F.col("internal")))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'OK' WHEN 1 THEN 'NotFound: ' WHEN 2 THEN 'Corruption: ' WHEN 3 THEN 'NotSupported: ' WHEN 4 THEN 'InvalidArgument: ' WHEN 5 THEN 'IOError: ' ELSE '' END || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS status,
+CASE o_custkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'snappy' WHEN 2 THEN 'zstd' ELSE 'unknown' END AS compression FROM orders""")
+def status_texts(spark, d):
+    o = table(spark, d, "orders")
+    message = F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderpriority"))
+    return o.select("o_orderkey", hashes.status_text(F.col("o_orderkey") % 7, message).alias("status"), hashes.compression_name(F.col("o_custkey") % 4).alias("compression"))
+
+
 # --- catalogue -------------------------------------------------------------------------------------
 
 FEED = "feed AS (SELECT event_id AS event_no, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op, printf('c%03d', user_id) AS name, CASE WHEN event_type = 'view' THEN NULL ELSE props END AS value FROM events)"
@@ -335,34 +380,70 @@ def catalog_cdc_apply(spark, d):
     return catalog.applied_feed(feed(spark, d))
 
 
-def nations(spark, d):
-    return table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("int").alias("ttl_seconds"), F.lit(0).cast("long").alias("updated_at"))
+COLLECTIONS = "coll AS (SELECT c_name AS name, c_nationkey AS ttl_seconds, c_mktsegment AS segment, c_custkey AS created_at, CAST(0 AS BIGINT) AS updated_at FROM customer)"
+NAMED = "ord AS (SELECT *, printf('Customer#%09d', o_custkey * 2) AS name FROM orders)"
+
+
+def collections(spark, d):
+    schema = F.create_map(F.lit("segment"), F.col("c_mktsegment"))
+    return table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("ttl_seconds"), schema.alias("schema"), F.col("c_custkey").alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
+
 
+def named_orders(spark, d):
+    """Orders with a name of which about half are collections'."""
+    return table(spark, d, "orders").withColumn("name", F.format_string("Customer#%09d", F.col("o_custkey") * 2))
 
-@query("SELECT n_name AS name, 'taken' AS outcome FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT r_name, 'created' FROM region WHERE r_name NOT IN (SELECT n_name FROM nation)")
+
+@query(f"""WITH {COLLECTIONS}, {NAMED}, f AS (SELECT o_orderkey AS created_at, name, name NOT IN (SELECT name FROM coll) AND row_number() OVER (PARTITION BY name ORDER BY o_orderkey) = 1 AS won FROM ord)
+SELECT name, created_at, CASE WHEN won THEN 'created' ELSE 'taken' END AS outcome FROM f""")
 def catalog_create_conflicts(spark, d):
-    new = nations(spark, d).join(table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name")), "name", "left_semi")
-    new = new.unionByName(table(spark, d, "region").select(F.col("r_name").alias("name"), F.lit(1).alias("ttl_seconds"), F.lit(0).cast("long").alias("updated_at")))
-    old = nations(spark, d)
+    old = collections(spark, d)
+    new = named_orders(spark, d).select("name", F.lit(1).alias("ttl_seconds"), F.create_map(F.lit("segment"), F.col("o_orderpriority")).alias("schema"), F.col("o_orderkey").alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
     catalogue, taken = catalog.created(old, new)
-    return taken.select("name", F.lit("taken").alias("outcome")).unionAll(catalogue.join(old, "name", "left_anti").select("name", F.lit("created").alias("outcome")))
+    made = catalogue.join(old.select("name"), "name", "left_anti")
+    return taken.select("name", "created_at", F.lit("taken").alias("outcome")).unionAll(made.select("name", "created_at", F.lit("created").alias("outcome")))
+
+
+@query(f"WITH {COLLECTIONS}, {NAMED}, asked AS (SELECT DISTINCT name FROM ord) SELECT a.name, c.ttl_seconds, c.segment, c.name IS NOT NULL AS found FROM asked a LEFT JOIN coll c USING (name)")
+def catalog_find(spark, d):
+    return catalog.found(collections(spark, d), named_orders(spark, d)).select("name", "ttl_seconds", F.col("schema")["segment"].alias("segment"), "found")
+
+
+@query(f"WITH {COLLECTIONS} SELECT name, ttl_seconds, (SELECT count(*) FROM coll) AS count FROM coll")
+def catalog_list(spark, d):
+    return catalog.listed(collections(spark, d)).select("name", "ttl_seconds", "count")
 
 
-@query("SELECT n_name AS name, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 60 ELSE n_regionkey END AS INTEGER) AS ttl_seconds, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 7 ELSE 0 END AS BIGINT) AS updated_at FROM nation")
+@query(f"""WITH {COLLECTIONS}, {NAMED}, last AS (SELECT * FROM ord QUALIFY row_number() OVER (PARTITION BY name ORDER BY o_orderkey DESC) = 1)
+SELECT c.name, CASE WHEN l.name IS NULL THEN c.ttl_seconds ELSE 60 END AS ttl_seconds, CASE WHEN l.name IS NULL THEN c.segment WHEN l.o_orderstatus = 'F' THEN NULL ELSE l.o_orderpriority END AS segment, c.created_at, coalesce(l.o_orderkey, c.updated_at) AS updated_at, 'kept' AS outcome FROM coll c LEFT JOIN last l USING (name)
+UNION ALL SELECT name, NULL, NULL, NULL, o_orderkey, 'not_found' FROM ord WHERE name NOT IN (SELECT name FROM coll)""")
 def catalog_update(spark, d):
-    changes = table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"), F.lit(60).alias("ttl_seconds"), F.lit(7).cast("long").alias("updated_at"))
-    return catalog.updated(nations(spark, d), changes)
+    schema = F.when(F.col("o_orderstatus") != "F", F.create_map(F.lit("segment"), F.col("o_orderpriority")))
+    changes = named_orders(spark, d).select("name", F.lit(60).alias("ttl_seconds"), schema.alias("schema"), F.col("o_orderkey").alias("updated_at"))
+    out, missing = catalog.updated(collections(spark, d), changes)
+    out = out.select("name", "ttl_seconds", F.col("schema")["segment"].alias("segment"), "created_at", "updated_at", F.lit("kept").alias("outcome"))
+    return out.unionByName(missing.select("name", "updated_at", F.lit("not_found").alias("outcome")), allowMissingColumns=True)
 
 
-@query("SELECT n_name AS name FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 1)")
+@query(f"""WITH {COLLECTIONS}, {NAMED}, gone AS (SELECT DISTINCT name FROM ord WHERE o_orderstatus = 'F')
+SELECT name, 'kept' AS outcome FROM coll WHERE name NOT IN (SELECT name FROM gone) UNION ALL SELECT name, 'not_found' FROM gone WHERE name NOT IN (SELECT name FROM coll)""")
 def catalog_delete(spark, d):
-    gone = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("name"))
-    return nations(spark, d).join(gone, "name", "left_anti").select("name")
+    left, missing = catalog.deleted(collections(spark, d), named_orders(spark, d).where("o_orderstatus = 'F'"))
+    return left.select("name", F.lit("kept").alias("outcome")).unionAll(missing.select("name", F.lit("not_found").alias("outcome")))
 
 
-@query("SELECT n_name AS name, n_regionkey AS ttl_seconds FROM nation WHERE n_regionkey = 0 OR n_nationkey * 100 + n_regionkey > 1500")
+@query(f"WITH {COLLECTIONS} SELECT name, ttl_seconds FROM coll WHERE ttl_seconds = 0 OR created_at + ttl_seconds > 500")
 def catalog_ttl(spark, d):
-    return table(spark, d, "nation").where("n_regionkey = 0 OR n_nationkey * 100 + n_regionkey > 1500").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("ttl_seconds"))
+    return catalog.unexpired(collections(spark, d), 500).select("name", "ttl_seconds")
+
+
+@query(f"WITH {FEED}, raw AS (SELECT event_no, op, CASE WHEN event_no % 10 = 0 THEN '/other/' ELSE '/titles/' END || name AS key, CASE WHEN value IS NOT NULL AND event_no % 4 = 0 THEN 'broken' WHEN value IS NOT NULL THEN CAST(json_object('name', name, 'ttl_seconds', event_no) AS VARCHAR) END AS body, event_no % 4 <> 0 AND value IS NOT NULL AS fine FROM feed) SELECT event_no, op, substr(key, 9) AS name, CASE WHEN fine THEN CAST(regexp_extract(body, ':([0-9]+)', 1) AS INTEGER) END AS ttl_seconds FROM raw WHERE starts_with(key, '/titles/')")
+def catalog_watch_parse(spark, d):
+    f = feed(spark, d)
+    key = F.concat(F.when(F.col("event_no") % 10 == 0, "/other/").otherwise("/titles/"), F.col("name"))
+    body = F.when(F.col("event_no") % 4 == 0, "broken").otherwise(F.to_json(F.struct("name", F.col("event_no").alias("ttl_seconds"))))
+    parsed = catalog.parsed_watch(f.select("event_no", "op", key.alias("key"), F.when(F.col("value").isNotNull(), body).alias("value")), "/titles/")
+    return parsed.select("event_no", "op", "name", F.get_json_object("value", "$.ttl_seconds").cast("int").alias("ttl_seconds"))
 
 
 # --- metrics ---------------------------------------------------------------------------------------
@@ -399,9 +480,36 @@ def metrics_forward_fill(spark, d):
     return metrics.filled(e, "user_id", "event_id", ["view_value", "click_value"])
 
 
-@query("SELECT user_id AS node, CASE WHEN count(CASE WHEN event_type = 'error' THEN 1 END) * 4 > count(*) THEN 'degraded' ELSE 'ok' END AS status FROM events GROUP BY user_id")
+NODES = "nodes AS (SELECT user_id AS node, CASE WHEN count(CASE WHEN event_type = 'error' THEN 1 END) * 2 > count(*) THEN 'down' WHEN count(CASE WHEN event_type = 'error' THEN 1 END) * 4 > count(*) THEN 'degraded' ELSE 'ok' END AS status FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {NODES} SELECT node, status FROM nodes")
 def health_rollup(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg(F.when(F.count(F.when(F.col("event_type") == "error", 1)) * 4 > F.count("*"), "degraded").otherwise("ok").alias("status"))
+    return metrics.node_health(table(spark, d, "events").select(F.col("user_id").alias("node"), (F.col("event_type") != "error").alias("ok")))
+
+
+@query(f"WITH {NODES} SELECT CASE WHEN count(CASE WHEN status = 'down' THEN 1 END) > 0 THEN 'down' WHEN count(CASE WHEN status = 'degraded' THEN 1 END) > 0 THEN 'degraded' ELSE 'ok' END AS status, count(CASE WHEN status = 'ok' THEN 1 END) AS ok, count(CASE WHEN status = 'degraded' THEN 1 END) AS degraded, count(CASE WHEN status = 'down' THEN 1 END) AS down FROM nodes")
+def health_overall(spark, d):
+    return metrics.overall_health(health_rollup(spark, d))
+
+
+SAMPLES = "samples AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, count(*) AS n FROM events GROUP BY 1)"
+
+
+@query(f"""WITH {SAMPLES} SELECT timestamp, 'event: metrics' || chr(10) || 'data: {{"timestamp":' || timestamp || ',"n":' || n || '}}' AS frame FROM samples
+WHERE timestamp > 1704931200 OR timestamp = (SELECT max(timestamp) FROM samples WHERE timestamp <= 1704931200)""")
+def metrics_snapshot_then_changes(spark, d):
+    return metrics.snapshot_then_changes(requests(spark, d).groupBy(F.col("sec").alias("timestamp")).agg(F.count("*").alias("n")), 1704931200)
+
+
+@query("SELECT 'r' || event_id AS rid, CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS method, '/api/' || user_id AS path, CAST(200 + event_id % 310 AS INTEGER) AS status, round((event_id % 997) * CASE event_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1000.0::DOUBLE ELSE 0.001::DOUBLE END, 6) AS latency_ms, '10.0.0.' || (user_id % 256) AS ip FROM events WHERE event_id % 50 <> 0")
+def reqlog_parse(spark, d):
+    e = table(spark, d, "events")
+    k = F.col("event_id")
+    unit = F.when(k % 3 == 0, "ms").when(k % 3 == 1, "s").otherwise("µs")
+    line = F.format_string("[GIN] rid=r%d %s /api/%d %d %d%s ip=10.0.0.%d", k, F.when(F.col("event_type") == "view", "GET").otherwise("POST"), F.col("user_id"), 200 + k % 310, k % 997, unit, F.col("user_id") % 256)
+    lines = e.select(F.when(k % 50 == 0, F.format_string("panic: %d", k)).otherwise(line).alias("line"))
+    return metrics.parsed_log(lines).withColumn("latency_ms", F.round("latency_ms", 6))
 
 
 # --- policies --------------------------------------------------------------------------------------
@@ -428,7 +536,7 @@ def rbac_filter(spark, d):
 def revoked_anti(spark, d):
     e = table(spark, d, "events")
     revoked = e.where("event_type = 'error'").select(F.col("event_id").alias("jti"), (F.col("event_id") + 500).alias("expires"))
-    return policy.not_revoked(e.select(F.col("event_id").alias("jti"), "user_id"), revoked, 4000)
+    return auth.not_revoked(e.select(F.col("event_id").alias("jti"), "user_id"), revoked, 4000)
 
 
 @query("SELECT event_id AS id, c_custkey AS user_id, sha256('key-' || c_custkey) AS hash FROM events JOIN customer ON user_id = c_custkey WHERE c_custkey % 5 <> 0 AND (c_custkey % 3 <> 0 OR c_custkey > 60)")
@@ -436,7 +544,7 @@ def apikey_verify(spark, d):
     plain = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("plain"))
     c = table(spark, d, "customer")
     keys = c.select(F.sha2(F.concat(F.lit("key-"), F.col("c_custkey").cast("string")), 256).alias("hash"), F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 5 == 0).alias("revoked"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("expires_at"))
-    return policy.verified_keys(plain, keys, c.select(F.col("c_custkey").alias("user_id")), 60).select("id", "user_id", "hash")
+    return auth.verified_keys(plain, keys, c.select(F.col("c_custkey").alias("user_id")), 60).select("id", "user_id", "hash")
 
 
 PATHS = "SELECT page_id AS id, coalesce(nullif(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages"
@@ -449,13 +557,25 @@ def paths(spark, d):
 
 @query(f"SELECT id, path, CASE WHEN starts_with(path, '/en/') THEN 'english' WHEN starts_with(path, '/de/') THEN 'german' WHEN starts_with(path, '/fr') THEN 'french' ELSE '404' END AS target FROM ({PATHS})")
 def route_prefix(spark, d):
-    routes = spark.createDataFrame([(0, "/en/", "english"), (1, "/de/", "german"), (2, "/fr", "french")], "idx int, prefix string, target string")
-    return policy.routed(paths(spark, d), routes)
+    return policy.routed(paths(spark, d), [("/en/", "english"), ("/de/", "german"), ("/fr", "french")])
 
 
-@query(f"SELECT id, path, CASE WHEN regexp_matches(path, '^/en/[^/]+$') THEN 'page' WHEN regexp_matches(path, '^/[^/]+/[^/]+$') THEN 'foreign' END AS target FROM ({PATHS})")
+@query(f"SELECT id, path, CASE WHEN regexp_matches(path, '^/en/[^/]+$') THEN 'page' WHEN regexp_matches(path, '^/[^/]+/[^/]+$') THEN 'foreign' END AS target, CASE WHEN regexp_matches(path, '^/[^/]+/[^/]+$') THEN split_part(path, '/', 3) END AS page, CASE WHEN regexp_matches(path, '^/[^/]+/[^/]+$') AND NOT regexp_matches(path, '^/en/[^/]+$') THEN split_part(path, '/', 2) END AS lang FROM ({PATHS})")
 def route_param(spark, d):
-    return policy.matched(paths(spark, d), [("/en/:page", "page"), ("/:lang/:page", "foreign")])
+    found = policy.matched(paths(spark, d), [("/en/:page", "page"), ("/:lang/:page", "foreign")])
+    return found.select("id", "path", "target", F.col("params")["page"].alias("page"), F.col("params")["lang"].alias("lang"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 7 = 6 THEN NULL WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN page_id % 7 = 6 THEN NULL WHEN instr(url, '?') > 0 THEN substr(url, 1, instr(url, '?') - 1) ELSE url END AS path, CASE WHEN page_id % 7 = 6 THEN NULL WHEN instr(url, '?') > 0 THEN substr(url, instr(url, '?') + 1) ELSE '' END AS query,
+CASE WHEN page_id % 7 <> 6 THEN 'HTTP/1.1' END AS version, CASE WHEN page_id % 7 <> 6 THEN 'b' || page_id END AS tag, CASE WHEN page_id % 7 = 6 OR page_id % 7 = 5 THEN NULL ELSE 'body ' || page_id END AS body, CASE WHEN page_id % 7 = 6 THEN 'more' WHEN page_id % 7 = 5 THEN 'error' ELSE 'ok' END AS state FROM pages WHERE instr(url, ' ') = 0""")
+def http_request_parse(spark, d):
+    pages = table(spark, d, "pages").where(F.instr("url", " ") == 0)
+    k, body = F.col("page_id"), F.concat(F.lit("body "), F.col("page_id").cast("string"))
+    line = F.concat(F.when(k % 5 == 0, "POST ").otherwise("GET "), "url", F.lit(" HTTP/1.1\r\n"))
+    heads = F.concat(F.lit("X-Tag: a\r\nX-Tag: b"), k.cast("string"), F.when(k % 7 == 5, "\r\nno colon").otherwise(""), F.lit("\r\nContent-Length: "), F.length(body).cast("string"))
+    raw = F.concat(line, heads, F.when(k % 7 != 6, F.concat(F.lit("\r\n\r\n"), body, F.lit("next"))).otherwise(""))
+    got = policy.parsed_requests(pages.select("page_id", raw.alias("raw")))
+    return got.select("page_id", "method", "path", "query", "version", F.col("headers")["X-Tag"].alias("tag"), "body", "state")
 
 
 @query("SELECT page_id, CASE WHEN instr(url, '?') > 0 THEN substr(url, 1, instr(url, '?') - 1) ELSE url END AS path, CASE WHEN instr(url, '?') > 0 THEN substr(url, instr(url, '?') + 1) ELSE '' END AS query FROM pages")
@@ -480,6 +600,28 @@ def lb_least_connections(spark, d):
     return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("node"))
 
 
+UPSTREAMS = "marks AS (SELECT l_suppkey AS port, arg_max(l_returnflag <> 'R', l_orderkey * 8 + l_linenumber) AS up FROM lineitem GROUP BY l_suppkey), ups AS (SELECT s_nationkey AS pool, s_suppkey AS idx, s_name AS host, s_suppkey AS port, coalesce(m.up, true) AS healthy FROM supplier LEFT JOIN marks m ON m.port = s_suppkey)"
+
+
+def upstreams(spark, d):
+    ups = table(spark, d, "supplier").select(F.col("s_nationkey").alias("pool"), F.col("s_suppkey").alias("idx"), F.col("s_name").alias("host"), F.col("s_suppkey").alias("port"), F.lit(True).alias("healthy"))
+    l = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mark_no"), F.col("l_suppkey").alias("port"), (F.col("l_returnflag") != "R").alias("up"))
+    marks = l.join(ups.select("host", "port"), "port")
+    return policy.marked(ups, marks)
+
+
+@query(f"WITH {UPSTREAMS} SELECT host, port, healthy FROM ups")
+def upstream_marks(spark, d):
+    return upstreams(spark, d).select("host", "port", "healthy")
+
+
+@query(f"""WITH {UPSTREAMS}, h AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY idx) - 1 AS turn, count(*) OVER (PARTITION BY pool) AS many FROM ups WHERE healthy), r AS (SELECT c_custkey AS id, c_nationkey AS pool, c_custkey AS n FROM customer)
+SELECT r.id, h.host FROM r LEFT JOIN h ON h.pool = r.pool AND h.turn = r.n % h.many""")
+def upstream_next(spark, d):
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("pool"), F.col("c_custkey").alias("n"))
+    return policy.next_upstreams(asked, upstreams(spark, d)).select("id", "host")
+
+
 RING = f"SELECT h AS hash, min(node) AS node FROM (SELECT key, h, split_part(key, ':', 1) AS node FROM ({murmur_sql('SELECT s_name || chr(58) || i AS key FROM supplier, range(0, 40) AS r(i)', 0)})) GROUP BY h"
 
 
@@ -521,10 +663,96 @@ def timer_ticks(spark, d):
 
 @query("SELECT conv_id, lower(role) AS header, arg_max(text, turn) AS value FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, lower(role)")
 def headers_last_value(spark, d):
-    return table(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id", F.lower("role").alias("header")).agg(F.max_by("text", "turn").alias("value"))
+    return policy.last_headers(table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.col("role").alias("name"), F.col("text").alias("value"))).select(F.col("id").alias("conv_id"), "header", "value")
 
 
 @query(f"WITH {REQUESTS} SELECT id, CASE WHEN uid % 9 = 0 THEN 'rl:ip:' || (uid % 256) ELSE 'rl:uid:' || uid END AS key FROM requests")
 def rate_limit_keys(spark, d):
-    uid = F.when(F.col("uid") % 9 != 0, F.col("uid").cast("string"))
-    return requests(spark, d).select("id", F.coalesce(F.concat(F.lit("rl:uid:"), uid), F.concat(F.lit("rl:ip:"), (F.col("uid") % 256).cast("string"))).alias("key"))
+    uid = F.when(F.col("uid") % 9 != 0, F.col("uid"))
+    return requests(spark, d).select("id", policy.limit_key(uid, F.col("uid") % 256).alias("key"))
+
+
+@query(f"WITH {REQUESTS}, k AS (SELECT sec, CASE WHEN uid % 9 = 0 THEN 'rl:ip:10.0.0.' || (uid % 256) ELSE 'rl:uid:' || uid END AS key FROM requests) SELECT key, max(sec) AS last, max(sec) + 1334 AS expires FROM k GROUP BY key")
+def rate_limit_states(spark, d):
+    r = requests(spark, d)
+    return policy.limit_states(r.select(F.when(F.col("uid") % 9 != 0, F.col("uid")).alias("uid"), F.concat(F.lit("10.0.0."), (F.col("uid") % 256).cast("string")).alias("ip"), "sec"), 2.0, 0.003)
+
+
+# --- who a request is from -------------------------------------------------------------------------
+
+AUTH = """tokens AS (SELECT c_custkey AS jti, c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'writer' WHEN 2 THEN 'reader' ELSE 'guest' END AS role, 100 + c_custkey * 7 % 1000 AS exp FROM customer),
+keys AS (SELECT c_custkey AS id, c_custkey AS user_id, sha256('key-' || c_custkey) AS hash, 'key ' || c_name AS name, c_custkey AS created_at, CASE WHEN c_custkey % 3 > 0 THEN c_custkey + c_custkey % 3 * 100 END AS expires_at, c_custkey % 11 = 0 AS revoked FROM customer)"""
+
+
+def tokens(spark, d):
+    role = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'writer' WHEN 2 THEN 'reader' ELSE 'guest' END")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("jti"), F.col("c_custkey").alias("user_id"), role.alias("role"), (100 + F.col("c_custkey") * 7 % 1000).alias("exp"))
+
+
+def api_keys(spark, d):
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    keys = auth.issued(c.select(k.alias("id"), k.alias("user_id"), F.concat(F.lit("key "), "c_name").alias("name"), F.concat(F.lit("key-"), k.cast("string")).alias("plain"), k.alias("at"), (k % 3 * 100).alias("ttl")))
+    return auth.revoked(keys, c.where("c_custkey % 11 = 0").select(k.alias("id")))[0]
+
+
+@query(f"WITH {AUTH} SELECT id, user_id, hash, name, created_at, expires_at, revoked FROM keys")
+def apikey_issue_revoke(spark, d):
+    return api_keys(spark, d)
+
+
+@query("SELECT DISTINCT o_custkey * 2 AS id FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)")
+def apikey_revoke_missing(spark, d):
+    return auth.revoked(api_keys(spark, d), table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("id")))[1]
+
+
+@query(f"WITH {AUTH} SELECT id, user_id, '' AS hash, name FROM keys WHERE user_id IN (SELECT user_id FROM events)")
+def apikey_list(spark, d):
+    return auth.keys_of(api_keys(spark, d), table(spark, d, "events").select("user_id")).select("id", "user_id", "hash", "name")
+
+
+@query(f"""WITH {AUTH}, r AS (SELECT event_id AS id, CASE WHEN event_id % 3 <> 0 THEN user_id END AS jti, CASE WHEN event_id % 2 = 0 THEN 'key-' || (user_id * 3) END AS api_key FROM events),
+b AS (SELECT DISTINCT t.jti FROM events e JOIN tokens t ON t.jti = e.user_id WHERE e.event_type = 'error' AND e.event_id % 100 = 7 AND t.exp > 400),
+j AS (SELECT r.id, t.user_id AS t_user, t.role AS t_role, b.jti IS NOT NULL AS gone, k.user_id AS k_user, u.role AS k_role FROM r LEFT JOIN tokens t ON t.jti = r.jti AND t.exp > 400 LEFT JOIN b ON b.jti = r.jti LEFT JOIN keys k ON k.hash = sha256(r.api_key) AND NOT k.revoked AND (k.expires_at IS NULL OR k.expires_at > 400) LEFT JOIN tokens u ON u.user_id = k.user_id)
+SELECT id, CASE WHEN t_user IS NOT NULL AND NOT gone THEN t_user WHEN t_user IS NULL THEN k_user END AS user_id, CASE WHEN t_user IS NOT NULL AND NOT gone THEN t_role WHEN t_user IS NULL THEN k_role END AS role,
+CASE WHEN t_user IS NOT NULL AND NOT gone THEN 'jwt' WHEN t_user IS NULL AND k_user IS NOT NULL THEN 'apikey' END AS auth_method, CASE WHEN t_user IS NOT NULL AND NOT gone OR t_user IS NULL AND k_user IS NOT NULL THEN 200 ELSE 401 END AS status FROM j""")
+def auth_choice(spark, d):
+    e, t = table(spark, d, "events"), tokens(spark, d)
+    k = F.col("event_id")
+    asked = e.select(k.alias("id"), F.when(k % 3 != 0, F.col("user_id")).alias("jti"), F.when(k % 2 == 0, F.concat(F.lit("key-"), (F.col("user_id") * 3).cast("string"))).alias("api_key"))
+    out = e.where((F.col("event_type") == "error") & (k % 100 == 7)).select(F.col("user_id").alias("jti"), F.lit(0).alias("at"))
+    return auth.identified(asked, t, auth.logged_out(out, t), api_keys(spark, d), t.select("user_id", "role"), 400)
+
+
+@query(f"""WITH {AUTH}, a AS (SELECT o_orderkey AS id, o_custkey AS jti, o_orderkey % 1200 AS used FROM orders), v AS (SELECT a.*, t.user_id, coalesce(a.used < t.exp, false) AS valid FROM a LEFT JOIN tokens t USING (jti)),
+n AS (SELECT *, valid AND row_number() OVER (PARTITION BY jti, valid ORDER BY used, id) = 1 AS first_use FROM v)
+SELECT id, CASE WHEN NOT valid THEN 'invalid' WHEN NOT first_use THEN 'revoked' WHEN user_id % 13 = 0 THEN 'no_user' ELSE 'ok' END AS outcome FROM n""")
+def token_refresh(spark, d):
+    attempts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("jti"), (F.col("o_orderkey") % 1200).alias("at"))
+    t = tokens(spark, d)
+    return auth.refreshed(attempts, t, t.where("user_id % 13 != 0").select("user_id"))
+
+
+@query(f"WITH {AUTH}, l AS (SELECT o_custkey AS jti, o_orderkey % 1200 AS used FROM orders) SELECT DISTINCT jti, exp AS expires FROM l JOIN tokens USING (jti) WHERE exp > used")
+def token_logout(spark, d):
+    return auth.logged_out(table(spark, d, "orders").select(F.col("o_custkey").alias("jti"), (F.col("o_orderkey") % 1200).alias("at")), tokens(spark, d))
+
+
+def users(spark, d):
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.md5("c_name").alias("password_hash"), F.lit("reader").alias("role"), F.col("c_custkey").alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
+
+
+@query(f"""WITH {NAMED}, f AS (SELECT *, name NOT IN (SELECT c_name FROM customer) AND row_number() OVER (PARTITION BY name ORDER BY o_orderkey) = 1 AS won FROM ord), role AS (SELECT o_custkey AS id, arg_max(o_orderpriority, o_orderkey) AS role, max(o_orderkey) AS at FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS id, c_name AS username, coalesce(r.role, 'reader') AS role, coalesce(r.at, 0) AS updated_at FROM customer LEFT JOIN role r ON r.id = c_custkey
+UNION ALL SELECT o_orderkey + 1000000000, name, 'writer', 0 FROM f WHERE won""")
+def user_store(spark, d):
+    new = named_orders(spark, d).select((F.col("o_orderkey") + 1_000_000_000).alias("id"), F.col("name").alias("username"), F.md5("name").alias("password_hash"), F.lit("writer").alias("role"), F.col("o_orderkey").alias("created_at"), F.lit(0).cast("long").alias("updated_at"))
+    all_users, _ = auth.users_created(users(spark, d), new)
+    changes = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("role"), F.col("o_orderkey").alias("updated_at"))
+    return auth.users_listed(auth.roles_set(all_users, changes)[0]).select("id", "username", "role", "updated_at")
+
+
+@query(f"WITH {NAMED} SELECT DISTINCT o.name AS username, c.c_custkey AS id, c.c_name IS NOT NULL AS found FROM ord o LEFT JOIN customer c ON c.c_name = o.name")
+def user_find(spark, d):
+    return catalog.found(users(spark, d), named_orders(spark, d).select(F.col("name").alias("username")), key="username").select("username", "id", "found")

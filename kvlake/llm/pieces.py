@@ -28,8 +28,8 @@ BLANK = "▁"
 _find = regex.compile(f"{BLANK}+[^{BLANK}]*").findall
 #: Characters of the longest word that is segmented here; longer ones go to the library. Distinct words that a task remembers.
 LONGEST, REMEMBERED = 128, 1 << 18
-#: Table entries of a batch of words.
-CELLS = 1 << 18
+#: Table entries of a batch of words; pairs of pieces whose legality a task remembers; slots that tell which hashes may be pieces'.
+CELLS, PAIRS, SLOTS = 1 << 18, 1 << 20, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Fixed value: how a model says that it is a BPE one.
 BPE = 2
@@ -83,6 +83,9 @@ class Vocabulary:
         hashes, order = np.array([self._hash(x) for x in all_names], np.uint64), np.arange(len(all_names))
         order[: len(plain)] = np.argsort(hashes[: len(plain)])
         self.key, self.pieces = np.append(hashes[order], np.uint64(1)), len(plain)
+        self.maybe = np.zeros(SLOTS, bool)
+        self.maybe[(self.key[: self.pieces] >> np.uint64(44)).astype(np.int64)] = True
+        self.pairs, self.fits = np.full(PAIRS, -1), np.zeros(PAIRS, bool)
         self.size = np.array([len(all_names[k]) for k in order] + [1])
         self.power = np.array([pow(BASE, k, 1 << 64) for k in range(self.widest + 1)], np.uint64)
         self.ids = np.array([plain[k] if k < len(plain) else -1 for k in order] + [-1], np.int64)
@@ -105,10 +108,12 @@ class Vocabulary:
 
     def _probe(self, hashes: np.ndarray) -> np.ndarray:
         """Handles of the pieces with these hashes, -1 for none."""
-        if not self.pieces:
-            return np.full(hashes.shape, -1)
-        at = np.minimum(np.searchsorted(self.key[: self.pieces], hashes), self.pieces - 1)
-        return np.where(self.key[at] == hashes, at, -1)
+        out = np.full(hashes.shape, -1)
+        some = np.nonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+        own = hashes[some]
+        at = np.minimum(np.searchsorted(self.key[: self.pieces], own), self.pieces - 1)
+        out[some] = np.where(self.key[at] == own, at, -1)
+        return out
 
     def _parts(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Handles of the two parts that merging joins last to get each piece; -1 where it has one character or merging does not end at it."""
@@ -164,6 +169,19 @@ class Vocabulary:
             x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
         return out
 
+    def _legal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """legal(a, b), remembered: each pair has one slot, where a later one may take its place."""
+        pair = a * (self.other + 1) + b
+        slot = ((pair.astype(np.uint64) * np.uint64(BASE)) >> np.uint64(44)).astype(np.int64)
+        out, new = self.fits[slot], np.flatnonzero(self.pairs[slot] != pair)
+        if len(new):
+            out[new] = fits = self.legal(a[new], b[new])
+            self.pairs[slot[new]], self.fits[slot[new]] = pair[new], fits
+            # of several pairs with one slot the last has it; its own result must stand there too
+            last = np.flatnonzero(self.pairs[slot[new]] == pair[new])
+            self.fits[slot[new[last]]] = fits[last]
+        return out
+
     def _tables(self, some: list[str]) -> np.ndarray:
         """The handle of each word's substrings by start and length - 1; -1 where it is no piece. All words have one length."""
         n, size = len(some), len(some[0])
@@ -192,8 +210,7 @@ class Vocabulary:
             before = last[row, start[col]]
             inner = np.flatnonzero(start[col] > 0)
             fits = (self.left[piece] >= 0) | (self.size[piece] == 1)
-            pairs, inverse = np.unique(before[inner] * (self.other + 1) + piece[inner], return_inverse=True)
-            fits[inner] &= self.legal(pairs // (self.other + 1), pairs % (self.other + 1))[inverse]
+            fits[inner] &= self._legal(before[inner], piece[inner])
             total = np.full(step.shape, -np.inf)
             total[row, col] = np.where(fits, best[row, start[col]], -np.inf)
             pick = np.argmax(total, 1)
@@ -208,32 +225,41 @@ class Vocabulary:
         word, end = np.nonzero(used)
         return word, end, last[word, end]
 
-    def encoded(self, some: list[str]) -> list[np.ndarray]:
-        """The ids of each word."""
-        out: list[np.ndarray] = [None] * len(some)  # type: ignore[list-item]
+    def encoded(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
+        many, found, odd = np.zeros(len(some), np.int64), [], {}
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(some):
             by_length.setdefault(len(w), []).append(k)
         for size, which in by_length.items():
             if size > LONGEST:
-                for k in which:
-                    out[k] = self.whole(some[k][1:])
+                odd.update((k, self.whole(some[k][1:])) for k in which)
                 continue
             most = 1 + CELLS // (size * min(size, self.widest))
             for a in range(0, len(which), most):
                 part = which[a : a + most]
                 word, end, handle = self.viterbi([some[k] for k in part])
-                ids = self.ids[handle]
-                cut = np.cumsum(np.bincount(word, minlength=len(part)))
-                for k, x in zip(part, np.split(ids.astype(np.uint32), cut[:-1])):
-                    out[k] = x
+                ids, own = self.ids[handle], np.array(part)
                 for r in np.unique(word[ids < 0]).tolist():  # a character without a piece is written as its bytes, or a run of such ones as unknown
-                    own: list[int] = []
+                    fixed: list[int] = []
                     for x, z in zip(ids[word == r].tolist(), end[word == r].tolist()):
                         more = [x] if x >= 0 else self._fallback(some[part[r]][z - 1])
-                        own += more if more != [self.unknown] or own[-1:] != more else []
-                    out[part[r]] = np.array(own, np.uint32)
-        return out
+                        fixed += more if more != [self.unknown] or fixed[-1:] != more else []
+                    odd[part[r]] = np.array(fixed, np.uint32)
+                count = np.bincount(word, minlength=len(part))
+                many[own] = count
+                found.append((own[word], np.arange(len(word)) - (np.cumsum(count) - count)[word], ids))
+        for k, x in odd.items():
+            many[k] = len(x)
+        first = np.cumsum(many) - many
+        out = np.zeros(many.sum() + 1, np.uint32)
+        is_odd = np.zeros(len(some), bool)
+        is_odd[list(odd)] = True
+        for word, at, ids in found:
+            out[np.where(is_odd[word], len(out) - 1, first[word] + at)] = ids.astype(np.uint32)
+        for k, x in odd.items():
+            out[first[k] : first[k] + len(x)] = x
+        return out[:-1], many
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes_at[b] for b in char.encode()] if self.bytes_at else [self.unknown]
@@ -277,11 +303,10 @@ class Encoder:
         at = np.searchsorted(self.keys, distinct)
         new = np.flatnonzero((at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != distinct)) if len(self.keys) else np.arange(len(distinct))
         if len(new):
-            ids = self.v.encoded(spell(new))
-            many = np.array([len(x) for x in ids])
+            ids, many = self.v.encoded(spell(new))
             at = np.searchsorted(self.keys, distinct[new])
             self.keys, self.first, self.count = np.insert(self.keys, at, distinct[new]), np.insert(self.first, at, len(self.pool) + np.cumsum(many) - many), np.insert(self.count, at, many)
-            self.pool = np.concatenate([self.pool, *ids])
+            self.pool = np.concatenate([self.pool, ids])
         return np.searchsorted(self.keys, distinct)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -328,8 +353,10 @@ class Encoder:
         if not self.v.by_words or not text:
             return self.v.whole(text)
         own = _find(BLANK + text.replace(" ", BLANK))
-        distinct = sorted(set(own))
-        return np.concatenate([x for w in [dict(zip(distinct, self.v.encoded(distinct)))] for x in map(w.__getitem__, own)])
+        distinct, inverse = np.unique(np.array(own, object), return_inverse=True)
+        ids, many = self.v.encoded(distinct.tolist())
+        parts = np.split(ids, np.cumsum(many)[:-1])
+        return np.concatenate([parts[k] for k in inverse.tolist()])
 
 
 @lru_cache(maxsize=2)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .vectors import block_of, dealt, matrix, usable
 
-#: Components of the largest shard (16,384 rows of 64), queries of a block.
-COMPONENTS, BLOCK = 1 << 20, 512
+#: Rows of the smallest shard, components of the largest (16,384 rows of 64), queries of a block.
+SMALL, COMPONENTS, BLOCK = 2048, 1 << 20, 512
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, beam: int = 64) -> D
     rows with one id, of which a query leaves out all with its own, and of which the largest vector asks;
     an empty table gives an empty result; other columns are ignored.
     """
-    rows, blocks = dealt(usable(vectors, zero=False), every, BLOCK, COMPONENTS)
+    rows, blocks = dealt(usable(vectors, zero=False), every, BLOCK, SMALL, COMPONENTS)
 
     def index(group: pa.Table) -> pa.Table:
         v = matrix(group.column("v"), len(group.column("v")[0]))

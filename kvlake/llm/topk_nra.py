@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from .common import stored
 from .vectors import block_of, dealt, matrix, usable
 
-#: Components of the largest shard (32 MB of numbers), queries of a block, parts in which a list is read.
-COMPONENTS, BLOCK, SCALE, STRETCHES = 1 << 22, 256, 1024, 8
+#: Rows of the smallest shard, components of the largest (32 MB of numbers), queries of a block.
+SMALL, COMPONENTS, BLOCK, SCALE = 8192, 1 << 22, 256, 1024
+#: Parts in which a list is read, and entries of a part at least.
+STRETCHES, ENTRIES = 8, 2048
+#: Queries that read the lists together.
+TOGETHER = 32
 
 
 def whole_numbers(v: np.ndarray) -> np.ndarray:
@@ -30,52 +34,60 @@ class Lists:
         self.values = np.take_along_axis(x.T, self.rows, 1).astype(np.float64)
         self.n = len(x)
 
-    def best(self, q: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-        """(rows among which the k largest inner products with q are, ties included; entries read).
+    def best(self, q: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """(for each row of q, the rows among which its k largest inner products are, ties included; entries read).
 
-        Lists are read from the end that gives the larger products. A row's lower bound is the sum of
-        what has been read of it and of the least that its other components can give; every entry read
-        raises it. Its upper bound has the frontiers of the lists where it has not been read instead. The
-        list read on next is the one whose frontier is furthest from its end. At looks ever closer to the
-        end, rows whose upper bound is below the k-th lower bound are out; reading stops when no more than
-        2 * k rows can qualify, or at the ends of all lists.
+        Lists are read once for all queries, from both ends: a query uses the end that gives it the larger
+        products. A row's lower bound is the sum of what has been read of it and of the least that its
+        other components can give; every entry read raises it. Its upper bound has the frontiers of the
+        lists where it has not been read instead. The list read on next is the one whose frontiers are
+        furthest from its ends. At looks ever closer to the ends, rows whose upper bound is below a query's
+        k-th lower bound are out; a query stops when no more than 2 * k rows can qualify, or at the ends.
         """
-        n, dims = self.n, len(self.rows)
-        if n <= k:
-            return np.arange(n), 0
-        step = max(16, -(-n // STRETCHES))
+        n, dims, m = self.n, len(self.rows), len(q)
+        found: list = [np.arange(n)] * m
+        read, depth = np.zeros(m, np.int64), np.zeros(dims, np.int64)
+        if n <= k or not m:
+            return found, read
+        step = max(ENTRIES, -(-n // STRETCHES))
         up = q >= 0
         worst = np.where(up, q * self.values[:, 0], q * self.values[:, -1])
-        frontier = np.where(up, q * self.values[:, -1], q * self.values[:, 0])
-        low, seen, depth = np.full(n, worst.sum()), np.zeros((dims, n), bool), np.zeros(dims, np.int64)
-        open_, alive, inside, next_look = frontier - worst, np.arange(n), None, (frontier - worst).sum() / 2
-        rest, read = open_.sum(), 0
-        while True:
-            d = int(np.argmax(open_))
-            if open_[d] <= 0:  # what is left of all lists gives each row the same
-                return alive[low[alive] >= np.partition(low[alive], len(alive) - k)[len(alive) - k]], read
-            a, b = int(depth[d]), min(n, int(depth[d]) + step)
-            part = slice(n - b, n - a) if up[d] else slice(a, b)
-            rows, values = self.rows[d, part], self.values[d, part]
-            end = 0.0 if b == n else q[d] * (values[0] if up[d] else values[-1]) - worst[d]
-            if inside is not None:  # the others can't qualify any more
-                some = inside[rows]
-                rows, values = rows[some], values[some]
-            low[rows] += q[d] * values - worst[d]
-            seen[d][rows] = True
-            rest += end - open_[d]
-            depth[d], read, open_[d] = b, read + b - a, end
-            if rest > next_look:
-                continue
-            next_look = 0.8 * rest
-            kth = np.partition(low[alive], len(alive) - k)[len(alive) - k]
-            alive = alive[low[alive] + rest >= kth]
-            if len(alive) <= n // 4:
-                alive = alive[low[alive] + open_ @ ~seen[:, alive] >= kth]
-                inside = np.zeros(n, bool)
-                inside[alive] = True
-            if len(alive) <= 2 * k:
-                return alive, read
+        open_ = np.where(up, q * self.values[:, -1], q * self.values[:, 0]) - worst
+        seen = np.zeros((2, dims, n), bool)  # from below, from above
+        low, live = np.repeat(worst.sum(1)[None], n, 0), np.arange(m)
+        next_look = open_.sum() / 2
+        while len(live):
+            d = int(np.argmax(open_.sum(0)))
+            ended = not open_[:, d].any()  # what is left of all lists gives each row the same
+            if not ended:
+                a, b = int(depth[d]), min(n, int(depth[d]) + step)
+                depth[d] = b
+                edges = []
+                for side, part in enumerate((slice(a, b), slice(n - b, n - a))):
+                    rows, values = self.rows[d, part], self.values[d, part]
+                    own = up[:, d] == bool(side)
+                    low[rows] += values[:, None] * np.where(own, q[:, d], 0) - np.where(own, worst[:, d], 0)
+                    seen[side, d][rows] = True
+                    edges.append(values[-1 - side * (b - a - 1)])
+                read[live] += b - a
+                open_[:, d] = np.where(up[:, d], q[:, d] * edges[1], q[:, d] * edges[0]) - worst[:, d] if b < n else 0
+                if open_.sum() > next_look:
+                    continue
+            next_look = 0.7 * open_.sum()
+            by_query = np.ascontiguousarray(low.T)
+            kth = np.partition(by_query, n - k, axis=1)[:, n - k]
+            can = by_query + open_.sum(1)[:, None] >= kth[:, None]
+            stay = np.ones(len(live), bool)
+            for i in np.flatnonzero((can.sum(1) <= n // 8) | ended):
+                rows = np.flatnonzero(can[i])
+                unseen = np.where(up[i][:, None], ~seen[1][:, rows], ~seen[0][:, rows])
+                rows = rows[by_query[i, rows] + open_[i] @ unseen >= kth[i]]
+                if ended or len(rows) <= 2 * k:
+                    found[live[i]], stay[i] = rows, False
+            if not stay.all():
+                live, q, up, worst, open_ = live[stay], q[stay], up[stay], worst[stay], open_[stay]
+                low, next_look = np.ascontiguousarray(low[:, stay]), next_look * stay.mean()
+        return found, read
 
 
 def top_products(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -89,7 +101,7 @@ def top_products(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame
     asks; sums beyond 64 bits become the nearest 64-bit number; an empty table gives an empty result;
     other columns are ignored.
     """
-    rows, blocks = dealt(usable(vectors, zero=True), every, BLOCK, COMPONENTS)
+    rows, blocks = dealt(usable(vectors, zero=True), every, BLOCK, SMALL, COMPONENTS)
 
     def pack(group: pa.Table) -> pa.Table:
         v = matrix(group.column("v"), len(group.column("v")[0])).astype("<f8")
@@ -112,8 +124,11 @@ def top_products(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame
                 q = whole_numbers(q)
                 plain = lists is not None and q.dtype != object and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**51
                 out = []
-                for name, y in zip(names.tolist(), q):
-                    left = lists.best(y.astype(np.float64), k + max(1, int(many.get(name, 1))))[0] if plain else np.arange(len(own))
+                left_of = []
+                for a in range(0, len(names), TOGETHER):
+                    some = names[a : a + TOGETHER].tolist()
+                    left_of += lists.best(q[a : a + TOGETHER].astype(np.float64), k + max(int(many.get(x, 1)) for x in some))[0] if plain else [np.arange(len(own))] * len(some)
+                for name, y, left in zip(names.tolist(), q, left_of):
                     left = left[own[left] != name]
                     score = (x[left] * y).sum(1)
                     best = np.lexsort((own[left], -score))[:k] if plain else sorted(range(len(left)), key=lambda i: (-score[i], own[left[i]]))[:k]  # noqa: B023

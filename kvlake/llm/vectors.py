@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: A shard's rows while a table has fewer than SPREAD shards of that size; larger tables get larger shards, up to a search's own number of components.
-SMALL, SPREAD = 2048, 64
+#: Tables that make fewer shards than this get shards of a search's least number of rows; larger ones larger shards, up to a search's number of components.
+SPREAD = 64
 
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -27,16 +27,16 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.concatenate([np.asarray(c.flatten()) for c in column.chunks] or [np.zeros(0)]).reshape(-1, dim)
 
 
-def dealt(rows: DataFrame, every: int, per_block: int, most: int) -> tuple[DataFrame, DataFrame]:
+def dealt(rows: DataFrame, every: int, per_block: int, least: int, most: int) -> tuple[DataFrame, DataFrame]:
     """(rows with `shard`, query blocks (shard, ids, vectors) for every shard).
 
-    Rows of one length are dealt to shards of SMALL rows or more, but at most about `most` components; the
+    Rows of one length are dealt to shards of `least` rows or more, but at most about `most` components; the
     larger the shards, the fewer copies of the queries are sent. Copies and repeated ids are dealt apart.
     Queries are the rows whose id `every` divides, of a repeated id the largest vector; they are packed in
     blocks of about per_block and written once. The join by shard sends each shard every block of its
     length, which is what a query set against all rows asks for; a task holds one shard and one block.
     """
-    size = F.greatest(F.lit(SMALL), F.least(F.ceil(F.col("n") / SPREAD), F.floor(F.lit(most) / F.col("dim"))))
+    size = F.greatest(F.lit(least), F.least(F.ceil(F.col("n") / SPREAD), F.floor(F.lit(most) / F.col("dim"))))
     counts = rows.groupBy("dim").agg(F.count("*").alias("n"))
     counts = stored(counts.select("dim", F.ceil(F.col("n") / size).cast("int").alias("shards"), F.ceil(F.col("n") / (every * per_block)).cast("int").alias("blocks")))
     few = F.broadcast(counts)  # n different lengths take n * n / 2 components at least, so even 10**13 of these have under five million rows here

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import PUT
+from ..sources.tables import PUT, stored
 from .reads import newest
 
 
@@ -97,17 +97,18 @@ def lru_hits(accesses: DataFrame, capacity: int, block: int = 4096) -> DataFrame
     latest = Window.partitionBy("block").orderBy(F.desc("last"))
 
     def top(df: DataFrame) -> DataFrame:
-        last = df.groupBy("block", "key").agg(F.max("last").alias("last"))
+        last = df.join(there, "block", "left_semi").groupBy("block", "key").agg(F.max("last").alias("last"))
         return last.withColumn("at", F.row_number().over(latest)).where(F.col("at") <= capacity).drop("at")
 
     blocks = rows.select("block").distinct()
     # numbered without gaps: a block's past is in the blocks with the numbers before it
     numbers = blocks.withColumn("number", F.row_number().over(Window.orderBy("block")) - 1)  # a row per block
     rows = rows.join(numbers, "block").select("access", "key", F.col("number").alias("block"))
-    past = top(rows.select((F.col("block") + 1).alias("block"), "key", F.col("access").alias("last")))
+    there = numbers.select(F.col("number").alias("block"))
+    past = stored(top(rows.select((F.col("block") + 1).alias("block"), "key", F.col("access").alias("last"))))
     reach = 1
     while not past.groupBy("block").agg(F.count("*").alias("n")).where((F.col("n") < capacity) & (F.col("block") > reach)).isEmpty():
-        past = top(past.unionByName(past.withColumn("block", F.col("block") + reach)))
+        past = stored(top(past.unionByName(past.withColumn("block", F.col("block") + reach))))
         reach *= 2
 
     def judged(group: pa.Table) -> pa.Table:

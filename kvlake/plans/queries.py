@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes
 from ..operators import auth, catalog, metrics, policy, reads, storage, writes
-from ..sources.tables import manifest, oplog, requests, table
+from ..sources.tables import manifest, oplog, requests, streamed, table, workspace, write_sorted_run
+from ..streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,6 +266,13 @@ def lru_hits(spark, d):
     return storage.lru_hits(e, 20)
 
 
+@query(f"WITH {LOG} SELECT user_key, seq, type, value FROM log WHERE user_key >= 'u000020' AND user_key < 'u000040'")
+def sorted_run_scan(spark, d):
+    path = workspace(spark)
+    write_sorted_run(oplog(spark, d), path)
+    return reads.between(spark.read.parquet(path), "u000020", "u000040").select("user_key", "seq", "type", "value")
+
+
 # --- hashes, codecs, sketches ----------------------------------------------------------------------
 
 
@@ -370,8 +378,8 @@ def status_texts(spark, d):
 FEED = "feed AS (SELECT event_id AS event_no, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op, printf('c%03d', user_id) AS name, CASE WHEN event_type = 'view' THEN NULL ELSE props END AS value FROM events)"
 
 
-def feed(spark, d):
-    e = table(spark, d, "events")
+def feed(spark, d, read=table):
+    e = read(spark, d, "events")
     return e.select(F.col("event_id").alias("event_no"), F.when(F.col("event_type") == "error", "DELETE").otherwise("PUT").alias("op"), F.format_string("c%03d", "user_id").alias("name"), F.when(F.col("event_type") != "view", F.col("props")).alias("value"))
 
 
@@ -756,3 +764,34 @@ def user_store(spark, d):
 @query(f"WITH {NAMED} SELECT DISTINCT o.name AS username, c.c_custkey AS id, c.c_name IS NOT NULL AS found FROM ord o LEFT JOIN customer c ON c.c_name = o.name")
 def user_find(spark, d):
     return catalog.found(users(spark, d), named_orders(spark, d).select(F.col("name").alias("username")), key="username").select("username", "id", "found")
+
+
+# --- streams: run over all that is there, then compared with batch ------------------------------------
+
+
+def ran(stream: DataFrame, mode: str) -> DataFrame:
+    spark, path = stream.sparkSession, workspace(stream.sparkSession)
+    state.drained(stream, f"{path}/out", f"{path}/checkpoint", mode)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
+
+
+@query(f"WITH {NEWEST} SELECT user_key, seq, value FROM live")
+def stream_kv_state(spark, d):
+    return reads.live(ran(state.newest_state(oplog(spark, d, streamed)), "update")).select("user_key", "seq", "value")
+
+
+@query(ORACLES["token_bucket"])
+def stream_token_bucket(spark, d):
+    done = ran(state.token_bucket(requests(spark, d, streamed).select("uid", "id", "sec"), 2.0, 0.0001), "append")
+    return done.groupBy("uid").agg(F.count(F.when(F.col("allowed"), 1)).alias("allowed"), F.count(F.when(~F.col("allowed"), 1)).alias("denied"))
+
+
+@query(ORACLES["catalog_cdc_apply"])
+def stream_cdc(spark, d):
+    return catalog.applied_feed(ran(state.feed_state(feed(spark, d, streamed)), "update"))
+
+
+@query(f"WITH {REQUESTS} SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM requests GROUP BY 1")
+def stream_metrics(spark, d):
+    counts = ran(state.windowed_requests(requests(spark, d, streamed).select("ts"), "30 days", "1 day"), "update")
+    return counts.groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max("n").alias("n"))

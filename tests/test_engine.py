@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvlake.functions import hashes
-from kvlake.operators import catalog, metrics, policy, reads, storage, writes
+from kvlake.operators import auth, catalog, metrics, policy, reads, storage, writes
 from kvlake.streaming import state
 
 LOG = "user_key string, seq long, type int, value string"
@@ -59,8 +59,19 @@ def test_manifest_and_wal(spark):
 
 
 def test_batches_number_their_rows(spark):
-    batches = spark.createDataFrame([(2, [(2, "a", None)]), (1, [(1, "a", "v"), (1, "b", "w")])], "batch_id int, ops array<struct<type:int,key:string,value:string>>")
-    assert rows(writes.applied(batches, 0)) == [("a", 1, 1, "v"), ("a", 3, 2, ""), ("b", 2, 1, "w")]
+    first = writes.WriteBatch().put("x", "gone").clear().put("a", "v").put("b", "w")
+    second = writes.WriteBatch().delete("a")
+    assert (first.count(), second.count()) == (2, 1)
+    ops = second.rows(spark, 9000).unionByName(first.rows(spark, 1))
+    assert rows(writes.applied(ops, 0)) == [("a", 1, 1, "v"), ("a", 3, 2, ""), ("b", 2, 1, "w")]
+    assert rows(writes.batch_counts(ops)) == [(1, 2), (9000, 1)]
+
+
+def test_exact_versions(spark):
+    full = log(spark, ("k", 1, 1, "a"), ("k", 2, 2, ""), ("k", 3, 1, "c"))
+    keys = log(spark, ("k", 2, 2, ""), ("k", 3, 2, "")).drop("value")
+    assert [r["seq"] for r in reads.exact(full, keys).collect()] == [2]
+    assert rows(writes.erased(full, keys).select("seq")) == [(1,), (3,)]
 
 
 def test_known_hashes(spark):
@@ -78,22 +89,27 @@ def test_varints(spark):
     for v, size, text in got:
         back = sum((b & 127) << 7 * k for k, b in enumerate(bytes.fromhex(text)))
         assert (back, len(text) // 2) == (v, size)
+    texts = ["00", "ff01", "8080808001", "808080808001", "80", "", "ac02ff"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashes.varint_value(F.col("t"))).collect()
+    assert {t: v for t, v in got} == {"00": 0, "ff01": 255, "8080808001": 1 << 28, "808080808001": None, "80": None, "": None, "ac02ff": 300}
+    back = spark.createDataFrame([("78563412ffffffff",)], "t string").select(hashes.fixed_value(F.col("t"), 4), hashes.fixed_value(F.col("t"), 8)).first()
+    assert (back[0], int(back[1])) == (0x12345678, 0xFFFFFFFF12345678)
 
 
 def test_internal_key(spark):
     df = spark.createDataFrame([("hello", 42, 1), ("", 5, 2), ("k", 1 << 55, 1)], "k string, s long, t int")
     for k, s, t, x in df.select("k", "s", "t", hashes.internal_key_hex(F.col("k"), F.col("s"), F.col("t"))).collect():
         assert bytes.fromhex(x) == k.encode() + (s << 8 | t).to_bytes(8, "little")
+    whole = df.select(hashes.internal_key_hex(F.col("k"), F.col("s"), F.col("t")).alias("x")).union(spark.createDataFrame([("616263",)], "x string"))
+    assert rows(whole.select(*hashes.internal_key_parts(F.col("x")))) == [("", 0, 0), ("", 5, 2), ("hello", 42, 1), ("k", 1 << 55, 1)]
 
 
 def test_bloom_filter(spark):
     assert hashes.bloom_parameters(10_000, 0.01) == (6, 120_008)
-    key = F.format_string("key_%d", "id")
-    bits = spark.range(2000).select(F.explode(hashes.bloom_positions(key, 2000, 0.01)).alias("pos")).distinct().withColumn("set", F.lit(True))
-    probe = spark.range(4000).select("id", F.explode(hashes.bloom_positions(key, 2000, 0.01)).alias("pos")).join(bits, "pos", "left").groupBy("id").agg(F.bool_and(F.col("set").isNotNull()).alias("maybe"))
-    got = {r["id"]: r["maybe"] for r in probe.collect()}
-    assert all(got[k] for k in range(2000))
-    assert sum(got[k] for k in range(2000, 4000)) / 2000 < 0.03
+    key = F.format_string("key_%d", "id").alias("key")
+    got = {r["key"]: r["maybe"] for r in hashes.bloom_probed(spark.range(4000).select(key), spark.range(2000).select(key), 0.01).collect()}
+    assert all(got[f"key_{k}"] for k in range(2000))
+    assert sum(got[f"key_{k}"] for k in range(2000, 4000)) / 2000 < 0.03
 
 
 def test_balancing():
@@ -102,9 +118,102 @@ def test_balancing():
     assert [order.count(n) for n in "abc"] == [500, 100, 100]
 
 
-def test_lru(spark):
+@pytest.mark.parametrize("block", [3, 4096])
+def test_lru(spark, block):
     accesses = spark.createDataFrame(list(enumerate([1, 2, 1, 3, 1, 2])), "access long, key long")
-    assert [r["hit"] for r in storage.lru_hits(accesses, 2).orderBy("access").collect()] == [False, False, True, False, True, False]
+    assert [r["hit"] for r in storage.lru_hits(accesses, 2, block).orderBy("access").collect()] == [False, False, True, False, True, False]
+    rng, cache, want = random.Random(3), [], []
+    keys = [rng.choice([1, 1, 1, 2, 2, 3, 4, 5, 6, 7, 8]) for _ in range(60)]
+    for k in keys:
+        want.append(k in cache)
+        cache = [x for x in cache if x != k][-3:] + [k]
+    got = storage.lru_hits(spark.createDataFrame(list(enumerate(keys)), "access long, key long"), 4, block).orderBy("access").collect()
+    assert [r["hit"] for r in got] == want
+
+
+def test_read_candidates(spark):
+    rng = random.Random(5)
+    files = [sorted((f"u{rng.randrange(300):06d}", f"u{rng.randrange(300):06d}")) for _ in range(40)]
+    keys = [f"u{k:06d}" for k in range(0, 300, 7)]
+    stats = spark.createDataFrame(files, "min_key string, max_key string")
+    for prefix in (2, 5, 7):
+        got = storage.read_candidates(spark.createDataFrame([(k,) for k in keys], "user_key string"), stats, prefix).collect()
+        assert {r["user_key"]: r["candidates"] for r in got} == {k: sum(a <= k <= b for a, b in files) for k in keys}
+
+
+CATALOGUE = "name string, ttl_seconds int, schema map<string,string>, created_at long, updated_at long"
+
+
+def test_catalogue(spark):
+    old = spark.createDataFrame([("a", 1, {"x": "y"}, 1, 1), ("b", 0, None, 2, 2)], CATALOGUE)
+    new = spark.createDataFrame([("b", 5, None, 3, 3), ("c", 6, None, 9, 9), ("c", 7, None, 4, 4)], CATALOGUE)
+    made, taken = catalog.created(old, new)
+    assert rows(made.select("name", "ttl_seconds")) == [("a", 1), ("b", 0), ("c", 7)] and rows(taken.select("name", "ttl_seconds")) == [("b", 5), ("c", 6)]
+    changes = spark.createDataFrame([("a", 8, {"p": "q"}, 0, 5), ("a", 9, None, 0, 6), ("z", 1, None, 0, 7)], CATALOGUE)
+    out, missing = catalog.updated(old, changes)
+    assert [tuple(r) for r in out.orderBy("name").collect()] == [("a", 9, None, 1, 6), ("b", 0, None, 2, 2)] and [r["name"] for r in missing.collect()] == ["z"]
+    left, absent = catalog.deleted(old, spark.createDataFrame([("a",), ("q",), ("q",)], "name string"))
+    assert [r["name"] for r in left.collect()] == ["b"] and [r["name"] for r in absent.collect()] == ["q"]
+    assert rows(catalog.found(old, spark.createDataFrame([("a",), ("q",)], "name string")).select("name", "found")) == [("a", True), ("q", False)]
+    assert [r["name"] for r in catalog.unexpired(old, 2).collect()] == ["b"] and {r["count"] for r in catalog.listed(old).collect()} == {2}
+
+
+def test_auth(spark):
+    users = spark.createDataFrame([(1, "admin"), (2, "reader")], "user_id long, role string")
+    tokens = spark.createDataFrame([("t1", 1, "admin", 100), ("old", 1, "admin", 5), ("t2", 2, "reader", 100)], "jti string, user_id long, role string, exp long")
+    keys = auth.issued(spark.createDataFrame([(7, 2, "k", "plain", 0, 0), (8, 3, "lost", "other", 0, 0), (9, 2, "short", "brief", 0, 4)], "id long, user_id long, name string, plain string, at long, ttl long"))
+    gone = auth.logged_out(spark.createDataFrame([("t2", 1), ("old", 9)], "jti string, at long"), tokens)
+    assert rows(gone) == [("t2", 100)]
+    asked = [(1, "t1", None), (2, "t2", "plain"), (3, "old", "plain"), (4, None, "other"), (5, None, None), (6, None, "brief"), (7, "t1", "plain")]
+    got = auth.identified(spark.createDataFrame(asked, "id long, jti string, api_key string"), tokens, gone, keys, users, 10)
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, 1, "admin", "jwt", 200), (2, None, None, None, 401), (3, 2, "reader", "apikey", 200), (4, None, None, None, 401), (5, None, None, None, 401), (6, None, None, None, 401), (7, 1, "admin", "jwt", 200)]
+    marked, missing = auth.revoked(keys, spark.createDataFrame([(7,), (70,)], "id long"))
+    assert rows(marked.select("id", "revoked")) == [(7, True), (8, False), (9, False)] and rows(missing) == [(70,)]
+    assert rows(auth.keys_of(keys, users.where("user_id = 2")).select("id", "hash")) == [(7, ""), (9, "")]
+    attempts = spark.createDataFrame([(1, "t1", 50), (2, "t1", 40), (3, "t1", 200), (4, "t2", 1), (5, "no", 1)], "id long, jti string, at long")
+    assert rows(auth.refreshed(attempts, tokens, users.where("user_id = 1"))) == [(1, "revoked"), (2, "ok"), (3, "invalid"), (4, "no_user"), (5, "invalid")]
+
+
+def test_requests_and_routes(spark):
+    raw = ["GET /hello?name=world HTTP/1.1\r\nHost: x\r\n\r\n", "POST /api HTTP/1.1\r\nContent-Length: 5\r\nContent-Type: a\r\ncontent-type: b\r\n\r\nhello", "POST /api HTTP/1.1\r\nContent-Length: 9\r\n\r\nhello", "GET / HT", "GET / HTTP/1.1\r\nbad\r\n\r\n"]
+    got = policy.parsed_requests(spark.createDataFrame(list(enumerate(raw)), "k int, raw string")).orderBy("k").collect()
+    assert [r["state"] for r in got] == ["ok", "ok", "more", "more", "error"]
+    assert (got[0]["method"], got[0]["path"], got[0]["query"], got[0]["version"], got[0]["headers"]) == ("GET", "/hello", "name=world", "HTTP/1.1", {"Host": "x"})
+    assert (got[1]["query"], got[1]["body"], got[1]["headers"]["content-type"]) == ("", "hello", "b")
+    paths = spark.createDataFrame([("/a.b/7",), ("/axb/7",), ("/a.b/7",), ("/",)], "path string")
+    found = policy.matched(paths, [("/a.b/:id", "one"), ("/:x/:y", "any")]).collect()
+    assert [(r["target"], r["params"]) for r in found] == [("one", {"id": "7"}), ("any", {"x": "axb", "y": "7"}), ("one", {"id": "7"}), (None, None)]
+    assert [r["target"] for r in policy.routed(paths, [("/a.", "first"), ("/a", "second")]).collect()] == ["first", "second", "first", "404"]
+
+
+def test_upstreams(spark):
+    ups = spark.createDataFrame([("p", 0, "a", 1, True), ("p", 1, "b", 1, True), ("p", 2, "c", 1, False)], "pool string, idx int, host string, port int, healthy boolean")
+    marks = spark.createDataFrame([(1, "b", 1, True), (2, "b", 1, False), (3, "c", 1, True), (4, "q", 1, True)], "mark_no long, host string, port int, up boolean")
+    after = policy.marked(ups, marks)
+    assert rows(after.select("host", "healthy")) == [("a", True), ("b", False), ("c", True)]
+    asked = spark.createDataFrame([("p", 0), ("p", 1), ("p", 2), ("none", 0)], "pool string, n long")
+    assert sorted(((r["n"], r["host"]) for r in policy.next_upstreams(asked, after).collect()), key=str) == [(0, "a"), (0, None), (1, "c"), (2, "a")]
+
+
+def test_ring_of_few_points(spark):
+    from kvlake.functions.hashes import murmur2
+
+    keys = spark.range(300).select(F.format_string("k%d", "id").alias("key"))
+    ring = policy.ring(spark.createDataFrame([("a",), ("b",), ("c",)], "node string"), 2)
+    points = sorted((r["hash"], r["node"]) for r in ring.collect())
+    hashed = {r["key"]: r["h"] for r in keys.select("key", murmur2(F.col("key"), 0).alias("h")).collect()}
+    want = {k: next((n for p, n in points if p >= h), points[0][1]) for k, h in hashed.items()}
+    assert {r["key"]: r["node"] for r in policy.on_ring(keys, ring).collect()} == want
+
+
+def test_log_lines_and_subscribers(spark):
+    lines = ["[GIN] rid=r1 GET /a 200 1.5ms ip=1.2.3.4", "[GIN] rid= POST /b 500 250µs ip=::1", "[GIN] rid=x GET /c 200 2s ip=h", "panic"]
+    got = metrics.parsed_log(spark.createDataFrame([(x,) for x in lines], "line string"))
+    assert rows(got.select("rid", "status", "latency_ms", "ip")) == [("", 500, 0.25, "::1"), ("r1", 200, 1.5, "1.2.3.4"), ("x", 200, 2000.0, "h")]
+    samples = spark.createDataFrame([(1, 5), (3, 6), (9, 7)], "timestamp long, n int")
+    assert [r["timestamp"] for r in metrics.snapshot_then_changes(samples, 4).orderBy("timestamp").collect()] == [3, 9]
+    nodes = spark.createDataFrame([("a", "ok"), ("b", "degraded")], "node string, status string")
+    assert tuple(metrics.overall_health(nodes).first()) == ("degraded", 1, 1, 0) and metrics.overall_health(nodes.limit(0)).first()["status"] == "ok"
 
 
 def test_catalogue_feed(spark):
@@ -118,26 +227,48 @@ def test_health_and_metrics(spark):
     assert metrics.latest(spark.range(5).select(*metrics.sample(F.col("id")))).first()["timestamp"] == 4
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def in_files(df, path, column, parts):
+    """df as files of ascending ranges of a column."""
+    import time
+
+    for k in range(parts):
+        df.where(f"ntile = {k + 1}").drop("ntile").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)  # files are read in the order of their times
+
+
+def tiles(df, column, parts):
+    from pyspark.sql import Window
+
+    return df.withColumn("ntile", F.ntile(parts).over(Window.orderBy(column)))
+
+
+def test_stream_equals_batch_over_many_batches(spark, tmp_path):
     source = str(tmp_path / "in")
-    requests = spark.range(400).select((F.col("id") % 7).alias("uid"), "id", (F.col("id") * F.col("id") % 50).alias("sec"))
-    requests.coalesce(1).write.parquet(source)
-    state.drained(state.token_bucket(spark.readStream.schema(requests.schema).parquet(source), 2.0, 0.1), str(tmp_path / "out"), str(tmp_path / "check"))
+    requests = spark.range(400).select((F.col("id") % 7).alias("uid"), "id", (F.col("id") * 3 % 17 + F.col("id")).alias("sec"))
+    in_files(tiles(requests, "sec", 4), source, "sec", 4)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    state.drained(state.token_bucket(stream, 2.0, 0.1), str(tmp_path / "out"), str(tmp_path / "check"))
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("uid").agg(F.count(F.when(F.col("allowed"), 1)).alias("allowed"), F.count(F.when(~F.col("allowed"), 1)).alias("denied"))
-    assert rows(got) == rows(policy.bucketed(requests, 2.0, 0.1))
+    want = rows(policy.bucketed(requests, 2.0, 0.1))
+    assert rows(got) == want and all(a and d for _, a, d in want)
 
 
-def test_streamed_log_equals_batch(spark, tmp_path):
-    full = spark.range(300).select(F.format_string("k%d", F.col("id") % 11).alias("user_key"), F.col("id").alias("seq"), F.lit(1).alias("type"), F.col("id").cast("string").alias("value"))
+def test_streamed_log_and_feed_equal_batch(spark, tmp_path):
+    full = spark.range(300).select(F.format_string("k%d", F.col("id") % 11).alias("user_key"), F.floor(F.col("id") / 2).alias("seq"), (1 + F.col("id") % 2).cast("int").alias("type"), F.col("id").cast("string").alias("value"))
     full.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(full.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     state.drained(state.newest_state(stream), str(tmp_path / "out"), str(tmp_path / "check"), mode="update")
-    got = reads.newest(spark.read.parquet(str(tmp_path / "out")))
+    got = reads.newest(spark.read.schema(full.schema).parquet(str(tmp_path / "out")).select(*full.columns))
     assert rows(got) == rows(reads.newest(full))
+    feed = full.select(F.col("seq").alias("event_no"), F.when(F.col("type") == 2, "DELETE").otherwise("PUT").alias("op"), F.col("user_key").alias("name"), F.when(F.col("seq") % 3 > 0, F.col("value")).alias("value")).where("event_no % 2 = 0 AND op = 'PUT' OR event_no % 2 = 1 AND op = 'DELETE'")
+    feed.repartition(3).write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    state.drained(state.feed_state(stream), str(tmp_path / "out2"), str(tmp_path / "check2"), mode="update")
+    assert rows(catalog.applied_feed(spark.read.schema(feed.schema).parquet(str(tmp_path / "out2")))) == rows(catalog.applied_feed(feed))
 
 
 SMALL = "/root/testdata/sf0.001"
-CHECKED = ["kv_live_scan", "kv_snapshot_scan", "lsm_flush_runs", "manifest_fold", "ring_lookup", "token_bucket", "bloom_probe"]
+CHECKED = ["kv_live_scan", "kv_snapshot_scan", "lsm_flush_runs", "manifest_fold", "ring_lookup", "token_bucket", "bloom_probe", "auth_choice", "catalog_update", "sorted_run_scan", "stream_kv_state"]
 
 
 @pytest.mark.parametrize("name", CHECKED)

@@ -1,48 +1,86 @@
-"""Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities."""
+"""Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities.
+
+Every word that the labelled sample has in two texts or more has a vector of its own, gathered from its
+contexts in all documents; the other words, which the network cannot have learnt by themselves, share
+vectors by hash bucket. So the table is bounded by the sample, and no telling word shares a vector.
+"""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import crc_of_id, kept, texts
+from .common import crc_of_id, kept, stored, texts
 
-#: Word buckets, dimensions and non-zero entries of an index vector, words on each side of a context.
+#: Buckets of words without a vector of their own, dimensions and non-zero entries of an index vector, words on each side of a context.
 BUCKETS, DIM, ENTRIES, REACH = 8192, 32, 4, 2
+#: Labelled texts in which a word must be to have a vector of its own, and words of a block of sums.
+TEXTS, BLOCK = 2, 4096
 #: Words of one text that are worked on at once.
 STRETCH = 1 << 17
 #: Labelled rows that the network is fitted on at most, those with the least hash of their id.
 SAMPLE = 20_000
 
 
-def index_vectors() -> np.ndarray:
-    """A sparse vector of ENTRIES times +1 or -1 for each bucket."""
+def index_vectors(many: int) -> np.ndarray:
+    """A sparse vector of ENTRIES times +1 or -1 for each of so many words."""
     rng = np.random.default_rng(5)
-    at = rng.permuted(np.tile(np.arange(DIM), (BUCKETS, 1)), axis=1)[:, :ENTRIES]
-    out = np.zeros((BUCKETS, DIM), np.int8)
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.int8), (BUCKETS, ENTRIES)), 1)
+    at = np.argsort(rng.random((many, DIM), np.float32), axis=1)[:, :ENTRIES]
+    out = np.zeros((many, DIM), np.int8)
+    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.int8), (many, ENTRIES)), 1)
     return out
 
 
-def _words(batches):
-    """(rows of the batch, word buckets, row of each word) by parts of a batch; words keep their case, marks are words."""
+def _split(batches):
+    """(rows of the batch, word hashes, row of each word) by parts of a batch; words keep their case, marks are words."""
     for batch in batches:
         for a, z in words.pieces(batch.column("text")):
             part = batch.slice(a, z - a)
-            h, doc = words.split(*words.utf8(part.column("text")), words.letter_words(False, True))
-            yield part, (h >> np.uint64(20)).astype(np.int64) % BUCKETS, doc
+            yield part, *words.split(*words.utf8(part.column("text")), words.letter_words(False, True))
+
+
+class Words:
+    """Numbers of words: those with a vector of their own by their sorted hashes, then the buckets."""
+
+    def __init__(self, own: np.ndarray):
+        self.own, self.many = own, len(own) + BUCKETS
+
+    def __call__(self, batches):
+        """(rows of the batch, word numbers, row of each word) by parts of a batch."""
+        for part, h, doc in _split(batches):
+            w = len(self.own) + (h >> np.uint64(20)).astype(np.int64) % BUCKETS
+            if len(self.own):
+                at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+                w = np.where(self.own[at] == h, at, w)
+            yield part, w, doc
+
+
+def own_words(labelled: DataFrame) -> Words:
+    """The words of TEXTS or more of the labelled texts, of which there are a bounded number."""
+
+    def run(batches):
+        for _, h, doc in _split(batches):
+            once = np.unique(np.stack([h, doc.astype(np.uint64)], 1), axis=0)[:, 0] if len(h) else h
+            word, n = np.unique(once, return_counts=True)
+            yield pa.record_batch({"word": pa.array(word.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    found = labelled.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= TEXTS).select("word").toArrow()
+    return Words(np.sort(found["word"].to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64))
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """A unit vector for each bucket: the sum of the index vectors around all its occurrences in all documents. The table's size is fixed."""
+def word_vectors(docs: DataFrame, known: Words) -> np.ndarray:
+    """A unit vector for each word number: the sum of the index vectors around all its occurrences in all documents."""
+    many = known.many
 
     def run(batches):
-        index = np.ascontiguousarray(index_vectors().T).astype(np.float32)
-        total = np.zeros((DIM, BUCKETS))
-        for _, all_w, all_doc in _words(batches):
+        index = np.ascontiguousarray(index_vectors(many).T).astype(np.float32)
+        total = np.zeros((DIM, many))
+        for _, all_w, all_doc in known(batches):
             for a in range(0, len(all_w), STRETCH):  # with REACH words more on either side, whose own contexts don't count here
                 b, z = max(0, a - REACH), min(len(all_w), a + STRETCH + REACH)
                 w, doc, own = all_w[b:z], all_doc[b:z], slice(a - b, min(len(all_w), a + STRETCH) - b)
@@ -53,27 +91,36 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     for step, both in enumerate(same, 1):
                         around[:-step] += x[step:] * both
                         around[step:] += x[:-step] * both
-                    total[d] += np.bincount(w[own], around[own], BUCKETS)
-        used = np.flatnonzero(total.any(0))
-        yield pa.record_batch({"bucket": pa.array(used, pa.int64())} | {f"d{d}": pa.array(total[d, used].astype(np.int64)) for d in range(DIM)})
-
-    sums = texts(docs).mapInArrow(run, "bucket long, " + ", ".join(f"d{d} long" for d in range(DIM))).groupBy("bucket").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(DIM))).toArrow()
-    out = np.zeros((BUCKETS, DIM))
-    if sums.num_rows:
-        out[sums["bucket"].to_numpy()] = np.stack([sums[f"d{d}"].to_numpy() for d in range(DIM)], 1)
+                    total[d] += np.bincount(w[own], around[own], many)
+        for k in range(0, many, BLOCK):
+            part = total[:, k : k + BLOCK].astype("<i8")
+            if part.any():
+                yield pa.record_batch({"block": pa.array([k // BLOCK], pa.int64()), "sums": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+
+    def added(group: pa.Table) -> pa.Table:
+        total = 0
+        for x in group.column("sums"):
+            total = total + np.frombuffer(zlib.decompress(x.as_py()), "<i8")
+        return pa.table({"block": group.column("block")[:1], "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    sums = texts(docs).mapInArrow(run, "block long, sums binary").groupBy("block").applyInArrow(added, "block long, sums binary").toArrow()
+    out = np.zeros((many, DIM))
+    for k, x in zip(sums["block"].to_pylist(), sums["sums"].to_pylist()):
+        part = np.frombuffer(zlib.decompress(x), "<i8").reshape(DIM, -1).T
+        out[k * BLOCK : k * BLOCK + len(part)] = part
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def pooled(vectors: np.ndarray, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
-    """Features of each row: mean and spread of its words' vectors, share of words that repeat the one before, share of different buckets, and the logarithm of its length."""
+    """Features of each row: mean and spread of its words' vectors, share of words that repeat the one before, share of different words, and the logarithm of its length."""
     out = np.zeros((rows, 2 * DIM + 3), np.float32)
     if not len(w):
         return out
     n = np.bincount(doc, minlength=rows)
     full = np.flatnonzero(n)
     first = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-    if rows == 1 and len(w) > STRETCH:  # a very long text, by its count of each bucket
-        many = np.bincount(w, minlength=BUCKETS).astype(np.float64)
+    if rows == 1 and len(w) > STRETCH:  # a very long text, by its count of each word
+        many = np.bincount(w, minlength=len(vectors)).astype(np.float64)
         mean, square = ((many @ x)[None] / n[full, None] for x in (vectors, vectors * vectors))
     else:
         v = vectors[w]
@@ -82,7 +129,7 @@ def pooled(vectors: np.ndarray, w: np.ndarray, doc: np.ndarray, rows: int) -> np
     out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(square - mean**2, 0))
     repeat = np.zeros(len(w))
     repeat[1:] = (w[1:] == w[:-1]) & (doc[1:] == doc[:-1])
-    key = np.unique(doc * BUCKETS + w) // BUCKETS
+    key = np.unique(doc * len(vectors) + w) // len(vectors)
     out[full, -3] = np.add.reduceat(repeat, first) / n[full]
     out[full, -2] = np.bincount(key, minlength=rows)[full] / n[full]
     out[full, -1] = np.log1p(n[full])
@@ -147,25 +194,27 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, train, most:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE):
-    """(word vectors, network) fitted on labelled rows that `train` holds for."""
-    vectors = word_vectors(docs)
+    """(word numbers, word vectors, network) fitted on labelled rows that `train` holds for."""
+    labelled = stored(labelled_texts(docs, labels, "quality", train, sample))
+    known = own_words(labelled)
+    vectors = word_vectors(docs, known)
 
     def run(batches):
-        for part, w, doc in _words(batches):
+        for part, w, doc in known(batches):
             x = pooled(vectors, w, doc, part.num_rows)
             yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "x": pa.array(list(x), pa.list_(pa.float32()))})
 
-    got = labelled_texts(docs, labels, "quality", train, sample).mapInArrow(run, "doc_id long, label int, x array<float>").toArrow().sort_by("doc_id")  # at most `sample` rows
+    got = labelled.mapInArrow(run, "doc_id long, label int, x array<float>").toArrow().sort_by("doc_id")  # at most `sample` rows
     x = np.stack(got["x"].to_numpy(zero_copy_only=False)) if got.num_rows else np.zeros((0, 2 * DIM + 3), np.float32)
     y = got["label"].to_numpy()
     held = got["doc_id"].to_numpy() // 3 % 5 == 0 if got.num_rows else np.zeros(0, bool)
-    return vectors, Network(x.astype(np.float64), y, held)
+    return known, vectors, Network(x.astype(np.float64), y, held)
 
 
 def without_low(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, unchanged, that quality_scores doesn't predict to be labelled 0."""
-    vectors, network = fit(docs, labels, F.pmod(crc_of_id(), F.lit(3)) != 1, sample)
-    return kept(docs, _words, lambda w, doc, rows: network(pooled(vectors, w, doc, rows).astype(np.float64)) >= 0.5)
+    known, vectors, network = fit(docs, labels, F.pmod(crc_of_id(), F.lit(3)) != 1, sample)
+    return kept(docs, known, lambda w, doc, rows: network(pooled(vectors, w, doc, rows).astype(np.float64)) >= 0.5)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -178,10 +227,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     without words; null ids and repeated rows are scored like others; other columns are ignored.
     """
     held = F.pmod(crc_of_id(), F.lit(3)) == 1
-    vectors, network = fit(docs, labels, ~held, sample)
+    known, vectors, network = fit(docs, labels, ~held, sample)
 
     def run(batches):
-        for part, w, doc in _words(batches):
+        for part, w, doc in known(batches):
             score = network(pooled(vectors, w, doc, part.num_rows).astype(np.float64))
             yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 

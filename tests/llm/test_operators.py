@@ -9,8 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kvlake.llm import graph_ann, jaccard_join, link_trust, packing, pieces, pretokens, quality, sharding, token_counts, topk_nra, toxicity, words
-from kvlake.llm import vectors as vectors_
+from kvlake.llm import graph_ann, jaccard_join, link_trust, packing, pieces, pretokens, quality, sharding, token_counts, topk_nra, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 BPE, MODEL = P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
@@ -235,7 +234,8 @@ def usable(rows, zero):
 
 
 def test_exact_top_products(spark, monkeypatch):
-    monkeypatch.setattr(vectors_, "SMALL", 200)
+    monkeypatch.setattr(topk_nra, "SMALL", 200)
+    monkeypatch.setattr(topk_nra, "ENTRIES", 16)
     df, rows = vectors(spark)
     x = {i: [int(np.floor(1024 * c)) for c in v] for i, v in usable(rows, True).items()}
     want = set()
@@ -247,7 +247,7 @@ def test_exact_top_products(spark, monkeypatch):
 
 
 def test_graph_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(vectors_, "SMALL", 300)
+    monkeypatch.setattr(graph_ann, "SMALL", 300)
     df, rows = vectors(spark)
     x = usable(rows, False)
     cosine = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
@@ -361,7 +361,7 @@ def test_fits_take_one_row_of_a_labelled_id(spark, monkeypatch):
     rows = [(1, text()) for _ in range(300)] + [(i, text()) for i in range(2, 101) for _ in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 101)], "doc_id long, quality int, toxic int")
-    assert quality.fit(docs, labels, F.lit(True), 100)[1].constant is None
+    assert quality.fit(docs, labels, F.lit(True), 100)[2].constant is None
     seen, calibrate = [], toxicity.Models.calibrate
     monkeypatch.setattr(toxicity.Models, "calibrate", lambda self, x, y: (seen.append(len(x)), calibrate(self, x, y)))
     toxicity.fit(docs, labels, F.lit(True), 100)
@@ -418,7 +418,22 @@ def test_no_telling_word_is_cut_by_rank(spark):
     assert w[0] in models.word
 
 
-def test_quality_features():
-    vectors = np.ones((quality.BUCKETS, quality.DIM), np.float32)
-    assert (quality.index_vectors() != 0).sum(1).tolist() == [quality.ENTRIES] * quality.BUCKETS
+def test_quality_features(spark):
+    vectors = np.ones((500, quality.DIM), np.float32)
+    assert (quality.index_vectors(500) != 0).sum(1).tolist() == [quality.ENTRIES] * 500
     assert quality.pooled(vectors, np.array([1, 2]), np.array([0, 0]), 1).shape == (1, 2 * 32 + 3)
+    # words of two labelled texts have numbers of their own, others share buckets
+    known = quality.own_words(spark.createDataFrame([("a b b",), ("b c",), ("c d",), ("",)], "text string"))
+    (_, w, _), = known([pa.record_batch({"text": pa.array(["b c a d e"])})])
+    assert len(known.own) == 2 and sorted(w[:2]) == [0, 1] and (w[2:] >= 2).all() and known.many == 2 + quality.BUCKETS
+
+
+def test_word_vectors_sum_contexts(spark):
+    docs = spark.createDataFrame([(1, "x y z"), (2, "z x"), (3, None)], "doc_id long, text string").repartition(2)
+    known = quality.own_words(spark.createDataFrame([("x y z",), ("x y z",)], "text string"))
+    (_, w, _), = known([pa.record_batch({"text": pa.array(["x y z"])})])
+    i = quality.index_vectors(known.many).astype(float)
+    x, y, z = (i[k] for k in w)
+    got = quality.word_vectors(docs, known)
+    for k, want in zip(w, (y + z + z, x + z, x + y + x)):
+        assert np.allclose(got[k], want / np.linalg.norm(want), atol=1e-6)

@@ -404,6 +404,12 @@ def test_trust_scores_converge(spark):
     assert got.keys() == want.keys() and all(abs(got[k] / want[k] - 1) < 1e-4 for k in want)
 
 
+def test_discounts():
+    assert toxicity.discount(0, 0, 0, 0) == 0.75
+    assert toxicity.discount(100, 50, 30, 20) == pytest.approx(3 - 4 * 0.5 * 20 / 30)
+    assert 0 < toxicity.discount(10, 5, 1, 100) <= 3
+
+
 def test_no_telling_word_is_cut_by_rank(spark):
     # 70,000 words in seven ordinary contexts each, and a toxic one in five
     rng = random.Random(11)

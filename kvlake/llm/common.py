@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; one of our own only where that is unset."""
-    if found := spark.sparkContext.getCheckpointDir():
-        return found
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kvlake-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: the session's spark.checkpoint.dir; where that is unset, one of this machine's if Spark runs on it alone."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="kvlake-"))
+    return context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from .common import stored, texts
 
 #: Bits of the key that one round of counting resolves, and bits of the key in all.
 ROUND, BITS = 12, 60
-#: Parts of the documents' ids by which a cell is dealt when its rows are numbered, so that a group of copies is not numbered in one task.
-PARTS = 16
+#: Parts in which a cell is dealt when its rows are numbered, so that a group of copies is not numbered in one task, and rows of a cell for each part more.
+PARTS, ROWS = 16, 1 << 20
 
 
 def _splitters(rows: DataFrame, key: str, wanted: list[float], tolerance: float) -> list[tuple[int, int, int]]:
@@ -62,8 +62,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.005) -
     Law `bytes`: the shards' sizes are within `tolerance` of a shard's fair share at each border (or as
     near as single documents allow). Documents are sorted by the first 60 bits of their text's MD5, so
     equal texts lie together and in one shard; only where a group of equal texts is itself larger than
-    the tolerance and lies on a border, that group is sorted on by the hash of doc_id and cut. size is
-    the text's UTF-8 bytes plus 1, a null text having none (its crc32 is 0). slot numbers a shard's rows
+    the tolerance and lies on a border, that group is sorted on by a hash of doc_id and the row's place
+    in the input, and cut. size is the text's UTF-8 bytes plus 1, a null text having none (its crc32 is 0). slot numbers a shard's rows
     from 0 without gaps. Null ids and repeated rows are rows like others; an empty table gives an empty
     result; other columns are ignored.
     """
@@ -72,7 +72,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.005) -
         (F.octet_length("text").cast("long") + 1).alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long").alias("key"),
-        F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITS).alias("salt"),
+        F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 64 - BITS).alias("salt"),
     )
     rows = stored(rows)
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -87,9 +87,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.005) -
             beyond = (F.col("key") > border) | (F.col("key") == border) & (F.col("salt") >= cut)
         shard = shard + beyond.cast("int")
     # the one exchange by shard: rows are numbered within cells, and a cell's first number follows from the counts of those before it
-    rows = rows.withColumns({"shard": shard, "cell": F.shiftright("key", BITS - ROUND) * PARTS + F.col("salt") % PARTS})
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n")).withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = Window.partitionBy("shard", "cell").orderBy("key", "salt", "doc_id", "size")
-    placed = rows.withColumn("at", F.row_number().over(inside) - 1).join(F.broadcast(counts.select("shard", "cell", "from")), ["shard", "cell"])  # at most shards + PARTS * 2**ROUND counts
+    rows = rows.withColumns({"shard": shard, "cell": F.shiftright("key", BITS - ROUND)})
+    parts = rows.groupBy("cell").agg((F.lit(PARTS) + F.floor(F.count("*") / ROWS)).alias("parts"))
+    rows = rows.join(F.broadcast(parts), "cell").withColumn("part", F.col("salt") % F.col("parts"))  # at most 2**ROUND cells
+    before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", "cell", "part").agg(F.count("*").alias("n")).withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = Window.partitionBy("shard", "cell", "part").orderBy("key", "salt", "doc_id", "size")
+    placed = rows.withColumn("at", F.row_number().over(inside) - 1).join(F.broadcast(counts.select("shard", "cell", "part", "from")), ["shard", "cell", "part"])  # at most shards + PARTS * 2**ROUND counts, and one more for each ROWS rows
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("from") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -333,9 +333,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     classes = stored(rows.where("n > 0").groupBy("sig", "gid", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("member"), *(F.max(b).alias(b) for b in BITS)))
     groups, shared = _grouped(classes), _shared(rows)
     tried = stored(_star(shared, groups, classes, percent))
-    comp = components(stored(_verified(tried, _full_sets(docs, classes, tried, width), percent)))
+    links = stored(_verified(tried, _full_sets(docs, classes, tried, width), percent)) if not tried.isEmpty() else tried
+    comp = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     of, spread, mixed = _mixed(shared, groups, classes, comp)
     for turn in range(ROUNDS):
+        if mixed.where(F.col("groups") >= LARGE).isEmpty():
+            break
         more = stored(_more_stars(mixed, spread, percent, turn).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break

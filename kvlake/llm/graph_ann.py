@@ -12,6 +12,8 @@ from .vectors import block_of, dealt, matrix, usable
 
 #: Rows of the smallest shard, components of the largest (16,384 rows of 64), queries of a block.
 SMALL, COMPONENTS, BLOCK = 2048, 1 << 20, 512
+#: Nodes of a graph for which a search's beam is once more as wide, so that large shards lose no recall.
+WIDER = 8192
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +130,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, beam: int = 64) -> D
                 names, q = block_of(batch, r)
                 unit = q / np.abs(q).max(1, keepdims=True)
                 unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                got, _ = beam_search(nodes.astype(np.float32), graph, batch.column("entry")[r].as_py(), unit.astype(np.float32), beam)
+                got, _ = beam_search(nodes.astype(np.float32), graph, batch.column("entry")[r].as_py(), unit.astype(np.float32), beam * (1 + n // WIDER))
                 score = np.where(got >= 0, np.einsum("qkd,qd->qk", nodes[got], unit), -np.inf)
                 out = []
                 for name, g, s in zip(names.tolist(), got, score):

@@ -261,10 +261,10 @@ def _grouped(classes: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(token, gid, n, pos, lead): the places of prefix shingles that more than one group has, and the least group of each."""
-    index = rows.where("prefix IS NOT NULL").select("gid", "n", "prefix").dropDuplicates(["gid"]).select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    tokens = index.groupBy("token").agg(F.min("gid").alias("lead"), F.max("gid").alias("last")).where("lead < last").select("token", "lead")
-    return stored(index.join(tokens, "token").select("token", "gid", "n", "pos", "lead"))
+    """(token, gid, pos, lead): the places of prefix shingles that more than one group has, and the least group of each."""
+    index = rows.where("prefix IS NOT NULL").select("gid", "prefix").dropDuplicates(["gid"]).select("gid", F.posexplode("prefix").alias("pos", "token"))
+    tokens = index.groupBy("token").agg(F.min("gid").alias("lead"), F.count("*").alias("groups")).where("groups > 1").select("token", "lead")
+    return stored(index.join(tokens, "token").select("token", "gid", "pos", "lead"))
 
 
 def _heads(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -286,7 +286,7 @@ def _mixed(shared: DataFrame, groups: DataFrame, classes: DataFrame, comp: DataF
     spread = stored(groups.join(of.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "gid"))
     placed = shared.join(spread.select("gid", "low", "high"), "gid")
     tokens = placed.groupBy("token").agg(F.min("low").alias("from"), F.max("high").alias("to"), F.count("*").alias("groups")).where("from < to").select("token", "groups")
-    return of, spread, stored(placed.join(tokens, "token").select("token", "gid", "n", "pos", "low", "high", "groups"))
+    return of, spread, stored(placed.join(tokens, "token").select("token", "gid", "pos", "low", "high", "groups"))
 
 
 def _more_stars(mixed: DataFrame, spread: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _more_stars(mixed: DataFrame, spread: DataFrame, percent: int, turn: int) ->
 
 def _crossing(of: DataFrame, spread: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that the bounds of size, position and bitmap leave, of groups that share a prefix shingle or are one group."""
-    a = _named(mixed.join(spread.select("gid", "reach", *BITS), "gid"), "x", "token", "gid", "pos", "low", "high", "reach")
+    a = _named(mixed.join(spread.select("gid", "n", "reach", *BITS), "gid"), "x", "token", "gid", "pos", "low", "high", "reach")
     b = a.select(*(F.col(c).alias("y" + c[1:]) for c in a.columns))
     # the first shingle that a pair has in common lies among the first n - need + 1 of both
     need = _need(F.col("x_n"), F.col("y_n"), percent)
@@ -343,7 +343,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         if more.isEmpty():
             break
         comp, tried = _extended(comp, _verified(more, _full_sets(docs, classes, more, width), percent)), tried.union(more)
-        of, spread, mixed = _mixed(mixed.select("token", "gid", "n", "pos"), groups, classes, comp)
+        of, spread, mixed = _mixed(mixed.select("token", "gid", "pos"), groups, classes, comp)
     rest = stored(_crossing(of, spread, mixed, percent).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         comp = _extended(comp, _verified(rest, _full_sets(docs, classes, rest, width), percent))

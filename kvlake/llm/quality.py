@@ -20,7 +20,7 @@ from .common import crc_of_id, kept, stored, texts
 #: Buckets of words without a vector of their own, dimensions and non-zero entries of an index vector, words on each side of a context.
 BUCKETS, DIM, ENTRIES, REACH = 8192, 32, 4, 2
 #: Labelled texts in which a word must be to have a vector of its own, and words of a block of sums.
-TEXTS, BLOCK = 2, 4096
+TEXTS, BLOCK = 5, 4096
 #: Words of one text that are worked on at once.
 STRETCH = 1 << 17
 #: Labelled rows that the network is fitted on at most, those with the least hash of their id.
@@ -104,11 +104,11 @@ def word_vectors(docs: DataFrame, known: Words) -> np.ndarray:
         return pa.table({"block": group.column("block")[:1], "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     sums = texts(docs).mapInArrow(run, "block long, sums binary").groupBy("block").applyInArrow(added, "block long, sums binary").toArrow()
-    out = np.zeros((many, DIM))
-    for k, x in zip(sums["block"].to_pylist(), sums["sums"].to_pylist()):
-        part = np.frombuffer(zlib.decompress(x), "<i8").reshape(DIM, -1).T
-        out[k * BLOCK : k * BLOCK + len(part)] = part
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    out = np.zeros((many, DIM), np.float32)
+    for k, x in zip(sums["block"].to_pylist(), sums["sums"]):
+        part = np.frombuffer(zlib.decompress(x.as_py()), "<i8").reshape(DIM, -1).T
+        out[k * BLOCK : k * BLOCK + len(part)] = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 def pooled(vectors: np.ndarray, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:

@@ -434,17 +434,19 @@ def test_no_telling_word_is_cut_by_rank(spark):
     assert w[0] in models.word
 
 
-def test_quality_features(spark):
+def test_quality_features(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TEXTS", 2)
     vectors = np.ones((500, quality.DIM), np.float32)
     assert (quality.index_vectors(500) != 0).sum(1).tolist() == [quality.ENTRIES] * 500
     assert quality.pooled(vectors, np.array([1, 2]), np.array([0, 0]), 1).shape == (1, 2 * 32 + 3)
-    # words of two labelled texts have numbers of their own, others share buckets
+    # words of TEXTS labelled texts have numbers of their own, others share buckets
     known = quality.own_words(spark.createDataFrame([("a b b",), ("b c",), ("c d",), ("",)], "text string"))
     (_, w, _), = known([pa.record_batch({"text": pa.array(["b c a d e"])})])
     assert len(known.own) == 2 and sorted(w[:2]) == [0, 1] and (w[2:] >= 2).all() and known.many == 2 + quality.BUCKETS
 
 
-def test_word_vectors_sum_contexts(spark):
+def test_word_vectors_sum_contexts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TEXTS", 2)
     docs = spark.createDataFrame([(1, "x y z"), (2, "z x"), (3, None)], "doc_id long, text string").repartition(2)
     known = quality.own_words(spark.createDataFrame([("x y z",), ("x y z",)], "text string"))
     (_, w, _), = known([pa.record_batch({"text": pa.array(["x y z"])})])

@@ -1,6 +1,6 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities.
 
-Every word that the labelled sample has in two texts or more has a vector of its own, gathered from its
+Every word that the labelled sample has in TEXTS texts or more has a vector of its own, gathered from its
 contexts in all documents; the other words, which the network cannot have learnt by themselves, share
 vectors by hash bucket. So the table is bounded by the sample, and no telling word shares a vector.
 """

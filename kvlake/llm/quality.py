@@ -29,10 +29,11 @@ SAMPLE = 20_000
 
 def index_vectors(many: int) -> np.ndarray:
     """A sparse vector of ENTRIES times +1 or -1 for each of so many words."""
-    rng = np.random.default_rng(5)
-    at = np.argsort(rng.random((many, DIM), np.float32), axis=1)[:, :ENTRIES]
-    out = np.zeros((many, DIM), np.int8)
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.int8), (many, ENTRIES)), 1)
+    rng, out = np.random.default_rng(5), np.zeros((many, DIM), np.int8)
+    for k in range(0, many, BLOCK):  # in blocks, so that temporary arrays stay small
+        part = out[k : k + BLOCK]
+        at = np.argsort(rng.random(part.shape, np.float32), axis=1)[:, :ENTRIES]
+        np.put_along_axis(part, at, rng.choice(np.array([-1, 1], np.int8), at.shape), 1)
     return out
 
 
@@ -78,20 +79,20 @@ def word_vectors(docs: DataFrame, known: Words) -> np.ndarray:
     many = known.many
 
     def run(batches):
-        index = np.ascontiguousarray(index_vectors(many).T).astype(np.float32)
-        total = np.zeros((DIM, many))
+        index = np.ascontiguousarray(index_vectors(many).T)
+        total = np.zeros((DIM, many), np.int32)  # a task has fewer words than would overflow
         for _, all_w, all_doc in known(batches):
             for a in range(0, len(all_w), STRETCH):  # with REACH words more on either side, whose own contexts don't count here
                 b, z = max(0, a - REACH), min(len(all_w), a + STRETCH + REACH)
                 w, doc, own = all_w[b:z], all_doc[b:z], slice(a - b, min(len(all_w), a + STRETCH) - b)
                 same = [(doc[step:] == doc[:-step]).astype(np.float32) for step in range(1, REACH + 1)]
                 for d in range(DIM):
-                    x = index[d][w]
+                    x = index[d][w].astype(np.float32)
                     around = np.zeros(len(w), np.float32)
                     for step, both in enumerate(same, 1):
                         around[:-step] += x[step:] * both
                         around[step:] += x[:-step] * both
-                    total[d] += np.bincount(w[own], around[own], many)
+                    total[d] += np.bincount(w[own], around[own], many).astype(np.int32)
         for k in range(0, many, BLOCK):
             part = total[:, k : k + BLOCK].astype("<i8")
             if part.any():

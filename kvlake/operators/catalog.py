@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def _latest(rows: DataFrame, key: str, order: list[str], first: bool = False) -> DataFrame:
     """One row of each key: the last in order, or the first. Spark combines rows of a key before they move."""
@@ -13,8 +15,8 @@ def _latest(rows: DataFrame, key: str, order: list[str], first: bool = False) ->
 
 
 def created(catalog: DataFrame, new: DataFrame, key: str = "name", order: tuple[str, ...] = ("created_at",)) -> tuple[DataFrame, DataFrame]:
-    """(catalogue with the new rows, new rows refused because the name was taken, by the catalogue or by an earlier one of the new rows)."""
-    ranked = new.withColumn("__row", F.monotonically_increasing_id())
+    """(catalogue with the new rows, new rows refused because the name was taken, by the catalogue or by an earlier one of the new rows). New rows are numbered once and written, as both results go by the numbers."""
+    ranked = stored(new.withColumn("__row", F.monotonically_increasing_id()))
     free = ranked.join(catalog.select(key), key, "left_anti")
     won = _latest(free, key, [*order, "__row"], first=True)
     lost = ranked.join(won.select("__row"), "__row", "left_anti")
@@ -56,6 +58,7 @@ def applied_feed(events: DataFrame) -> DataFrame:
 
 
 def parsed_watch(raw: DataFrame, prefix: str) -> DataFrame:
-    """Feed events from raw (event_no, op, key, value): keys under the prefix, and JSON that does not parse as null."""
-    body = F.from_json("value", "name string, ttl_seconds int")
-    return raw.where(F.col("key").startswith(prefix)).select("event_no", "op", F.expr(f"substring(key, {len(prefix) + 1})").alias("name"), F.when(body["name"].isNotNull(), F.col("value")).alias("value"))
+    """Feed events (event_no, op, name, value) from raw (event_no, op, key, value): keys under the prefix, whose rest is the name whatever the JSON says; a value that is no JSON object, or has fields of other types, is null."""
+    body = F.from_json("value", "name string, ttl_seconds int, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    whole = F.ltrim("value").startswith("{") & body["__bad"].isNull()
+    return raw.where(F.col("key").startswith(prefix)).select("event_no", "op", F.expr(f"substring(key, {len(prefix) + 1})").alias("name"), F.when(whole, F.col("value")).alias("value"))

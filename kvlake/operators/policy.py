@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import murmur2
+from .ordered import as_of, carried, ranged, summed
 
 #: Permissions of each role.
 ROLES = {
@@ -30,18 +31,21 @@ def needed_permission(method: Column) -> Column:
 def bucketed(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
     """(uid, allowed, denied) of a token bucket for each uid over whole seconds, ties by id.
 
-    Each decision depends on the one before, so a uid's requests pass one task in time order; they are
-    sorted by Spark, which spills, and streamed through: a task holds one bucket and one batch of rows.
+    A pause in which the bucket surely fills begins a new part, which knows nothing of those before; parts
+    are found by an ordered pass over ranges and are folded apart, so a uid with most requests is many
+    tasks' work unless it never pauses. Within a part each decision depends on the one before: its rows are
+    sorted by Spark, which spills, and streamed through one task that holds a bucket and a batch of rows.
+    Rows without a uid or second are left out.
     """
 
     def fold(batches):
-        own, tokens, last, allowed, denied, out = (), 0.0, 0, 0, 0, []
+        own, tokens, last, allowed, denied, out = None, 0.0, 0, 0, 0, []
         for batch in batches:
-            for uid, sec in zip(batch.column("uid").to_pylist(), batch.column("sec").to_pylist()):
-                if own != (uid,):
+            for uid, part, sec in zip(*(batch.column(c).to_pylist() for c in ("uid", "part", "sec"))):
+                if own != (uid, part):
                     if own:
-                        out.append((*own, allowed, denied))
-                    own, tokens, last, allowed, denied = (uid,), float(capacity), sec, 0, 0
+                        out.append((own[0], allowed, denied))
+                    own, tokens, last, allowed, denied = (uid, part), float(capacity), sec, 0, 0
                 tokens, last = min(float(capacity), tokens + max(0, sec - last) * float(rate)), sec
                 if tokens >= 1:
                     tokens, allowed = tokens - 1, allowed + 1
@@ -49,10 +53,19 @@ def bucketed(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
                     denied += 1
             yield _bucket_rows(out)
             out = []
-        yield _bucket_rows([(*own, allowed, denied)] if own else [])
+        yield _bucket_rows([(own[0], allowed, denied)] if own else [])
 
-    rows = requests.select("uid", "sec", "id").where("sec IS NOT NULL").repartition("uid").sortWithinPartitions("uid", "sec", "id")
-    return rows.mapInArrow(fold, "uid long, allowed long, denied long")
+    rows = full_parts(requests.where("uid IS NOT NULL AND sec IS NOT NULL").select(F.col("uid").cast("long").alias("uid"), F.col("sec").cast("long").alias("sec"), "id"), capacity, rate)
+    folded = rows.repartition("uid", "part").sortWithinPartitions("uid", "part", "sec", "id").select("uid", "part", "sec").mapInArrow(fold, "uid long, allowed long, denied long")
+    return folded.groupBy("uid").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))
+
+
+def full_parts(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
+    """requests (uid, sec, id) with `part`, how many pauses before them in their uid's time surely filled the bucket: its content does not depend on what came before."""
+    order = ["sec", "id"]
+    rows = carried(ranged(requests.withColumn("part", F.col("sec")), ["uid", *order]), ["uid"], order, ["part"], own=False)
+    pause = F.coalesce((F.col("sec") - F.col("part")) * F.lit(float(rate)) >= float(capacity), F.lit(False))
+    return summed(rows.withColumn("part", pause.cast("long")), ["uid"], order, ["part"]).select(*requests.columns, "part")
 
 
 def _bucket_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -101,15 +114,18 @@ def matched(requests: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
 def parsed_requests(raw: DataFrame) -> DataFrame:
     """(method, path, query, version, headers, body, state) added to raw HTTP requests (raw).
 
-    The request line is split at its blanks and the target at its first ?. Headers are lines up to the
+    The request line is split at its first two blanks, without which there is no path or version, and the target at its first ?. Headers are lines up to the
     empty one, `name: value`, of a repeated name the last; the body has Content-Length characters.
-    state is ok, more (not all is there yet) or error (a header line without a colon).
+    state is ok, more (not all is there yet) or error (a header line without a colon, as soon as that line
+    is there). Of a request whose head is not all there, nothing but its state is given, unless it is an error.
     """
     head_end = F.instr("raw", "\r\n\r\n")
-    head = F.when(head_end > 0, F.substring(F.col("raw"), F.lit(1), head_end - 1))
-    lines = F.split(head, "\r\n")
-    line = lines[0]
-    target = F.split(line, " ", 3)[1]
+    there = F.split("raw", "\r\n")
+    lines = F.when(head_end > 0, F.split(F.substring(F.col("raw"), F.lit(1), head_end - 1), "\r\n")).otherwise(F.slice(there, F.lit(1), F.size(there) - 1))  # without one that is not all there
+    bad = F.exists(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.instr(x, ":") == 0)
+    lines = F.when((head_end > 0) | bad, lines)
+    line = F.get(lines, 0)
+    target = F.get(F.split(line, " ", 3), 1)
     at = F.instr(target, "?")
     fields = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
     entries = F.transform(fields, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.substring(x, F.instr(x, ":") + 2, F.length(x)).alias("v")))
@@ -117,10 +133,10 @@ def parsed_requests(raw: DataFrame) -> DataFrame:
     out = raw.withColumns({"__line": line, "__target": target, "headers": F.map_from_entries(last)})
     size = F.coalesce(F.expr("try_cast(headers['Content-Length'] AS int)"), F.lit(0))
     body = F.substring(F.col("raw"), head_end + 4, F.length("raw"))
-    state = F.when(F.exists(fields, lambda x: F.instr(x, ":") == 0), "error").when(head_end == 0, "more").when(F.length(body) < size, "more").otherwise("ok")
+    state = F.when(bad, "error").when(head_end == 0, "more").when(F.length(body) < size, "more").otherwise("ok")
     return out.withColumns({
-        "method": F.split("__line", " ", 3)[0], "path": F.when(at > 0, F.substring(target, F.lit(1), at - 1)).otherwise(target), "query": F.when(at > 0, F.substring(target, at + 1, F.length(target))).otherwise(F.when(target.isNotNull(), "")),
-        "version": F.split("__line", " ", 3)[2], "body": F.when(state == "ok", F.substring(body, F.lit(1), size)), "state": state,
+        "method": F.get(F.split("__line", " ", 3), 0), "path": F.when(at > 0, F.substring(target, F.lit(1), at - 1)).otherwise(target), "query": F.when(at > 0, F.substring(target, at + 1, F.length(target))).otherwise(F.when(target.isNotNull(), "")),
+        "version": F.get(F.split("__line", " ", 3), 2), "body": F.when(state == "ok", F.substring(body, F.lit(1), size)), "state": state,
     }).drop("__line", "__target")
 
 
@@ -148,23 +164,39 @@ def ring(nodes: DataFrame, points: int) -> DataFrame:
 
 
 def on_ring(keys: DataFrame, ring: DataFrame) -> DataFrame:
-    """(key, node): the node of the first point at or after the key's hash, or else of the first point of all.
+    """(key, node): the node of the first point at or after the key's hash, or else of the first point of all: an as-of join from above, so rings of any size and keys go through one ordered pass."""
+    own = keys.select("key", murmur2(F.col("key"), 0).alias("h"))
+    met = as_of(own, ring.select("hash", "node"), [], -F.col("h"), -F.col("hash"), ["node"])
+    least = F.broadcast(ring.agg(F.min_by("node", "hash").alias("least")))  # one row
+    return met.crossJoin(least).select("key", F.coalesce("node", "least").alias("node"))
+
 
-    Hashes are cut into 2**18 cells by their upper bits. A key looks for its point in its own cell, and
-    where none follows there, takes the first point of the next cell that has any; only that table of
-    cells, whose size is fixed, goes through one ordered window.
+def moved_arcs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(from, to, source, target) of two rings (hash, node): the disjoint runs of hashes, both ends included, whose node changes.
+
+    The points of both rings cut the hashes into runs, and the node of a run in each ring is that of the
+    ring's next point, carried down from it; no key is looked up.
     """
-    bits = 14
-    points = ring.withColumn("cell", F.shiftright("hash", bits))
-    arcs = points.withColumn("from", F.coalesce(F.lag("hash").over(Window.partitionBy("cell").orderBy("hash")), F.lit(-1)))
-    firsts = points.groupBy("cell").agg(F.min_by("node", "hash").alias("first"))
-    all_cells = keys.sparkSession.range(1 << 32 - bits).select(F.col("id").alias("cell")).join(firsts, "cell", "left")
-    after = F.last("first", ignorenulls=True).over(Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1))
-    least = firsts.agg(F.min_by("first", "cell").alias("least"))
-    following = all_cells.withColumn("next", after).select("cell", "next").crossJoin(F.broadcast(least)).select("cell", F.coalesce("next", "least").alias("next"))  # one row
-    own = keys.select("key", murmur2(F.col("key"), 0).alias("h")).withColumn("cell", F.shiftright("h", bits))
-    met = own.join(arcs.select("cell", "from", "hash", "node"), (own["cell"] == arcs["cell"]) & (own["h"] > arcs["from"]) & (own["h"] <= arcs["hash"]), "left").select("key", own["cell"], "node")
-    return met.join(following, "cell").select("key", F.coalesce("node", "next").alias("node"))
+    points = before.select("hash", F.col("node").alias("source")).unionByName(after.select("hash", F.col("node").alias("target")), allowMissingColumns=True)
+    points = points.groupBy("hash").agg(F.max("source").alias("source"), F.max("target").alias("target"))
+    first = [F.broadcast(r.agg(F.min_by("node", "hash").alias(n))) for r, n in ((before, "__source"), (after, "__target"))]  # one row each
+    top = points.sparkSession.createDataFrame([(1 << 32,)], "hash long").crossJoin(first[0]).crossJoin(first[1]).select("hash", F.col("__source").alias("source"), F.col("__target").alias("target"))
+    # what lies above a ring's last point belongs to its first
+    known = carried(points.unionByName(top).withColumn("down", -F.col("hash")), [], ["down"], ["source", "target"])
+    runs = carried(known.withColumn("before", F.col("hash")), [], ["hash"], ["before"], own=False)
+    arcs = runs.select((F.coalesce("before", F.lit(-1)) + 1).alias("from"), F.least("hash", F.lit((1 << 32) - 1)).alias("to"), "source", "target")
+    return arcs.where("source != target AND from <= to")
+
+
+def moves(arcs: DataFrame) -> DataFrame:
+    """(source, target, share): what part of all hashes goes from one node to the other."""
+    return arcs.groupBy("source", "target").agg((F.sum(F.col("to") - F.col("from") + 1) / (1 << 32)).alias("share"))
+
+
+def moved_keys(keys: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(key, source, target) of the keys in arcs that move."""
+    own = keys.select("key", murmur2(F.col("key"), 0).alias("__h"))
+    return as_of(own, arcs, [], F.col("__h"), F.col("from"), ["to", "source", "target"]).where("__h <= to").select("key", "source", "target")
 
 
 def marked(upstreams: DataFrame, marks: DataFrame) -> DataFrame:
@@ -188,6 +220,20 @@ def health(probes: DataFrame, down: int = 3, up: int = 2) -> DataFrame:
     return runs.select("node", "ok", "from", "n", F.when(F.col("ok") & (F.col("n") >= up), "up").when(~F.col("ok") & (F.col("n") >= down), "down").alias("sets"))
 
 
+def node_states(probes: DataFrame, down: int = 3, up: int = 2) -> DataFrame:
+    """(node, id, up) after each probe (node, id, ok): a node that is up goes down after `down` failed probes in a row, and up again after `up` good ones; new nodes are up.
+
+    A probe's run is as long as its distance from the last one of the other result; the last run that was
+    long enough sets the state. All are ordered passes over ranges, so a node's probes are many tasks' work.
+    """
+    rows = ranged(probes.where("node IS NOT NULL").select("node", "id", "ok", F.lit(1).alias("n")), ["node", "id"])
+    rows = summed(rows, ["node"], ["id"], ["n"])
+    rows = carried(rows.withColumns({"good": F.when(F.col("ok"), F.col("n")), "bad": F.when(~F.col("ok"), F.col("n"))}), ["node"], ["id"], ["good", "bad"])
+    run = F.col("n") - F.coalesce(F.when(F.col("ok"), F.col("bad")).otherwise(F.col("good")), F.lit(0))
+    sets = F.when(F.col("ok") & (run >= up), True).when(~F.col("ok") & (run >= down), False)
+    return carried(rows.withColumn("up", sets), ["node"], ["id"], ["up"]).select("node", "id", F.coalesce("up", F.lit(True)).alias("up"))
+
+
 def error_class(status: Column) -> Column:
     return F.when(status < 400, "ok").when(status == 400, "bad_request").when(status == 401, "unauthorized").when(status == 403, "forbidden").when(status == 404, "not_found").when(status == 409, "conflict").when(status == 429, "rate_limited").otherwise("internal")
 

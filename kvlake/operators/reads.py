@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import PUT
-
+from .ordered import as_of
 
 
 def newest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -37,6 +37,17 @@ def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
     return asked.join(live(log.join(asked, "user_key", "left_semi")).select("user_key", "value"), "user_key", "left")
 
 
+def snapshot_get(log: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (user_key, snapshot and others), each with the value that its key had at its own snapshot; null where the key had none or was deleted.
+
+    Versions and requests go through one ordered pass by key and number, so a key with most of them is many
+    tasks' work. A null key or snapshot finds nothing.
+    """
+    known = log.select("user_key", F.col("seq").alias("__seq"), F.col("type").alias("__type"), F.col("value").alias("__value"))
+    found = as_of(asked, known, ["user_key"], F.col("snapshot"), F.col("__seq"), ["__type", "__value"], ties=(-F.col("__type"),))
+    return found.select(*asked.columns, F.when(F.col("__type") == PUT, F.col("__value")).alias("value"))
+
+
 def between(rows: DataFrame, start: str = "", end: str = "", closed: bool = False) -> DataFrame:
     """Half-open [start, end), or closed; an empty bound is none."""
     if start:

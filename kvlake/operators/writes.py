@@ -69,9 +69,3 @@ def existing(log: DataFrame, keys: DataFrame) -> DataFrame:
     """(user_key, existed) for each key to delete."""
     there = live(log).select("user_key", F.lit(True).alias("found"))
     return keys.select("user_key").distinct().join(there, "user_key", "left").select("user_key", F.coalesce("found", F.lit(False)).alias("existed"))
-
-
-def range_deleted(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows not covered by a newer range tombstone (start, end, del_seq), end exclusive; ranges are few."""
-    covered = (rows["user_key"] >= ranges["start"]) & (rows["user_key"] < ranges["end"]) & (rows["seq"] < ranges["del_seq"])
-    return rows.join(F.broadcast(ranges), covered, "left_anti")

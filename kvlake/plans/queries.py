@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..operators import auth, catalog, metrics, policy, reads, storage, writes
+from ..operators import auth, catalog, metrics, policy, ranges, reads, storage, writes
 from ..sources.tables import manifest, oplog, requests, streamed, table, workspace, write_sorted_run
 from ..streaming import state
 
@@ -188,8 +188,8 @@ def kv_delete_then_scan(spark, d):
 
 @query(f"WITH {NEWEST} SELECT user_key, value FROM live WHERE NOT (user_key >= 'u000010' AND user_key < 'u000030' AND seq < 9000) AND NOT (user_key >= 'u000020' AND user_key < 'u000060' AND seq < 4000)")
 def kv_range_delete(spark, d):
-    ranges = spark.createDataFrame([("u000010", "u000030", 9000), ("u000020", "u000060", 4000)], "start string, end string, del_seq long")
-    return writes.range_deleted(reads.live(oplog(spark, d)), ranges).select("user_key", "value")
+    dead = spark.createDataFrame([("u000010", "u000030", 9000), ("u000020", "u000060", 4000)], "start string, end string, del_seq long")
+    return ranges.range_deleted(reads.live(oplog(spark, d)), dead).select("user_key", "value")
 
 
 # --- storage ---------------------------------------------------------------------------------------
@@ -445,11 +445,12 @@ def catalog_ttl(spark, d):
     return catalog.unexpired(collections(spark, d), 500).select("name", "ttl_seconds")
 
 
-@query(f"WITH {FEED}, raw AS (SELECT event_no, op, CASE WHEN event_no % 10 = 0 THEN '/other/' ELSE '/titles/' END || name AS key, CASE WHEN value IS NOT NULL AND event_no % 4 = 0 THEN 'broken' WHEN value IS NOT NULL THEN CAST(json_object('name', name, 'ttl_seconds', event_no) AS VARCHAR) END AS body, event_no % 4 <> 0 AND value IS NOT NULL AS fine FROM feed) SELECT event_no, op, substr(key, 9) AS name, CASE WHEN fine THEN CAST(regexp_extract(body, ':([0-9]+)', 1) AS INTEGER) END AS ttl_seconds FROM raw WHERE starts_with(key, '/titles/')")
+@query(f"WITH {FEED}, raw AS (SELECT event_no, op, CASE WHEN event_no % 10 = 0 THEN '/other/' ELSE '/titles/' END || name AS key, CASE WHEN value IS NOT NULL AND event_no % 4 = 0 THEN 'broken' WHEN value IS NOT NULL AND event_no % 4 = 1 THEN CAST(json_object('ttl_seconds', event_no) AS VARCHAR) WHEN value IS NOT NULL THEN CAST(json_object('name', name, 'ttl_seconds', event_no) AS VARCHAR) END AS body, event_no % 4 <> 0 AND value IS NOT NULL AS fine FROM feed) SELECT event_no, op, substr(key, 9) AS name, CASE WHEN fine THEN CAST(regexp_extract(body, ':([0-9]+)', 1) AS INTEGER) END AS ttl_seconds FROM raw WHERE starts_with(key, '/titles/')")
 def catalog_watch_parse(spark, d):
     f = feed(spark, d)
     key = F.concat(F.when(F.col("event_no") % 10 == 0, "/other/").otherwise("/titles/"), F.col("name"))
-    body = F.when(F.col("event_no") % 4 == 0, "broken").otherwise(F.to_json(F.struct("name", F.col("event_no").alias("ttl_seconds"))))
+    ttl = F.col("event_no").alias("ttl_seconds")
+    body = F.when(F.col("event_no") % 4 == 0, "broken").when(F.col("event_no") % 4 == 1, F.to_json(F.struct(ttl))).otherwise(F.to_json(F.struct("name", ttl)))
     parsed = catalog.parsed_watch(f.select("event_no", "op", key.alias("key"), F.when(F.col("value").isNotNull(), body).alias("value")), "/titles/")
     return parsed.select("event_no", "op", "name", F.get_json_object("value", "$.ttl_seconds").cast("int").alias("ttl_seconds"))
 
@@ -574,14 +575,16 @@ def route_param(spark, d):
     return found.select("id", "path", "target", F.col("params")["page"].alias("page"), F.col("params")["lang"].alias("lang"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 7 = 6 THEN NULL WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN page_id % 7 = 6 THEN NULL WHEN instr(url, '?') > 0 THEN substr(url, 1, instr(url, '?') - 1) ELSE url END AS path, CASE WHEN page_id % 7 = 6 THEN NULL WHEN instr(url, '?') > 0 THEN substr(url, instr(url, '?') + 1) ELSE '' END AS query,
-CASE WHEN page_id % 7 <> 6 THEN 'HTTP/1.1' END AS version, CASE WHEN page_id % 7 <> 6 THEN 'b' || page_id END AS tag, CASE WHEN page_id % 7 = 6 OR page_id % 7 = 5 THEN NULL ELSE 'body ' || page_id END AS body, CASE WHEN page_id % 7 = 6 THEN 'more' WHEN page_id % 7 = 5 THEN 'error' ELSE 'ok' END AS state FROM pages WHERE instr(url, ' ') = 0""")
+@query("""WITH p AS (SELECT page_id, page_id % 7 AS k, split_part(url, ' ', 1) AS target, CASE WHEN instr(url, ' ') > 0 THEN substr(url, instr(url, ' ') + 1) || ' ' ELSE '' END || 'HTTP/1.1' AS version FROM pages)
+SELECT page_id, CASE WHEN k = 6 THEN NULL WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN k = 6 THEN NULL WHEN instr(target, '?') > 0 THEN substr(target, 1, instr(target, '?') - 1) ELSE target END AS path, CASE WHEN k = 6 THEN NULL WHEN instr(target, '?') > 0 THEN substr(target, instr(target, '?') + 1) ELSE '' END AS query,
+CASE WHEN k <> 6 THEN version END AS version, CASE WHEN k <> 6 THEN 'b' || page_id END AS tag, CASE WHEN k >= 4 THEN NULL ELSE 'body ' || page_id END AS body, CASE WHEN k = 6 THEN 'more' WHEN k >= 4 THEN 'error' ELSE 'ok' END AS state FROM p""")
 def http_request_parse(spark, d):
-    pages = table(spark, d, "pages").where(F.instr("url", " ") == 0)
+    pages = table(spark, d, "pages")
     k, body = F.col("page_id"), F.concat(F.lit("body "), F.col("page_id").cast("string"))
     line = F.concat(F.when(k % 5 == 0, "POST ").otherwise("GET "), "url", F.lit(" HTTP/1.1\r\n"))
-    heads = F.concat(F.lit("X-Tag: a\r\nX-Tag: b"), k.cast("string"), F.when(k % 7 == 5, "\r\nno colon").otherwise(""), F.lit("\r\nContent-Length: "), F.length(body).cast("string"))
-    raw = F.concat(line, heads, F.when(k % 7 != 6, F.concat(F.lit("\r\n\r\n"), body, F.lit("next"))).otherwise(""))
+    # of 7: 4 has a bad line in a head that is not all there, 5 one in a whole head, 6 no end of its head
+    heads = F.concat(F.lit("X-Tag: a\r\nX-Tag: b"), k.cast("string"), F.when((k % 7 == 4) | (k % 7 == 5), "\r\nno colon").otherwise(""), F.lit("\r\nContent-Length: "), F.length(body).cast("string"))
+    raw = F.concat(line, heads, F.when((k % 7 != 6) & (k % 7 != 4), F.concat(F.lit("\r\n\r\n"), body, F.lit("next"))).otherwise(""))
     got = policy.parsed_requests(pages.select("page_id", raw.alias("raw")))
     return got.select("page_id", "method", "path", "query", "version", F.col("headers")["X-Tag"].alias("tag"), "body", "state")
 

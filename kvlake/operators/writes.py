@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import DELETE, PUT
+from .ordered import numbered
 from .reads import live
 
 
@@ -40,19 +41,13 @@ def batch_counts(ops: DataFrame) -> DataFrame:
     return ops.groupBy("batch_id").agg(F.count("*").alias("count"))
 
 
-def applied(ops: DataFrame, base: int, block: int = 4096) -> DataFrame:
+def applied(ops: DataFrame, base: int) -> DataFrame:
     """Log rows of write batches given as ops (batch_id, op_no, type, key, value): consecutive sequence numbers after base, in batch and op order.
 
-    Batches are counted, and counts summed in blocks of batch ids, so that the one ordered window sees a
-    number per block; ops are numbered within their batch.
+    Ops are numbered by an ordered pass over ranges, which hand on their counts; no window sees more than a row for each range.
     """
-    sizes = batch_counts(ops).withColumn("block", F.floor(F.col("batch_id") / block))
-    before = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = sizes.groupBy("block").agg(F.sum("count").alias("count")).select("block", before(Window.orderBy("block")).alias("from"))
-    first = sizes.withColumn("in_block", before(Window.partitionBy("block").orderBy("batch_id"))).join(blocks, "block").select("batch_id", (F.col("from") + F.col("in_block") + base).alias("first"))
-    own = F.row_number().over(Window.partitionBy("batch_id").orderBy("op_no"))
-    rows = ops.withColumn("own", own).join(first, "batch_id")
-    return rows.select(F.col("key").alias("user_key"), (F.col("first") + F.col("own")).cast("long").alias("seq"), "type", F.when(F.col("type") == PUT, F.col("value")).otherwise("").alias("value"))
+    rows = numbered(ops, ["batch_id", "op_no"], "__n")
+    return rows.select(F.col("key").alias("user_key"), (F.col("__n") + base + 1).cast("long").alias("seq"), "type", F.when(F.col("type") == PUT, F.col("value")).otherwise("").alias("value"))
 
 
 def deletes(keys: DataFrame, base: int) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import breaker, policy, ranges, reads, stitch, transactions
+from ..operators import breaker, families, percentiles, policy, ranges, reads, stitch, transactions
 from ..sources.tables import oplog, requests, table, workspace
-from ..streaming import ordered
+from ..streaming import ordered, state
 from .queries import LOG, NAMES, REQUESTS, murmur_sql, query, ran
 
 # --- snapshots, range tombstones, transactions -----------------------------------------------------
@@ -84,6 +84,34 @@ def txn_log(spark, d):
     return transactions.committed_log(order_transactions(spark, d), *order_keys(spark, d), 500)
 
 
+# --- column families ---------------------------------------------------------------------------------
+
+#: Orders' lines as write batches over three families, by how they were returned; a write's time is its order.
+FAMILY_LOG = """ops AS (SELECT l_returnflag AS family, printf('p%d', l_partkey) AS user_key, l_orderkey AS batch, max(l_linenumber) AS type, max(l_suppkey) AS value FROM lineitem GROUP BY 1, 2, 3),
+flog AS (SELECT family, user_key, 100 + row_number() OVER (ORDER BY batch, family, user_key) AS seq, CASE WHEN type % 5 = 4 THEN 2 ELSE 1 END AS type, CASE WHEN type % 5 = 4 THEN '' ELSE CAST(value AS VARCHAR) END AS value, batch AS written FROM ops)"""
+
+
+def family_log(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("family"), F.format_string("p%d", "l_partkey").alias("key"), F.col("l_orderkey").alias("batch_id")).agg(F.max("l_linenumber").alias("line"), F.max("l_suppkey").cast("string").alias("value"))
+    ops = lines.select("batch_id", F.struct("family", "key").alias("op_no"), "family", F.when(F.col("line") % 5 == 4, 2).otherwise(1).alias("type"), "key", "value", F.col("batch_id").alias("at"))
+    return families.applied(ops, 100)
+
+
+@query(f"""WITH {FAMILY_LOG}, newest AS (SELECT * FROM flog QUALIFY row_number() OVER (PARTITION BY family, user_key ORDER BY seq DESC) = 1), last AS (SELECT max(l_orderkey) AS t FROM lineitem)
+SELECT family, user_key, seq, value FROM newest, last WHERE type = 1 AND (family = 'N' OR written + CASE family WHEN 'A' THEN t // 4 ELSE t // 2 END > t)""")
+def cf_live(spark, d):
+    end = table(spark, d, "lineitem").agg(F.max("l_orderkey")).first()[0] or 0
+    ttl = spark.createDataFrame([("A", end // 4), ("R", end // 2), ("N", 0)], "family string, ttl long")
+    return families.live(family_log(spark, d), ttl, end)
+
+
+@query(f"WITH {FAMILY_LOG} SELECT user_key, seq, type, value FROM flog WHERE family = 'R' AND seq <= 20000")
+def cf_pruned_read(spark, d):
+    path = workspace(spark)
+    families.write(family_log(spark, d), path)
+    return families.read(spark, path, "R").where("seq <= 20000").select("user_key", "seq", "type", "value")
+
+
 # --- streams in chunks -----------------------------------------------------------------------------
 
 
@@ -194,6 +222,32 @@ def ring_moves(spark, d):
     return policy.moves(policy.moved_arcs(*rings(spark, d)))
 
 
+# --- sliding percentiles and alerts --------------------------------------------------------------------
+
+GROWTH = 1.02 / 0.98
+SLIDING = f"""panes AS (SELECT CAST(epoch(ts) AS BIGINT) // 21600 AS pane, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / ln({GROWTH!r}::DOUBLE)) AS INTEGER) ELSE -1073741824 END AS bucket, count(*) AS n FROM (SELECT floor(epoch(ts)) AS e, * FROM events) WHERE value IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT pane - k AS first, bucket, sum(n) AS n FROM panes, range(0, 4) AS r(k) GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER (PARTITION BY first ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY first) AS total FROM w),
+marks AS (SELECT first, CAST(any_value(total) AS BIGINT) AS n, min(CASE WHEN upto >= ceil(0.5::DOUBLE * total) THEN bucket END) AS b50, min(CASE WHEN upto >= ceil(0.99::DOUBLE * total) THEN bucket END) AS b99 FROM c GROUP BY first),
+windows AS (SELECT first, make_timestamp(first * 21600 * 1000000) AS start, n, round(CASE WHEN b50 = -1073741824 THEN 0 ELSE pow({GROWTH!r}::DOUBLE, b50) * {2 / (1 + GROWTH)!r}::DOUBLE END, 6) AS p50, round(CASE WHEN b99 = -1073741824 THEN 0 ELSE pow({GROWTH!r}::DOUBLE, b99) * {2 / (1 + GROWTH)!r}::DOUBLE END, 6) AS p99 FROM marks)""".replace("CAST(epoch(ts) AS BIGINT)", "CAST(e AS BIGINT)")
+
+
+def sliding_windows(rows: DataFrame, late: str | None = None) -> DataFrame:
+    found = percentiles.sliding(rows, "24 hours", "6 hours", {"p50": 0.5, "p99": 0.99}, 0.02, late)
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
+
+
+@query(f"WITH {SLIDING} SELECT start, n, p50, p99 FROM windows")
+def reqlog_percentiles(spark, d):
+    return sliding_windows(requests(spark, d))
+
+
+@query(f"""WITH {SLIDING}, h AS (SELECT first, start, p99, first - row_number() OVER (ORDER BY first) AS run FROM windows WHERE p99 > 225)
+SELECT min(start) AS "from", max(start) AS "to", count(*) AS windows, max(p99) AS worst FROM h GROUP BY run HAVING count(*) >= 2""")
+def reqlog_alerts(spark, d):
+    return percentiles.alerts(sliding_windows(requests(spark, d)), "p99", 225.0, least=2)
+
+
 # --- ordered state over streams: rows come in any order within a day ----------------------------------
 
 #: The last day of the log is not final: the watermark stands a day before its end.
@@ -236,3 +290,16 @@ AND NOT EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'error' AND o.user_i
 def stream_revocation(spark, d):
     rows = lambda kind: jumbled(spark, d).where(kind).select(F.col("event_id").alias("id"), F.col("user_id").alias("jti"), F.col("ts").cast("timestamp").alias("ts"))
     return ran(ordered.not_revoked(rows("event_type != 'error'"), rows("event_type = 'error'").drop("id"), "1 day", "12 HOURS").select("id", "jti"), "append")
+
+
+@query(f"WITH {SLIDING} SELECT start, n, p50, p99 FROM windows WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def stream_percentiles(spark, d):
+    rows = jumbled(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"))
+    return ran(sliding_windows(rows, "1 day"), "append")
+
+
+@query("SELECT user_id AS node, max(ts) AS ts, arg_max(value, ts) AS value FROM events GROUP BY user_id")
+def stream_latest(spark, d):
+    samples = jumbled(spark, d).select(F.col("user_id").alias("node"), "ts", "value")
+    seen = ran(state.latest(samples, "node", "ts"), "update")
+    return seen.groupBy("node").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))

@@ -80,6 +80,11 @@ def feed_state(events: DataFrame) -> DataFrame:
     return events.groupBy("name").applyInPandasWithState(step, "event_no long, op string, name string, value string", "event_no long", "update", GroupStateTimeout.NoTimeout)
 
 
+def latest(samples: DataFrame, key: str, by: str) -> DataFrame:
+    """The latest sample of each key whenever it changes, for a stream in update mode: the aggregate's state is one sample a key, and ties go to the largest."""
+    return samples.where(F.col(by).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*samples.columns), F.struct(by, *samples.columns)).alias("__s")).select("__s.*")
+
+
 def windowed_requests(requests: DataFrame, late: str, length: str) -> DataFrame:
     """Counts by tumbling window of a streamed request log; rows later than the watermark are left out."""
     return requests.withWatermark("ts", late).groupBy(F.window("ts", length)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")

@@ -321,7 +321,7 @@ def test_streams_in_any_order_equal_batch(spark, tmp_path):
 
 def test_revocation_as_a_stream(spark, tmp_path):
     rng = random.Random(8)
-    data = [(rng.randrange(12), rng.randrange(3000), k, rng.random() < 0.15) for k in range(400)]
+    data = [(rng.randrange(12), rng.randrange(1000, 4000), k, rng.random() < 0.15) for k in range(400)]  # a stream begins with its watermark at 0
     schema = "jti long, sec long, id long, out boolean"
     make = lambda s: streams.not_revoked(s.where("NOT out").select("jti", "id", F.timestamp_seconds("sec").alias("ts")), s.where("out").select("jti", F.timestamp_seconds("sec").alias("ts")), "100 seconds", "400 SECONDS").select("id")
     got = sorted(r["id"] for r in run_stream(spark, tmp_path, make, jumbled(rng, data, 100), schema))
@@ -333,3 +333,76 @@ def test_revocation_as_a_stream(spark, tmp_path):
     clean = lambda jti, sec: not any(sec - 400 < o <= sec for o in outs[jti])
     want = sorted(k for jti, sec, k, out in data if not out and clean(jti, sec))
     assert set(got) <= set(want) and len(got) == len(set(got)) and {k for jti, sec, k, out in data if not out and clean(jti, sec) and sec < final} <= set(got)
+
+
+def test_bucketed_percentiles_are_near(spark):
+    from kvlake.operators import percentiles
+
+    rng = random.Random(7)
+    data = [(k * 7, rng.lognormvariate(3, 2) if k % 9 else rng.choice([0.0, -1.0, None])) for k in range(3000)]
+    df = spark.createDataFrame(data, "sec long, latency_ms double").select(F.timestamp_seconds("sec").alias("ts"), "latency_ms").repartition(4)
+    got = percentiles.sliding(df, "60 minutes", "20 minutes", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, 0.01)
+    seen = 0
+    for r in got.select(F.unix_seconds("start").alias("s"), "n", "p10", "p50", "p99").collect():
+        own = sorted(max(x, 0.0) for t, x in data if x is not None and r["s"] <= t < r["s"] + 3600)
+        assert r["n"] == len(own)
+        for c, q in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)):
+            want = own[max(1, -int(-q * len(own) // 1)) - 1]
+            assert abs(r[c] - want) <= 0.0101 * want
+        seen += 1
+    assert seen == len({(t // 1200) - k for t, _ in data for k in range(3)})
+    # however many values there are, a sketch has no more buckets than their range has
+    many = spark.range(50000).select(F.lit(5).cast("timestamp").alias("ts"), (F.pow(F.lit(10.0), F.col("id") % 13 - 3) * (1 + F.rand(1))).alias("latency_ms"))
+    assert many.select(percentiles.bucket(F.col("latency_ms"), 0.01)).distinct().count() < 1500
+
+
+def test_alerts_are_runs(spark, many_ranges):
+    from kvlake.operators import percentiles
+
+    values = [1, 9, 9, 1, None, 9, 9, 9, 1, 9]
+    windows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "start long, p99 int").repartition(3)
+    assert rows(percentiles.alerts(windows, "p99", 5, 2)) == [(1, 2, 2, 9), (5, 7, 3, 9)]
+    assert rows(percentiles.alerts(windows, "p99", 5)) == [(1, 2, 2, 9), (5, 7, 3, 9), (9, 9, 1, 9)]
+    assert percentiles.alerts(windows.limit(0), "p99", 5).count() == 0
+
+
+def test_streamed_percentiles_and_latest_equal_batch(spark, tmp_path):
+    from kvlake.operators import percentiles
+    from kvlake.streaming import state
+
+    rng = random.Random(9)
+    data = [(rng.randrange(4), rng.randrange(1000, 9000), k, rng.lognormvariate(2, 1)) for k in range(800)]
+    schema = "node long, sec long, id long, latency_ms double"
+    timed = lambda s: s.select("node", "id", "latency_ms", F.timestamp_seconds("sec").alias("ts"))
+    make = lambda s, late=None: percentiles.sliding(timed(s), "30 minutes", "10 minutes", {"p50": 0.5}, 0.01, late)
+    got = run_stream(spark, tmp_path / "a", lambda s: make(s, "200 seconds"), jumbled(rng, data, 200), schema)
+    final = max(r[1] for r in data) - 200
+    batch = {r["start"]: (r["n"], r["p50"]) for r in make(spark.createDataFrame(data, schema)).where((F.unix_seconds("start") + 1800 <= final)).collect()}
+    assert {r["start"]: (r["n"], r["p50"]) for r in got} == batch and len(got) == len(batch) > 8
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a" / "in" / "*"))
+    drained(state.latest(stream, "node", "sec"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), "update")
+    seen = spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()
+    best = {}
+    for r in sorted(seen, key=lambda r: (r["sec"], r["node"], r["sec"], r["id"])):
+        best[r["node"]] = r["id"]
+    assert best == {n: max((s, n, s, k) for m, s, k, _ in data if m == n)[3] for n in range(4)} and len(seen) > 4
+
+
+def test_families_are_read_apart(spark, tmp_path):
+    from kvlake.operators import families
+
+    ops = [(2, 0, "a", 1, "k", "v2", 20), (1, 1, "b", 1, "k", "w", 10), (1, 0, "a", 1, "k", "v1", 10), (2, 1, "b", 2, "k", "", 20), (3, 0, None, 1, "k", "none", 30), (3, 1, "a", 1, "x", "old", 1)]
+    df = spark.createDataFrame(ops, "batch_id long, op_no long, family string, type int, key string, value string, at long").repartition(3)
+    log = families.applied(df, 7).cache()
+    assert [tuple(r) for r in log.select("seq", "family", "value").orderBy("seq").collect()] == [(8, "a", "v1"), (9, "b", "w"), (10, "a", "v2"), (11, "b", ""), (12, "", "none"), (13, "a", "old")]
+    ttl = spark.createDataFrame([("a", 15), ("b", 0)], "family string, ttl long")
+    assert rows(families.live(log, ttl, 30)) == [("", "k", 12, "none"), ("a", "k", 10, "v2")]
+    assert rows(families.live(log, ttl, 30, snapshot=9)) == [("b", "k", 9, "w")]
+    path = str(tmp_path / "log")
+    families.write(log, path)
+    own = families.read(spark, path, "a")
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "(family#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert {f.split("family=")[1].split("/")[0] for f in own.inputFiles()} <= {"a", "b", "__HIVE_DEFAULT_PARTITION__"}
+    assert own.count() == 3 and families.read(spark, path, "").count() == 1 and families.read(spark, path).count() == 6
+    assert families.dropped(log, spark.createDataFrame([("a",), ("a",)], "family string")).count() == 3

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import breaker, families, percentiles, policy, ranges, reads, stitch, transactions
+from ..operators import breaker, families, percentiles, policy, ranges, reads, stitch, transactions, upstreams
+from ..operators.ordered import numbered
 from ..sources.tables import oplog, requests, table, workspace
 from ..streaming import ordered, state
 from .queries import LOG, NAMES, REQUESTS, murmur_sql, query, ran
@@ -222,6 +223,44 @@ def ring_moves(spark, d):
     return policy.moves(policy.moved_arcs(*rings(spark, d)))
 
 
+#: Pools of a nation's suppliers: loaded at the start, loaded anew in reverse order with some customers, marked by orders; other customers ask.
+PICKS = """s AS (SELECT s_nationkey AS pool, s_suppkey AS u, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS many FROM supplier),
+lists AS (SELECT pool, list(u ORDER BY u) AS fwd, list(u ORDER BY u DESC) AS rev FROM s GROUP BY pool),
+e AS (
+  SELECT pool, -1 AS t, 0 AS side, CAST(0 AS BIGINT) AS no, fwd AS l, CAST(NULL AS BIGINT) AS u, CAST(NULL AS BOOLEAN) AS up FROM lists
+  UNION ALL SELECT pool, c_custkey, 0, 0, rev, NULL, NULL FROM customer JOIN lists ON pool = c_nationkey WHERE c_custkey % 97 = 5
+  UNION ALL SELECT pool, o_orderkey // 10, 0, o_orderkey + 1, NULL, u, o_orderstatus <> 'F' FROM orders JOIN s ON o_orderkey * 7919 % many = k
+  UNION ALL SELECT c_nationkey, c_custkey, 1, c_custkey, NULL, NULL, NULL FROM customer WHERE c_custkey % 97 <> 5 AND c_nationkey IN (SELECT pool FROM s)
+), q AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY t, side, no) AS i FROM e),
+f AS (
+  SELECT pool, i, no, side, l, CAST([] AS BIGINT[]) AS down, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS pick FROM q WHERE i = 1
+  UNION ALL
+  SELECT pool, i, no, side, l, down, CASE WHEN fresh THEN 0 WHEN pos IS NULL THEN turn ELSE (pos + 1) % len(l) END, CASE WHEN pos IS NOT NULL THEN l[pos + 1] END
+  FROM (SELECT q.pool, q.i, q.no, q.side, coalesce(q.l, f.l) AS l, q.l IS NOT NULL AS fresh, f.turn,
+          CASE WHEN q.l IS NOT NULL THEN [] WHEN q.side = 1 THEN f.down WHEN q.up THEN list_filter(f.down, lambda x: x <> q.u) ELSE list_distinct(list_append(f.down, q.u)) END AS down,
+          CASE WHEN q.side = 1 THEN list_filter(list_transform(range(0, len(f.l)), lambda x: (f.turn + x) % len(f.l)), lambda x: NOT list_contains(f.down, f.l[x + 1]))[1] END AS pos
+        FROM f JOIN q ON q.pool = f.pool AND q.i = f.i + 1)
+)"""
+
+
+@query(f"WITH RECURSIVE {PICKS} SELECT no AS id, pool, CAST(pick AS VARCHAR) AS host, pick AS port FROM f WHERE side = 1")
+def upstream_next_at(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("pool"), F.struct(F.col("s_suppkey").cast("string").alias("host"), F.col("s_suppkey").cast("long").alias("port"), F.lit(True).alias("healthy")).alias("u"))
+    lists = s.groupBy("pool").agg(F.collect_list("u").alias("x"))
+    by_port = lambda sign: F.array_sort("x", lambda a, b: sign * (a["port"] - b["port"]).cast("int"))
+    none = {"host": F.lit(None).cast("string"), "port": F.lit(None).cast("long"), "up": F.lit(None).cast("boolean")}
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    loads = lists.select("pool", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("no"), by_port(1).alias("list"))
+    again = c.where(k % 97 == 5).join(lists, F.col("c_nationkey") == F.col("pool")).select("pool", k.cast("long").alias("at"), F.lit(0).cast("long").alias("no"), by_port(-1).alias("list"))
+    loads = loads.unionByName(again).select("*", *(v.alias(n) for n, v in none.items()))
+    many = s.agg(F.count("*").alias("many"))
+    marked = numbered(s.withColumn("port", F.col("u.port")), ["port"], "k").drop("port")
+    o = table(spark, d, "orders").crossJoin(F.broadcast(many)).withColumn("k", F.col("o_orderkey") * 7919 % F.col("many"))  # one row
+    marks = o.join(marked, "k").select("pool", F.floor(F.col("o_orderkey") / 10).cast("long").alias("at"), (F.col("o_orderkey") + 1).alias("no"), F.lit(None).cast(upstreams.LIST).alias("list"), F.col("u.host").alias("host"), F.col("u.port").alias("port"), (F.col("o_orderstatus") != "F").alias("up"))
+    asked = c.where(k % 97 != 5).join(lists.select(F.col("pool").alias("c_nationkey")), "c_nationkey", "left_semi").select(k.alias("id"), F.col("c_nationkey").alias("pool"), k.cast("long").alias("at"))
+    return upstreams.picked(asked, loads.unionByName(marks))
+
+
 # --- sliding percentiles and alerts --------------------------------------------------------------------
 
 GROWTH = 1.02 / 0.98

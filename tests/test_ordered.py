@@ -406,3 +406,26 @@ def test_families_are_read_apart(spark, tmp_path):
     assert {f.split("family=")[1].split("/")[0] for f in own.inputFiles()} <= {"a", "b", "__HIVE_DEFAULT_PARTITION__"}
     assert own.count() == 3 and families.read(spark, path, "").count() == 1 and families.read(spark, path).count() == 6
     assert families.dropped(log, spark.createDataFrame([("a",), ("a",)], "family string")).count() == 3
+
+
+def test_next_upstream_at_each_time(spark, many_ranges):
+    from kvlake.operators import upstreams
+
+    rng = random.Random(13)
+    fresh = lambda *hosts: [{"host": h, "port": 1, "healthy": rng.random() < 0.8} for h in hosts]
+    changes = [("p", -1, 0, fresh("a", "b", "c"), None, None, None), ("q", 50, 0, fresh("x"), None, None, None), ("p", 120, 0, fresh("c", "d", "a", "a"), None, None, None)]
+    changes += [(rng.choice("ppq"), rng.randrange(200), n + 1, None, rng.choice("abcdx"), 1, rng.random() < 0.5) for n in range(60)]
+    asked = [(n, rng.choice("pppq"), rng.randrange(220)) for n in range(400)] + [(900, "none", 3), (901, None, 3)]
+    pools, want = defaultdict(upstreams.Pool), {}
+    order = sorted([(c[1], 0, c[2], c) for c in changes] + [(a[2], 1, a[0], a) for a in asked if a[1]], key=lambda x: x[:3])
+    for _, side, _, x in order:
+        pool = pools[x[1] if side else x[0]]
+        if not side:
+            pool.reload(x[3]) if x[3] is not None else pool.mark(*x[4:])
+            continue
+        n = len(pool.list)
+        at = next((k % n for k in range(pool.turn, pool.turn + n) if pool.list[k % n]["healthy"]), None)
+        want[x[0]] = None if at is None else pool.list[at]["host"]
+        pool.turn = pool.turn if at is None else (at + 1) % n
+    got = upstreams.picked(spark.createDataFrame(asked, "id long, pool string, at long").repartition(3), spark.createDataFrame(changes, f"pool string, at long, no long, list {upstreams.LIST}, host string, port long, up boolean").repartition(3))
+    assert {r["id"]: r["host"] for r in got.collect()} == want and None in want.values() and len(set(want.values())) > 4

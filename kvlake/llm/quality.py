@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from .common import crc_of_id, kept, stored, texts
 #: Buckets of words without a vector of their own, dimensions and non-zero entries of an index vector, words on each side of a context.
 BUCKETS, DIM, ENTRIES, REACH = 8192, 32, 4, 2
 #: Labelled texts in which a word must be to have a vector of its own, and words of a block of sums.
-TEXTS, BLOCK = 5, 4096
+TEXTS, BLOCK = 2, 4096
+#: Tasks' sums are added up in groups of at most 2 ** FAN, then those of these groups, and so on, LEVELS times at most 2 ** FAN, so that no task adds up many.
+FAN, LEVELS = 6, 4
 #: Words of one text that are worked on at once.
 STRETCH = 1 << 17
 #: Labelled rows that the network is fitted on at most, those with the least hash of their id.
@@ -75,7 +78,7 @@ def own_words(labelled: DataFrame) -> Words:
 
 
 def word_vectors(docs: DataFrame, known: Words) -> np.ndarray:
-    """A unit vector for each word number: the sum of the index vectors around all its occurrences in all documents."""
+    """A unit vector in half precision for each word number: the sum of the index vectors around all its occurrences in all documents."""
     many = known.many
 
     def run(batches):
@@ -93,23 +96,28 @@ def word_vectors(docs: DataFrame, known: Words) -> np.ndarray:
                         around[:-step] += x[step:] * both
                         around[step:] += x[:-step] * both
                     total[d] += np.bincount(w[own], around[own], many).astype(np.int32)
+        task = pa.array([TaskContext.get().partitionId()], pa.int64())
         for k in range(0, many, BLOCK):
             part = total[:, k : k + BLOCK].astype("<i8")
             if part.any():
-                yield pa.record_batch({"block": pa.array([k // BLOCK], pa.int64()), "sums": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+                yield pa.record_batch({"block": pa.array([k // BLOCK], pa.int64()), "task": task, "sums": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
     def added(group: pa.Table) -> pa.Table:
         total = 0
         for x in group.column("sums"):
             total = total + np.frombuffer(zlib.decompress(x.as_py()), "<i8")
-        return pa.table({"block": group.column("block")[:1], "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        return group.slice(0, 1).drop_columns(["sums"]).append_column("sums", pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()))
 
-    sums = texts(docs).mapInArrow(run, "block long, sums binary").groupBy("block").applyInArrow(added, "block long, sums binary").toArrow()
+    sums = texts(docs).mapInArrow(run, "block long, task long, sums binary")
+    for _ in range(LEVELS):
+        sums = sums.withColumn("task", F.shiftright("task", FAN)).groupBy("block", "task").applyInArrow(added, "block long, task long, sums binary")
     out = np.zeros((many, DIM), np.float32)
-    for k, x in zip(sums["block"].to_pylist(), sums["sums"]):
-        part = np.frombuffer(zlib.decompress(x.as_py()), "<i8").reshape(DIM, -1).T
-        out[k * BLOCK : k * BLOCK + len(part)] = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
-    return out
+    for k, _, x in sums.toLocalIterator():  # a row for each block, of which the sample bounds the number
+        part = np.frombuffer(zlib.decompress(x), "<i8").reshape(DIM, -1).T
+        out[k * BLOCK : k * BLOCK + len(part)] += part  # what is still apart of a block, if there are more than 2 ** (FAN * LEVELS) tasks
+    for k in range(0, many, BLOCK):
+        out[k : k + BLOCK] /= np.maximum(np.linalg.norm(out[k : k + BLOCK], axis=1, keepdims=True), 1e-9)
+    return out.astype(np.float16)
 
 
 def pooled(vectors: np.ndarray, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
@@ -122,9 +130,10 @@ def pooled(vectors: np.ndarray, w: np.ndarray, doc: np.ndarray, rows: int) -> np
     first = np.concatenate(([0], np.cumsum(n[full])[:-1]))
     if rows == 1 and len(w) > STRETCH:  # a very long text, by its count of each word
         many = np.bincount(w, minlength=len(vectors)).astype(np.float64)
-        mean, square = ((many @ x)[None] / n[full, None] for x in (vectors, vectors * vectors))
+        v = vectors.astype(np.float32)
+        mean, square = ((many @ x)[None] / n[full, None] for x in (v, v * v))
     else:
-        v = vectors[w]
+        v = vectors[w].astype(np.float32)
         mean, square = (np.add.reduceat(x, first) / n[full, None] for x in (v, v * v))
     out[full, :DIM] = mean
     out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(square - mean**2, 0))
@@ -194,13 +203,26 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, train, most:
     return rows.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE):
-    """(word numbers, word vectors, network) fitted on labelled rows that `train` holds for."""
+class Model:
+    """Word numbers and vectors, and the network over their pooled features."""
+
+    def __init__(self, known: Words, vectors: np.ndarray, network: Network):
+        self.known, self.vectors, self.network = known, vectors, network
+
+    def scores(self, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+        return self.network(pooled(self.vectors, w, doc, rows).astype(np.float64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Broadcast:
+    """A Model fitted on labelled rows that `train` holds for, as a file that each worker reads once; the sample bounds its size (56 bytes a word)."""
+    context = docs.sparkSession.sparkContext
     labelled = stored(labelled_texts(docs, labels, "quality", train, sample))
     known = own_words(labelled)
     vectors = word_vectors(docs, known)
+    held_vectors = context.broadcast((known, vectors))
 
     def run(batches):
+        known, vectors = held_vectors.value
         for part, w, doc in known(batches):
             x = pooled(vectors, w, doc, part.num_rows)
             yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "x": pa.array(list(x), pa.list_(pa.float32()))})
@@ -209,13 +231,14 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE):
     x = np.stack(got["x"].to_numpy(zero_copy_only=False)) if got.num_rows else np.zeros((0, 2 * DIM + 3), np.float32)
     y = got["label"].to_numpy()
     held = got["doc_id"].to_numpy() // 3 % 5 == 0 if got.num_rows else np.zeros(0, bool)
-    return known, vectors, Network(x.astype(np.float64), y, held)
+    held_vectors.unpersist()
+    return context.broadcast(Model(known, vectors, Network(x.astype(np.float64), y, held)))
 
 
 def without_low(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, unchanged, that quality_scores doesn't predict to be labelled 0."""
-    known, vectors, network = fit(docs, labels, F.pmod(crc_of_id(), F.lit(3)) != 1, sample)
-    return kept(docs, known, lambda w, doc, rows: network(pooled(vectors, w, doc, rows).astype(np.float64)) >= 0.5)
+    model = fit(docs, labels, F.pmod(crc_of_id(), F.lit(3)) != 1, sample)
+    return kept(docs, lambda batches: model.value.known(batches), lambda w, doc, rows: model.value.scores(w, doc, rows) >= 0.5)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -228,11 +251,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     without words; null ids and repeated rows are scored like others; other columns are ignored.
     """
     held = F.pmod(crc_of_id(), F.lit(3)) == 1
-    known, vectors, network = fit(docs, labels, ~held, sample)
+    model = fit(docs, labels, ~held, sample)
 
     def run(batches):
-        for part, w, doc in known(batches):
-            score = network(pooled(vectors, w, doc, part.num_rows).astype(np.float64))
+        for part, w, doc in model.value.known(batches):
+            score = model.value.scores(w, doc, part.num_rows)
             yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
     return texts(docs).withColumn("held_out", held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

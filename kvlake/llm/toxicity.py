@@ -1,10 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models over word pairs.
 
 For each class, a pair of words counts by the number of different words before it, and a word by the
-number of different words before it, so that copies of a text count once. Counts are discounted by the
-amount that the numbers of small counts ask for; the mass this frees goes from a pair to its last word,
-and from a word to counts that both classes share. Counts up to RARE are discounted whole, so rare
-expressions rest on the shared counts alone.
+number of different words before it, so that copies of a text count once. Every count is kept, less a
+discount that the numbers of small counts ask for; the mass this frees goes from a pair to its last word,
+and from a word to counts that both classes share. What a word tells is trusted the more the more
+often it was counted, and what a pair adds to that likewise, so rare expressions rest on what both share.
 
 A text is compared by its log-likelihoods under the two models: the mean difference per word of the whole
 text, that of its most telling stretch of STRETCH words, without which a few toxic words in a long text
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,9 @@ from . import words
 from .common import crc_of_id, kept, stored, texts
 from .quality import labelled_texts
 
-#: Labelled rows that the models are fitted on at most; counts that are discounted whole; words of a stretch.
-SAMPLE, RARE, STRETCH = 20_000, 4, 3
+#: Labelled rows that the models are fitted on at most; words of a stretch; counts by which what a word tells, and what a pair adds, is trusted by half.
+SAMPLE, STRETCH = 20_000, 3
+WORD_TRUST, PAIR_TRUST = 4.0, 20.0
 
 
 def _words(batches):
@@ -43,54 +45,51 @@ def _before(w: np.ndarray, doc: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
-def discount(n1: int, n2: int, n3: int, n4: int) -> float:
-    """What Kneser-Ney smoothing takes off counts of three or more, from how many counts are 1, 2, 3 and 4."""
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """What modified Kneser-Ney smoothing takes off counts of 0, 1, 2 and more, from how many counts are 1, 2, 3 and 4: less than the count itself, so that none is lost."""
     if not (n1 and n2 and n3):
-        return 0.75
-    return float(np.clip(3 - 4 * n1 / (n1 + 2 * n2) * n4 / n3, 0.1, 3))
+        return [0, 0.75, 0.75, 0.75]
+    y = n1 / (n1 + 2 * n2)
+    raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    return [0.0, *(float(np.clip(d, 0.1, k - 0.1)) for k, d in enumerate(raw, 1))]
 
 
 class Models:
-    """Both classes' counts of all words and pairs above RARE as sorted arrays, and the calibration of the scores. discounts: of words and of pairs, by class."""
-
-    def __init__(self, word: pa.Table, pair: pa.Table, totals: dict[int, tuple[int, int]], discounts: np.ndarray):
-        order = np.argsort(word["w"].to_numpy())
-        self.word = word["w"].to_numpy()[order]
-        m = np.stack([word[f"m{c}"].to_numpy()[order] for c in (0, 1)]).astype(float)
-        every = np.array([max(1, totals.get(c, (0, 0))[0]) for c in (0, 1)], float)
-        over = np.where(m > RARE, m - discounts[0][:, None], 0)
+    """Both classes' counts of all words and pairs as sorted arrays, and the calibration of the scores. less: what counts of 0, 1, 2 and more lose, of words and of pairs, by class."""
+
+    def __init__(self, word: tuple[np.ndarray, np.ndarray], pair: tuple[np.ndarray, np.ndarray], less: np.ndarray):
+        self.word, m = word
+        self.pair, self.n = pair
+        every = np.maximum(1, m.sum(1)).astype(float)
+        over = m - np.stack([less[0][c][np.minimum(m[c], 3)] for c in (0, 1)])
         self.spare = 1 - over.sum(1) / every  # of a class, for the shared counts
-        shared = m.sum(0) / every.sum()
-        self.p = over / every[:, None] + self.spare[:, None] * shared
+        self.p = (over / every[:, None] + self.spare[:, None] * (m.sum(0) / every.sum())).astype(np.float32)
         self.rare = float(np.log(self.spare[1] / self.spare[0]))
-        key = pair["vw"].to_numpy()
-        order = np.argsort(key)
-        self.pair = key[order]
-        n = np.stack([pair[f"n{c}"].to_numpy()[order] for c in (0, 1)]).astype(float)
-        n = np.where(n > RARE, n - discounts[1][:, None], 0)
-        v, at = np.unique(self.pair >> 32, return_inverse=True)
-        all_of = np.zeros((2, max(len(v), 1)))
-        for c in (0, 1):
-            all_of[c, : len(v)] = np.bincount(at, pair[f"of{c}"].to_numpy()[order], max(len(v), 1)) / np.maximum(np.bincount(at, minlength=max(len(v), 1)), 1)
-        all_of = np.maximum(all_of, 1)
-        self.first, self.n = v, n / all_of[:, at] if len(v) else n
-        used = np.stack([np.bincount(at, self.n[c], max(len(v), 1)) for c in (0, 1)]) if len(v) else np.zeros((2, 1))
-        self.back = 1 - used  # of a first word, for its followers' own counts
+        self.m, self.less = m.sum(0).astype(np.uint32), less[1]
+        v = self.pair >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate((np.ones(min(len(v), 1), bool), v[1:] != v[:-1])))
+        self.first = v[starts]
+        of = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for c in (0, 1) for x in (self.n[c].astype(np.int64), self.less[c][np.minimum(self.n[c], 3)])]
+        self.all_of = np.maximum(1, np.stack(of[::2]))
+        self.back = np.where(np.stack(of[::2]) > 0, np.stack(of[1::2]) / self.all_of, 1)  # of a first word, for its followers' own counts
         self.weights = None
 
     def ratios(self, w: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log P(word | word before; toxic) - log P(...; ordinary) of each word, less that of a rare word."""
-        find = lambda table, x: (np.minimum(np.searchsorted(table, x), len(table) - 1) if len(table) else np.zeros(len(x), int))
+        """log P(word | word before; toxic) - log P(...; ordinary) of each word, less that of a rare word: what the word tells by itself and what the pair adds, each as far as its counts are trusted."""
+        find = lambda table, x: np.minimum(np.searchsorted(table, x), len(table) - 1)
+        if not len(self.word):
+            return np.zeros(len(w))
+        w, before = w.astype(np.uint64), before.astype(np.uint64)
         at = find(self.word, w)
-        known = (self.word[at] == w) if len(self.word) else np.zeros(len(w), bool)
-        p = np.where(known, self.p[:, at], self.spare[:, None] * 1e-9) if len(self.word) else np.tile(self.spare[:, None] * 1e-9, len(w))
-        if len(self.pair):
-            b = find(self.first, before)
-            b_known = self.first[b] == before
-            q = find(self.pair, key := (before << 32) | w)
-            seen = np.where(self.pair[q] == key, self.n[:, q], 0.0)
-            p = seen + np.where(b_known, self.back[:, b], 1.0) * p
-        return np.log(p[1] / p[0]) - np.where(known, 0, self.rare)
+        known = self.word[at] == w
+        p = np.where(known, self.p[:, at], self.spare[:, None] * 1e-9)
+        alone, m = np.log(p[1] / p[0]) - self.rare, np.where(known, self.m[at], 0)
+        b, q = find(self.first, before), find(self.pair, key := (before << np.uint64(32)) | w)
+        n = np.where(self.pair[q] == key, self.n[:, q], 0)
+        seen = (n - np.stack([self.less[c][np.minimum(n[c], 3)] for c in (0, 1)])) / self.all_of[:, b]
+        p = seen + np.where(self.first[b] == before, self.back[:, b], 1.0) * p
+        n = n.sum(0)
+        return alone * (m / (m + WORD_TRUST)) + (np.log(p[1] / p[0]) - self.rare - alone) * (n / (n + PAIR_TRUST))
 
     def features(self, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
         """Mean ratio of the text, of its best stretch, and of its best stretches together."""
@@ -129,8 +128,19 @@ class Models:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + (x - self.mid) / self.scale @ self.weights[1:], -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Models:
-    """Counts come from three in four of the sampled rows, the calibration from the others."""
+def counted(df: DataFrame, key: str, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys of a table of counts and both classes' counts of each; only the sample bounds how many there are."""
+    got = df.select(key, *(F.col(f"{name}{c}").cast("int") for c in (0, 1))).toArrow()
+    keys, n = got[key].to_numpy(), [got[f"{name}{c}"].to_numpy() for c in (0, 1)]
+    del got
+    keys = keys.view(np.uint64)  # a pair's first word is in the upper bits
+    order = np.argsort(keys)
+    return keys[order], np.stack([x[order] for x in n]).astype(np.uint32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Broadcast:
+    """Models, as a file that each worker reads once. Counts come from three in four of the sampled rows, the calibration from the others."""
+    context = docs.sparkSession.sparkContext
 
     def triples(batches):
         for part, w, doc in _words(batches):
@@ -144,32 +154,31 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Mode
     rows = stored(rows)
     seen = rows.where("NOT held").select("text", "label").mapInArrow(triples, "toxic int, vw long, u long").repartition("vw").dropDuplicates(["toxic", "vw", "u"])
     of = lambda c: F.count(F.when(F.col("toxic") == c, 1))
-    pairs = stored(seen.groupBy("vw").agg(of(0).alias("n0"), of(1).alias("n1")).withColumn("v", F.shiftrightunsigned("vw", 32)))
+    pairs = stored(seen.groupBy("vw").agg(of(0).alias("n0"), of(1).alias("n1")))
     some = lambda c: F.count(F.when(F.col(f"n{c}") > 0, 1))
     by_word = pairs.groupBy(F.col("vw").bitwiseAND(0xFFFFFFFF).alias("w")).agg(some(0).alias("m0"), some(1).alias("m1"))
-    totals = pairs.agg(some(0), some(1)).first()
     by_word = stored(by_word)
     small = lambda df, name: df.agg(*(F.count(F.when(F.col(f"{name}{c}") == k, 1)) for c in (0, 1) for k in range(1, 5))).first()
-    discounts = np.array([[discount(*x[:4]), discount(*x[4:])] for x in (small(by_word, "m"), small(pairs, "n"))])
-    often = by_word.where(F.greatest("m0", "m1") > RARE)  # only the sample bounds these
-    firsts = pairs.groupBy("v").agg(F.sum("n0").alias("of0"), F.sum("n1").alias("of1"))
-    often_pairs = pairs.where(F.greatest("n0", "n1") > RARE).join(firsts, "v")
-    models = Models(often.toArrow(), often_pairs.toArrow(), {0: (totals[0], 0), 1: (totals[1], 0)}, discounts)
+    less = np.array([[discounts(*x[:4]), discounts(*x[4:])] for x in (small(by_word, "m"), small(pairs, "n"))])
+    models = Models(counted(by_word, "w", "m"), counted(pairs, "vw", "n"), less)
+
+    whole = context.broadcast(models)
 
     def features(batches):
         for part, w, doc in _words(batches):
-            yield pa.record_batch({"label": part.column("label"), "x": pa.array(list(models.features(w, doc, part.num_rows)), pa.list_(pa.float64()))})
+            yield pa.record_batch({"label": part.column("label"), "x": pa.array(list(whole.value.features(w, doc, part.num_rows)), pa.list_(pa.float64()))})
 
     got = rows.where("held").mapInArrow(features, "label int, x array<double>").toArrow()
     if got.num_rows:
         models.calibrate(np.stack(got["x"].to_numpy(zero_copy_only=False)), got["label"].to_numpy())
-    return models
+    whole.unpersist()
+    return context.broadcast(models)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, unchanged, that toxicity_scores doesn't predict to be toxic."""
     models = fit(docs, labels, F.pmod(crc_of_id(), F.lit(5)) != 0, sample)
-    return kept(docs, _words, lambda w, doc, rows: models.scores(models.features(w, doc, rows)) < 0.5)
+    return kept(docs, _words, lambda w, doc, rows: models.value.scores(models.value.features(w, doc, rows)) < 0.5)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -187,7 +196,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def run(batches):
         for part, w, doc in _words(batches):
-            score = models.scores(models.features(w, doc, part.num_rows))
+            score = models.value.scores(models.value.features(w, doc, part.num_rows))
             yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
     return texts(docs).withColumn("held_out", held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -371,7 +371,7 @@ def test_fits_take_one_row_of_a_labelled_id(spark, monkeypatch):
     rows = [(1, text()) for _ in range(300)] + [(i, text()) for i in range(2, 101) for _ in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 101)], "doc_id long, quality int, toxic int")
-    assert quality.fit(docs, labels, F.lit(True), 100)[2].constant is None
+    assert quality.fit(docs, labels, F.lit(True), 100).value.network.constant is None
     seen, calibrate = [], toxicity.Models.calibrate
     monkeypatch.setattr(toxicity.Models, "calibrate", lambda self, x, y: (seen.append(len(x)), calibrate(self, x, y)))
     toxicity.fit(docs, labels, F.lit(True), 100)
@@ -415,9 +415,53 @@ def test_trust_scores_converge(spark):
 
 
 def test_discounts():
-    assert toxicity.discount(0, 0, 0, 0) == 0.75
-    assert toxicity.discount(100, 50, 30, 20) == pytest.approx(3 - 4 * 0.5 * 20 / 30)
-    assert 0 < toxicity.discount(10, 5, 1, 100) <= 3
+    assert toxicity.discounts(0, 0, 0, 0) == [0, 0.75, 0.75, 0.75]
+    y = 100 / 200
+    assert toxicity.discounts(100, 50, 30, 20) == pytest.approx([0, 1 - 2 * y * 0.5, 2 - 3 * y * 0.6, 3 - 4 * y * 20 / 30])
+    assert all(0 < d < k for k, d in enumerate(toxicity.discounts(10, 5, 1, 100)[1:], 1))  # no count is lost
+
+
+def test_ratios_against_plain_counts(spark):
+    # both classes' models word by word, from dictionaries
+    rng = random.Random(21)
+    fitted = [r["id"] for r in spark.range(1, 400).where("pmod(xxhash64(id), 4) != 0").limit(120).collect()]
+    speech = {0: ["a", "b", "c", "d", "e", "f"], 1: ["a", "b", "c", "vile", "foul"]}
+    rows = [(i, " ".join(rng.choice(speech[k % 2]) for _ in range(rng.randrange(1, 12)))) for k, i in enumerate(fitted)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(fitted)], "doc_id long, toxic int")
+    models = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, F.lit(True)).value
+    triples = {(k % 2, u, v, w) for k, (_, t) in enumerate(rows) for u, v, w in zip(["", "", *t.split()], ["", *t.split()], t.split())}
+    pairs = [defaultdict(int), defaultdict(int)]
+    for c, _, v, w in triples:
+        pairs[c][v, w] += 1
+    words_ = [defaultdict(int), defaultdict(int)]
+    for c in (0, 1):
+        for _, w in pairs[c]:
+            words_[c][w] += 1
+    less = lambda counts: toxicity.discounts(*(sum(n == k for n in counts.values()) for k in range(1, 5)))
+    d_word, d_pair = [less(x) for x in words_], [less(x) for x in pairs]
+    every = [sum(x.values()) for x in words_]
+
+    def p(c, w):
+        over = lambda x: words_[c].get(x, 0) - d_word[c][min(words_[c].get(x, 0), 3)]
+        spare = 1 - sum(map(over, words_[c])) / every[c]
+        shared = sum(x.get(w, 0) for x in words_) / sum(every)
+        return over(w) / every[c] + spare * (shared or 1e-9), spare
+
+    def after(c, v, w):
+        own = {x: n for (f, x), n in pairs[c].items() if f == v}
+        if not own:
+            return p(c, w)[0]
+        all_of, n = sum(own.values()), own.get(w, 0)
+        return (n - d_pair[c][min(n, 3)]) / all_of + sum(d_pair[c][min(x, 3)] for x in own.values()) / all_of * p(c, w)[0]
+
+    text = "vile a b foul never f f a new vile"
+    (_, w, doc), = toxicity._words([pa.record_batch({"text": pa.array([text])})])
+    got = models.ratios(w, toxicity._before(w, doc, 1))
+    for k, (v, x) in enumerate(zip(["", *text.split()], text.split())):
+        rare = np.log(p(1, "")[1] / p(0, "")[1])
+        alone, both = np.log(p(1, x)[0] / p(0, x)[0]) - rare, np.log(after(1, v, x) / after(0, v, x)) - rare
+        m, n = sum(c.get(x, 0) for c in words_), sum(c.get((v, x), 0) for c in pairs)
+        assert got[k] == pytest.approx(alone * m / (m + toxicity.WORD_TRUST) + (both - alone) * n / (n + toxicity.PAIR_TRUST), abs=1e-5)
 
 
 def test_no_telling_word_is_cut_by_rank(spark):
@@ -428,14 +472,13 @@ def test_no_telling_word_is_cut_by_rank(spark):
     rows = [(i, " ".join(rng.sample(many, len(many)))) for i in fitted[:7]] + [(i, f"o{k} vile") for k, i in enumerate(fitted[7:])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, int(k >= 7)) for k, i in enumerate(fitted)], "doc_id long, toxic int")
-    models = toxicity.fit(docs, labels, F.lit(True))
+    models = toxicity.fit(docs, labels, F.lit(True)).value
     assert len(models.word) > 69_900
     (_, w, _), = toxicity._words([pa.record_batch({"text": pa.array(["vile"])})])
     assert w[0] in models.word
 
 
-def test_quality_features(spark, monkeypatch):
-    monkeypatch.setattr(quality, "TEXTS", 2)
+def test_quality_features(spark):
     vectors = np.ones((500, quality.DIM), np.float32)
     assert (quality.index_vectors(500) != 0).sum(1).tolist() == [quality.ENTRIES] * 500
     assert quality.pooled(vectors, np.array([1, 2]), np.array([0, 0]), 1).shape == (1, 2 * 32 + 3)
@@ -445,8 +488,33 @@ def test_quality_features(spark, monkeypatch):
     assert len(known.own) == 2 and sorted(w[:2]) == [0, 1] and (w[2:] >= 2).all() and known.many == 2 + quality.BUCKETS
 
 
-def test_word_vectors_sum_contexts(spark, monkeypatch):
-    monkeypatch.setattr(quality, "TEXTS", 2)
+def test_pooling_against_plain_sums():
+    rng = np.random.default_rng(3)
+    vectors, texts_ = rng.normal(size=(40, quality.DIM)).astype(np.float16), [[3, 3, 5, 7], [], [39], [1, 2, 1, 2, 2], list(range(40))]
+    w, doc = np.concatenate([np.array(t, int) for t in texts_]), np.repeat(np.arange(5), [len(t) for t in texts_])
+    got = quality.pooled(vectors, w, doc, 5)
+    for x, t in zip(got, texts_):
+        if not t:
+            assert not x.any()
+            continue
+        v = vectors[t].astype(float)
+        want = [*v.mean(0), *v.std(0), sum(a == b for a, b in zip(t, t[1:])) / len(t), len(set(t)) / len(t), np.log1p(len(t))]
+        assert np.allclose(x, want, atol=2e-3)
+    long = np.tile(np.array([4, 9, 9]), 60_000)  # worked on by its counts
+    x, v = quality.pooled(vectors, long, np.zeros(len(long), int), 1)[0], vectors[[4, 9, 9]].astype(float)
+    assert np.allclose(x, [*v.mean(0), *v.std(0), 60_000 / len(long), 2 / len(long), np.log1p(len(long))], atol=2e-3)
+
+
+def test_sums_of_many_tasks_are_added_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FAN", 1)
+    monkeypatch.setattr(quality, "LEVELS", 2)  # seven tasks are more than two levels of two add up; the rest is added at the end
+    docs = spark.createDataFrame([(k, "x y z") for k in range(20)], "doc_id long, text string").repartition(7)
+    known = quality.own_words(spark.createDataFrame([("x y z",), ("x y z",)], "text string"))
+    one = quality.word_vectors(docs.coalesce(1), known)
+    assert np.array_equal(quality.word_vectors(docs, known), one) and one.any()
+
+
+def test_word_vectors_sum_contexts(spark):
     docs = spark.createDataFrame([(1, "x y z"), (2, "z x"), (3, None)], "doc_id long, text string").repartition(2)
     known = quality.own_words(spark.createDataFrame([("x y z",), ("x y z",)], "text string"))
     (_, w, _), = known([pa.record_batch({"text": pa.array(["x y z"])})])
@@ -454,7 +522,7 @@ def test_word_vectors_sum_contexts(spark, monkeypatch):
     x, y, z = (i[k] for k in w)
     got = quality.word_vectors(docs, known)
     for k, want in zip(w, (y + z + z, x + z, x + y + x)):
-        assert np.allclose(got[k], want / np.linalg.norm(want), atol=1e-6)
+        assert np.allclose(got[k], want / np.linalg.norm(want), atol=1e-3)
 
 
 @vocabulary

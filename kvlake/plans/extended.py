@@ -342,3 +342,21 @@ def stream_latest(spark, d):
     samples = jumbled(spark, d).select(F.col("user_id").alias("node"), "ts", "value")
     seen = ran(state.latest(samples, "node", "ts"), "update")
     return seen.groupBy("node").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+
+
+TOKEN_END = "TIMESTAMP '2024-01-05 00:00:00' + to_days(CAST(user_id % 20 AS INTEGER))"
+
+
+@query(f"""WITH a AS (SELECT event_id AS id, user_id AS jti, ts, user_id % 7 <> 0 AND ts < {TOKEN_END} AS valid FROM events),
+n AS (SELECT *, valid AND row_number() OVER (PARTITION BY jti, valid ORDER BY ts, id) = 1 AS first_use FROM a)
+SELECT jti, id, CASE WHEN NOT valid THEN 'invalid' WHEN first_use THEN 'ok' ELSE 'revoked' END AS outcome FROM n WHERE {FINAL}""")
+def stream_token_refresh(spark, d):
+    end = F.timestamp_add("DAY", (F.col("user_id") % 20).cast("int"), F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")).cast("timestamp")
+    attempts = jumbled(spark, d).select(F.col("event_id").alias("id"), F.col("user_id").alias("jti"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("user_id") % 7 != 0, end).alias("exp"))
+    return ran(ordered.refreshes(attempts, "1 day", 60 * 86400), "append")
+
+
+@query(f"WITH {REQUESTS} SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM requests GROUP BY 1")
+def stream_metrics(spark, d):
+    counts = ran(state.windowed_requests(jumbled(spark, d).select(F.col("ts").cast("timestamp").alias("ts")), "1 day", "1 day"), "update")
+    return counts.groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max("n").alias("n"))

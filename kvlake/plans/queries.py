@@ -792,9 +792,3 @@ def stream_token_bucket(spark, d):
 @query(ORACLES["catalog_cdc_apply"])
 def stream_cdc(spark, d):
     return catalog.applied_feed(ran(state.feed_state(feed(spark, d, streamed)), "update"))
-
-
-@query(f"WITH {REQUESTS} SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM requests GROUP BY 1")
-def stream_metrics(spark, d):
-    counts = ran(state.windowed_requests(requests(spark, d, streamed).select("ts"), "30 days", "1 day"), "update")
-    return counts.groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max("n").alias("n"))

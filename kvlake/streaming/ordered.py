@@ -108,6 +108,19 @@ def circuit_breaker(requests: DataFrame, late: str, rules: Rules = Rules()) -> D
     return machine(requests, "node", late, step, "us long, id long, ok boolean", "us long, state long", "node long, id long, passed boolean, state string")
 
 
+def refreshes(attempts: DataFrame, late: str, life: int) -> DataFrame:
+    """(jti, id, outcome) of streamed attempts (jti, id, ts, exp) to use refresh tokens that end at exp (null: unknown), as `auth.refreshed` gives them: a token works once, before its end. A used token is kept for `life` seconds, the longest that tokens live, after which it has ended anyway."""
+
+    def step(state, row):
+        us, id_, exp = row
+        if exp is None or us >= exp:
+            return state or (us, False), (id_, "invalid")
+        return (us, True), (id_, "revoked" if state is not None and state[1] else "ok")
+
+    rows = attempts.withColumn("exp", F.unix_micros("exp"))
+    return machine(rows, "jti", late, step, "us long, id long, exp long", "us long, used boolean", "jti long, id long, outcome string", life * 1_000_000)
+
+
 def not_revoked(requests: DataFrame, logouts: DataFrame, late: str, life: str) -> DataFrame:
     """Streamed requests (id, jti, ts) whose token no streamed logout (jti, ts) came before, within the token's life.
 

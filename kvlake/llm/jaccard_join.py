@@ -358,8 +358,11 @@ def one_row_per_component(docs: DataFrame, width: int = 4, percent: int = 85) ->
     Rows are told apart by a key written before the join, so rows with a null doc_id or one that others
     have too are compared and kept like any others. A text without words has no near copies and stays.
     """
-    keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    comp = jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("__row"), "component_id")
-    ids = keyed.select("__row", F.col("doc_id").isNull().alias("none"), "doc_id")
-    least = comp.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "__row")).alias("least"))
-    return keyed.join(least.select(F.col("least.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    row = "__row"
+    while row in docs.columns:  # an unused name
+        row += "_"
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    comp = jaccard_components(keyed.select(F.col(row).alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias(row), "component_id")
+    ids = keyed.select(row, F.col("doc_id").isNull().alias("none"), "doc_id")
+    least = comp.join(ids, row).groupBy("component_id").agg(F.min(F.struct("none", "doc_id", row)).alias("least"))
+    return keyed.join(least.select(F.col("least")[row].alias(row)), row, "left_semi").select(*docs.columns)

@@ -22,8 +22,8 @@ from .common import crc_of_id, kept, stored, texts
 BUCKETS, DIM, ENTRIES, REACH = 8192, 32, 4, 2
 #: Labelled texts in which a word must be to have a vector of its own, and words of a block of sums.
 TEXTS, BLOCK = 2, 4096
-#: Tasks' sums are added up in groups of at most 2 ** FAN, then those of these groups, and so on, LEVELS times at most 2 ** FAN, so that no task adds up many.
-FAN, LEVELS = 6, 4
+#: Tasks' sums are added up in groups of at most 2 ** FAN, then those of these groups, and so on, so that no task adds up many.
+FAN = 6
 #: Words of one text that are worked on at once.
 STRETCH = 1 << 17
 #: Labelled rows that the network is fitted on at most, those with the least hash of their id.
@@ -109,15 +109,13 @@ def word_vectors(docs: DataFrame, known: Words) -> np.ndarray:
         return group.slice(0, 1).drop_columns(["sums"]).append_column("sums", pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()))
 
     sums = texts(docs).mapInArrow(run, "block long, task long, sums binary")
-    for _ in range(LEVELS):
+    for _ in range(max(1, -(-(sums.rdd.getNumPartitions() - 1).bit_length() // FAN))):  # there are no more tasks than the plan has parts
         sums = sums.withColumn("task", F.shiftright("task", FAN)).groupBy("block", "task").applyInArrow(added, "block long, task long, sums binary")
-    out = np.zeros((many, DIM), np.float32)
+    out = np.zeros((many, DIM), np.float16)
     for k, _, x in sums.toLocalIterator():  # a row for each block, of which the sample bounds the number
         part = np.frombuffer(zlib.decompress(x), "<i8").reshape(DIM, -1).T
-        out[k * BLOCK : k * BLOCK + len(part)] += part  # what is still apart of a block, if there are more than 2 ** (FAN * LEVELS) tasks
-    for k in range(0, many, BLOCK):
-        out[k : k + BLOCK] /= np.maximum(np.linalg.norm(out[k : k + BLOCK], axis=1, keepdims=True), 1e-9)
-    return out.astype(np.float16)
+        out[k * BLOCK : k * BLOCK + len(part)] = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 def pooled(vectors: np.ndarray, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
@@ -203,26 +201,27 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, train, most:
     return rows.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
 
 
-class Model:
-    """Word numbers and vectors, and the network over their pooled features."""
+class Fitted:
+    """Scores of texts by word numbers and vectors, which are a file that each worker reads once, and the network over their pooled features."""
+
+    def __init__(self, table: Broadcast, network: Network):
+        self.table, self.network = table, network
 
-    def __init__(self, known: Words, vectors: np.ndarray, network: Network):
-        self.known, self.vectors, self.network = known, vectors, network
+    def words(self, batches):
+        return self.table.value[0](batches)
 
-    def scores(self, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
-        return self.network(pooled(self.vectors, w, doc, rows).astype(np.float64))
+    def __call__(self, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+        return self.network(pooled(self.table.value[1], w, doc, rows).astype(np.float64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Broadcast:
-    """A Model fitted on labelled rows that `train` holds for, as a file that each worker reads once; the sample bounds its size (56 bytes a word)."""
-    context = docs.sparkSession.sparkContext
+def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Fitted:
+    """Fitted on labelled rows that `train` holds for; the sample bounds the table's size (72 bytes a word)."""
     labelled = stored(labelled_texts(docs, labels, "quality", train, sample))
     known = own_words(labelled)
-    vectors = word_vectors(docs, known)
-    held_vectors = context.broadcast((known, vectors))
+    table = docs.sparkSession.sparkContext.broadcast((known, word_vectors(docs, known)))
 
     def run(batches):
-        known, vectors = held_vectors.value
+        known, vectors = table.value
         for part, w, doc in known(batches):
             x = pooled(vectors, w, doc, part.num_rows)
             yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "x": pa.array(list(x), pa.list_(pa.float32()))})
@@ -231,14 +230,13 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Broa
     x = np.stack(got["x"].to_numpy(zero_copy_only=False)) if got.num_rows else np.zeros((0, 2 * DIM + 3), np.float32)
     y = got["label"].to_numpy()
     held = got["doc_id"].to_numpy() // 3 % 5 == 0 if got.num_rows else np.zeros(0, bool)
-    held_vectors.unpersist()
-    return context.broadcast(Model(known, vectors, Network(x.astype(np.float64), y, held)))
+    return Fitted(table, Network(x.astype(np.float64), y, held))
 
 
 def without_low(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, unchanged, that quality_scores doesn't predict to be labelled 0."""
-    model = fit(docs, labels, F.pmod(crc_of_id(), F.lit(3)) != 1, sample)
-    return kept(docs, lambda batches: model.value.known(batches), lambda w, doc, rows: model.value.scores(w, doc, rows) >= 0.5)
+    scores = fit(docs, labels, F.pmod(crc_of_id(), F.lit(3)) != 1, sample)
+    return kept(docs, lambda batches: scores.words(batches), lambda w, doc, rows: scores(w, doc, rows) >= 0.5)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -251,11 +249,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     without words; null ids and repeated rows are scored like others; other columns are ignored.
     """
     held = F.pmod(crc_of_id(), F.lit(3)) == 1
-    model = fit(docs, labels, ~held, sample)
+    scores = fit(docs, labels, ~held, sample)
 
     def run(batches):
-        for part, w, doc in model.value.known(batches):
-            score = model.value.scores(w, doc, part.num_rows)
+        for part, w, doc in scores.words(batches):
+            score = scores(w, doc, part.num_rows)
             yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
     return texts(docs).withColumn("held_out", held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -14,6 +14,8 @@ several. A logistic fit on rows not counted makes these a probability.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -55,11 +57,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 class Models:
-    """Both classes' counts of all words and pairs as sorted arrays, and the calibration of the scores. less: what counts of 0, 1, 2 and more lose, of words and of pairs, by class."""
+    """Both classes' counts of all words and pairs as sorted arrays. less: what counts of 0, 1, 2 and more lose, of words and of pairs, by class."""
 
     def __init__(self, word: tuple[np.ndarray, np.ndarray], pair: tuple[np.ndarray, np.ndarray], less: np.ndarray):
         self.word, m = word
-        self.pair, self.n = pair
+        self.pair, n = pair
+        self.n = n.astype(np.min_scalar_type(int(n.max(initial=0))))
         every = np.maximum(1, m.sum(1)).astype(float)
         over = m - np.stack([less[0][c][np.minimum(m[c], 3)] for c in (0, 1)])
         self.spare = 1 - over.sum(1) / every  # of a class, for the shared counts
@@ -72,7 +75,18 @@ class Models:
         of = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for c in (0, 1) for x in (self.n[c].astype(np.int64), self.less[c][np.minimum(self.n[c], 3)])]
         self.all_of = np.maximum(1, np.stack(of[::2]))
         self.back = np.where(np.stack(of[::2]) > 0, np.stack(of[1::2]) / self.all_of, 1)  # of a first word, for its followers' own counts
-        self.weights = None
+
+    def __getstate__(self) -> dict:
+        """Pairs as their last words, packed, and how many each first word has, which makes the file that workers read half as long."""
+        v = np.searchsorted(self.pair >> np.uint64(32), self.first)
+        packed = {"pair": zlib.compress((self.pair & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), 1), "n": zlib.compress(self.n.tobytes(), 1)}
+        return self.__dict__ | packed | {"of": np.diff(v, append=len(self.pair)), "kind": self.n.dtype.str}
+
+    def __setstate__(self, state: dict) -> None:
+        of, kind = state.pop("of"), state.pop("kind")
+        self.__dict__ = state
+        self.pair = np.repeat(self.first << np.uint64(32), of) | np.frombuffer(zlib.decompress(self.pair), "<u4")
+        self.n = np.frombuffer(zlib.decompress(self.n), kind).reshape(2, -1)
 
     def ratios(self, w: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log P(word | word before; toxic) - log P(...; ordinary) of each word, less that of a rare word: what the word tells by itself and what the pair adds, each as far as its counts are trusted."""
@@ -109,8 +123,12 @@ class Models:
         out[full, 2] = np.log1p(np.add.reduceat(np.maximum(r - 1, 0), first))
         return np.clip(out, -20, 20)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression of the label on the features, by Newton steps with a small ridge."""
+
+class Calibration:
+    """Logistic regression of the label on the features, by Newton steps with a small ridge; without rows of both labels the best stretch decides."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.weights = None
         if len(np.unique(y)) < 2:
             return
         self.mid, self.scale = x.mean(0), x.std(0) + 1e-3
@@ -122,12 +140,22 @@ class Models:
             w += np.clip(np.linalg.solve(h, a.T @ (y - p) - 0.1 * w), -3, 3)
         self.weights = w
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def __call__(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return 1 / (1 + np.exp(-x[:, 1]))
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + (x - self.mid) / self.scale @ self.weights[1:], -500, 500)))
 
 
+class Fitted:
+    """Scores of texts by Models, which are a file that each worker reads once, and their calibration."""
+
+    def __init__(self, models: Broadcast, calibration: Calibration):
+        self.models, self.calibration = models, calibration
+
+    def __call__(self, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+        return self.calibration(self.models.value.features(w, doc, rows))
+
+
 def counted(df: DataFrame, key: str, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The sorted keys of a table of counts and both classes' counts of each; only the sample bounds how many there are."""
     got = df.select(key, *(F.col(f"{name}{c}").cast("int") for c in (0, 1))).toArrow()
@@ -138,9 +166,8 @@ def counted(df: DataFrame, key: str, name: str) -> tuple[np.ndarray, np.ndarray]
     return keys[order], np.stack([x[order] for x in n]).astype(np.uint32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Broadcast:
-    """Models, as a file that each worker reads once. Counts come from three in four of the sampled rows, the calibration from the others."""
-    context = docs.sparkSession.sparkContext
+def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Fitted:
+    """Counts come from three in four of the sampled rows, the calibration from the others."""
 
     def triples(batches):
         for part, w, doc in _words(batches):
@@ -160,25 +187,21 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Broa
     by_word = stored(by_word)
     small = lambda df, name: df.agg(*(F.count(F.when(F.col(f"{name}{c}") == k, 1)) for c in (0, 1) for k in range(1, 5))).first()
     less = np.array([[discounts(*x[:4]), discounts(*x[4:])] for x in (small(by_word, "m"), small(pairs, "n"))])
-    models = Models(counted(by_word, "w", "m"), counted(pairs, "vw", "n"), less)
-
-    whole = context.broadcast(models)
+    models = docs.sparkSession.sparkContext.broadcast(Models(counted(by_word, "w", "m"), counted(pairs, "vw", "n"), less))
 
     def features(batches):
         for part, w, doc in _words(batches):
-            yield pa.record_batch({"label": part.column("label"), "x": pa.array(list(whole.value.features(w, doc, part.num_rows)), pa.list_(pa.float64()))})
+            yield pa.record_batch({"label": part.column("label"), "x": pa.array(list(models.value.features(w, doc, part.num_rows)), pa.list_(pa.float64()))})
 
     got = rows.where("held").mapInArrow(features, "label int, x array<double>").toArrow()
-    if got.num_rows:
-        models.calibrate(np.stack(got["x"].to_numpy(zero_copy_only=False)), got["label"].to_numpy())
-    whole.unpersist()
-    return context.broadcast(models)
+    x = np.stack(got["x"].to_numpy(zero_copy_only=False)) if got.num_rows else np.zeros((0, 3))
+    return Fitted(models, Calibration(x, got["label"].to_numpy()))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, unchanged, that toxicity_scores doesn't predict to be toxic."""
-    models = fit(docs, labels, F.pmod(crc_of_id(), F.lit(5)) != 0, sample)
-    return kept(docs, _words, lambda w, doc, rows: models.value.scores(models.value.features(w, doc, rows)) < 0.5)
+    scores = fit(docs, labels, F.pmod(crc_of_id(), F.lit(5)) != 0, sample)
+    return kept(docs, _words, lambda w, doc, rows: scores(w, doc, rows) < 0.5)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -192,11 +215,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     ignored.
     """
     held = F.pmod(crc_of_id(), F.lit(5)) == 0
-    models = fit(docs, labels, ~held, sample)
+    scores = fit(docs, labels, ~held, sample)
 
     def run(batches):
         for part, w, doc in _words(batches):
-            score = models.value.scores(models.value.features(w, doc, part.num_rows))
+            score = scores(w, doc, part.num_rows)
             yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
     return texts(docs).withColumn("held_out", held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -1,5 +1,6 @@
 """Each operator against brute force or the library, over nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import pickle
 import random
 import zlib
 from collections import defaultdict
@@ -363,6 +364,9 @@ def test_one_row_per_component(spark):
     assert kept.columns == docs.columns
     assert rows == [(-1, "other words in here now"), (3, "A b c d e"), (7, "quite another text of it"), (7, "two texts of one id"), (9, ""), (9, "")]
     assert jaccard_join.one_row_per_component(docs.limit(0)).count() == 0
+    named = docs.withColumn("__row", F.lit("mine")).withColumn("__row_", F.lit(None).cast("string"))
+    kept = jaccard_join.one_row_per_component(named)
+    assert kept.columns == named.columns and {(r["__row"], r["__row_"]) for r in kept.collect()} == {("mine", None)} and kept.count() == 6
 
 
 def test_fits_take_one_row_of_a_labelled_id(spark, monkeypatch):
@@ -371,9 +375,9 @@ def test_fits_take_one_row_of_a_labelled_id(spark, monkeypatch):
     rows = [(1, text()) for _ in range(300)] + [(i, text()) for i in range(2, 101) for _ in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 101)], "doc_id long, quality int, toxic int")
-    assert quality.fit(docs, labels, F.lit(True), 100).value.network.constant is None
-    seen, calibrate = [], toxicity.Models.calibrate
-    monkeypatch.setattr(toxicity.Models, "calibrate", lambda self, x, y: (seen.append(len(x)), calibrate(self, x, y)))
+    assert quality.fit(docs, labels, F.lit(True), 100).network.constant is None
+    seen = []
+    monkeypatch.setattr(toxicity, "Calibration", lambda x, y: seen.append(len(x)))
     toxicity.fit(docs, labels, F.lit(True), 100)
     held = spark.range(1, 101).where("pmod(xxhash64(id), 4) = 0").count()
     assert seen == [held]
@@ -428,7 +432,8 @@ def test_ratios_against_plain_counts(spark):
     speech = {0: ["a", "b", "c", "d", "e", "f"], 1: ["a", "b", "c", "vile", "foul"]}
     rows = [(i, " ".join(rng.choice(speech[k % 2]) for _ in range(rng.randrange(1, 12)))) for k, i in enumerate(fitted)]
     labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(fitted)], "doc_id long, toxic int")
-    models = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, F.lit(True)).value
+    models = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, F.lit(True)).models.value
+    models = pickle.loads(pickle.dumps(models))  # as workers get them
     triples = {(k % 2, u, v, w) for k, (_, t) in enumerate(rows) for u, v, w in zip(["", "", *t.split()], ["", *t.split()], t.split())}
     pairs = [defaultdict(int), defaultdict(int)]
     for c, _, v, w in triples:
@@ -472,7 +477,7 @@ def test_no_telling_word_is_cut_by_rank(spark):
     rows = [(i, " ".join(rng.sample(many, len(many)))) for i in fitted[:7]] + [(i, f"o{k} vile") for k, i in enumerate(fitted[7:])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, int(k >= 7)) for k, i in enumerate(fitted)], "doc_id long, toxic int")
-    models = toxicity.fit(docs, labels, F.lit(True)).value
+    models = toxicity.fit(docs, labels, F.lit(True)).models.value
     assert len(models.word) > 69_900
     (_, w, _), = toxicity._words([pa.record_batch({"text": pa.array(["vile"])})])
     assert w[0] in models.word
@@ -507,7 +512,6 @@ def test_pooling_against_plain_sums():
 
 def test_sums_of_many_tasks_are_added_in_groups(spark, monkeypatch):
     monkeypatch.setattr(quality, "FAN", 1)
-    monkeypatch.setattr(quality, "LEVELS", 2)  # seven tasks are more than two levels of two add up; the rest is added at the end
     docs = spark.createDataFrame([(k, "x y z") for k in range(20)], "doc_id long, text string").repartition(7)
     known = quality.own_words(spark.createDataFrame([("x y z",), ("x y z",)], "text string"))
     one = quality.word_vectors(docs.coalesce(1), known)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import murmur2
+from ..sources.tables import stored
 from .ordered import as_of, carried, ranged, summed
 
 #: Permissions of each role.
@@ -28,48 +29,83 @@ def needed_permission(method: Column) -> Column:
     return F.when(method == "GET", "kv:get").when(method.isin("POST", "PUT"), "kv:put").when(method == "DELETE", "kv:delete")
 
 
-def bucketed(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
-    """(uid, allowed, denied) of a token bucket for each uid over whole seconds, ties by id.
+#: What a task tells of a range of requests: counts of stretches folded there (n), the bucket at the range's end (end), and requests whose bucket it can't know (open).
+FOLDED = "kind string, uid long, sec long, id long, tokens double, allowed long, denied long"
+
+
+def _spent(tokens: float, last: int, sec: int, capacity: float, rate: float) -> tuple[float, bool]:
+    """(tokens after a request, whether it is allowed)."""
+    tokens = min(capacity, tokens + max(0, sec - last) * rate)
+    return (tokens - 1, True) if tokens >= 1 else (tokens, False)
+
 
-    A pause in which the bucket surely fills begins a new part, which knows nothing of those before; parts
-    are found by an ordered pass over ranges and are folded apart, so a uid with most requests is many
-    tasks' work unless it never pauses. Within a part each decision depends on the one before: its rows are
-    sorted by Spark, which spills, and streamed through one task that holds a bucket and a batch of rows.
-    Rows without a uid or second are left out.
+def folded(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
+    """Ranges of requests (uid, sec, id) in order, each folded as far as it can be by itself (FOLDED).
+
+    A pause in which the bucket surely fills begins a stretch that knows nothing of those before, and so does
+    a uid's first request, if it isn't the range's. So only a range's first stretch stays open, and a range
+    tells what the next one begins with; a uid with most requests is many tasks' work.
     """
 
-    def fold(batches):
-        own, tokens, last, allowed, denied, out = None, 0.0, 0, 0, 0, []
+    def run(batches):
+        uid, known, tokens, last, at, n, out = None, False, capacity, 0, 0, [0, 0], []
         for batch in batches:
-            for uid, part, sec in zip(*(batch.column(c).to_pylist() for c in ("uid", "part", "sec"))):
-                if own != (uid, part):
-                    if own:
-                        out.append((own[0], allowed, denied))
-                    own, tokens, last, allowed, denied = (uid, part), float(capacity), sec, 0, 0
-                tokens, last = min(float(capacity), tokens + max(0, sec - last) * float(rate)), sec
-                if tokens >= 1:
-                    tokens, allowed = tokens - 1, allowed + 1
+            for u, sec, id_ in zip(*(batch.column(c).to_pylist() for c in ("uid", "sec", "id"))):
+                if u != uid:
+                    if uid is not None:
+                        out.append(("n", uid, last, at, None, *n))
+                    known, uid, tokens, last, n = uid is not None, u, capacity, sec, [0, 0]
+                elif not known and (sec - last) * rate >= capacity:
+                    known, tokens = True, capacity
+                if known:
+                    tokens, ok = _spent(tokens, last, sec, capacity, rate)
+                    n[not ok] += 1
                 else:
-                    denied += 1
+                    out.append(("open", u, sec, id_, None, 0, 0))
+                last, at = sec, id_
             yield _bucket_rows(out)
             out = []
-        yield _bucket_rows([(own[0], allowed, denied)] if own else [])
+        yield _bucket_rows([("end" if known else "n", uid, last, at, tokens, *n)] if uid is not None else [])
+
+    rows = requests.select(*(F.col(c).cast("long").alias(c) for c in ("uid", "sec", "id"))).where("uid IS NOT NULL AND sec IS NOT NULL")
+    return rows.repartitionByRange("uid", "sec", "id").sortWithinPartitions("uid", "sec", "id").mapInArrow(run, FOLDED)
+
 
-    rows = full_parts(requests.where("uid IS NOT NULL AND sec IS NOT NULL").select(F.col("uid").cast("long").alias("uid"), F.col("sec").cast("long").alias("sec"), "id"), capacity, rate)
-    folded = rows.repartition("uid", "part").sortWithinPartitions("uid", "part", "sec", "id").select("uid", "part", "sec").mapInArrow(fold, "uid long, allowed long, denied long")
-    return folded.groupBy("uid").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))
+def bucketed(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
+    """(uid, allowed, denied) of a token bucket for each uid over whole seconds, ties by id; rows without a uid or second are left out.
+
+    Ranges of requests are folded apart, see `folded`; what they leave open, at most what lies between a
+    range's beginning and the first long pause, goes on from the bucket that the range before tells. That
+    passes one task for each uid, in order, which holds a bucket and a batch of rows.
+    """
+    capacity, rate = float(capacity), float(rate)
+    parts = stored(folded(requests, capacity, rate))
 
+    def close(batches):
+        uid, tokens, last, n, out = None, capacity, 0, [0, 0], []
+        for batch in batches:
+            for kind, u, sec, start in zip(*(batch.column(c).to_pylist() for c in ("kind", "uid", "sec", "tokens"))):
+                if u != uid:
+                    if uid is not None:
+                        out.append(("n", uid, last, 0, None, *n))
+                    uid, tokens, last, n = u, capacity, sec, [0, 0]
+                if kind == "end":
+                    tokens = start
+                else:
+                    tokens, ok = _spent(tokens, last, sec, capacity, rate)
+                    n[not ok] += 1
+                last = sec
+            yield _bucket_rows(out)
+            out = []
+        yield _bucket_rows([("n", uid, last, 0, None, *n)] if uid is not None else [])
 
-def full_parts(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
-    """requests (uid, sec, id) with `part`, how many pauses before them in their uid's time surely filled the bucket: its content does not depend on what came before."""
-    order = ["sec", "id"]
-    rows = carried(ranged(requests.withColumn("part", F.col("sec")), ["uid", *order]), ["uid"], order, ["part"], own=False)
-    pause = F.coalesce((F.col("sec") - F.col("part")) * F.lit(float(rate)) >= float(capacity), F.lit(False))
-    return summed(rows.withColumn("part", pause.cast("long")), ["uid"], order, ["part"]).select(*requests.columns, "part")
+    border = parts.where("kind != 'n'").select("kind", "uid", "sec", "id", "tokens").repartition("uid").sortWithinPartitions("uid", "sec", "id").mapInArrow(close, FOLDED)
+    return parts.unionByName(border).groupBy("uid").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))
 
 
 def _bucket_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("uid", "allowed", "denied"))})
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    return pa.record_batch({c.split()[0]: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(FOLDED.split(", "), kinds))})
 
 
 def limit_key(uid: Column, ip: Column) -> Column:

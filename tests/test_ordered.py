@@ -231,8 +231,16 @@ def test_token_bucket_of_one_user_is_many_parts(spark, many_ranges):
             tokens -= tokens >= 1
         want[uid] = tuple(n)
     assert {r["uid"]: (r["allowed"], r["denied"]) for r in policy.bucketed(df, 2.0, 0.1).collect()} == want
-    parts = policy.full_parts(df.where("uid = 7"), 2.0, 0.1)
-    assert parts.select("part").distinct().count() == sum(b - a >= 20 for a, b in zip(secs, secs[1:])) + 1 > 50
+    # all ranges fold most of the one user's requests by themselves
+    parts = policy.folded(df.where("uid = 7"), 2.0, 0.1).groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.col("allowed") + F.col("denied")).alias("n"), F.count(F.when(F.col("kind") == "open", 1)).alias("open")).collect()
+    assert len(parts) > 3 and all(r["n"] > 3 * r["open"] for r in parts) and sum(r["n"] + r["open"] for r in parts) == 600
+    steady = spark.createDataFrame([(1, k // 2, k) for k in range(300)], "uid long, sec long, id long")  # never pauses
+    tokens, n = 2.0, [0, 0]
+    for k in range(300):
+        tokens, ok = policy._spent(tokens, max(0, k - 1) // 2, k // 2, 2.0, 0.1)
+        n[not ok] += 1
+    assert [tuple(r) for r in policy.bucketed(steady, 2.0, 0.1).collect()] == [(1, *n)]
+    assert policy.bucketed(df.limit(0), 2.0, 0.1).count() == 0
 
 
 def brute_states(data, down=3, up=2):

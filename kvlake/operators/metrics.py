@@ -60,9 +60,13 @@ def overall_health(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.when(of("down") > 0, "down").when(of("degraded") > 0, "degraded").otherwise("ok").alias("status"), *(of(s).alias(s) for s in ("ok", "degraded", "down")))
 
 
+def update_frame(samples: DataFrame) -> Column:
+    """A sample as the server-sent frame that subscribers get."""
+    return F.concat(F.lit("event: metrics\ndata: "), F.to_json(F.struct(*samples.columns)))
+
+
 def snapshot_then_changes(samples: DataFrame, at: int) -> DataFrame:
     """(timestamp, frame): what a subscriber gets who comes at second `at`, first the latest sample up to then and after that each new one, as server-sent frames."""
     first = samples.where(F.col("timestamp") <= at).agg(F.max("timestamp").alias("timestamp"))
     now = samples.join(F.broadcast(first), "timestamp", "left_semi")  # one row
-    frame = F.concat(F.lit("event: metrics\ndata: "), F.to_json(F.struct(*samples.columns)))
-    return now.unionByName(samples.where(F.col("timestamp") > at)).select("timestamp", frame.alias("frame"))
+    return now.unionByName(samples.where(F.col("timestamp") > at)).select("timestamp", update_frame(samples).alias("frame"))

@@ -360,3 +360,14 @@ def stream_token_refresh(spark, d):
 def stream_metrics(spark, d):
     counts = ran(state.windowed_requests(jumbled(spark, d).select(F.col("ts").cast("timestamp").alias("ts")), "1 day", "1 day"), "update")
     return counts.groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max("n").alias("n"))
+
+
+@query("""WITH samples AS (SELECT event_id AS timestamp, value AS v FROM events)
+SELECT timestamp, 'event: metrics' || chr(10) || 'data: {"timestamp":' || timestamp || ',"v":' || CAST(v AS BIGINT) || '}' AS frame FROM (SELECT timestamp, floor(v) AS v FROM samples)
+WHERE timestamp >= 5000""")
+def stream_subscribe(spark, d):
+    """Events as samples by their number: a subscriber who comes at 5000 gets that one and all that follow."""
+    samples = lambda e: e.select(F.col("event_id").alias("timestamp"), F.floor("value").alias("v"))
+    path = workspace(spark)
+    state.subscribed(samples(jumbled(spark, d)), samples(table(spark, d, "events")), 5000, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema("timestamp long, frame string").parquet(f"{path}/out").select("timestamp", "frame")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.metrics import sample
+from ..operators.metrics import sample, update_frame
 
 
 def metrics_stream(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
@@ -90,6 +90,19 @@ def windowed_requests(requests: DataFrame, late: str, length: str) -> DataFrame:
     return requests.withWatermark("ts", late).groupBy(F.window("ts", length)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
+def subscribed(samples: DataFrame, known: DataFrame, at: int, path: str, checkpoint: str) -> None:
+    """Writes (timestamp, frame) of what a subscriber gets who comes at second `at`: with the first micro-batch the latest of the known samples up to then, and each streamed sample after it. Each micro-batch writes a folder of its own, again if it is run again, so nothing is there twice."""
+    frame = lambda df: df.select("timestamp", update_frame(samples).alias("frame"))
+
+    def write(df: DataFrame, k: int) -> None:
+        out = frame(df.where(F.col("timestamp") > at))
+        if k == 0:
+            out = out.unionByName(frame(known.where(F.col("timestamp") <= at).orderBy(F.desc("timestamp")).limit(1)))
+        out.write.mode("overwrite").parquet(f"{path}/batch={k}")
+
+    samples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all that is there now, into Parquet files; in update mode each micro-batch writes a folder of its own again if it is run again, so no row is there twice."""
     if mode == "append":

@@ -465,3 +465,15 @@ def test_next_upstream_at_each_time(spark, many_ranges):
         pool.turn = pool.turn if at is None else (at + 1) % n
     got = upstreams.picked(spark.createDataFrame(asked, "id long, pool string, at long").repartition(3), spark.createDataFrame(changes, f"pool string, at long, no long, list {upstreams.LIST}, host string, port long, up boolean").repartition(3))
     assert {r["id"]: r["host"] for r in got.collect()} == want and None in want.values() and len(set(want.values())) > 4
+
+
+def test_subscribers_get_the_latest_and_then_changes(spark, tmp_path):
+    from kvlake.streaming import state
+
+    schema = "timestamp long, v int"
+    for k, batch in enumerate([[(1, 1), (3, 3)], [(4, 4), (9, 9)], [(8, 8)]]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k:04d}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    state.subscribed(stream, spark.createDataFrame([(1, 1), (3, 3), (4, 4)], schema), 3, str(tmp_path / "out"), str(tmp_path / "c"))
+    got = spark.read.schema("timestamp long, frame string, batch int").parquet(str(tmp_path / "out")).orderBy("batch", "timestamp").collect()
+    assert [(r["batch"], r["frame"]) for r in got] == [(b, f'event: metrics\ndata: {{"timestamp":{t},"v":{t}}}') for b, t in ((0, 3), (1, 4), (1, 9), (2, 8))]

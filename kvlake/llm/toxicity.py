@@ -61,8 +61,8 @@ class Models:
 
     def __init__(self, word: tuple[np.ndarray, np.ndarray], pair: tuple[np.ndarray, np.ndarray], less: np.ndarray):
         self.word, m = word
-        self.pair, n = pair
-        self.n = n.astype(np.min_scalar_type(int(n.max(initial=0))))
+        m = m.astype(np.int64)
+        self.pair, self.n = pair
         every = np.maximum(1, m.sum(1)).astype(float)
         over = m - np.stack([less[0][c][np.minimum(m[c], 3)] for c in (0, 1)])
         self.spare = 1 - over.sum(1) / every  # of a class, for the shared counts
@@ -70,22 +70,24 @@ class Models:
         self.rare = float(np.log(self.spare[1] / self.spare[0]))
         self.m, self.less = m.sum(0).astype(np.uint32), less[1]
         v = self.pair >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate((np.ones(min(len(v), 1), bool), v[1:] != v[:-1])))
-        self.first = v[starts]
-        of = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for c in (0, 1) for x in (self.n[c].astype(np.int64), self.less[c][np.minimum(self.n[c], 3)])]
-        self.all_of = np.maximum(1, np.stack(of[::2]))
-        self.back = np.where(np.stack(of[::2]) > 0, np.stack(of[1::2]) / self.all_of, 1)  # of a first word, for its followers' own counts
+        self.starts = np.flatnonzero(np.concatenate((np.ones(min(len(v), 1), bool), v[1:] != v[:-1])))
+        self.first = v[self.starts]
+        del v
+        sums = lambda x, kind: np.add.reduceat(x, self.starts, dtype=kind) if len(self.starts) else np.zeros(0, kind)
+        lost = [sums(less[1][c].astype(np.float32)[np.minimum(self.n[c], 3)], np.float64) for c in (0, 1)]
+        of = np.stack([sums(self.n[c], np.int64) for c in (0, 1)])
+        self.all_of = np.maximum(1, of)
+        self.back = np.where(of > 0, np.stack(lost) / self.all_of, 1)  # of a first word, for its followers' own counts
 
     def __getstate__(self) -> dict:
         """Pairs as their last words, packed, and how many each first word has, which makes the file that workers read half as long."""
-        v = np.searchsorted(self.pair >> np.uint64(32), self.first)
-        packed = {"pair": zlib.compress((self.pair & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), 1), "n": zlib.compress(self.n.tobytes(), 1)}
-        return self.__dict__ | packed | {"of": np.diff(v, append=len(self.pair)), "kind": self.n.dtype.str}
+        packed = {"pair": zlib.compress(self.pair.astype("<u4"), 1), "n": zlib.compress(np.ascontiguousarray(self.n), 1)}
+        return self.__dict__ | packed | {"many": len(self.pair), "kind": self.n.dtype.str}
 
     def __setstate__(self, state: dict) -> None:
-        of, kind = state.pop("of"), state.pop("kind")
+        many, kind = state.pop("many"), state.pop("kind")
         self.__dict__ = state
-        self.pair = np.repeat(self.first << np.uint64(32), of) | np.frombuffer(zlib.decompress(self.pair), "<u4")
+        self.pair = np.repeat(self.first << np.uint64(32), np.diff(self.starts, append=many)) | np.frombuffer(zlib.decompress(self.pair), "<u4")
         self.n = np.frombuffer(zlib.decompress(self.n), kind).reshape(2, -1)
 
     def ratios(self, w: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -157,13 +159,12 @@ class Fitted:
 
 
 def counted(df: DataFrame, key: str, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted keys of a table of counts and both classes' counts of each; only the sample bounds how many there are."""
-    got = df.select(key, *(F.col(f"{name}{c}").cast("int") for c in (0, 1))).toArrow()
-    keys, n = got[key].to_numpy(), [got[f"{name}{c}"].to_numpy() for c in (0, 1)]
-    del got
-    keys = keys.view(np.uint64)  # a pair's first word is in the upper bits
-    order = np.argsort(keys)
-    return keys[order], np.stack([x[order] for x in n]).astype(np.uint32)
+    """The keys of a table of counts, sorted as unsigned numbers (a pair's first word is in the upper bits), and both classes' counts of each; only the sample bounds how many there are."""
+    got = df.select(key, *(F.col(f"{name}{c}").cast("int") for c in (0, 1))).orderBy(F.col(key) < 0, key).toArrow()
+    n = [got[f"{name}{c}"].to_numpy() for c in (0, 1)]
+    kind = np.min_scalar_type(int(max((x.max(initial=0) for x in n), default=0)))
+    n = np.stack([x.astype(kind) for x in n])
+    return got[key].to_numpy().view(np.uint64), n
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Fitted:

@@ -1,7 +1,6 @@
 """Ordered passes and what is built on them, against plain Python, with keys that have most of the rows."""
 
 import random
-from bisect import bisect_right
 from collections import defaultdict
 
 import pytest

@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,26 +202,22 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, train, most:
 
 
 class Fitted:
-    """Scores of texts by word numbers and vectors, which are a file that each worker reads once, and the network over their pooled features."""
+    """Scores of texts by word numbers, vectors, and the network over their pooled features. Tasks get them with their code and let go of them at their end."""
 
-    def __init__(self, table: Broadcast, network: Network):
-        self.table, self.network = table, network
-
-    def words(self, batches):
-        return self.table.value[0](batches)
+    def __init__(self, words: Words, vectors: np.ndarray, network: Network):
+        self.words, self.vectors, self.network = words, vectors, network
 
     def __call__(self, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
-        return self.network(pooled(self.table.value[1], w, doc, rows).astype(np.float64))
+        return self.network(pooled(self.vectors, w, doc, rows).astype(np.float64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Fitted:
     """Fitted on labelled rows that `train` holds for; the sample bounds the table's size (72 bytes a word)."""
     labelled = stored(labelled_texts(docs, labels, "quality", train, sample))
     known = own_words(labelled)
-    table = docs.sparkSession.sparkContext.broadcast((known, word_vectors(docs, known)))
+    vectors = word_vectors(docs, known)
 
     def run(batches):
-        known, vectors = table.value
         for part, w, doc in known(batches):
             x = pooled(vectors, w, doc, part.num_rows)
             yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "x": pa.array(list(x), pa.list_(pa.float32()))})
@@ -230,13 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Fitt
     x = np.stack(got["x"].to_numpy(zero_copy_only=False)) if got.num_rows else np.zeros((0, 2 * DIM + 3), np.float32)
     y = got["label"].to_numpy()
     held = got["doc_id"].to_numpy() // 3 % 5 == 0 if got.num_rows else np.zeros(0, bool)
-    return Fitted(table, Network(x.astype(np.float64), y, held))
+    return Fitted(known, vectors, Network(x.astype(np.float64), y, held))
 
 
 def without_low(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, unchanged, that quality_scores doesn't predict to be labelled 0."""
     scores = fit(docs, labels, F.pmod(crc_of_id(), F.lit(3)) != 1, sample)
-    return kept(docs, lambda batches: scores.words(batches), lambda w, doc, rows: scores(w, doc, rows) >= 0.5)
+    return kept(docs, scores.words, lambda w, doc, rows: scores(w, doc, rows) >= 0.5)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

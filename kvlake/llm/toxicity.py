@@ -18,7 +18,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +79,7 @@ class Models:
         self.back = np.where(of > 0, np.stack(lost) / self.all_of, 1)  # of a first word, for its followers' own counts
 
     def __getstate__(self) -> dict:
-        """Pairs as their last words, packed, and how many each first word has, which makes the file that workers read half as long."""
+        """Pairs as their last words, packed, and how many each first word has, which makes what tasks get half as long."""
         packed = {"pair": zlib.compress(self.pair.astype("<u4"), 1), "n": zlib.compress(np.ascontiguousarray(self.n), 1)}
         return self.__dict__ | packed | {"many": len(self.pair), "kind": self.n.dtype.str}
 
@@ -149,13 +148,13 @@ class Calibration:
 
 
 class Fitted:
-    """Scores of texts by Models, which are a file that each worker reads once, and their calibration."""
+    """Scores of texts by Models and their calibration. Tasks get them with their code, packed, and let go of them at their end."""
 
-    def __init__(self, models: Broadcast, calibration: Calibration):
+    def __init__(self, models: Models, calibration: Calibration):
         self.models, self.calibration = models, calibration
 
     def __call__(self, w: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
-        return self.calibration(self.models.value.features(w, doc, rows))
+        return self.calibration(self.models.features(w, doc, rows))
 
 
 def counted(df: DataFrame, key: str, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Fitt
     by_word = stored(by_word)
     small = lambda df, name: df.agg(*(F.count(F.when(F.col(f"{name}{c}") == k, 1)) for c in (0, 1) for k in range(1, 5))).first()
     less = np.array([[discounts(*x[:4]), discounts(*x[4:])] for x in (small(by_word, "m"), small(pairs, "n"))])
-    models = docs.sparkSession.sparkContext.broadcast(Models(counted(by_word, "w", "m"), counted(pairs, "vw", "n"), less))
+    models = Models(counted(by_word, "w", "m"), counted(pairs, "vw", "n"), less)
 
     def features(batches):
         for part, w, doc in _words(batches):
-            yield pa.record_batch({"label": part.column("label"), "x": pa.array(list(models.value.features(w, doc, part.num_rows)), pa.list_(pa.float64()))})
+            yield pa.record_batch({"label": part.column("label"), "x": pa.array(list(models.features(w, doc, part.num_rows)), pa.list_(pa.float64()))})
 
     got = rows.where("held").mapInArrow(features, "label int, x array<double>").toArrow()
     x = np.stack(got["x"].to_numpy(zero_copy_only=False)) if got.num_rows else np.zeros((0, 3))

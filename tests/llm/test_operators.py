@@ -432,7 +432,7 @@ def test_ratios_against_plain_counts(spark):
     speech = {0: ["a", "b", "c", "d", "e", "f"], 1: ["a", "b", "c", "vile", "foul"]}
     rows = [(i, " ".join(rng.choice(speech[k % 2]) for _ in range(rng.randrange(1, 12)))) for k, i in enumerate(fitted)]
     labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(fitted)], "doc_id long, toxic int")
-    models = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, F.lit(True)).models.value
+    models = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, F.lit(True)).models
     models = pickle.loads(pickle.dumps(models))  # as workers get them
     triples = {(k % 2, u, v, w) for k, (_, t) in enumerate(rows) for u, v, w in zip(["", "", *t.split()], ["", *t.split()], t.split())}
     pairs = [defaultdict(int), defaultdict(int)]
@@ -477,7 +477,7 @@ def test_no_telling_word_is_cut_by_rank(spark):
     rows = [(i, " ".join(rng.sample(many, len(many)))) for i in fitted[:7]] + [(i, f"o{k} vile") for k, i in enumerate(fitted[7:])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, int(k >= 7)) for k, i in enumerate(fitted)], "doc_id long, toxic int")
-    models = toxicity.fit(docs, labels, F.lit(True)).models.value
+    models = toxicity.fit(docs, labels, F.lit(True)).models
     assert len(models.word) > 69_900
     (_, w, _), = toxicity._words([pa.record_batch({"text": pa.array(["vile"])})])
     assert w[0] in models.word

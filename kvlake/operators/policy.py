@@ -201,8 +201,8 @@ def ring(nodes: DataFrame, points: int) -> DataFrame:
 
 def on_ring(keys: DataFrame, ring: DataFrame) -> DataFrame:
     """(key, node): the node of the first point at or after the key's hash, or else of the first point of all: an as-of join from above, so rings of any size and keys go through one ordered pass."""
-    own = keys.select("key", murmur2(F.col("key"), 0).alias("h"))
-    met = as_of(own, ring.select("hash", "node"), [], -F.col("h"), -F.col("hash"), ["node"])
+    own, ring = stored(keys.select("key", murmur2(F.col("key"), 0).alias("h"))), stored(ring.select("hash", "node"))  # hashed once
+    met = as_of(own, ring, [], -F.col("h"), -F.col("hash"), ["node"])
     least = F.broadcast(ring.agg(F.min_by("node", "hash").alias("least")))  # one row
     return met.crossJoin(least).select("key", F.coalesce("node", "least").alias("node"))
 

@@ -224,8 +224,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the same nodes in fewer steps: each task ties every node of its own edges to the least one that these reach."""
+
+    def tied(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([x.column(c).to_numpy() for x in some]) for c in ("a", "b")]
+        node, at = np.unique(np.concatenate(ends), return_inverse=True)
+        a, b = np.split(at, 2)
+        least = np.arange(len(node))
+        while len(a):
+            low, high = np.minimum(least[a], least[b]), np.maximum(least[a], least[b])
+            np.minimum.at(least, high, low)  # a root's own label, so that its whole tree follows
+            while not np.array_equal(least, up := least[least]):
+                least = up
+            open_ = least[a] != least[b]
+            a, b = a[open_], b[open_]
+        return pa.record_batch({"a": pa.array(node), "b": pa.array(node[least])})
+
+    def run(batches):
+        some, size = [], 0
+        for batch in batches:
+            some.append(batch)
+            if (size := size + batch.num_rows) > RUN:
+                yield tied(some)
+                some, size = [], 0
+        if some:
+            yield tied(some)
+
+    return edges.select("a", "b").distinct().mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of edges (a, b); comp is the smallest node of its component. In each step a node takes the least label among its neighbours' and then that label's own label, until none changes."""
+    """(node, comp) of every node of edges (a, b); comp is the smallest node of its component. Tasks first join what their own edges join. Then in each step a node takes the least label among its neighbours' and then that label's own label, until none changes."""
+    edges = stored(_stars(edges))
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     state = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")))
     while True:
@@ -242,7 +273,7 @@ def _extended(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """comp (node, comp) after further edges (a, b): only what these join is labelled anew, over one edge between two components."""
     own = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
     between = edges.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
-    top = components(stored(between.where("a != b").distinct()))
+    top = components(between.where("a != b"))
     old = comp.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
     return stored(old.union(top.join(comp, "node", "left_anti")))
 

@@ -158,12 +158,24 @@ class Fitted:
 
 
 def counted(df: DataFrame, key: str, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a table of counts, sorted as unsigned numbers (a pair's first word is in the upper bits), and both classes' counts of each; only the sample bounds how many there are."""
-    got = df.select(key, *(F.col(f"{name}{c}").cast("int") for c in (0, 1))).orderBy(F.col(key) < 0, key).toArrow()
-    n = [got[f"{name}{c}"].to_numpy() for c in (0, 1)]
-    kind = np.min_scalar_type(int(max((x.max(initial=0) for x in n), default=0)))
-    n = np.stack([x.astype(kind) for x in n])
-    return got[key].to_numpy().view(np.uint64), n
+    """The keys of a table of counts, sorted as unsigned numbers (a pair's first word is in the upper bits), and both classes' counts of each; only the sample bounds how many there are.
+
+    Tasks pack them, and the driver takes one partition after the other, so that it never holds them as rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            n = np.stack([batch.column(f"{name}{c}").to_numpy() for c in (0, 1)]).astype("<u4")
+            yield pa.record_batch({"keys": pa.array([batch.column(key).to_numpy().tobytes()], pa.binary()), "n": pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())})
+
+    rows = df.select(key, *(F.col(f"{name}{c}").cast("int") for c in (0, 1)))
+    many, *most = rows.agg(F.count("*"), *(F.max(f"{name}{c}") for c in (0, 1))).first()
+    keys, counts, at = np.empty(many, np.uint64), np.empty((2, many), np.min_scalar_type(max(x or 0 for x in most))), 0
+    for some, n in rows.orderBy(F.col(key) < 0, key).mapInArrow(run, "keys binary, n binary").toLocalIterator():
+        own = np.frombuffer(some, "<u8")
+        keys[at : at + len(own)], counts[:, at : at + len(own)] = own, np.frombuffer(zlib.decompress(n), "<u4").reshape(2, -1)
+        at += len(own)
+    return keys, counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Fitted:

@@ -189,6 +189,28 @@ def test_jaccard_large_group(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_components_of_a_long_chain_take_few_steps(spark, monkeypatch):
+    written, own = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df: written.append(df) or own(df))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 400), (700, 900), (500, 500)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in jaccard_join.components(chain).collect()}
+    assert got == {i: 0 for i in range(301)} | {400: 400, 700: 400, 900: 400, 500: 500}
+    assert len(written) <= 5
+
+
+@pytest.mark.parametrize("run", [3, 1 << 20])
+def test_stars_join_what_edges_join(spark, monkeypatch, run):
+    monkeypatch.setattr(jaccard_join, "RUN", run)
+    rng = np.random.default_rng(4)
+    edges = [tuple(x) for x in rng.integers(-60, 60, (90, 2)).tolist()]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert {r["node"]: r["comp"] for r in got} == root
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(2)
     for n in (1, 50, 2000):
@@ -425,6 +447,20 @@ def test_discounts():
     assert all(0 < d < k for k, d in enumerate(toxicity.discounts(10, 5, 1, 100)[1:], 1))  # no count is lost
 
 
+def test_counts_reach_the_driver_packed(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << 64, 25_000, np.uint64))
+    n = rng.integers(0, 300, (2, len(keys)))
+    rows = spark.createDataFrame(list(zip(rng.permutation(keys).view(np.int64).tolist(), *n.tolist())), "k long, n0 long, n1 long")
+    by = {r["k"] % (1 << 64): (r["n0"], r["n1"]) for r in rows.collect()}
+    monkeypatch.setattr(type(rows), "toArrow", lambda self: pytest.fail("all rows at once"))
+    got, counts = toxicity.counted(rows, "k", "n")
+    assert got.tolist() == keys.tolist() and counts.dtype == np.uint16
+    assert list(zip(*counts.tolist())) == [by[k] for k in keys.tolist()]
+    none, counts = toxicity.counted(rows.limit(0), "k", "n")
+    assert len(none) == 0 and counts.shape == (2, 0)
+
+
 def test_ratios_against_plain_counts(spark):
     # both classes' models word by word, from dictionaries
     rng = random.Random(21)

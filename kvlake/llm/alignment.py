@@ -5,6 +5,11 @@ sorted lists. Diagonals of the merge, a fixed number of steps apart, cut it into
 a binary search along each diagonal finds where its piece begins in both lists. All pieces advance
 together, a step at a time, and give the ends that A and B share; a group of tokens that begins in one
 piece and ends in a later one is put together from both.
+
+Before that, both libraries encode chunks, not texts: a chunk is a run of blanks with what follows up to
+the next run. Where neither tokenizer has tokens that go on from one chunk into the next, or looks at
+what is around a chunk, a text's tokens are those of its chunks, and a task encodes only chunks that it
+has not met yet, known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +31,12 @@ from tokenizers import Tokenizer
 
 from . import words
 from .common import stored, texts
+from .pieces import encodes_words_alone
 
 #: Steps of a piece of the merge; bytes of text that are aligned together.
 STEPS, TOGETHER = 256, 1 << 19
+#: Chunks that a worker process remembers, and ids of all of them, by each vocabulary, at most; new chunks that are encoded as one text.
+REMEMBERED, POOL, TIED = 1 << 19, 1 << 22, 512
 BLANK = "▁"
 
 
@@ -53,7 +62,10 @@ class ByteLevel(Shown):
         self.library.encode_special_tokens = True
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # such a byte is written as itself, the others as the letters from U+0100 on
         byte = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        own = json.load(open(path, encoding="utf-8"))
+        vocabulary, model, before = own["model"]["vocab"], own["model"], own["pre_tokenizer"] or {}
+        #: Texts are taken as they are, and the byte-level expression parts them before each run of blanks.
+        self.by_chunks = model["type"] == "BPE" and not model.get("dropout") and not own["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and all(x["special"] for x in own["added_tokens"])
         tokens = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for x, k in vocabulary.items():
             tokens[k] = bytes(byte[c] for c in x) if all(c in byte for c in x) else x.encode()
@@ -70,6 +82,8 @@ class Pieces(Shown):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.library.id_to_piece(k) for k in range(self.library.get_piece_size())]
         super().__init__([bytes([int(x[3:5], 16)]) if self.library.is_byte(k) else x.replace(BLANK, " ").encode() for k, x in enumerate(names)])
+        #: Texts are taken as they are, and no piece goes on from one run of blanks and what follows into the next.
+        self.by_chunks = encodes_words_alone(self.library)
 
     def encode(self, some: list[str]) -> list[list[int]]:
         return self.library.encode(some, num_threads=1)
@@ -143,30 +157,136 @@ class Aligned:
         return np.diff(np.searchsorted(self.link_a, np.concatenate(([0], np.cumsum(self.many_a)))))
 
 
+def solid(data: np.ndarray) -> np.ndarray:
+    """Of each place in data, its end too: whether what ends there is surely no white space."""
+    before, two, three = (np.concatenate([np.zeros(k, np.uint8), data])[: len(data) + 1] for k in (1, 2, 3))
+    wide = (before >= 0x80) & (two != 0xC2) & ((three < 0xE1) | (three > 0xE3))  # white space beyond ASCII has two bytes from C2 on, or three from E1 to E3 on
+    return (before > ord(" ")) & (before < 0x7F) | wide
+
+
+def chunk_starts(data: np.ndarray, begins: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where each chunk begins: at a text's first byte (data begins a text at each of `begins`), and at blanks after what is no white space, but for one that ends a text."""
+    cut = (data == ord(" ")) & solid(data)[:-1]
+    cut[begins + size - 1] = False
+    cut[begins] = True
+    return np.flatnonzero(cut)
+
+
+class Chunks:
+    """The ids of chunks by both vocabularies, as they are met."""
+
+    def __init__(self, *both: Shown):
+        self.both = both
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.keys, self.good = none.astype(np.uint64), none.astype(bool)
+        self.first, self.many, self.pool = ([none, none] for _ in range(3))
+
+    def _encoded(self, v: Shown, spelled: list[bytes], joined: list[np.ndarray], alone: list[int]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """(which chunks, in the order of their ids; how many ids each has; all ids; whether they give each chunk back). Groups of chunks that are encoded as one text are parted where their bytes end, unless v does not give them back."""
+        order, many, ids, alone = [], [], [], [*alone]
+        for group, found in zip(joined, v.encode([b"".join(spelled[k] for k in g.tolist())[1:].decode() for g in joined])):
+            own = np.array(found, np.int64)
+            ends, want = np.cumsum(v.size[own]), np.cumsum([len(spelled[k]) for k in group.tolist()])
+            at = np.searchsorted(ends, want)
+            if len(own) and ends[-1] == want[-1] and np.array_equal(ends[at], want) and v.joined(own).tobytes() == b"".join(spelled[k] for k in group.tolist()):
+                order += group.tolist()
+                many.append(np.diff(at, prepend=-1))
+                ids.append(own)
+            else:
+                alone += group.tolist()
+        good = np.ones(len(spelled), bool)
+        for k, found in zip(alone, v.encode([spelled[k][1:].decode() for k in alone])):
+            order.append(k)
+            many.append(np.array([len(found)]))
+            ids.append(np.array(found, np.int64))
+            good[k] = v.joined(ids[-1]).tobytes() == spelled[k]
+        none = np.zeros(0, np.int64)
+        return order, np.concatenate([none, *many]), np.concatenate([none, *ids]), good
+
+    def _learn(self, new: np.ndarray, spelled: list[bytes], solid: np.ndarray) -> None:
+        at, good, apart = np.searchsorted(self.keys, new), np.ones(len(new), bool), np.flatnonzero(solid)
+        joined = [apart[k : k + TIED] for k in range(0, len(apart), TIED)]
+        for k, v in enumerate(self.both):
+            order, own, ids, whole = self._encoded(v, spelled, joined, np.flatnonzero(~solid).tolist())
+            first, many = np.empty((2, len(new)), np.int64)
+            first[order], many[order] = len(self.pool[k]) + np.cumsum(own) - own, own
+            self.first[k], self.many[k] = np.insert(self.first[k], at, first), np.insert(self.many[k], at, many)
+            self.pool[k] = np.concatenate([self.pool[k], ids])
+            good &= whole
+        self.keys, self.good = np.insert(self.keys, at, new), np.insert(self.good, at, good)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """(ids of all chunks, how many of each chunk, both by both vocabularies; whether both give the chunk back byte by byte)."""
+        distinct, first, inverse = np.unique(words.span_hashes(words._values(False)[data], starts), return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > REMEMBERED or max(map(len, self.pool)) > POOL:
+            self.forget()
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        new[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] != distinct[at < len(self.keys)]
+        if new.any():
+            ends = np.append(starts, len(data))
+            ends = ends[first[new] + 1]
+            self._learn(distinct[new], [data[a:z].tobytes() for a, z in zip(starts[first[new]].tolist(), ends.tolist())], solid(data)[ends])
+            at = np.searchsorted(self.keys, distinct)
+        at = at[inverse]
+        ids, counts = [], []
+        for k in (0, 1):
+            many = self.many[k][at]
+            ids.append(self.pool[k][np.repeat(self.first[k][at] - (np.cumsum(many) - many), many) + np.arange(many.sum())])
+            counts.append(many)
+        return ids, counts, self.good[at]
+
+
+@lru_cache(maxsize=2)
+def chunks(va: ByteLevel, vb: Pieces) -> Chunks:
+    """One for all tasks that a worker process runs."""
+    return Chunks(va, vb)
+
+
 def aligned(column: pa.Array, va: ByteLevel, vb: Pieces, steps: int = STEPS) -> Aligned:
     """Of a column without nulls; texts that are empty or that one of the two does not give back byte by byte have no tokens."""
-    some, (data, offsets) = column.to_pylist(), words.utf8(column)
+    data, offsets = words.utf8(column)
+    rows = len(column)
     size = np.diff(offsets) + 1
     there = size > 1
-    spaced = np.full(len(data) + len(some), ord(" "), np.uint8)
-    spaced[np.arange(len(data)) + np.repeat(np.arange(len(some)), size - 1) + 1] = data
+    spaced = np.full(len(data) + rows, ord(" "), np.uint8)
+    spaced[np.arange(len(data)) + np.repeat(np.arange(rows), size - 1) + 1] = data
     begins = np.cumsum(size) - size
-    ids, many = [], []
-    for v in (va, vb):
-        lists = v.encode(some)
-        many.append(np.array([len(x) for x in lists], np.int64))
-        ids.append(np.concatenate([np.array(x, np.int64) for x in lists] or [np.zeros(0, np.int64)]))
-        doc = np.repeat(np.arange(len(some)), many[-1])
-        whole = np.bincount(doc, v.size[ids[-1]], len(some)).astype(np.int64)
-        there &= whole == size
-        back, at = v.joined(ids[-1]), np.cumsum(whole) - whole
-        for k in np.flatnonzero(there).tolist():
-            there[k] = np.array_equal(back[at[k] : at[k] + size[k]], spaced[begins[k] : begins[k] + size[k]])
+    doubtful = there.copy()
+    if va.by_chunks and vb.by_chunks and rows:
+        starts = chunk_starts(spaced, begins, size)
+        ids, counts, good = chunks(va, vb)(spaced, starts)
+        row = np.searchsorted(begins, starts, side="right") - 1
+        many = [np.bincount(row, n, rows).astype(np.int64) for n in counts]
+        doubtful = there & (np.bincount(row[~good], minlength=rows) > 0)
+    else:
+        some = column.to_pylist()
+        lists = [v.encode(some) for v in (va, vb)]
+        many = [np.array([len(x) for x in own], np.int64) for own in lists]
+        ids = [np.fromiter(chain.from_iterable(own), np.int64, int(n.sum())) for own, n in zip(lists, many)]
+    for v, own, n in zip((va, vb), ids, many):
+        last = np.cumsum(n)
+        for k in np.flatnonzero(doubtful).tolist():
+            there[k] &= np.array_equal(v.joined(own[last[k] - n[k] : last[k]]), spaced[begins[k] : begins[k] + size[k]])
     (a, b), (many_a, many_b) = (x[np.repeat(there, n)] for x, n in zip(ids, many)), (np.where(there, n, 0) for n in many)
     link_a, link_b = common_ends(np.cumsum(va.size[a]), np.cumsum(vb.size[b]), steps)
     return Aligned(a, b, many_a, many_b, link_a, link_b)
 
 
+@lru_cache(maxsize=2)
+def _decimals(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many digits each number of so many bits has, and the digits, with zero bytes up to one place more than the longest has."""
+    n = np.arange(1 << bits)
+    digits = np.searchsorted(10 ** np.arange(1, 19), n, side="right") + 1
+    out = np.zeros((len(n), int(digits.max()) + 1), np.uint8)
+    for k in range(out.shape[1] - 1):
+        out[:, k] = np.where(k < digits, n // 10 ** np.maximum(digits - 1 - k, 0) % 10 + ord("0"), 0)
+    return digits, out
+
+
 def _written(x: Aligned) -> Iterator[bytes]:
     """Each text's groups: ids of A by commas, a bar, ids of B by commas; a semicolon between groups."""
     runs_a, runs_b = np.diff(x.link_a, prepend=-1), np.diff(x.link_b, prepend=-1)
@@ -175,11 +295,8 @@ def _written(x: Aligned) -> Iterator[bytes]:
     ids, ends = np.empty(len(x.a) + len(x.b), np.int64), np.full(len(x.a) + len(x.b), ord(","), np.uint8)
     ids[at_a], ids[at_b] = x.a, x.b
     ends[at_a[x.link_a]], ends[at_b[x.link_b]] = ord("|"), ord(";")
-    digits = np.searchsorted(10 ** np.arange(1, 19), ids, side="right") + 1
-    wide = int(digits.max(initial=1))
-    out = np.zeros((len(ids), wide + 1), np.uint8)
-    for k in range(wide):
-        out[:, k] = np.where(k < digits, ids // 10 ** np.maximum(digits - 1 - k, 0) % 10 + ord("0"), 0)
+    digits, spelled = _decimals(max(16, int(ids.max(initial=0)).bit_length()))
+    out, digits = spelled[ids], digits[ids]
     out[np.arange(len(ids)), digits] = ends
     data = out[out != 0].tobytes()
     token = np.concatenate(([0], np.cumsum(digits + 1)))

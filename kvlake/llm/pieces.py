@@ -59,21 +59,29 @@ def _fields(message: bytes):
             at += size
 
 
+def encodes_words_alone(library: sentencepiece.SentencePieceProcessor) -> bool:
+    """Whether a BPE model takes texts as they are, puts one blank first, and has no piece that goes on beyond a word: then words can be encoded by themselves."""
+    fields = [*_fields(library.serialized_model_proto())]
+    model = dict(fields)  # 2: trainer, 3: normaliser
+    trainer, normaliser = dict(_fields(model.get(2, b""))), dict(_fields(model.get(3, b"")))
+    plain_text = not normaliser.get(2, b"") and normaliser.get(3, 1) == 1 and normaliser.get(4, 1) == 0 and normaliser.get(5, 1) == 1
+    own = {dict(_fields(x)).get(3, 1) for f, x in fields if f == 1}
+    plain = (k for k in range(library.get_piece_size()) if not (library.is_byte(k) or library.is_control(k) or library.is_unknown(k) or library.is_unused(k)))
+    return trainer.get(3) == BPE and plain_text and 4 not in own and not any(BLANK in library.id_to_piece(k).lstrip(BLANK) for k in plain)
+
+
 class Vocabulary:
     def __init__(self, path: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         model = dict(_fields(self.library.serialized_model_proto()))  # 2: trainer, 3: normaliser
-        trainer, normaliser = dict(_fields(model.get(2, b""))), dict(_fields(model.get(3, b"")))
-        self.kind = trainer.get(3)
+        self.kind = dict(_fields(model.get(2, b""))).get(3)
         n = self.library.get_piece_size()
         names = [self.library.id_to_piece(k) for k in range(n)]
         self.bytes_at = {int(x[3:5], 16): k for k, x in enumerate(names) if self.library.is_byte(k)}
         plain = [k for k in range(n) if not (self.library.is_byte(k) or self.library.is_control(k) or self.library.is_unknown(k) or self.library.is_unused(k))]
         self.unknown = self.library.unk_id()
         #: Texts are taken as they are, blanks become the mark and one stands first, and no piece goes on beyond a word: words can be encoded by themselves. Else the library encodes whole texts.
-        own = {piece: dict(_fields(x)).get(3, 1) for piece, x in enumerate(v for f, v in _fields(self.library.serialized_model_proto()) if f == 1)}
-        plain_text = not normaliser.get(2, b"") and normaliser.get(3, 1) == 1 and normaliser.get(4, 1) == 0 and normaliser.get(5, 1) == 1
-        self.by_words = self.kind == BPE and plain_text and 4 not in own.values() and not any(BLANK in names[k].lstrip(BLANK) for k in plain)
+        self.by_words = encodes_words_alone(self.library)
         shown = [b"" if self.library.is_control(k) else bytes([int(x[3:5], 16)]) if self.library.is_byte(k) else " ⁇ ".encode() if k == self.unknown else x.replace(BLANK, " ").encode() for k, x in enumerate(names)]
         self.shown_size = np.array([len(x) for x in shown])
         self.shown_at, self.shown = np.cumsum(self.shown_size) - self.shown_size, np.frombuffer(b"".join(shown), np.uint8)

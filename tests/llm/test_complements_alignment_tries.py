@@ -147,6 +147,32 @@ def test_alignment(spark):
     assert alignment.alignment_counts(docs.limit(0), A, B).count() == 0 == alignment.groups(docs.limit(0), A, B).count()
 
 
+@vocabulary
+def test_chunks_encoded_once_give_the_tokens_of_whole_texts(monkeypatch):
+    va, vb = alignment.vocabularies(A, B)
+    rng = random.Random(8)
+    letters = "ab cdé  \n\t \u0085 \u3000'st 12!?.<|endoftext|>世界🙂\u0301Ünß▁\u180e\u200b \x1c\x7f_S "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(2000)] + ["a<|endoftext|> b <|endoftext|>", " ", "  ", "a ", "a  ", "", "▁ a b", " <unk> </s> <0x41> a"]
+    texts += [" ".join(rng.choice(["once", "upon", "a", "time,", "it's"]) for _ in range(3000))]
+    column = pa.array(texts)
+    encoded, own = [], type(va).encode
+    monkeypatch.setattr(type(va), "encode", lambda self, some: encoded.extend(some) or own(self, some))
+    alignment.chunks.cache_clear()
+    got = alignment.aligned(column, va, vb)
+    alignment.aligned(column, va, vb)
+    assert va.by_chunks and vb.by_chunks and sum(map(len, encoded)) < sum(map(len, texts))
+    monkeypatch.setattr(alignment, "TIED", 3)
+    monkeypatch.setattr(alignment, "REMEMBERED", 1000)
+    alignment.chunks.cache_clear()
+    parts = [alignment.aligned(column.slice(k, 150), va, vb) for k in range(0, len(column), 150)]
+    monkeypatch.setattr(va, "by_chunks", False)
+    want = alignment.aligned(column, va, vb)
+    for c in ("a", "b", "many_a", "many_b", "link_a", "link_b"):
+        assert np.array_equal(getattr(got, c), getattr(want, c))
+    for c in ("a", "b", "many_a", "many_b"):
+        assert np.array_equal(np.concatenate([getattr(x, c) for x in parts]), getattr(want, c))
+
+
 @vocabulary
 def test_pieces_of_a_long_text_are_stitched():
     va, vb = alignment.vocabularies(A, B)

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # Python workers live on from task to task; by this pool the batches that one has freed go back to the system
 pa.set_memory_pool(pa.system_memory_pool())
 
+#: With this setting a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,9 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """df written to the shared folder and read back: cuts lineage, survives lost executors. Nothing reads the shuffle files of the write again, so they go with its end."""
+    path, conf = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", df.sparkSession.conf
+    own = conf.get(SHUFFLES_GO, None)
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLES_GO, own) if own is not None else conf.unset(SHUFFLES_GO)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,10 @@
 
 import pickle
 import random
+import time
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -391,6 +393,26 @@ def test_one_row_per_component(spark):
     assert kept.columns == named.columns and {(r["__row"], r["__row_"]) for r in kept.collect()} == {("mine", None)} and kept.count() == 6
 
 
+def test_shuffle_files_go_with_each_step(spark, monkeypatch):
+    places = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    files = lambda: {str(f) for d in places for f in Path(str(d)).rglob("shuffle_*")}
+    left, own = [], jaccard_join.stored
+
+    def stored(df):
+        before, out, until = files(), own(df), time.time() + 5
+        while (new := files() - before) and time.time() < until:  # executors remove them on their own time
+            time.sleep(0.05)
+        left.append(len(new))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    texts = [" ".join(f"w{(k // 3) * 5 + j}" for j in range(60)) + f" end{k}" for k in range(60)]
+    mine = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    assert jaccard_join.one_row_per_component(documents(spark, texts), 5, 80).count() < 60
+    assert len(left) > 5 and not any(left)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == mine
+
+
 def test_fits_take_one_row_of_a_labelled_id(spark, monkeypatch):
     rng = random.Random(7)
     text = lambda: " ".join(rng.choice(["w1", "w2", "w3", "w4"]) for _ in range(20))

@@ -86,7 +86,9 @@ class Models:
     def __setstate__(self, state: dict) -> None:
         many, kind = state.pop("many"), state.pop("kind")
         self.__dict__ = state
-        self.pair = np.repeat(self.first << np.uint64(32), np.diff(self.starts, append=many)) | np.frombuffer(zlib.decompress(self.pair), "<u4")
+        pair = np.repeat(self.first << np.uint64(32), np.diff(self.starts, append=many))
+        pair |= np.frombuffer(zlib.decompress(self.pair), "<u4")  # in place: all workers of a machine unpack at once
+        self.pair = pair
         self.n = np.frombuffer(zlib.decompress(self.n), kind).reshape(2, -1)
 
     def ratios(self, w: np.ndarray, before: np.ndarray) -> np.ndarray:

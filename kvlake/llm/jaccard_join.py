@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import stored, texts
+from .common import discard, stored, texts
 
 #: Document frequency from which a shingle counts as frequent, and how many such shingles at most, the most frequent, are told to all tasks (8 MB).
 FREQUENT, TOLD = 12, 1 << 20
@@ -224,6 +224,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those (a, b) of pairs that link; the whole sets, the largest thing written, go when they have been compared."""
+    sets = _full_sets(docs, classes, pairs, width)
+    found = stored(_verified(pairs, sets, percent))
+    discard(sets)
+    return found
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """Edges (a, b) that join the same nodes in fewer steps: each task ties every node of its own edges to the least one that these reach."""
 
@@ -364,7 +372,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     classes = stored(rows.where("n > 0").groupBy("sig", "gid", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("member"), *(F.max(b).alias(b) for b in BITS)))
     groups, shared = _grouped(classes), _shared(rows)
     tried = stored(_star(shared, groups, classes, percent))
-    links = stored(_verified(tried, _full_sets(docs, classes, tried, width), percent)) if not tried.isEmpty() else tried
+    links = _links(docs, classes, tried, width, percent) if not tried.isEmpty() else tried
     comp = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     of, spread, mixed = _mixed(shared, groups, classes, comp)
     for turn in range(ROUNDS):
@@ -373,11 +381,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         more = stored(_more_stars(mixed, spread, percent, turn).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
-        comp, tried = _extended(comp, _verified(more, _full_sets(docs, classes, more, width), percent)), tried.union(more)
+        comp, tried = _extended(comp, _links(docs, classes, more, width, percent)), tried.union(more)
         of, spread, mixed = _mixed(mixed.select("token", "gid", "pos"), groups, classes, comp)
     rest = stored(_crossing(of, spread, mixed, percent).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        comp = _extended(comp, _verified(rest, _full_sets(docs, classes, rest, width), percent))
+        comp = _extended(comp, _links(docs, classes, rest, width, percent))
     of = stored(classes.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least_id", F.coalesce("comp", "sig").alias("comp")))
     of = of.join(of.groupBy("comp").agg(F.min("least_id").alias("component_id")), "comp").select("sig", "component_id")
     return rows.select("doc_id", "n", "sig").join(of, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

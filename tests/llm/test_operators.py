@@ -413,6 +413,14 @@ def test_shuffle_files_go_with_each_step(spark, monkeypatch):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == mine
 
 
+def test_whole_sets_go_when_compared(spark, monkeypatch):
+    sets, own = [], jaccard_join._full_sets
+    monkeypatch.setattr(jaccard_join, "_full_sets", lambda *a: sets.append((x := own(*a)).inputFiles()) or x)
+    texts = [" ".join(f"w{(k // 3) * 100 + j}" for j in range(60)) + f" end{k}" for k in range(9)]
+    assert jaccard_join.one_row_per_component(documents(spark, texts), 5, 80).count() == 3
+    assert sets and all(files and not any(Path(f.removeprefix("file:").replace("///", "/")).exists() for f in files) for files in sets)
+
+
 def test_fits_take_one_row_of_a_labelled_id(spark, monkeypatch):
     rng = random.Random(7)
     text = lambda: " ".join(rng.choice(["w1", "w2", "w3", "w4"]) for _ in range(20))

@@ -281,7 +281,7 @@ def test_rings_that_change(spark, many_ranges):
     assert policy.moved_arcs(before, before).count() == 0
 
 
-@pytest.mark.parametrize("name", ["ring_moved_keys"])
+@pytest.mark.parametrize("name", ["ring_moved_keys", "ring_moves"])
 def test_a_ring_loses_points_that_collided(spark, tmp_path, name):
     """Point 1 of the first supplier, who leaves, has the hash of point 4 of the second."""
     import duckdb

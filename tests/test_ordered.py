@@ -483,6 +483,47 @@ def test_next_upstream_at_each_time(spark, many_ranges):
     assert {r["id"]: r["host"] for r in got.collect()} == want and None in want.values() and len(set(want.values())) > 4
 
 
+def test_lists_that_are_loaded_again(spark, many_ranges):
+    """Lists by name; one pool has more changes than requests, one more requests, and one a list that nobody knows."""
+    from kvlake.operators import upstreams
+
+    rng = random.Random(14)
+    lists = {k: [(f"h{rng.randrange(12)}", 1, rng.random() < 0.7) for _ in range(n)] for k, n in enumerate((20, 15, 0))}
+    changes = [(p, rng.randrange(300), n, rng.choice([0, 1, 1, 2, None]) if n % 9 == 0 else None, f"h{rng.randrange(13)}", 1, rng.choice([True, False, None])) for n, p in enumerate("p" * 400 + "q" * 60)] + [("r", 5, 0, 7, None, None, None)]
+    asked = [(n, rng.choice("pqqqqqr"), rng.randrange(320)) for n in range(900)]
+    now, want = {p: [[], 0] for p in "pqr"}, {}
+    for _, side, no, x in sorted([(c[1], 0, c[2], c) for c in changes] + [(a[2], 1, a[0], a) for a in asked], key=lambda x: x[:3]):
+        pool = now[x[1] if side else x[0]]
+        if side:
+            places = [(pool[1] + k) % len(pool[0]) for k in range(len(pool[0]))]
+            at = next((k for k in places if pool[0][k][2]), None)
+            want[no] = None if at is None else pool[0][at][0]
+            pool[1] = pool[1] if at is None else at + 1
+        elif x[3] is not None:
+            pool[:] = [lists.get(x[3], []), 0]
+        else:
+            pool[0] = [(h, p, bool(x[6]) if h == x[4] else up) for h, p, up in pool[0]]
+    args = [spark.createDataFrame(asked, "id long, pool string, at int"), spark.createDataFrame(changes, "pool string, at long, no long, list int, host string, port long, up boolean"), spark.createDataFrame(list(lists.items()), f"list int, upstreams {upstreams.LIST}")]
+    got = upstreams.picked(*(x.repartition(3) for x in args))
+    assert {r["id"]: r["host"] for r in got.collect()} == want and None in want.values() and len(set(want.values())) > 9
+
+
+def test_upstream_next_at_writes_no_list_at_each_load(spark, tmp_path):
+    import os
+
+    from kvlake.plans import extended
+
+    spark.range(600).select(F.col("id").alias("s_suppkey"), F.lit(3).alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    numbers = [97 * k + 5 for k in range(400)] + [97 * k + 8 for k in range(100)]  # 400 loads of the list backward, 100 requests
+    spark.createDataFrame([(k, 3) for k in numbers], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1000).select((F.col("id") * 97).alias("o_orderkey"), F.when(F.col("id") % 3 > 0, "F").otherwise("O").alias("o_orderstatus")).write.parquet(str(tmp_path / "orders.parquet"))
+    size = lambda: sum(os.path.getsize(os.path.join(f, x)) for f, _, names in os.walk(spark.sparkContext.getCheckpointDir().removeprefix("file:")) for x in names)
+    before = size()
+    got = sorted(tuple(r) for r in extended.upstream_next_at(spark, str(tmp_path)).collect())
+    assert got == [(97 * k + 8, 3, "599", 599) for k in range(100)]
+    assert 0 < size() - before < 50_000
+
+
 def test_subscribers_get_the_latest_and_then_changes(spark, tmp_path):
     from kvlake.streaming import state
 
